@@ -20,7 +20,7 @@ from . import tokens
 from .common import arrow_texts, slices
 
 #: A shard ends at so many documents or tokens; BM25's usual constants; query terms of a seed; neighbours a seed may use.
-SHARD_DOCS, SHARD_TOKENS, K1, B, QUERY_TERMS, NEIGHBOURS = 2048, 4_000_000, 1.2, 0.75, 12, 16
+SHARD_DOCS, SHARD_TOKENS, K1, B, QUERY_TERMS, NEIGHBOURS = 2048, 4_000_000, 1.2, 0.75, 8, 8
 
 
 class Index:
@@ -104,13 +104,12 @@ def _pack(tokenizer: str, window: int, end_id: int, with_ids: bool):
     KEYS = pa.string()
 
     def run(batches):
-        encoder = tokens.ChunkEncoder(tokenizer)
         base, keys, ids, total = TaskContext.get().partitionId() << 36, [], [], 0
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts, named = arrow_texts(batch), batch.column("id").to_pylist()
             for a, b in slices([len(x) for x in texts], 4_000_000):
-                for key, found in zip(named[a:b], encoder.encode(texts[a:b]), strict=True):
+                for key, found in zip(named[a:b], tokens.encode(tokenizer, texts[a:b]), strict=True):
                     if len(keys) >= SHARD_DOCS or total >= SHARD_TOKENS:
                         out, used = shard(base, keys, ids)
                         yield out
