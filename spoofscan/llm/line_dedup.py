@@ -85,7 +85,7 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if found is None:
         return lines.filter("false").select("uid", "ln")
     ids = named.select("uid", "id").distinct()
-    placed = found.join(ids, "uid").select("uid", "s", "e", "h1", "h2", F.struct("id", "uid", "s").alias("at"))
+    placed = materialise(found.join(ids, "uid").select("uid", "s", "e", "h1", "h2", F.struct("id", "uid", "s").alias("at")), "line-runs")
     firsts = placed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = placed.join(firsts, ["h1", "h2"]).filter("at > first").select("uid", F.col("s").alias("ln"), "e")
     # a line is covered if a window that begins at or before it ends at or after it
@@ -107,11 +107,11 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id",
     split = F.split("text", "\n", -1)
     lines = rows.filter("text IS NOT NULL").select("uid", "id", F.posexplode(split).alias("ln", "line"))
     lines = materialise(lines.select("uid", "id", "ln", *_name("line"), word_count(F.col("line")).alias("words")), "lines")
-    gone = repeated_lines(lines, min_words).withColumn("gone", F.lit(True))
+    gone = materialise(repeated_lines(lines, min_words).withColumn("gone", F.lit(True)), "lines-gone")
     touched = lines.join(gone.select("uid").distinct(), "uid", "left_semi").select("uid", "ln").join(gone, ["uid", "ln"], "left")
     flags = touched.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("ln", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("flags"))
     flags = flags.select("uid", F.transform("flags", lambda x: x["gone"]).alias("flags"))
-    out = rows.join(flags, "uid", "left")
+    out = rows.join(flags.hint("shuffle_hash"), "uid", "left")  # the texts aren't sorted
     stay = F.filter(split, lambda x, i: ~F.get("flags", i))
     names = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
     return out.select(
