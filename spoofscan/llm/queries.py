@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, packing, quality, simhash, token_counts, toxicity
+from . import fingerprints, line_dedup, media, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity
 from .common import documents, labels
 
 
@@ -21,6 +21,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.text_media(documents(spark, sf_dir))
     stored = [F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
@@ -31,6 +35,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), with_text=False)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -44,5 +52,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_toxicity, op5_media_columns, op6_packing, op8_quality, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_toxicity, op4_fingerprints, op5_media_columns, op6_packing, op7_suffix_dedup, op8_quality, op9_mixing, op10_line_dedup)}
 SQL = {"op9_mixing": mixing.SQL}
