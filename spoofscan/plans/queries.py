@@ -25,13 +25,13 @@ ASCII_SINGLE = ("01I`|", "Oll'l")
 def ascii_skeleton(c):
     """The look-alike skeleton of ASCII text."""
     c = F.replace(F.translate(c, *ASCII_SINGLE), F.lit("m"), F.lit("rn"))
-    return F.replace(F.replace(c, F.lit('"'), F.lit("''")), F.lit("%"), F.lit("º/₀"))
+    return F.replace(F.replace(c, F.lit('"'), F.lit("''")), F.lit("%"), F.lit("°/₀"))
 
 
 @query("""
 WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer
            UNION ALL SELECT c_custkey, translate(c_name, '0l', 'O1') FROM customer WHERE c_custkey % 3 = 0),
-k AS (SELECT id, name, replace(replace(replace(translate(name, '01I`|', 'Oll''l'), 'm', 'rn'), '"', ''''''), '%', chr(186) || '/' || chr(8320)) AS skeleton FROM n)
+k AS (SELECT id, name, replace(replace(replace(translate(name, '01I`|', 'Oll''l'), 'm', 'rn'), '"', ''''''), '%', chr(176) || '/' || chr(8320)) AS skeleton FROM n)
 SELECT skeleton, count(*) AS n_rows, count(DISTINCT name) AS n_names, min(name) AS first_name, max(name) AS last_name
 FROM k GROUP BY skeleton HAVING count(DISTINCT name) > 1
 """)
