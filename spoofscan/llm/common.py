@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,11 +39,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: cuts lineage, survives a lost executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """`df` written once to the shared folder and read back: cuts lineage, survives a lost executor.
+
+    With `free`, the driver collects its garbage, upon which Spark removes the shuffle files of finished jobs.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

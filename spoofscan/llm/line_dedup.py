@@ -107,7 +107,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id",
     split = F.split("text", "\n", -1)
     lines = rows.filter("text IS NOT NULL").select("uid", "id", F.posexplode(split).alias("ln", "line"))
     lines = materialise(lines.select("uid", "id", "ln", *_name("line"), word_count(F.col("line")).alias("words")), "lines")
-    gone = materialise(repeated_lines(lines, min_words).withColumn("gone", F.lit(True)), "lines-gone")
+    gone = materialise(repeated_lines(lines, min_words).withColumn("gone", F.lit(True)), "lines-gone", free=True)
     touched = lines.join(gone.select("uid").distinct(), "uid", "left_semi").select("uid", "ln").join(gone, ["uid", "ln"], "left")
     flags = touched.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("ln", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("flags"))
     flags = flags.select("uid", F.transform("flags", lambda x: x["gone"]).alias("flags"))

@@ -106,22 +106,37 @@ def _gathered(run, most: int = 50_000):
     return out
 
 
-def _contents(window: int):
-    """Of texts and the runs left in them: each run with its bytes and their digest."""
+def _part(data: bytes, run: dict, window: int) -> bytes:
+    return data[run["start"] : run["start"] + run["n"] + window - 1]
+
+
+def _digests(window: int):
+    """Of texts and the runs left in them: the digest of each run's bytes."""
+
+    def run(batches):
+        for batch in batches:
+            keys = zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "text", "runs")), strict=True)
+            for k1, k2, text, own in keys:
+                data = text.encode()
+                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(_part(data, r, window)) for r in own]), ">i8").reshape(-1, 2).astype(np.int64)
+                columns = [pa.array(np.full(len(own), k, np.int64)) for k in (k1, k2)]
+                columns += [pa.array([r[name] for r in own], kind) for name, kind in (("start", pa.int32()), ("n", pa.int32()), ("rank", pa.int64()))]
+                yield pa.record_batch([*columns, pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["k1", "k2", "start", "n", "rank", "d1", "d2"])
+
+    return _gathered(run)
+
+
+def _bytes(window: int):
+    """Of texts and chosen runs in them: each run with its bytes."""
 
     def run(batches):
         for batch in batches:
             keys = zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "text", "runs")), strict=True)
             for k1, k2, text, own in keys:
                 data = text.encode()
-                parts = [data[r["start"] : r["start"] + r["n"] + window - 1] for r in own]
-                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in parts]), ">i8").reshape(-1, 2).astype(np.int64)
-                n = len(own)
-                column = lambda name, kind: pa.array([r[name] for r in own], kind)
-                yield pa.record_batch(
-                    [pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), column("start", pa.int32()), column("n", pa.int32()), column("rank", pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(parts, pa.binary())],
-                    names=["k1", "k2", "start", "n", "rank", "d1", "d2", "bytes"],
-                )
+                columns = [pa.array(np.full(len(own), k, np.int64)) for k in (k1, k2)]
+                columns += [pa.array([r[name] for r in own], kind) for name, kind in (("start", pa.int32()), ("rank", pa.int64()), ("kinds", pa.int64()))]
+                yield pa.record_batch([*columns, pa.array([_part(data, r, window) for r in own], pa.binary())], names=["k1", "k2", "start", "rank", "kinds", "bytes"])
 
     return _gathered(run, 20_000)
 
@@ -149,7 +164,7 @@ def _compare(window: int):
     def close(held):
         if len(held) < 2:
             return
-        member, offset, rank = _window_ranks([x[4] for x in held], window)
+        member, offset, rank = _window_ranks([x[3] for x in held], window)
         _, which, times = np.unique(rank, return_inverse=True, return_counts=True)
         again = times[which] > 1
         if again.any():
@@ -161,11 +176,11 @@ def _compare(window: int):
     def run(batches):
         held, now = [], None
         for batch in batches:
-            columns = [batch.column(x).to_pylist() for x in ("k1", "k2", "start", "n", "bytes", "rank")]
+            columns = [batch.column(x).to_pylist() for x in ("k1", "k2", "start", "bytes", "rank")]
             for row in zip(*columns, strict=True):
-                if row[5] != now:
+                if row[4] != now:
                     yield from close(held)
-                    held, now = [], row[5]
+                    held, now = [], row[4]
                 held.append(row)
         yield from close(held)
 
@@ -221,19 +236,23 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     placed = materialise(rows.mapInArrow(_place(window, anchor), f"{at}, rank long"), "runs")
     many = placed.groupBy("rank").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rank")
     left = placed.join(many, "rank", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "rank")).alias("runs"))
-    filled = rows.join(left, ["k1", "k2"]).mapInArrow(_contents(window), f"{at}, rank long, d1 long, d2 long, bytes binary")
-    filled = materialise(filled, "run-bytes")
-    first = F.min(F.struct("k1", "k2", "start")).alias("first")
-    kinds = materialise(filled.groupBy("rank", "d1", "d2").agg(F.count(F.lit(1)).alias("times"), first), "run-kinds")
-    whole = filled.join(kinds.filter("times > 1").select("rank", "d1", "d2"), ["rank", "d1", "d2"], "left_semi").select("k1", "k2", "start", "n")
+    left = materialise(left, "runs-left", free=True)
+    told = rows.join(left.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_digests(window), f"{at}, rank long, d1 long, d2 long")
+    told = materialise(told, "run-digests", free=True)
+    first = F.min(F.struct("k1", "k2", "start", "n")).alias("first")
+    kinds = materialise(told.groupBy("rank", "d1", "d2").agg(F.count(F.lit(1)).alias("times"), first), "run-kinds")
+    whole = told.join(kinds.filter("times > 1").select("rank", "d1", "d2"), ["rank", "d1", "d2"], "left_semi").select("k1", "k2", "start", "n")
+    whole = materialise(whole, "whole-runs", free=True)
     mixed = kinds.groupBy("rank").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    chosen = kinds.join(mixed, "rank").select("first.*", "kinds")
-    ones = filled.join(chosen, ["k1", "k2", "start"]).select("k1", "k2", "start", "n", "bytes", "rank", "kinds")
+    chosen = kinds.join(mixed, "rank").select("first.*", "rank", "kinds")
+    chosen = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "rank", "kinds")).alias("runs"))
+    ones = rows.join(chosen.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_bytes(window), "k1 long, k2 long, start int, rank long, kinds long, bytes binary")
+    ones = materialise(ones, "run-bytes", free=True)
     few = ones.filter(F.col("kinds") <= most).repartition("rank").sortWithinPartitions("rank").mapInArrow(_compare(window), at)
     each = ones.filter(F.col("kinds") > most).mapInArrow(_each_window(window), "k1 long, k2 long, start int, rank long, of_window long")
     again = each.groupBy("rank", "of_window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rank", "of_window")
     single = each.join(again, ["rank", "of_window"], "left_semi").select("k1", "k2", "start", F.lit(1).alias("n"))
-    return whole.union(few).union(single)
+    return materialise(whole.union(few).union(single), "repeated-windows", free=True)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
@@ -248,5 +267,5 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", tex
     spans = repeated_spans(rows.select("k1", "k2", "text"), window)
     found = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("found"))
     schema = f"id {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = rows.join(found, ["k1", "k2"], "left").select("id", "text", "found").mapInArrow(_cut(window, with_text), schema)
+    out = rows.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", "found").mapInArrow(_cut(window, with_text), schema)
     return out.select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
