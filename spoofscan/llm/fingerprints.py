@@ -18,8 +18,9 @@ from .common import SPACES
 
 #: Samples of a fingerprint, computed so many a row; 16 bits (four hex digits) are kept of each.
 SAMPLES, A_ROW = 32, 4
-#: Documents a range holds about, and ranges found by quantiles; beyond these, ranges are cut evenly.
-RANGE_ROWS, RANGES = 1000, 256
+#: Documents a range holds about; ranges found by quantiles, and parts at most into which each of these is cut evenly.
+#: So there are at most 65,536 ranges, and their ends can be broadcast whatever the input; larger ranges spill.
+RANGE_ROWS, RANGES, PARTS = 1000, 256, 256
 _MASK21 = (1 << 21) - 1
 
 
@@ -27,7 +28,7 @@ def _ranges(docs: DataFrame) -> Column:
     """The number of the range that a row's id is in, rising with the id; -1 for null."""
     rows = docs.count()
     coarse = max(1, min(RANGES, rows // RANGE_ROWS))
-    fine = max(1, rows // RANGE_ROWS // coarse)
+    fine = max(1, min(PARTS, rows // RANGE_ROWS // coarse))
     bounds = sorted(set(docs.approxQuantile("id", [i / coarse for i in range(coarse + 1)], 0.1 / coarse))) if rows else []
     if len(bounds) < 2:
         return F.when(F.col("id").isNull(), -1).otherwise(0).cast("long")
@@ -51,7 +52,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("range")
     ends = firsts.select("range", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("first"))
     ends = ends.select("range", "first.id")
-    ghosts = rows.select("id", "text").join(ends, rows["id"].eqNullSafe(ends["id"])).groupBy("range").agg(F.min(F.struct(ends["id"], "text")).alias("row"))
+    ghosts = rows.select("id", "text").join(F.broadcast(ends), rows["id"].eqNullSafe(ends["id"])).groupBy("range").agg(F.min(F.struct(ends["id"], "text")).alias("row"))
     ghosts = ghosts.select("row.id", "row.text", "range", F.lit(True).alias("ghost"))
     both = rows.select("id", "text", "range", F.lit(False).alias("ghost")).union(ghosts)
     inner = Window.partitionBy("range").orderBy("ghost", "id", "text")
