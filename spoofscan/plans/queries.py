@@ -1,10 +1,21 @@
-"""Queries by name, and the SQL that must give the same rows."""
+"""Queries by name, each over whole tables, and the SQL that must give the same rows.
+
+The tables hold plain Latin text, so names get look-alikes, invisible characters, marks and other scripts by a rule that
+Spark and the SQL apply alike.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import policy
+from ..functions.text import casefold, code_points, nfc, nfd, resolved, text_functions, utf16_units
+from ..operators import skeletons as S
+from ..streaming import guard
+
 QUERIES, SQL = {}, {}
 
 
@@ -18,27 +29,333 @@ def query(sql: str | None = None):
     return add
 
 
-#: The eight ASCII characters that look like others, as UTS #39 maps them. Fixed values.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: What the parts' names become, by key modulo 8: the name itself; Cyrillic vowels; digits of two systems; a zero width
+#: space; a hidden dot; a repeated accent; Greek omicron; a Han character.
+CYRILLIC, OMICRON, HAN = "аео", "ο", "漢"
+TAILS = {2: "7\u0661", 4: "i\u0307", 5: "e\u0301\u0301", 7: HAN}
+ZWSP = "\u200b"
+
+NAMES_SQL = f"""
+n AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS plain FROM part),
+names AS (SELECT id, plain, CASE id % 8
+  WHEN 1 THEN translate(plain, 'aeo', '{CYRILLIC}') WHEN 2 THEN plain || '{TAILS[2]}'
+  WHEN 3 THEN substr(plain, 1, 3) || '{ZWSP}' || substr(plain, 4) WHEN 4 THEN plain || '{TAILS[4]}'
+  WHEN 5 THEN plain || '{TAILS[5]}' WHEN 6 THEN translate(plain, 'o', '{OMICRON}') WHEN 7 THEN plain || '{TAILS[7]}' ELSE plain END AS name FROM n),
+facts AS (SELECT *, regexp_matches(name, '^[\\x00-\\x7f]*$') AS plain_ascii, regexp_matches(name, '[\\p{{Cyrillic}}\\p{{Greek}}]') AS spoofed,
+  contains(name, '\u0661') AS arabic, contains(name, '{ZWSP}') AS hidden, regexp_matches(name, '[a-z]') AS latin FROM names)
+"""
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("plain"))
+    turn, c = F.col("id") % 8, F.col("plain")
+    name = (
+        F.when(turn == 1, F.translate(c, "aeo", CYRILLIC))
+        .when(turn == 3, F.concat(F.substring(c, 1, 3), F.lit(ZWSP), F.substr(c, F.lit(4))))
+        .when(turn == 6, F.translate(c, "o", OMICRON))
+    )
+    for k, tail in TAILS.items():
+        name = name.when(turn == k, F.concat(c, F.lit(tail)))
+    return n.withColumn("name", name.otherwise(c))
+
+
+#: The eight ASCII characters that look like others. Fixed values.
 ASCII_SINGLE = ("01I`|", "Oll'l")
+ASCII_SKELETON_SQL = "replace(replace(replace(translate({}, '01I`|', 'Oll''l'), 'm', 'rn'), '\"', ''''''), '%', '°/₀')"
+LOOKS_SQL = ASCII_SKELETON_SQL.format(f"translate(replace(name, '{ZWSP}', ''), '{CYRILLIC}{OMICRON}', 'aeoo')")
 
 
 def ascii_skeleton(c):
-    """The look-alike skeleton of ASCII text."""
+    """The look-alike skeleton of ASCII text, all in the JVM."""
     c = F.replace(F.translate(c, *ASCII_SINGLE), F.lit("m"), F.lit("rn"))
     return F.replace(F.replace(c, F.lit('"'), F.lit("''")), F.lit("%"), F.lit("°/₀"))
 
 
-@query("""
+# --- look-alikes ---
+
+
+@query(f"""
 WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer
            UNION ALL SELECT c_custkey, translate(c_name, '0l', 'O1') FROM customer WHERE c_custkey % 3 = 0),
-k AS (SELECT id, name, replace(replace(replace(translate(name, '01I`|', 'Oll''l'), 'm', 'rn'), '"', ''''''), '%', chr(176) || '/' || chr(8320)) AS skeleton FROM n)
+k AS (SELECT id, name, {ASCII_SKELETON_SQL.format("name")} AS skeleton FROM n)
 SELECT skeleton, count(*) AS n_rows, count(DISTINCT name) AS n_names, min(name) AS first_name, max(name) AS last_name
 FROM k GROUP BY skeleton HAVING count(DISTINCT name) > 1
 """)
-def lookalike_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+def lookalike_groups(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
     spoofed = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.translate("c_name", "0l", "O1").alias("name"))
-    names = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(spoofed)
-    keyed = names.withColumn("skeleton", ascii_skeleton(F.col("name")))
-    groups = keyed.groupBy("skeleton").agg(F.count("*").alias("n_rows"), F.countDistinct("name").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+    both = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(spoofed)
+    keyed = both.withColumn("skeleton", ascii_skeleton(F.col("name")))
+    once = keyed.groupBy("skeleton", "name").agg(F.count("*").alias("n"))
+    groups = once.groupBy("skeleton").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
     return groups.filter("n_names > 1")
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, {LOOKS_SQL} AS skeleton FROM names WHERE id % 8 IN (0, 1, 2, 3, 4, 6)")
+def skeletons_of_names(spark, sf_dir):
+    s = S.Skeletons(spark)
+    n = names(spark, sf_dir).filter("id % 8 IN (0, 1, 2, 3, 4, 6)")
+    # the Arabic-Indic digit one looks like l
+    return n.select("id", s.skeleton(F.col("name")).alias("skeleton"))
+
+
+SQL["skeletons_of_names"] = SQL["skeletons_of_names"].replace(f"'{CYRILLIC}{OMICRON}', 'aeoo'", f"'{CYRILLIC}{OMICRON}\u0661', 'aeool'")
+
+#: The accented Latin letters of the documents, decomposed by rule; a cedilla looks like a comma below.
+def _documents_skeleton_sql() -> str:
+    """Accented Latin letters decomposed by rule; a cedilla looks like a comma below."""
+    out = "text"
+    for c in "áàâäéèêëíìîïóòôöúùûüñç":
+        for x in (c, c.upper()):
+            out = f"replace({out}, '{x}', '{unicodedata.normalize('NFD', x).replace(chr(0x327), chr(0x326))}')"
+    return ASCII_SKELETON_SQL.format(out)
+
+
+@query(f"SELECT doc_id, length(s) AS n_chars, md5(s) AS skeleton_md5 FROM (SELECT doc_id, {_documents_skeleton_sql()} AS s FROM documents)")
+def skeletons_of_documents(spark, sf_dir):
+    s = S.Skeletons(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", s.skeleton(F.col("text")).alias("s"))
+    return d.select("doc_id", F.length("s").cast("long").alias("n_chars"), F.md5("s").alias("skeleton_md5"))
+
+
+@query(f"""
+WITH {NAMES_SQL}, k AS (SELECT *, {LOOKS_SQL} AS look, {ASCII_SKELETON_SQL.format("plain")} AS plain_look FROM facts)
+SELECT CASE WHEN look <> plain_look THEN 'none' WHEN NOT spoofed THEN 'single-script' WHEN latin THEN 'mixed-script' ELSE 'whole-script' END AS class, count(*) AS n
+FROM k WHERE id % 8 IN (0, 1, 3, 6) GROUP BY class
+""")
+def match_classes(spark, sf_dir):
+    n = names(spark, sf_dir).filter("id % 8 IN (0, 1, 3, 6)")
+    return S.match_pairs(n, "name", "plain", out="m").groupBy(F.coalesce("m", F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
+
+
+_JOIN_SQL = f"""
+WITH {NAMES_SQL}, k AS (SELECT id, name, {LOOKS_SQL} AS look FROM names WHERE id % 8 IN (1, 3, 6)),
+p AS (SELECT DISTINCT p_name AS brand, {ASCII_SKELETON_SQL.format("replace(p_name, ' ', '_')")} AS look FROM part WHERE p_size > 25)
+"""
+
+
+def _sides(spark, sf_dir):
+    left = names(spark, sf_dir).filter("id % 8 IN (1, 3, 6)").select("id", "name")
+    right = table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_name").alias("brand"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("shown")).distinct()
+    return left, right
+
+
+@query(_JOIN_SQL + "SELECT k.id, p.brand FROM k JOIN p USING (look)")
+def lookalike_join(spark, sf_dir):
+    return S.lookalike_join(*_sides(spark, sf_dir), "name", "shown").select("id", "brand")
+
+
+@query(_JOIN_SQL + "SELECT id, name FROM k WHERE look IN (SELECT look FROM p)")
+def lookalike_semi(spark, sf_dir):
+    return S.lookalike_join(*_sides(spark, sf_dir), "name", "shown", how="left_semi")
+
+
+@query(_JOIN_SQL + "SELECT id, name FROM k WHERE look NOT IN (SELECT look FROM p)")
+def lookalike_anti(spark, sf_dir):
+    return S.lookalike_join(*_sides(spark, sf_dir), "name", "shown", how="left_anti")
+
+
+@query(f"""
+WITH {NAMES_SQL}, k AS (SELECT id, {LOOKS_SQL} AS look FROM names WHERE id % 8 IN (0, 1, 3, 6))
+SELECT look IN ({", ".join(ASCII_SKELETON_SQL.format(f"'{x}'") for x in ("small_ring", "red_widget", "hot_gear"))}) AS is_protected, count(*) AS n FROM k GROUP BY 1
+""")
+def protected_names(spark, sf_dir):
+    n = names(spark, sf_dir).filter("id % 8 IN (0, 1, 3, 6)")
+    return S.protected(n, "name", ["small_ring", "red_widget", "hot_gear"]).groupBy("is_protected").agg(F.count("*").alias("n"))
+
+
+# --- scripts and levels ---
+
+_LEVEL_SQL = "CASE WHEN hidden THEN 6 WHEN plain_ascii THEN 1 WHEN arabic AND latin THEN 4 WHEN spoofed AND latin THEN 5 ELSE 2 END"
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, (latin AND (spoofed OR arabic)) AS is_mixed FROM facts")
+def mixed_script(spark, sf_dir):
+    return S.with_scripts(names(spark, sf_dir), "name").select("id", (F.size(resolved(F.col("script_sets"))) == 0).alias("is_mixed"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT {_LEVEL_SQL} AS level, count(*) AS n FROM facts GROUP BY 1")
+def restriction_levels(spark, sf_dir):
+    t = text_functions(spark)
+    n = S.with_scripts(names(spark, sf_dir), "name")
+    return n.select(t.restriction_level(F.col("name"), F.col("script_sets")).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, source, count(*) AS n, count(*) FILTER (regexp_matches(text, '\\p{Latin}')) AS n_latin FROM documents GROUP BY ROLLUP (lang, source)")
+def scripts_by_language(spark, sf_dir):
+    d = S.with_scripts(table(spark, sf_dir, "documents").select("lang", "source", "text"), "text")
+    latin = F.exists(F.col("script_sets"), lambda s: F.array_contains(s, "Latn"))
+    return d.rollup("lang", "source").agg(F.count("*").alias("n"), F.count_if(latin).alias("n_latin"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, NOT hidden AS allowed FROM facts")
+def allowed_names(spark, sf_dir):
+    return names(spark, sf_dir).select("id", text_functions(spark).is_allowed(F.col("name")).alias("allowed"))
+
+
+@query("""
+WITH c AS (SELECT unnest(string_split(text, '')) AS c FROM documents)
+SELECT c AS character, count(*) AS n, CASE WHEN regexp_matches(c, '^[''\\-.0-:A-Z_a-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}]$') THEN 'Allowed' ELSE 'Restricted' END AS status,
+       regexp_matches(c, '^\\p{L}$') AS xid_start
+FROM c WHERE c <> '' GROUP BY c
+""")
+def identifier_status_of_characters(spark, sf_dir):
+    t = text_functions(spark)
+    c = table(spark, sf_dir, "documents").select(F.explode(code_points(F.col("text"))).alias("character")).groupBy("character").agg(F.count("*").alias("n"))
+    return c.select("character", "n", t.identifier_status(F.col("character")).alias("status"), t.is_xid_start(F.col("character")).alias("xid_start"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents)
+SELECT doc_id, string_agg(DISTINCT CASE WHEN regexp_matches(c, '\\p{Latin}') THEN 'LATIN' ELSE 'COMMON' END, ',' ORDER BY CASE WHEN regexp_matches(c, '\\p{Latin}') THEN 'LATIN' ELSE 'COMMON' END) AS aliases
+FROM c WHERE c <> '' GROUP BY doc_id
+""")
+def aliases_of_documents(spark, sf_dir):
+    return S.with_aliases(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, (CASE WHEN latin THEN 1 ELSE 0 END + CASE WHEN spoofed THEN 1 ELSE 0 END + CASE WHEN id % 8 IN (4, 5) THEN 1 ELSE 0 END + CASE WHEN id % 8 = 7 THEN 1 ELSE 0 END) > 1 AS mixes FROM facts WHERE id % 8 <> 2")
+def mixed_aliases(spark, sf_dir):
+    n = S.with_aliases(names(spark, sf_dir).filter("id % 8 <> 2"), "name")
+    return n.select("id", S.mixes_aliases(F.col("aliases")).alias("mixes"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, regexp_extract(name, '[{CYRILLIC}{OMICRON}]') AS character FROM facts WHERE id % 8 IN (1, 6) AND spoofed")
+def homoglyphs_of_names(spark, sf_dir):
+    n = names(spark, sf_dir).filter("id % 8 IN (1, 6)").select("id", "name")
+    found = S.homoglyph_report(n, "name", preferred=("latin",))
+    return found.filter(F.size("homoglyphs") > 0).select("id", F.col("homoglyphs")[0]["character"].alias("character"))
+
+
+# --- numbers, marks, invisible characters ---
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, id % 8 = 2 AS mixed, CASE WHEN id % 8 = 2 THEN '0\u0660' ELSE '' END AS zeros FROM names")
+def mixed_numbers(spark, sf_dir):
+    t, c = text_functions(spark), F.col("name")
+    return names(spark, sf_dir).select("id", t.has_mixed_numbers(c).alias("mixed"), F.array_join(t.decimal_zeros(c), "").alias("zeros"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, regexp_matches(name, '\\x{{301}}\\x{{301}}') AS unlikely, contains(name, 'i\u0307') AS overlay FROM names")
+def marks(spark, sf_dir):
+    t, c = text_functions(spark), F.col("name")
+    return names(spark, sf_dir).select("id", t.has_unlikely_marks(c).alias("unlikely"), t.has_hidden_overlay(c).alias("overlay"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 7) || '\u202e' || substr(text, 8) || '{ZWSP}' ELSE text END AS text FROM documents),
+c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM d)
+SELECT doc_id, pos::INT AS pos, CASE WHEN c = '\u202e' THEN 'bidi-control' WHEN c = '{ZWSP}' THEN 'default-ignorable' ELSE 'control' END AS kind
+FROM c WHERE regexp_matches(c, '[\\x00-\\x1f\\x7f-\\x9f\\x{{202e}}\\x{{200b}}]')
+""")
+def invisible_characters(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.substring("text", 1, 7), F.lit("\u202e"), F.substr("text", F.lit(8)), F.lit(ZWSP))).otherwise(F.col("text"))
+    found = d.select("doc_id", text.alias("text")).select("doc_id", F.explode(text_functions(spark).find_invisible(F.col("text"))).alias("x"))
+    return found.select("doc_id", "x.pos", "x.kind")
+
+
+@query("SELECT conv_id, turn, regexp_matches(text, '[\\x00-\\x1f\\x7f]') AS has_invisible FROM conversations")
+def invisible_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text_functions(spark).has_invisible(F.col("text")).alias("has_invisible"))
+
+
+# --- normal forms, graphemes ---
+
+
+@query("SELECT doc_id, length(text) + length(regexp_replace(text, '[^À-ÖÙ-Ýà-åç-ïñ-öù-ý]', '', 'g')) AS n_decomposed, md5(nfc_normalize(text)) AS composed_md5 FROM documents")
+def normal_forms(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", nfd(F.col("text")).alias("d"))
+    return d.select("doc_id", F.length("d").cast("long").alias("n_decomposed"), F.md5(nfc(F.col("d"))).alias("composed_md5"))
+
+
+FAMILY, FLAG = "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f1fa\U0001f1f8"
+
+
+@query(f"SELECT doc_id, length_grapheme(text || 'e\u0301{FAMILY}{FLAG}{FLAG}') AS n_graphemes, left_grapheme(text || '{FAMILY}', 50) AS shown FROM documents")
+def graphemes_of_documents(spark, sf_dir):
+    t = text_functions(spark)
+    d = table(spark, sf_dir, "documents")
+    n = F.size(t.graphemes(F.concat("text", F.lit("e\u0301" + FAMILY + FLAG + FLAG)))).cast("long")
+    return d.select("doc_id", n.alias("n_graphemes"), t.truncate(F.concat("text", F.lit(FAMILY)), 50).alias("shown"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS pos FROM documents),
+s AS (SELECT doc_id, pos, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY pos) AS bytes FROM c)
+SELECT d.doc_id, substr(d.text, 1, max(s.pos) FILTER (s.bytes <= 100)) AS shown FROM documents d JOIN s USING (doc_id) GROUP BY d.doc_id, d.text
+""")
+def truncated_to_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text_functions(spark).truncate(F.col("text"), max_utf8_bytes=100).alias("shown"))
+
+
+@query("SELECT doc_id, strlen(text) AS utf8_bytes, length(text) AS utf16_units, lower(text) = text AS is_folded FROM documents WHERE NOT contains(text, 'ß')")
+def sizes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("NOT contains(text, 'ß')")
+    return d.select("doc_id", F.octet_length("text").cast("long").alias("utf8_bytes"), utf16_units(F.col("text")).cast("long").alias("utf16_units"), (casefold(F.col("text")) == F.col("text")).alias("is_folded"))
+
+
+# --- display order ---
+
+ALEF, BET = "\u05d0", "\u05d1"
+
+
+@query(f"SELECT p_partkey, p_name || ' {BET}(' || p_size || '){ALEF}' AS shown FROM part")
+def display_order(spark, sf_dir):
+    written = F.concat("p_name", F.lit(f" {ALEF}("), F.col("p_size").cast("string"), F.lit(f"){BET}"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.Skeletons(spark).displayed(written).alias("shown"))
+
+
+# --- policies ---
+
+
+@query(f"""
+WITH {NAMES_SQL} SELECT coalesce(CASE WHEN hidden THEN '{policy.OUTSIDE}' WHEN {_LEVEL_SQL} > 3 THEN '{policy.SCRIPTS}'
+  WHEN regexp_matches(name, '\\x{{301}}\\x{{301}}|i\\x{{307}}') THEN '{policy.PILED_OR_HIDDEN}' END, 'none') AS problem, count(*) AS n FROM facts GROUP BY 1
+""")
+def username_problems(spark, sf_dir):
+    found = policy.username_problem(names(spark, sf_dir), "name")
+    return found.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {NAMES_SQL} SELECT id, CASE WHEN hidden THEN '{policy.INVISIBLE}' WHEN regexp_matches(name, '\\x{{301}}\\x{{301}}') THEN '{policy.PILED}'
+  WHEN length_grapheme(name) > 11 THEN '{policy.TOO_LONG}' END AS problem FROM facts
+""")
+def display_name_problems(spark, sf_dir):
+    return names(spark, sf_dir).select("id", policy.display_name_problem(text_functions(spark), F.col("name"), graphemes=11).alias("problem"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN '{policy.INVISIBLE}' WHEN p_partkey % 3 = 2 THEN '{policy.EXTENSION}' END AS problem FROM part")
+def filename_problems(spark, sf_dir):
+    turn = F.col("p_partkey") % 3
+    name = F.when(turn == 1, F.concat("p_name", F.lit("\u202egpj.exe"))).when(turn == 2, F.lit(f"{ALEF}.{BET}")).otherwise(F.concat("p_name", F.lit(".pdf")))
+    return table(spark, sf_dir, "part").select("p_partkey", policy.filename_problem(text_functions(spark), S.Skeletons(spark), name).alias("problem"))
+
+
+@query(f"""
+WITH {NAMES_SQL} SELECT id, {_LEVEL_SQL} AS restriction_level, (latin AND (spoofed OR arabic)) AS is_mixed_script, NOT hidden AS is_allowed, id % 8 = 2 AS has_mixed_numbers,
+  id % 8 = 5 AS has_unlikely_marks, id % 8 = 4 AS has_hidden_overlay, hidden::INT AS n_invisible FROM facts
+""")
+def spoof_report(spark, sf_dir):
+    out = S.spoof_report(names(spark, sf_dir).select("id", "name"), "name")
+    return out.select("id", "restriction_level", "is_mixed_script", "is_allowed", "has_mixed_numbers", "has_unlikely_marks", "has_hidden_overlay", F.size("invisible").alias("n_invisible"))
+
+
+# --- streams, run over the table as a batch ---
+
+
+@query("""
+SELECT time_bucket(INTERVAL '1 hour', ts) AS starts, event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_suspicious FROM events GROUP BY 1, 2
+""")
+def attempt_rates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    hours = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_suspicious"))
+    return hours.select(F.col("window.start").alias("starts"), "event_type", "n", "n_suspicious")
+
+
+__all__ = ["QUERIES", "SQL", "guard"]
