@@ -234,7 +234,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """Of rows (k1, k2, text), stretches (k1, k2, start, n) of windows that start anywhere else too."""
     at = "k1 long, k2 long, start int, n int"
     placed = materialise(rows.mapInArrow(_place(window, anchor), f"{at}, rank long"), "runs")
-    many = placed.groupBy("rank").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rank")
+    # what a hot key is joined to is written first: Spark can split a skewed join only between plain exchanges
+    many = materialise(placed.groupBy("rank").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rank"), "ranks-again")
     left = placed.join(many, "rank", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "rank")).alias("runs"))
     left = materialise(left, "runs-left", free=True)
     told = rows.join(left.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_digests(window), f"{at}, rank long, d1 long, d2 long")
@@ -244,6 +245,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     whole = told.join(kinds.filter("times > 1").select("rank", "d1", "d2"), ["rank", "d1", "d2"], "left_semi").select("k1", "k2", "start", "n")
     whole = materialise(whole, "whole-runs", free=True)
     mixed = kinds.groupBy("rank").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    mixed = materialise(mixed, "ranks-mixed")
     chosen = kinds.join(mixed, "rank").select("first.*", "rank", "kinds")
     chosen = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "rank", "kinds")).alias("runs"))
     ones = rows.join(chosen.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_bytes(window), "k1 long, k2 long, start int, rank long, kinds long, bytes binary")
