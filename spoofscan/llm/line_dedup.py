@@ -28,8 +28,12 @@ def _name(*parts: Column | str) -> list[Column]:
 
 
 def _again(rows: DataFrame) -> DataFrame:
-    """The rows whose name (h1, h2) occurs more than once."""
+    """The rows whose name (h1, h2) occurs more than once.
+
+    Those names are written first: Spark can split a skewed join only between plain exchanges.
+    """
     many = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    many = materialise(many, "names-again")
     return rows.join(many, ["h1", "h2"], "left_semi")
 
 
@@ -87,6 +91,7 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ids = named.select("uid", "id").distinct()
     placed = materialise(found.join(ids, "uid").select("uid", "s", "e", "h1", "h2", F.struct("id", "uid", "s").alias("at")), "line-runs")
     firsts = placed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = materialise(firsts, "first-runs")
     later = placed.join(firsts, ["h1", "h2"]).filter("at > first").select("uid", F.col("s").alias("ln"), "e")
     # a line is covered if a window that begins at or before it ends at or after it
     events = named.select("uid", "ln", F.lit(None).cast("int").alias("e")).union(later.select("uid", "ln", "e"))
