@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, word_count
 
 #: Buckets of the shuffle order within a source (three hex digits), and of virtual time.
 ORDER_DIGITS, TIME_BUCKETS = 3, 4096
@@ -68,8 +68,8 @@ def fair_mix(
     # the working columns are made first, so that no other column of `docs` can clash with them
     docs = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), seed.alias("seed"), *kept)
     docs = docs.withColumn("bucket", F.substring("seed", 1, ORDER_DIGITS))
-    targets = source_targets(docs, weights, max_copies)
-    light = docs.select("id", "source", "size", "seed", "bucket") if not carry else docs
+    light = docs if carry else materialise(docs, "sizes")  # the texts are read once
+    targets = materialise(source_targets(light, weights, max_copies), "targets")
     named = light.join(targets, light["source"].eqNullSafe(targets["source"])).drop("source")
     queued = _running(named, ["rank"], "bucket", ["seed", "id", "size"], "size", "done")
 
