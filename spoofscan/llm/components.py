@@ -1,11 +1,14 @@
-"""Connected components of a graph given by its links, as joins and groupings until nothing changes."""
+"""Connected components of a graph given by its links, as joins and groupings until nothing changes.
+
+What a node's links are joined to is written first, so that Spark can split the links of a hub among tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import drop_path, fresh_path
+from .common import drop_path, fresh_path, materialise
 
 
 def _stored(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
@@ -20,14 +23,14 @@ def _stored(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 

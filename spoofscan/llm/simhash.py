@@ -174,7 +174,8 @@ def _groups(fps: DataFrame) -> DataFrame:
     firsts = fps.groupBy("fp").agg(F.min("id").alias("own"))
     joined = connected_components(fingerprint_links(firsts.select("fp")))
     named = firsts.join(joined, firsts["fp"] == joined["node"], "left").select("fp", "own", F.coalesce("component", "fp").alias("group"))
-    least = named.groupBy("group").agg(F.min("own").alias("first"))
+    named = materialise(named, "simhash-groups")
+    least = materialise(named.groupBy("group").agg(F.min("own").alias("first")), "simhash-firsts")
     return named.join(least, "group").select("fp", "group", "first")
 
 
