@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, path, digest = _stored(links)
     while digest[0]:
-        new, new_path, new_digest = _stored(_small_star(_large_star(links)))
+        new, new_path, new_digest = _stored(_small_star(materialise(_large_star(links), "large-star")))
         drop_path(links.sparkSession, path)
         links, path, done, digest = new, new_path, new_digest == digest, new_digest
         if done:

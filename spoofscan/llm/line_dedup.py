@@ -136,4 +136,20 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out.select(*[fields.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-SQL = None
+#: The definition itself, over all runs of all texts, for small tables.
+SQL = rf"""
+WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS ln FROM texts),
+named AS (SELECT doc_id, ln, dense_rank() OVER (ORDER BY line) AS name, coalesce(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')), 0) AS words FROM numbered),
+packed AS (SELECT doc_id, list(name ORDER BY ln) AS names FROM named GROUP BY doc_id),
+sums AS (SELECT doc_id, ln, words, sum(words) OVER (PARTITION BY doc_id ORDER BY ln) AS upto FROM named),
+runs AS (
+  SELECT a.doc_id, a.ln AS s, b.ln AS e, list_slice(p.names, a.ln, b.ln) AS run
+  FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.ln >= a.ln AND b.upto - a.upto + a.words >= {MIN_WORDS} JOIN packed p ON p.doc_id = a.doc_id),
+later AS (SELECT * FROM (SELECT doc_id, s, e, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS copy FROM runs) WHERE copy > 1),
+gone AS (SELECT DISTINCT n.doc_id, n.ln FROM named n JOIN later l ON n.doc_id = l.doc_id AND n.ln BETWEEN l.s AND l.e),
+kept AS (
+  SELECT n.doc_id, count(g.ln) AS n_removed, coalesce(string_agg(n.line, chr(10) ORDER BY n.ln) FILTER (g.ln IS NULL), '') AS kept
+  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.ln = g.ln GROUP BY n.doc_id)
+SELECT t.doc_id, len(t.lines) AS n_lines, k.n_removed, length(k.kept) AS n_chars, sha256(k.kept) AS kept_sha256 FROM texts t JOIN kept k USING (doc_id)
+"""

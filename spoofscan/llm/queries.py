@@ -53,4 +53,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_toxicity, op4_fingerprints, op5_media_columns, op6_packing, op7_suffix_dedup, op8_quality, op9_mixing, op10_line_dedup)}
-SQL = {"op9_mixing": mixing.SQL}
+SQL = {"op9_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
