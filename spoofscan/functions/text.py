@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.unicode import RECOMMENDED_SCRIPTS, Characters, characters
+from ..sources.unicode import RECOMMENDED_SCRIPTS, Characters, characters, stretches, tree
 
 ZWNJ, ZWJ = "\u200c", "\u200d"
 #: Marks in a row that are still likely; the levels of restriction by number.
@@ -113,8 +113,8 @@ class TextFunctions:
         """Whether a dot above stands where a letter's own dot, or its look-alike's, hides it."""
         dotted = {chr(c) for a, b in self.chars.ranges("[:Soft_Dotted:][ijl\\u0131\\u0237]") for c in range(a, b + 1)}
         lead = dotted | {c for c, s in self.chars.prototypes.items() if s and s[-1] in dotted}
-        lead = "".join(f"\\x{{{ord(c):X}}}" for c in sorted(lead))
-        lead = f"[{lead}&&{self.chars.regex('[:ccc=0:][:ccc=230:]')}]"
+        above = {chr(c) for a, b in self.chars.ranges("[:ccc=0:][:ccc=230:]") for c in range(a, b + 1)}
+        lead = tree(stretches(lead & above))
         below = self.chars.regex("[^[:ccc=0:][:ccc=230:]]")
         return F.when(is_ascii(text), False).otherwise(nfd(text).rlike(f"{lead}{below}*\\x{{307}}"))
 
@@ -171,16 +171,16 @@ class TextFunctions:
 
         Each stretch across whose ends nothing composes must be allowed as a whole, decomposed or composed.
         """
-        allowed = self.chars.inside("[:Identifier_Status=Allowed:]")
-        plain = text.rlike(f"^[{allowed}]*$")
-        begins = self.chars.inside("[:ccc=0:]-[:NFC_QC=Maybe:]")
+        allowed = self.chars.regex("[:Identifier_Status=Allowed:]")
+        plain = text.rlike(f"^{allowed}*+$")
+        goes_on = self.chars.regex("[^[[:ccc=0:]-[:NFC_QC=Maybe:]]]")
         composed = nfc(text)
         if joining_controls:
             settled = self._settle_joiners(composed)
             composed, text = F.replace(settled, F.lit(_SETTLED), F.lit("")), F.replace(settled, F.lit(_SETTLED), F.lit(""))
-        stretch = F.lit(f"(?s).[^{begins}]*")
+        stretch = F.lit(f"(?s).{goes_on}*+")
         both = F.arrays_zip(F.regexp_extract_all(nfd(text), stretch, F.lit(0)).alias("d"), F.regexp_extract_all(composed, stretch, F.lit(0)).alias("c"))
-        fits = lambda s: F.coalesce(s.rlike(f"^[{allowed}]*$"), F.lit(False))
+        fits = lambda s: F.coalesce(s.rlike(f"^{allowed}*+$"), F.lit(False))
         return F.when(plain, True).when(is_ascii(text), False).otherwise(F.forall(both, lambda x: fits(x["d"]) | fits(x["c"])))
 
     def restriction_level(self, text: Column, script_sets: Column, joining_controls: bool = False) -> Column:
@@ -203,20 +203,22 @@ class TextFunctions:
 
     @property
     def _candidates(self) -> str:
-        return self.chars.inside("[:Cc:][:DI:]")
+        return self.chars.regex("[:Cc:][:DI:]")
 
     def _settle(self, composed: Column) -> Column:
         """NFC text in which every invisible character that has a visible job is marked as settled."""
         c = self.chars
         found = self._settle_joiners(composed)
         picture = c.regex("[:Extended_Pictographic:]")
-        found = F.regexp_replace(found, f"({picture}{c.regex('[:gcb=Extend:]')}*){ZWJ}(?={picture})", f"$1{_SETTLED}")
+        families = F.regexp_replace(found, f"({picture}{c.regex('[:gcb=Extend:]')}*){ZWJ}(?={picture})", f"$1{_SETTLED}")
+        found = F.when(found.contains(ZWJ), families).otherwise(found)
         for name in TAG_FLAGS:
             tags = "".join(chr(0xE0000 + ord(x)) for x in name) + "\U000e007f"
             found = F.replace(found, F.lit("\U0001f3f4" + tags), F.lit("\U0001f3f4" + _SETTLED * len(tags)))
+        varied = found
         for bases, selectors in self._variations():
-            found = F.regexp_replace(found, f"({bases}){selectors}", f"$1{_SETTLED}")
-        return found
+            varied = F.regexp_replace(varied, f"({bases}){selectors}", f"$1{_SETTLED}")
+        return F.when(found.rlike(c.regex("[:VS:]")), varied).otherwise(found)
 
     def _variations(self) -> list[tuple[str, str]]:
         """(bases, selectors) that make variation sequences: emoji and text styles, ideographs, and standardized ones.
@@ -249,7 +251,7 @@ class TextFunctions:
 
         Contexts are judged on the composed text; its n-th candidate is the n-th of the text as given.
         """
-        one = f"[{self._candidates}]"
+        one = self._candidates
         at = F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("pos"), c.alias("c")))
         at = F.filter(at, lambda x: x["c"].rlike(one))
         marks = F.regexp_extract_all(self._settle(nfc(text)), F.lit(f"[{self._candidates}{_SETTLED}]"), F.lit(0))
@@ -258,8 +260,8 @@ class TextFunctions:
         return F.when(text.rlike(one), F.filter(both, lambda x: x["kind"].isNotNull())).when(text.isNotNull(), none)
 
     def has_invisible(self, text: Column) -> Column:
-        settled = self._settle(nfc(text)).rlike(f"[{self._candidates}]")
-        return F.when(~text.rlike(f"[{self._candidates}]"), False).when(is_ascii(text), True).otherwise(settled)
+        settled = self._settle(nfc(text)).rlike(self._candidates)
+        return F.when(~text.rlike(self._candidates), False).when(is_ascii(text), True).otherwise(settled)
 
     # --- graphemes ---
 
@@ -302,6 +304,8 @@ class TextFunctions:
         # no more characters can be kept than the sizes allow, and a cluster's end depends on the next character alone
         sizes = [x for x in limits[1:] if x is not None]
         near = F.substring(text, F.lit(1), F.lit(min(sizes) + 1)) if sizes else text
+        if max_graphemes is not None:
+            near = F.regexp_extract(near, f"^(?>{self._cluster}){{0,{max_graphemes + 1}}}", 0)
         kept = F.reduce(self.graphemes(near), start, step)["kept"]
         n = F.length(text)
         short = [n * size <= limit for limit, size in zip(limits, (1, 1, 4, 2), strict=True) if limit is not None]

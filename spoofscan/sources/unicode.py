@@ -22,6 +22,30 @@ RECOMMENDED_SCRIPTS = (
 ).split()
 
 
+def tree(ranges: tuple[tuple[int, int], ...]) -> str:
+    """A Java regex character class of sorted ranges, '' of none.
+
+    Java tests a class's ranges one after the other. Here they are halved again and again, and each half is tested behind
+    the range that it spans, so a character costs a logarithm of their number.
+    """
+    one = lambda a, b: f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "")
+    if len(ranges) <= 3:
+        return f"[{''.join(one(a, b) for a, b in ranges)}]" if ranges else ""
+    half = len(ranges) // 2
+    return f"[{one(ranges[0][0], ranges[-1][1])}&&[{tree(ranges[:half])}{tree(ranges[half:])}]]"
+
+
+def stretches(characters: set[str]) -> tuple[tuple[int, int], ...]:
+    """Sorted (first, last) ranges of a set of characters."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return tuple((a, b) for a, b in out)
+
+
 class Characters:
     """The classes of one session's Unicode data."""
 
@@ -41,13 +65,9 @@ class Characters:
         return tuple((found.getRangeStart(i), found.getRangeEnd(i)) for i in range(found.getRangeCount()))
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def inside(self, expression: str) -> str:
-        """The same as the inside of a Java regex character class; of no characters, one that nothing matches."""
-        parts = [f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in self.ranges(expression)]
-        return "".join(parts) or "&&[^\\x{0}-\\x{10FFFF}]"
-
     def regex(self, expression: str) -> str:
-        return f"[{self.inside(expression)}]"
+        """The same as a Java regex character class; of no characters, one that nothing matches."""
+        return tree(self.ranges(expression)) or "[a&&b]"
 
     def count(self, expression: str) -> int:
         return sum(b - a + 1 for a, b in self.ranges(expression))
