@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, code_points, is_ascii, nfd, overlap, resolved, text_functions
-from ..sources.unicode import characters
+from ..sources.unicode import characters, stretches, tree
 from .bidi import bidi_data, display
 
 #: Classes of characters that can raise a level to an odd one.
@@ -56,31 +56,46 @@ class Skeletons:
         return self.internal(text if direction is None else self.displayed(text, direction))
 
 
+def _values(spark, table, kind: str):
+    """A function of a text column: the sorted distinct values of a text's characters, each looked up in a table of code
+    points. The table is bounded by Unicode, so it goes to every task and no row is shuffled."""
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf(kind)
+    def found(texts: pd.Series) -> pd.Series:
+        index, values = sent.value
+        known: dict[frozenset, list] = {}
+
+        def of(text: str) -> list:
+            own = frozenset(index[list(map(ord, set(text)))].tolist())
+            if own not in known:
+                known[own] = sorted(values[i] for i in own)
+            return known[own]
+
+        return texts.map(of, na_action="ignore")
+
+    return found
+
+
+def _of_characters(df: DataFrame, text: str, out: str, table, kind: str, letters, others) -> DataFrame:
+    """`df` with the values of each text's characters; ASCII texts are answered in the JVM and stay out of Python."""
+    c = F.col(text)
+    plain = F.array_compact(F.array(F.when(c.rlike("[^A-Za-z]"), others), F.when(c.rlike("[A-Za-z]"), letters)))
+    return df.withColumn(out, F.when(is_ascii(c), F.sort_array(plain)).otherwise(_values(df.sparkSession, table, kind)(F.when(~is_ascii(c), c))))
+
+
 def with_scripts(df: DataFrame, text: str, script_sets: str = "script_sets") -> DataFrame:
-    """`df` with the distinct augmented script sets of each text's characters, array<array<string>>; null for null.
+    """`df` with the sorted distinct augmented script sets of each text's characters, array<array<string>>; null for null.
 
-    Distinct characters are looked up in the table of code points (broadcast: one row a code point at most); the lookup's
-    result is put together again per row, one row a text being shuffled.
+    A column of that name is replaced.
     """
-    table = F.broadcast(characters(df.sparkSession).script_sets)
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_id"))
-    each = rows.select("_row", "_id", F.explode_outer(F.array_distinct(code_points(F.col("_text")))).alias("_c"))
-    found = each.join(table, F.ascii("_c") == F.col("cp"), "left")
-    sets = F.when(F.col("_c").isNotNull(), F.coalesce("scripts", F.array(F.lit("Zzzz"))))
-    out = found.groupBy("_id").agg(F.first("_row").alias("_row"), F.sort_array(F.collect_set(sets)).alias("_sets"))
-    kept = F.when(F.col(f"_row.{text}").isNotNull(), F.col("_sets"))
-    return out.select("_row.*", kept.alias(script_sets))
+    latin, every = (F.array(*[F.lit(x) for x in own]) for own in (["Hntl", "Latn"], ["ALL"]))
+    return _of_characters(df, text, script_sets, characters(df.sparkSession).script_table, "array<array<string>>", latin, every)
 
 
 def with_aliases(df: DataFrame, text: str, out: str = "aliases") -> DataFrame:
-    """`df` with the sorted distinct script names, in capitals, of each text's characters."""
-    table = F.broadcast(characters(df.sparkSession).aliases.select("cp", "alias"))
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_id"))
-    each = rows.select("_row", "_id", F.explode_outer(F.array_distinct(code_points(F.col("_text")))).alias("_c"))
-    found = each.join(table, F.ascii("_c") == F.col("cp"), "left")
-    name = F.when(F.col("_c").isNotNull(), F.coalesce("alias", F.lit("Unknown")))
-    named = found.groupBy("_id").agg(F.first("_row").alias("_row"), F.sort_array(F.collect_set(name)).alias("_names"))
-    return named.select("_row.*", F.when(F.col(f"_row.{text}").isNotNull(), F.col("_names")).alias(out))
+    """`df` with the sorted distinct script names, in capitals, of each text's characters; null for null."""
+    return _of_characters(df, text, out, characters(df.sparkSession).alias_table, "array<string>", F.lit("LATIN"), F.lit("COMMON"))
 
 
 def mixes_aliases(aliases: Column, allowed: tuple[str, ...] = ("COMMON",)) -> Column:
@@ -102,13 +117,26 @@ def homoglyph_report(df: DataFrame, text: str, greedy: bool = False, preferred:
         table = table.join(good.select("cp").distinct(), "cp", "left_semi")
     table = table.join(chars.aliases.select("cp", "alias"), "cp", "left").withColumn("alias", F.coalesce("alias", F.lit("Unknown")))
     table = table.filter(~F.col("alias").isin(names)) if names else table
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_id"))
-    each = rows.select("_row", "_id", F.posexplode_outer(F.array_distinct(code_points(F.col("_text")))).alias("_pos", "_c"))
-    found = each.join(F.broadcast(table), F.ascii("_c") == F.col("cp"), "left")
-    item = F.when(F.col("cp").isNotNull(), F.struct("_pos", F.struct(F.col("_c").alias("character"), "alias", "homoglyphs").alias("x")))
-    listed = found.groupBy("_id").agg(F.first("_row").alias("_row"), F.sort_array(F.collect_list(item)).alias("_found"))
-    items = F.transform(F.col("_found") if greedy else F.slice("_found", 1, 1), lambda x: x["x"])
-    return listed.select("_row.*", F.when(F.col(f"_row.{text}").isNotNull(), items).alias(out))
+    looks = chars.stored(table, "looks")
+    # only the characters that count are looked up, and without `greedy` one a text, which no row is shuffled for
+    known = tree(stretches({chr(r.cp) for r in looks.select("cp").collect()})) or "[a&&b]"
+    own = F.filter(F.array_distinct(code_points(F.col(text))), lambda c: c.rlike(known))
+    own = F.when(F.col(text).rlike(known), own if greedy else F.slice(own, 1, 1)).otherwise(F.array().cast("array<string>"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).isNull().alias("_null"), own.alias("_own"))
+    item = F.struct(F.col("_c").alias("character"), "alias", "homoglyphs").alias("x")
+    if not greedy:
+        found = rows.select("_row", "_null", F.get("_own", 0).alias("_c")).join(F.broadcast(looks), F.ascii("_c") == F.col("cp"), "left")
+        return found.select("_row.*", F.when(~F.col("_null"), F.array_compact(F.array(F.when(F.col("cp").isNotNull(), item)))).alias(out))
+    each = rows.withColumn("_id", F.monotonically_increasing_id()).select("_row", "_null", "_id", F.posexplode_outer("_own").alias("_pos", "_c"))
+    found = each.join(F.broadcast(looks), F.ascii("_c") == F.col("cp"), "left")
+    listed = found.groupBy("_id").agg(F.first("_row").alias("_row"), F.first("_null").alias("_null"), F.sort_array(F.collect_list(F.when(F.col("cp").isNotNull(), F.struct("_pos", item)))).alias("_found"))
+    return listed.select("_row.*", F.when(~F.col("_null"), F.transform("_found", lambda x: x["x"])).alias(out))
+
+
+def is_dangerous(df: DataFrame, text: str, preferred: tuple[str, ...] = (), out: str = "is_dangerous") -> DataFrame:
+    """`df` with whether a text mixes script names and has a character that looks like another; null for null."""
+    wide = with_aliases(homoglyph_report(df.withColumn("_danger_text", F.col(text)), "_danger_text", preferred=preferred, out="_danger_looks"), "_danger_text", "_danger_names")
+    return wide.withColumn(out, mixes_aliases(F.col("_danger_names")) & (F.size("_danger_looks") > 0)).drop("_danger_text", "_danger_looks", "_danger_names")
 
 
 def match_class(skeletons_equal: Column, a_sets: Column, b_sets: Column) -> Column:

@@ -66,7 +66,8 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The eight ASCII characters that look like others. Fixed values.
 ASCII_SINGLE = ("01I`|", "Oll'l")
 ASCII_SKELETON_SQL = "replace(replace(replace(translate({}, '01I`|', 'Oll''l'), 'm', 'rn'), '\"', ''''''), '%', '°/₀')"
-LOOKS_SQL = ASCII_SKELETON_SQL.format(f"translate(replace(name, '{ZWSP}', ''), '{CYRILLIC}{OMICRON}', 'aeoo')")
+#: The Arabic-Indic digit one looks like l.
+LOOKS_SQL = ASCII_SKELETON_SQL.format(f"translate(replace(name, '{ZWSP}', ''), '{CYRILLIC}{OMICRON}\u0661', 'aeool')")
 
 
 def ascii_skeleton(c):
@@ -80,14 +81,14 @@ def ascii_skeleton(c):
 
 @query(f"""
 WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer
-           UNION ALL SELECT c_custkey, translate(c_name, '0l', 'O1') FROM customer WHERE c_custkey % 3 = 0),
+           UNION ALL SELECT c_custkey, translate(c_name, '0l', 'O1') FROM customer),
 k AS (SELECT id, name, {ASCII_SKELETON_SQL.format("name")} AS skeleton FROM n)
 SELECT skeleton, count(*) AS n_rows, count(DISTINCT name) AS n_names, min(name) AS first_name, max(name) AS last_name
 FROM k GROUP BY skeleton HAVING count(DISTINCT name) > 1
 """)
 def lookalike_groups(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    spoofed = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.translate("c_name", "0l", "O1").alias("name"))
+    spoofed = c.select(F.col("c_custkey").alias("id"), F.translate("c_name", "0l", "O1").alias("name"))
     both = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(spoofed)
     keyed = both.withColumn("skeleton", ascii_skeleton(F.col("name")))
     once = keyed.groupBy("skeleton", "name").agg(F.count("*").alias("n"))
@@ -95,15 +96,10 @@ def lookalike_groups(spark, sf_dir):
     return groups.filter("n_names > 1")
 
 
-@query(f"WITH {NAMES_SQL} SELECT id, {LOOKS_SQL} AS skeleton FROM names WHERE id % 8 IN (0, 1, 2, 3, 4, 6)")
+@query(f"WITH {NAMES_SQL} SELECT id, {LOOKS_SQL} AS skeleton FROM names")
 def skeletons_of_names(spark, sf_dir):
-    s = S.Skeletons(spark)
-    n = names(spark, sf_dir).filter("id % 8 IN (0, 1, 2, 3, 4, 6)")
-    # the Arabic-Indic digit one looks like l
-    return n.select("id", s.skeleton(F.col("name")).alias("skeleton"))
-
+    return names(spark, sf_dir).select("id", S.Skeletons(spark).skeleton(F.col("name")).alias("skeleton"))
 
-SQL["skeletons_of_names"] = SQL["skeletons_of_names"].replace(f"'{CYRILLIC}{OMICRON}', 'aeoo'", f"'{CYRILLIC}{OMICRON}\u0661', 'aeool'")
 
 #: The accented Latin letters of the documents, decomposed by rule; a cedilla looks like a comma below.
 def _documents_skeleton_sql() -> str:
@@ -125,21 +121,20 @@ def skeletons_of_documents(spark, sf_dir):
 @query(f"""
 WITH {NAMES_SQL}, k AS (SELECT *, {LOOKS_SQL} AS look, {ASCII_SKELETON_SQL.format("plain")} AS plain_look FROM facts)
 SELECT CASE WHEN look <> plain_look THEN 'none' WHEN NOT spoofed THEN 'single-script' WHEN latin THEN 'mixed-script' ELSE 'whole-script' END AS class, count(*) AS n
-FROM k WHERE id % 8 IN (0, 1, 3, 6) GROUP BY class
+FROM k GROUP BY class
 """)
 def match_classes(spark, sf_dir):
-    n = names(spark, sf_dir).filter("id % 8 IN (0, 1, 3, 6)")
-    return S.match_pairs(n, "name", "plain", out="m").groupBy(F.coalesce("m", F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
+    return S.match_pairs(names(spark, sf_dir), "name", "plain", out="m").groupBy(F.coalesce("m", F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
 
 
 _JOIN_SQL = f"""
-WITH {NAMES_SQL}, k AS (SELECT id, name, {LOOKS_SQL} AS look FROM names WHERE id % 8 IN (1, 3, 6)),
+WITH {NAMES_SQL}, k AS (SELECT id, name, {LOOKS_SQL} AS look FROM names),
 p AS (SELECT DISTINCT p_name AS brand, {ASCII_SKELETON_SQL.format("replace(p_name, ' ', '_')")} AS look FROM part WHERE p_size > 25)
 """
 
 
 def _sides(spark, sf_dir):
-    left = names(spark, sf_dir).filter("id % 8 IN (1, 3, 6)").select("id", "name")
+    left = names(spark, sf_dir).select("id", "name")
     right = table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_name").alias("brand"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("shown")).distinct()
     return left, right
 
@@ -160,12 +155,11 @@ def lookalike_anti(spark, sf_dir):
 
 
 @query(f"""
-WITH {NAMES_SQL}, k AS (SELECT id, {LOOKS_SQL} AS look FROM names WHERE id % 8 IN (0, 1, 3, 6))
+WITH {NAMES_SQL}, k AS (SELECT id, {LOOKS_SQL} AS look FROM names)
 SELECT look IN ({", ".join(ASCII_SKELETON_SQL.format(f"'{x}'") for x in ("small_ring", "red_widget", "hot_gear"))}) AS is_protected, count(*) AS n FROM k GROUP BY 1
 """)
 def protected_names(spark, sf_dir):
-    n = names(spark, sf_dir).filter("id % 8 IN (0, 1, 3, 6)")
-    return S.protected(n, "name", ["small_ring", "red_widget", "hot_gear"]).groupBy("is_protected").agg(F.count("*").alias("n"))
+    return S.protected(names(spark, sf_dir), "name", ["small_ring", "red_widget", "hot_gear"]).groupBy("is_protected").agg(F.count("*").alias("n"))
 
 
 # --- scripts and levels ---
@@ -218,16 +212,15 @@ def aliases_of_documents(spark, sf_dir):
     return S.with_aliases(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query(f"WITH {NAMES_SQL} SELECT id, (CASE WHEN latin THEN 1 ELSE 0 END + CASE WHEN spoofed THEN 1 ELSE 0 END + CASE WHEN id % 8 IN (4, 5) THEN 1 ELSE 0 END + CASE WHEN id % 8 = 7 THEN 1 ELSE 0 END) > 1 AS mixes FROM facts WHERE id % 8 <> 2")
+@query(f"WITH {NAMES_SQL} SELECT id, (CASE WHEN latin THEN 1 ELSE 0 END + CASE WHEN spoofed OR arabic THEN 1 ELSE 0 END + CASE WHEN id % 8 IN (4, 5) THEN 1 ELSE 0 END + CASE WHEN id % 8 = 7 THEN 1 ELSE 0 END) > 1 AS mixes FROM facts")
 def mixed_aliases(spark, sf_dir):
-    n = S.with_aliases(names(spark, sf_dir).filter("id % 8 <> 2"), "name")
+    n = S.with_aliases(names(spark, sf_dir), "name")
     return n.select("id", S.mixes_aliases(F.col("aliases")).alias("mixes"))
 
 
-@query(f"WITH {NAMES_SQL} SELECT id, regexp_extract(name, '[{CYRILLIC}{OMICRON}]') AS character FROM facts WHERE id % 8 IN (1, 6) AND spoofed")
+@query(f"WITH {NAMES_SQL} SELECT id, regexp_extract(name, '[{CYRILLIC}{OMICRON}\u0661]') AS character FROM facts WHERE spoofed OR arabic")
 def homoglyphs_of_names(spark, sf_dir):
-    n = names(spark, sf_dir).filter("id % 8 IN (1, 6)").select("id", "name")
-    found = S.homoglyph_report(n, "name", preferred=("latin",))
+    found = S.homoglyph_report(names(spark, sf_dir).select("id", "name"), "name", preferred=("latin",))
     return found.filter(F.size("homoglyphs") > 0).select("id", F.col("homoglyphs")[0]["character"].alias("character"))
 
 
@@ -293,9 +286,9 @@ def truncated_to_bytes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text_functions(spark).truncate(F.col("text"), max_utf8_bytes=100).alias("shown"))
 
 
-@query("SELECT doc_id, strlen(text) AS utf8_bytes, length(text) AS utf16_units, lower(text) = text AS is_folded FROM documents WHERE NOT contains(text, 'ß')")
+@query("SELECT doc_id, strlen(text) AS utf8_bytes, length(text) AS utf16_units, lower(text) = text AND NOT contains(text, 'ß') AS is_folded FROM documents")
 def sizes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("NOT contains(text, 'ß')")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.octet_length("text").cast("long").alias("utf8_bytes"), utf16_units(F.col("text")).cast("long").alias("utf16_units"), (casefold(F.col("text")) == F.col("text")).alias("is_folded"))
 
 

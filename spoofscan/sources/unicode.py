@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import cached_property, lru_cache
 from weakref import WeakKeyDictionary
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,20 +94,48 @@ class Characters:
         found = {c: s for c, s in zip(lines, looks, strict=True) if c != s} | NEWER_PROTOTYPES
         return found | {chr(c): "" for a, b in self.ranges("[:DI:]") for c in range(a, b + 1)}
 
+    def _indexed(self, named: dict[str, str]) -> tuple[np.ndarray, list[tuple[str, ...]]]:
+        """Of set expressions by name: for each code point, the number of the combination of names that it has."""
+        index, numbers = np.zeros(0x110000, np.uint16), {(): 0}
+        for name, expression in named.items():
+            for a, b in self.ranges(expression):
+                part, old = index[a : b + 1], list(numbers)
+                for i in np.unique(part).tolist():
+                    part[part == i] = numbers.setdefault((*old[i], name), len(numbers))
+        return index, list(numbers)
+
     @cached_property
-    def script_sets(self) -> DataFrame:
-        """Rows (cp int, scripts array<string>): augmented script extensions, ['ALL'] for common and inherited ones.
+    def script_table(self) -> tuple[np.ndarray, list[list[str]]]:
+        """(number of the set by code point, sets): augmented script extensions; ['ALL'] for common and inherited
+        characters, ['Zzzz'] for unassigned ones."""
 
-        Code points without a row have ['Zzzz'].
-        """
-        rows = [(a, b, s) for s in [*self.scripts, "Zyyy", "Zinh"] for a, b in self.ranges(f"[:scx={s}:]")]
-        ranges = self.spark.createDataFrame(rows, "first int, last int, script string")
-        wide = [(s, x) for s, own in WRITING_SYSTEMS.items() for x in [s, *own]]
-        wide = self.spark.createDataFrame(wide, "script string, member string")
-        each = ranges.join(F.broadcast(wide), "script", "left").select(F.explode(F.sequence("first", "last")).alias("cp"), "script", F.coalesce("member", "script").alias("member"))
-        sets = each.groupBy("cp").agg(F.sort_array(F.collect_set("member")).alias("scripts"), F.bool_or(F.col("script").isin("Zyyy", "Zinh")).alias("every"))
-        sets = sets.select("cp", F.when(F.col("every"), F.array(F.lit("ALL"))).otherwise(F.col("scripts")).alias("scripts"))
-        return self.stored(sets, "script-sets")
+        def augmented(scripts: tuple[str, ...]) -> list[str]:
+            if "Zyyy" in scripts or "Zinh" in scripts:
+                return ["ALL"]
+            return sorted({*scripts, *(x for s in scripts for x in WRITING_SYSTEMS.get(s, []))}) or ["Zzzz"]
+
+        index, found = self._indexed({s: f"[:scx={s}:]" for s in [*self.scripts, "Zyyy", "Zinh"]})
+        return index, [augmented(x) for x in found]
+
+    @cached_property
+    def alias_table(self) -> tuple[np.ndarray, list[str]]:
+        """(number of the name by code point, names): the script's name in capitals, 'Unknown' for unassigned ones."""
+        u = self.icu.lang.UScript
+        index, found = self._indexed({s: f"[:sc={s}:]" for s in [*self.scripts, "Zyyy", "Zinh"]})
+        return index, [u.getName(u.getCodeFromName(x[0])).upper() if x else "Unknown" for x in found]
+
+    def _spread(self, table: tuple[np.ndarray, list], column: str) -> DataFrame:
+        """A table as rows (cp, value), without the code points that have none."""
+        index, values = table
+        at = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1, [len(index)]])
+        rows = [(int(a), int(b) - 1, values[index[a]]) for a, b in zip(at[:-1], at[1:], strict=True) if index[a]]
+        kind = "array<string>" if isinstance(values[0], list) else "string"
+        return self.spark.createDataFrame(rows, f"first int, last int, {column} {kind}").select(F.explode(F.sequence("first", "last")).alias("cp"), column)
+
+    @cached_property
+    def script_sets(self) -> DataFrame:
+        """Rows (cp int, scripts array<string>) of `script_table`; code points without a row have ['Zzzz']."""
+        return self.stored(self._spread(self.script_table, "scripts"), "script-sets")
 
     @cached_property
     def aliases(self) -> DataFrame:
@@ -114,13 +143,10 @@ class Characters:
 
         Cased letters have the category L. Unassigned code points have no row.
         """
-        u = self.icu.lang
-        names = {s: u.UScript.getName(u.UScript.getCodeFromName(s)).upper() for s in [*self.scripts, "Zyyy", "Zinh"]}
-        rows = [(a, b, n) for s, n in names.items() for a, b in self.ranges(f"[:sc={s}:]")]
         kinds = "Lu Ll Lt Lm Lo Mn Me Mc Nd Nl No Zs Zl Zp Cc Cf Co Pd Ps Pe Pc Po Pi Pf Sm Sc Sk So".split()
-        kinds = [(a, b, "L" if k in ("Lu", "Ll", "Lt") else k) for k in kinds for a, b in self.ranges(f"[:gc={k}:]")]
-        spread = lambda rows, name: self.spark.createDataFrame(rows, f"first int, last int, {name} string").select(F.explode(F.sequence("first", "last")).alias("cp"), name)
-        return self.stored(spread(rows, "alias").join(spread(kinds, "category"), "cp"), "aliases")
+        index, found = self._indexed({k: f"[:gc={k}:]" for k in kinds})
+        names = ["" if not x else "L" if x[0] in ("Lu", "Ll", "Lt") else x[0] for x in found]
+        return self.stored(self._spread(self.alias_table, "alias").join(self._spread((index, names), "category"), "cp"), "aliases")
 
     @cached_property
     def homoglyphs(self) -> DataFrame:

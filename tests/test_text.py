@@ -217,6 +217,8 @@ def test_homoglyphs(spark):
     assert len(one.homoglyphs) == 1 and one.homoglyphs[0].alias == "GREEK" and ("p", "LATIN SMALL LETTER P") in [(h.c, h.n) for h in one.homoglyphs[0].homoglyphs]
     named = {r.s: r.aliases for r in S.with_aliases(df, "s").collect()}
     assert named["Ab\u03c4"] == ["GREEK", "LATIN"] and named[""] == [] and named[None] is None
+    danger = {r.s: r.d for r in S.is_dangerous(df, "s", preferred=("latin",), out="d").collect()}
+    assert danger["\u03c1\u03c4\u03c4p"] is True and danger["Ab\u00e7"] is False and danger[None] is None and danger[""] is False
     mixes = S.with_aliases(df, "s").select("s", S.mixes_aliases(F.col("aliases")).alias("m")).collect()
     assert {r.s: r.m for r in mixes}["Ab\u03c4"] is True
     alias = {r.cp: (r.alias, r.category) for r in characters(spark).aliases.filter(F.col("cp").isin(65, 45, 0x301, 32, 0x378)).collect()}
