@@ -112,6 +112,23 @@ def bidi_character_tests(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(text_of(parts[0]).alias("text"), parts[1].cast("int").alias("direction"), parts[2].cast("int").alias("level"), numbers(parts[3]).alias("levels"), numbers(parts[4]).alias("order"))
 
 
+def bidi_tests(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (classes, direction 0/1/2, levels, visual order) of BidiTest.txt, one for each direction that a line names.
+
+    '@Levels' and '@Reorder' hold for the lines that follow, in file order, over a file of bounded size.
+    """
+    upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    numbers = lambda c: F.transform(F.filter(F.split(c, " "), lambda x: x != ""), lambda x: F.nullif(x, F.lit("x")).cast("int"))
+    held = lambda head: F.last(F.when(F.col("value").startswith(head), F.substr("value", F.lit(len(head) + 1))), True).over(upto)
+    rows = spark.read.text(path).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.withColumn("levels", held("@Levels:")).withColumn("order", held("@Reorder:")).filter(F.col("value").rlike("^[A-Z]"))
+    parts = F.split("value", ";")
+    bits = F.trim(parts[1]).cast("int")
+    # the bits say: 1 by the text, 2 left to right, 4 right to left
+    named = F.array(*[F.when(bits.bitwiseAND(bit) > 0, F.lit(direction)) for bit, direction in ((2, 0), (4, 1), (1, 2))])
+    return rows.select(F.split(F.trim(parts[0]), " +").alias("classes"), F.explode(F.array_compact(named)).alias("direction"), numbers(F.col("levels")).alias("levels"), numbers(F.col("order")).alias("order"))
+
+
 def normalization_tests(spark: SparkSession, path: str) -> DataFrame:
     """Rows (c1, c2, c3, c4, c5) of NormalizationTest.txt."""
     parts = F.split("value", ";")

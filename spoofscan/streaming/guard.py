@@ -27,3 +27,9 @@ def attempt_rates(stream: DataFrame, suspicious: Column, time: str, window: str
     """Rows and suspicious rows per tumbling or sliding window of event time."""
     own = stream.withWatermark(time, late).groupBy(F.window(time, window, slide) if slide else F.window(time, window))
     return own.agg(F.count(F.lit(1)).alias("n"), F.count_if(suspicious).alias("n_suspicious"))
+
+
+def attempt_sessions(stream: DataFrame, suspicious: Column, key: str, time: str, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Rows and suspicious rows per session of a key: rows that follow each other by less than `gap`."""
+    own = stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key)
+    return own.agg(F.count(F.lit(1)).alias("n"), F.count_if(suspicious).alias("n_suspicious"))

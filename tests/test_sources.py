@@ -54,6 +54,8 @@ def test_conformance_files(spark, write):
     assert (r.text, r.direction, r.level, r.levels, r.order) == ("a‪", 0, 0, [0, None], [0])
     r = ucd.normalization_tests(spark, write("n.txt", "@Part1\n00C5;00C5;0041 030A;00C5;0041 030A; # x\n")).head()
     assert tuple(r) == ("Å", "Å", "Å", "Å", "Å")
+    rows = ucd.bidi_tests(spark, write("t.txt", "@Levels: x 1\n@Reorder: 1\nBN R; 3\n\n@Levels: 0\n@Reorder:\nL; 2\n")).collect()
+    assert sorted(map(tuple, rows)) == [(["BN", "R"], 0, [None, 1], [1]), (["BN", "R"], 2, [None, 1], [1]), (["L"], 0, [0], [])]
     rows = ucd.property_sections(spark, write("s.txt", "## gc default=Cn\n0041..0042\tLu\n## sc default=Zzzz\n0041\tLatn\n")).collect()
     assert [tuple(r) for r in rows] == [("gc", "Cn", 65, 66, "Lu"), ("sc", "Zzzz", 65, 65, "Latn")]
 
@@ -101,6 +103,8 @@ def test_streams(spark, tmp_path):
     assert len(names) == 3 and "other" in names
     rates = drain(guard.attempt_rates(stream, F.col("name") != "other", "ts", "1 hour"), "rates", "complete")
     assert sorted((r.n, r.n_suspicious) for r in rates) == [(1, 0), (3, 2)]
+    sessions = drain(guard.attempt_sessions(stream.withColumn("who", F.lit("x")), F.col("name") != "other", "who", "ts"), "sessions", "complete")
+    assert sorted((r.who, r.n, r.n_suspicious) for r in sessions) == [("x", 1, 0), ("x", 3, 2)]
 
 
 SQL = {k: v for k, v in __spark_entry__.oracle_sql().items() if not k.startswith("op")}
