@@ -8,10 +8,16 @@ are the join key (eight keys a fingerprint), and the longer chains prune what sh
 What shares a key is never turned into pairs: a breadth-first search over the key's fingerprints drops each one once it
 is reached, so a dense group costs few comparisons and yields a spanning forest. A key with more than MOST fingerprints
 is split exactly: of the bits not fixed yet, cut into four parts, at least one part must be equal too.
+
+`keep_similar` reaches farther: fingerprints only propose pairs, on a ring of sixteen segments of 4 bits, and a pair counts
+if the sets of shingles themselves are as similar as asked. Counts of shingles by bucket bound what two sets can share,
+so most strangers go before any set is sent.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import arrow_texts, materialise
 
 BITS, SEGMENTS, REACH = 64, 4, 3
 #: Fingerprints of one key that one task compares; keys with at most 16 free bits can't have more.
@@ -205,3 +211,152 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     stay = own.groupBy("group").agg(F.min("fp").alias("fp"), F.first("first").alias("first"))
     kept = rows.join(stay, (rows["fp"] == stay["fp"]) & rows["id"].eqNullSafe(stay["first"]), "left_semi")
     return kept.dropDuplicates(["fp", "id"]).select("row.*")
+
+
+#: Segments of the wide ring; a reach below this number leaves the first segment of a chain equal.
+NARROW = 16
+#: Buckets of a set's counts.
+BUCKETS = 64
+_NIBBLES = np.arange(0, 64, 4, dtype=np.uint64)
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def bucket_counts(shingles: np.ndarray) -> bytes:
+    return np.bincount((shingles % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
+
+
+def _described(size: int):
+    """Of a text's distinct shingles: fingerprint, number, digest and counts by bucket."""
+
+    @F.pandas_udf("fp long, n int, digest binary, counts binary")
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(x or "", size) for x in texts]
+        fps = np.array([majority_bits(x) for x in found], np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": fps, "n": [len(x) for x in found], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found], "counts": [bucket_counts(x) for x in found]})
+
+    return describe
+
+
+def _sets(size: int):
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(x, size).view(np.int64) for x in arrow_texts(batch)]
+            yield pa.record_batch({"node": batch.column("rid"), "shingles": pa.array(found, pa.list_(pa.int64()))})
+
+    return run
+
+
+def wide_keys(fp: Column) -> Column:
+    """Keys of the chains that may begin in `fp`: segment (16), half of the next one (2), and their 6 bits."""
+    out = []
+    for i in range(NARROW):
+        own = F.shiftrightunsigned(fp, 4 * i).bitwiseAND(F.lit(15))
+        for half in range(2):
+            other = F.shiftrightunsigned(fp, 4 * ((i + 1) % NARROW) + 2 * half).bitwiseAND(F.lit(3))
+            out.append((own * 4 + other + F.lit((2 * i + half) << 6)).cast("int"))
+    return F.array(*out)
+
+
+def _first_chain(difference: np.ndarray, reach: int) -> np.ndarray:
+    """Of each difference, the one key number (2 * start + half) under which its pair is told."""
+    counts = np.bitwise_count((difference[:, None] >> _NIBBLES) & np.uint64(15)).astype(np.int64)
+    budget = np.arange(1, NARROW + 1) * reach // NARROW
+    start = np.full(len(difference), -1)
+    for i in range(NARROW - 1, -1, -1):
+        start[(np.roll(counts, -i, axis=1).cumsum(1) <= budget).all(1)] = i
+    second = (difference >> (np.uint64(4) * ((start + 1) % NARROW).astype(np.uint64))) & np.uint64(3)
+    return 2 * start + (second != 0)
+
+
+def _near(reach: int, least: Fraction):
+    """Of rows (k, node, fp, n) sorted by k and n: pairs of nodes within reach whose sizes allow the likeness."""
+
+    def run(batches):
+        key, fps, nodes, sizes = None, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            k, node, fp, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("k", "node", "fp", "n"))
+            fp, n = fp.view(np.uint64), n.astype(np.int64)
+            at = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if k[a] != key:
+                    key, fps, nodes, sizes = k[a], fps[:0], nodes[:0], sizes[:0]
+                while a < b:
+                    # only rows that are large enough for the next one stay
+                    low = np.searchsorted(sizes, -(-n[a] * least.numerator // least.denominator))
+                    fps, nodes, sizes = fps[low:], nodes[low:], sizes[low:]
+                    to = min(b, a + max(1, min(1024, 2_000_000 // (len(fps) + 1024))))
+                    fps, nodes, sizes = np.concatenate([fps, fp[a:to]]), np.concatenate([nodes, node[a:to]]), np.concatenate([sizes, n[a:to]])
+                    difference = fp[a:to, None] ^ fps
+                    i, j = np.nonzero(np.bitwise_count(difference) <= reach)
+                    own = j < len(fps) - (to - a) + i
+                    i, j = i[own], j[own]
+                    if len(i):
+                        told = _first_chain(difference[i, j], reach) == int(key) >> 6
+                        x, y = node[a:to][i[told]], nodes[j[told]]
+                        yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+                    a = to
+
+    return run
+
+
+def _may_share(least: Fraction):
+    """Of rows (a, b, x, y) with the counts of two sets, pairs (a, b) that can be as similar as `least`."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for c in ("x", "y"))
+            most = np.minimum(x, y).sum(1)
+            keep = most * least.denominator >= (x.sum(1) + y.sum(1) - most) * least.numerator
+            yield pa.record_batch({c: batch.column(c) for c in ("a", "b")}).filter(pa.array(keep))
+
+    return run
+
+
+def similar_pairs(sets: DataFrame, texts: DataFrame, size: int, reach: int, similarity: float) -> DataFrame:
+    """Of distinct sets (node, fp, n, counts) and their texts (rid, text): pairs (a, b) whose Jaccard similarity is `similarity` or more.
+
+    Pairs whose fingerprints more than `reach` bits set apart aren't proposed.
+    """
+    if not 0 <= reach < NARROW:
+        raise ValueError(f"reach must be from 0 to {NARROW - 1}")
+    least = Fraction(str(similarity))
+    keyed = sets.select("node", "fp", "n", F.explode(wide_keys(F.col("fp"))).alias("k")).repartition("k").sortWithinPartitions("k", "n")
+    pairs = materialise(keyed.mapInArrow(_near(reach, least), "a long, b long"), "near-pairs")
+    x, y = sets.select(F.col("node").alias("a"), F.col("counts").alias("x")), sets.select(F.col("node").alias("b"), F.col("counts").alias("y"))
+    pairs = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_may_share(least), "a long, b long"), "near-bounded")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-wanted")
+    own = texts.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(_sets(size), "node long, shingles array<long>")
+    own = materialise(own, "near-shingles")
+    left, right = own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - both
+    return pairs.join(left, "a").join(right, "b").filter(both * least.denominator >= union * least.numerator).select("a", "b")
+
+
+def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, reach: int = 15, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group linked by similar texts, one row of its least key stays.
+
+    Texts are similar if their sets of `size`-word shingles are; texts without words are all alike. Null keys come last;
+    of equal keys, the row of the least hash stays. The columns are those of `docs`.
+    """
+    from .components import connected_components
+
+    row = F.struct(*docs.columns)
+    rows = docs.select(row.alias("row"), F.xxhash64(row).alias("hash"), F.col(key).alias("id"), _described(size)(F.col(text)).alias("d"))
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "row", "hash", "id", "d.*"), "near-rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "rid")).alias("best")
+    sets = rows.groupBy("digest").agg(F.min("rid").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("counts").alias("counts"), best)
+    sets = materialise(sets.drop("digest"), "near-sets")
+    pairs = similar_pairs(sets.filter("n > 0"), rows.select("rid", F.col("row")[text].alias("text")), size, reach, similarity)
+    joined = connected_components(pairs)
+    named = sets.join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    stay = named.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
+    # few rows go, so the texts needn't be shuffled
+    gone = materialise(rows.select("rid").join(stay, "rid", "left_anti"), "near-gone")
+    return rows.join(gone, "rid", "left_anti").select("row.*")
