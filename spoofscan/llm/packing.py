@@ -1,8 +1,8 @@
 """Lexical retrieval packing.
 
 The input's splits are shards of bounded size. Each shard has a BM25 inverted index over its documents' token ids; a
-seed document asks it for unused neighbours, which fill the seed's window greedily. The document that overflows a
-window is cut, and its rest seeds the next window, so only a shard's last window is padded.
+seed document asks it by all of its terms for all unused neighbours, best first, which fill the seed's window. The
+document that overflows a window is cut, and its rest seeds the next window, so only a shard's last window is padded.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import arrow_texts, slices
 
-#: A shard ends at so many documents or tokens; BM25's usual constants; query terms of a seed; neighbours a seed may use.
-SHARD_DOCS, SHARD_TOKENS, K1, B, QUERY_TERMS, NEIGHBOURS = 2048, 4_000_000, 1.2, 0.75, 8, 8
+#: A shard ends at so many documents or tokens; BM25's usual constants.
+SHARD_DOCS, SHARD_TOKENS, K1, B = 2048, 4_000_000, 1.2, 0.75
 
 
 class Index:
@@ -36,24 +36,22 @@ class Index:
         df = np.bincount(term)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(length.mean(), 1)))
-        # a seed's query: its terms of the highest weight among those that another document has
-        self.query = []
-        at = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])])
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            t, w = term[a:b], np.where(df[term[a:b]] > 1, self.weight[a:b], 0)
-            self.query.append(t[np.argsort(-w, kind="stable")[:QUERY_TERMS]])
+        # a seed's query: all of its terms that another document has
+        self.query = [t[df[t] > 1] for t, _ in found]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], self.weight[order]
         self.start = np.concatenate([[0], np.cumsum(df)])
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        spans = [(self.start[t], self.start[t + 1]) for t in self.query[seed]]
+        """All unused documents that share a term with the seed, the best first."""
+        if not len(self.query[seed]):
+            return np.empty(0, np.int64)
+        spans = list(zip(self.start[self.query[seed]].tolist(), self.start[self.query[seed] + 1].tolist(), strict=True))
         docs = np.concatenate([self.doc[a:b] for a, b in spans])
         score = np.bincount(docs, np.concatenate([self.weight[a:b] for a, b in spans]), self.n) * unused
-        top = np.argpartition(-score, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        top = top[np.lexsort((top, -score[top]))]
-        return top[score[top] > 0]
+        top = np.flatnonzero(score > 0)
+        return top[np.argsort(-score[top], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
@@ -62,7 +60,7 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
     queue: deque[int] = deque()
     sequence = offset = nearest = 0
     while True:
-        if not queue:  # neighbours of the last document are used up: the first unused document goes on
+        if not queue:  # no unused document shares a term with the last one: the first unused document goes on
             while nearest < len(docs) and not unused[nearest]:
                 nearest += 1
             if nearest == len(docs):
