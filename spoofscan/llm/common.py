@@ -2,54 +2,30 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_path, fresh_path, materialise, release, shared_dir
+
 #: A word is a maximal run of bytes outside these; the same class in every operator.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (only where unset) one of our own."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = sc.getCheckpointDir()
-        if where is None:
-            where = tempfile.mkdtemp(prefix="spoofscan-")
-            sc.setCheckpointDir(where)
-        return where
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Stored bytes of a join's smaller side that one task may hold.
+BUILD_BYTES = 16 << 20
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder that an earlier round of an iteration wrote."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def hash_join(large: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`large` joined to a materialised table by a key that no row of `small` shares with many others.
 
-
-def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """`df` written once to the shared folder and read back: cuts lineage, survives a lost executor.
-
-    With `free`, the driver collects its garbage, upon which Spark removes the shuffle files of finished jobs.
+    The large side isn't sorted. A table of the size that Spark broadcasts is broadcast; a larger one is dealt to so many
+    partitions that each one's hash table holds BUILD_BYTES or so of the stored form at most.
     """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        gc.collect()
-        spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    spark = large.sparkSession
+    stored = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if stored <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return large.join(small, key, how)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), stored // BUILD_BYTES + 1)
+    return large.repartition(parts, key).join(small.repartition(parts, key).hint("shuffle_hash"), key, how)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +41,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(batches, column: str = "text", most: int = 8_000_000):
+    """Arrow batches cut so that the texts of one hold `most` bytes, or are one text; nothing is copied."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for a, b in slices(sizes, most):
+            yield batch.slice(a, b - a)
+
+
 def arrow_texts(batch, column: str = "text") -> list[str]:
     """The texts of one Arrow batch, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -80,3 +65,9 @@ def slices(sizes: list[int], most: int):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+__all__ = [
+    "WORD", "arrow_texts", "documents", "drop_path", "fresh_path", "hash_join", "labels",
+    "materialise", "release", "shared_dir", "slices", "small_batches", "word_count",
+]
