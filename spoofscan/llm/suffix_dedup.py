@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import materialise
+from .common import hash_join, materialise, release, small_batches
 
 WINDOW, ANCHOR = 200, 64
 #: Kinds of runs of one anchor that one task compares; bytes of a text that are ranked at once.
@@ -80,11 +81,11 @@ def runs(data: bytes, window: int, anchor: int):
 def _place(window: int, anchor: int):
     def run(batches):
         for batch in batches:
-            for k1, k2, text in zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "text")), strict=True):
-                start, n, rank = runs(text.encode(), window, anchor)
+            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
+                start, n, rank = runs(text.as_py().encode(), window, anchor)
                 if len(start):
-                    key = [pa.array(np.full(len(start), k, np.int64)) for k in (k1, k2)]
-                    yield pa.record_batch([*key, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(rank.view(np.int64))], names=["k1", "k2", "start", "n", "rank"])
+                    columns = [np.full(len(start), uid, np.int64), start.astype(np.int32), n.astype(np.int32), rank.view(np.int64)]
+                    yield pa.record_batch(list(map(pa.array, columns)), names=["uid", "start", "n", "rank"])
 
     return _gathered(run)
 
@@ -115,13 +116,11 @@ def _digests(window: int):
 
     def run(batches):
         for batch in batches:
-            keys = zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "text", "runs")), strict=True)
-            for k1, k2, text, own in keys:
-                data = text.encode()
+            for uid, text, own in zip(*(batch.column(x) for x in ("uid", "text", "runs")), strict=True):
+                uid, data, own = uid.as_py(), text.as_py().encode(), own.as_py()
                 digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(_part(data, r, window)) for r in own]), ">i8").reshape(-1, 2).astype(np.int64)
-                columns = [pa.array(np.full(len(own), k, np.int64)) for k in (k1, k2)]
-                columns += [pa.array([r[name] for r in own], kind) for name, kind in (("start", pa.int32()), ("n", pa.int32()), ("rank", pa.int64()))]
-                yield pa.record_batch([*columns, pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["k1", "k2", "start", "n", "rank", "d1", "d2"])
+                columns = [pa.array([r[name] for r in own], kind) for name, kind in (("start", pa.int32()), ("n", pa.int32()), ("rank", pa.int64()))]
+                yield pa.record_batch([pa.array(np.full(len(own), uid, np.int64)), *columns, pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["uid", "start", "n", "rank", "d1", "d2"])
 
     return _gathered(run)
 
@@ -131,12 +130,10 @@ def _bytes(window: int):
 
     def run(batches):
         for batch in batches:
-            keys = zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "text", "runs")), strict=True)
-            for k1, k2, text, own in keys:
-                data = text.encode()
-                columns = [pa.array(np.full(len(own), k, np.int64)) for k in (k1, k2)]
-                columns += [pa.array([r[name] for r in own], kind) for name, kind in (("start", pa.int32()), ("rank", pa.int64()), ("kinds", pa.int64()))]
-                yield pa.record_batch([*columns, pa.array([_part(data, r, window) for r in own], pa.binary())], names=["k1", "k2", "start", "rank", "kinds", "bytes"])
+            for uid, text, own in zip(*(batch.column(x) for x in ("uid", "text", "runs")), strict=True):
+                uid, data, own = uid.as_py(), text.as_py().encode(), own.as_py()
+                columns = [pa.array([r[name] for r in own], kind) for name, kind in (("start", pa.int32()), ("rank", pa.int64()), ("kinds", pa.int64()))]
+                yield pa.record_batch([pa.array(np.full(len(own), uid, np.int64)), *columns, pa.array([_part(data, r, window) for r in own], pa.binary())], names=["uid", "start", "rank", "kinds", "bytes"])
 
     return _gathered(run, 20_000)
 
@@ -164,23 +161,22 @@ def _compare(window: int):
     def close(held):
         if len(held) < 2:
             return
-        member, offset, rank = _window_ranks([x[3] for x in held], window)
+        member, offset, rank = _window_ranks([x[2] for x in held], window)
         _, which, times = np.unique(rank, return_inverse=True, return_counts=True)
         again = times[which] > 1
         if again.any():
             m, o, n = _spans(member[again], offset[again])
-            own = lambda i, kind: pa.array([held[j][i] for j in m.tolist()], kind)
-            start = np.array([held[j][2] for j in m.tolist()]) + o
-            yield pa.record_batch([own(0, pa.int64()), own(1, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["k1", "k2", "start", "n"])
+            uid, start = (np.array([held[j][i] for j in m.tolist()], np.int64) for i in (0, 1))
+            yield pa.record_batch([pa.array(uid), pa.array((start + o).astype(np.int32)), pa.array(n.astype(np.int32))], names=["uid", "start", "n"])
 
     def run(batches):
         held, now = [], None
         for batch in batches:
-            columns = [batch.column(x).to_pylist() for x in ("k1", "k2", "start", "bytes", "rank")]
+            columns = [batch.column(x).to_pylist() for x in ("uid", "start", "bytes", "rank")]
             for row in zip(*columns, strict=True):
-                if row[4] != now:
+                if row[3] != now:
                     yield from close(held)
-                    held, now = [], row[4]
+                    held, now = [], row[3]
                 held.append(row)
         yield from close(held)
 
@@ -190,12 +186,12 @@ def _compare(window: int):
 def _each_window(window: int):
     def run(batches):
         for batch in batches:
-            rows = list(zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "start", "bytes", "rank")), strict=True))
+            rows = list(zip(*(batch.column(x).to_pylist() for x in ("uid", "start", "bytes", "rank")), strict=True))
             for a in range(0, len(rows), 1000):
                 part = rows[a : a + 1000]
-                member, offset, rank = _window_ranks([x[3] for x in part], window)
+                member, offset, rank = _window_ranks([x[2] for x in part], window)
                 own = lambda i: np.array([x[i] for x in part], np.int64)[member]  # noqa: B023, E731
-                yield pa.record_batch([pa.array(own(0)), pa.array(own(1)), pa.array((own(2) + offset).astype(np.int32)), pa.array(own(4)), pa.array(rank.view(np.int64))], names=["k1", "k2", "start", "rank", "of_window"])
+                yield pa.record_batch([pa.array(own(0)), pa.array((own(1) + offset).astype(np.int32)), pa.array(own(3)), pa.array(rank.view(np.int64))], names=["uid", "start", "rank", "of_window"])
 
     return run
 
@@ -212,11 +208,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _cut(window: int, with_text: bool):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                data = text.encode()
-                spans = merged([(x["start"], x["start"] + x["n"] + window - 1) for x in found or []])
+            for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
+                data = text.as_py().encode()
+                spans = merged([(x["start"], x["start"] + x["n"] + window - 1) for x in found.as_py() or []])
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(data[at:a])
@@ -230,31 +226,54 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
-    """Of rows (k1, k2, text), stretches (k1, k2, start, n) of windows that start anywhere else too."""
-    at = "k1 long, k2 long, start int, n int"
-    placed = materialise(rows.mapInArrow(_place(window, anchor), f"{at}, rank long"), "runs")
+def equal_texts(rows: DataFrame, window: int) -> DataFrame:
+    """Of rows (uid, k1, k2, bytes), those whose text of `window` bytes or more another row has: (uid, bytes, first uid).
+
+    Equal texts are repeated from end to end, so one of them stands for all in what follows; the cost of a group is
+    linear in its rows.
+    """
+    long = rows.filter(F.col("bytes") >= window)
+    groups = materialise(long.groupBy("k1", "k2").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "texts-again")
+    out = materialise(long.join(groups, ["k1", "k2"]).select("uid", "bytes", "first"), "equal-texts")
+    release(groups)
+    return out
+
+
+def repeated_spans(rows: DataFrame, others: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
+    """Of rows (uid, text), stretches (uid, start, n) of windows that start anywhere else too.
+
+    Rows in `others` (uid) are left out: an equal text stands for them.
+    """
+    at = "uid long, start int, n int"
+    placed = materialise(rows.select("uid", "text").mapInArrow(_place(window, anchor), f"{at}, rank long").join(others, "uid", "left_anti"), "runs")
     # what a hot key is joined to is written first: Spark can split a skewed join only between plain exchanges
     many = materialise(placed.groupBy("rank").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rank"), "ranks-again")
-    left = placed.join(many, "rank", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "rank")).alias("runs"))
+    left = placed.join(many, "rank", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("start", "n", "rank")).alias("runs"))
     left = materialise(left, "runs-left", free=True)
-    told = rows.join(left.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_digests(window), f"{at}, rank long, d1 long, d2 long")
+    release(placed, many)
+    told = hash_join(rows.select("uid", "text"), left, "uid").mapInArrow(_digests(window), f"{at}, rank long, d1 long, d2 long")
     told = materialise(told, "run-digests", free=True)
-    first = F.min(F.struct("k1", "k2", "start", "n")).alias("first")
+    release(left)
+    first = F.min(F.struct("uid", "start", "n")).alias("first")
     kinds = materialise(told.groupBy("rank", "d1", "d2").agg(F.count(F.lit(1)).alias("times"), first), "run-kinds")
-    whole = told.join(kinds.filter("times > 1").select("rank", "d1", "d2"), ["rank", "d1", "d2"], "left_semi").select("k1", "k2", "start", "n")
+    whole = told.join(kinds.filter("times > 1").select("rank", "d1", "d2"), ["rank", "d1", "d2"], "left_semi").select("uid", "start", "n")
     whole = materialise(whole, "whole-runs", free=True)
+    release(told)
     mixed = kinds.groupBy("rank").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     mixed = materialise(mixed, "ranks-mixed")
     chosen = kinds.join(mixed, "rank").select("first.*", "rank", "kinds")
-    chosen = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "rank", "kinds")).alias("runs"))
-    ones = rows.join(chosen.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_bytes(window), "k1 long, k2 long, start int, rank long, kinds long, bytes binary")
+    chosen = materialise(chosen.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "rank", "kinds")).alias("runs")), "runs-chosen")
+    release(kinds, mixed)
+    ones = hash_join(rows.select("uid", "text"), chosen, "uid").mapInArrow(_bytes(window), "uid long, start int, rank long, kinds long, bytes binary")
     ones = materialise(ones, "run-bytes", free=True)
+    release(chosen)
     few = ones.filter(F.col("kinds") <= most).repartition("rank").sortWithinPartitions("rank").mapInArrow(_compare(window), at)
-    each = ones.filter(F.col("kinds") > most).mapInArrow(_each_window(window), "k1 long, k2 long, start int, rank long, of_window long")
+    each = ones.filter(F.col("kinds") > most).mapInArrow(_each_window(window), "uid long, start int, rank long, of_window long")
     again = each.groupBy("rank", "of_window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rank", "of_window")
-    single = each.join(again, ["rank", "of_window"], "left_semi").select("k1", "k2", "start", F.lit(1).alias("n"))
-    return materialise(whole.union(few).union(single), "repeated-windows", free=True)
+    single = each.join(again, ["rank", "of_window"], "left_semi").select("uid", "start", F.lit(1).alias("n"))
+    out = materialise(whole.union(few).union(single), "repeated-windows", free=True)
+    release(whole, ones)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
@@ -262,12 +281,16 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", tex
 
     Each byte goes that a string of `window` bytes covers which also starts elsewhere, in this or another text; all
     copies go, as strings are judged on the input. Null texts count as empty ones. Repeated rows of `window` bytes or
-    more lose everything. Texts shorter than a window stay. An empty table gives none.
+    more lose everything. Texts shorter than a window stay. An empty table gives none. Equal texts and runs are told by
+    digests of 128 bits, windows of one anchor by 64.
     """
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "id").alias("k2"))
-    spans = repeated_spans(rows.select("k1", "k2", "text"), window)
-    found = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    schema = f"id {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = rows.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", "found").mapInArrow(_cut(window, with_text), schema)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = materialise(rows.select("uid", "id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), F.octet_length("text").alias("bytes"), "text"), "suffix-texts")
+    equal = equal_texts(rows.drop("text", "id"), window)
+    spans = repeated_spans(rows, equal.filter("uid <> first").select("uid"), window)
+    spans = spans.union(equal.select("uid", F.lit(0).alias("start"), (F.col("bytes") - window + 1).alias("n")))
+    found = materialise(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("found")), "spans")
+    release(equal, spans)
+    schema = StructType([StructField("id", docs.schema[key].dataType), *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")])
+    out = hash_join(rows.select("uid", "id", "text"), found, "uid", "left").select("id", "text", "found").mapInArrow(_cut(window, with_text), schema)
     return out.select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
