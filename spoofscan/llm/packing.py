@@ -1,47 +1,92 @@
 """Lexical retrieval packing.
 
-The input's splits are shards of bounded size. Each shard has a BM25 inverted index over its documents' token ids; a
-seed document asks it by all of its terms for all unused neighbours, best first, which fill the seed's window. The
-document that overflows a window is cut, and its rest seeds the next window, so only a shard's last window is padded.
+Documents are encoded once. Document frequencies and the mean length are taken over all of them; the former have at most
+one number a vocabulary entry, so they go to every task. Documents are then dealt by content: ranges of a global sort by
+their terms of most weight, so that those which share rare terms meet wherever they stood in the input. A range is cut
+into shards of bounded size, each with a BM25 inverted index; a seed document asks its shard's index by all of its terms
+for all unused neighbours, best first, which fill the seed's window. The document that overflows a window is cut, and its
+rest seeds the next window, so only a shard's last window is padded.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import deque
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import tokens
-from .common import arrow_texts, slices
+from .common import arrow_texts, materialise, small_batches
 
-#: A shard ends at so many documents or tokens; BM25's usual constants.
-SHARD_DOCS, SHARD_TOKENS, K1, B = 2048, 4_000_000, 1.2, 0.75
+#: A shard ends at so many documents or tokens; BM25's usual constants; terms by which documents are sorted.
+SHARD_DOCS, SHARD_TOKENS, K1, B, LEADS = 2048, 4_000_000, 1.2, 0.75, 3
+
+
+class Corpus(NamedTuple):
+    """What BM25 needs of all documents: their number, their mean length, and in how many each term stands."""
+
+    docs: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, term: np.ndarray) -> np.ndarray:
+        df = self.df[term]
+        return np.log(1 + (self.docs - df + 0.5) / (df + 0.5))
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, length) -> np.ndarray:
+        return self.idf(term) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.mean, 1)))
+
+
+def terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of each distinct term of each document, in that order, for all of them at once."""
+    size = [len(x) for x in docs]
+    both = (np.repeat(np.arange(len(docs)), size) << 32) | (np.concatenate(docs) if docs else np.empty(0, "<u4"))
+    both.sort()
+    first = np.flatnonzero(np.diff(both, prepend=-1))
+    return both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(first, append=len(both))
+
+
+def corpus_of(docs: list[np.ndarray]) -> Corpus:
+    return Corpus(len(docs), sum(map(len, docs)) / max(len(docs), 1), np.bincount(terms(docs)[1]))
+
+
+def leads(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """Each document's LEADS terms of most weight that another document has too, the best first; -1 for each one missing."""
+    doc, term, tf = terms(docs)
+    shared = corpus.df[term] > 1
+    doc, term, tf = doc[shared], term[shared], tf[shared]
+    weight = corpus.weight(term, tf, np.array([len(x) for x in docs], np.float64)[doc])
+    best, start = np.full((len(docs), LEADS), -1, np.int32), np.flatnonzero(np.diff(doc, prepend=-1))
+    for i in range(LEADS if len(doc) else 0):
+        top = np.repeat(np.maximum.reduceat(weight, start), np.diff(start, append=len(doc)))
+        hit = np.flatnonzero((weight == top) & (weight > 0))
+        hit = hit[np.flatnonzero(np.diff(doc[hit], prepend=-1))]
+        best[doc[hit], i] = term[hit]
+        weight[hit] = 0
+    return best
 
 
 class Index:
-    """BM25 over a shard: postings by term, sorted, in three flat arrays."""
-
-    def __init__(self, docs: list[np.ndarray]) -> None:
-        n = len(docs)
-        found = [np.unique(x, return_counts=True) for x in docs]
-        term = np.concatenate([x[0] for x in found])
-        tf = np.concatenate([x[1] for x in found]).astype(np.float64)
-        doc = np.repeat(np.arange(n), [len(x[0]) for x in found])
-        length = np.array([len(x) for x in docs], np.float64)
-        df = np.bincount(term)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(length.mean(), 1)))
-        # a seed's query: all of its terms that another document has
-        self.query = [t[df[t] > 1] for t, _ in found]
+    """BM25 over a shard, by the whole corpus's statistics: postings by term, sorted, in three flat arrays."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
+        corpus = corpus or corpus_of(docs)
+        doc, term, tf = terms(docs)
+        here = np.bincount(term)
+        weight = corpus.weight(term, tf, np.array([len(x) for x in docs], np.float64)[doc])
+        # a seed's query: all of its terms that another document of the shard has
+        asks = here[term] > 1
+        self.query = np.split(term[asks], np.cumsum(np.bincount(doc[asks], minlength=len(docs)))[:-1])
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], self.weight[order]
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        self.n = n
+        self.doc, self.weight = doc[order], weight[order]
+        self.start = np.concatenate([[0], np.cumsum(here)])
+        self.n = len(docs)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with the seed, the best first."""
@@ -54,9 +99,9 @@ class Index:
         return top[np.argsort(-score[top], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; every id of every document lies in one piece."""
-    index, unused, pieces = Index(docs), np.ones(len(docs), bool), []
+    index, unused, pieces = Index(docs, corpus), np.ones(len(docs), bool), []
     queue: deque[int] = deque()
     sequence = offset = nearest = 0
     while True:
@@ -82,12 +127,61 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
             queue = deque(index.neighbours(d, unused).tolist())
 
 
-def _pack(tokenizer: str, window: int, end_id: int, with_ids: bool):
+def _encode(tokenizer: str, end_id: int):
+    """Of texts, their ids and `end_id` as little-endian bytes."""
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches):
+        for batch in small_batches(batches):
+            found = tokens.encode(tokenizer, arrow_texts(batch))
+            yield pa.record_batch([batch.column("id"), pa.array([x + end for x in found], pa.binary())], names=["id", "ids"])
+
+    return run
+
+
+def _ids(batch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
+
+
+def _count_terms(batches):
+    """A task's share of the statistics, a row a term that it saw; documents as term -1, tokens as -2."""
+    docs = total = 0
+    df = np.zeros(1, np.int64)
+    for batch in small_batches(batches, "ids"):
+        ids = _ids(batch)
+        docs, total = docs + len(ids), total + sum(map(len, ids))
+        own = np.bincount(terms(ids)[1], minlength=len(df))
+        own[: len(df)] += df
+        df = own
+    term = np.flatnonzero(df)
+    yield pa.record_batch([pa.array([*term.tolist(), -1, -2], pa.int64()), pa.array([*df[term].tolist(), docs, total], pa.int64())], names=["term", "n"])
+
+
+def corpus_statistics(encoded: DataFrame) -> Corpus:
+    """Statistics over all of `encoded`; what reaches the driver is bounded by the vocabulary."""
+    counts = encoded.select("ids").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    n = {r["term"]: r["n"] for r in counts.collect()}
+    docs, total = n.pop(-1, 0), n.pop(-2, 0)
+    df = np.zeros(max(n, default=0) + 1, np.int64)
+    df[list(n)] = list(n.values())
+    return Corpus(docs, total / max(docs, 1), df)
+
+
+def _lead(sent):
+    def run(batches):
+        for batch in small_batches(batches, "ids"):
+            found = leads(_ids(batch), sent.value)
+            yield pa.record_batch([*batch.columns, *(pa.array(found[:, i]) for i in range(LEADS))], names=[*batch.schema.names, *(f"lead{i}" for i in range(LEADS))])
+
+    return run
+
+
+def _pack(window: int, with_ids: bool, sent):
     def shard(base: int, keys: list, ids: list[np.ndarray]):
-        own = pack_shard(ids, window)
+        own = pack_shard(ids, window, sent.value)
         cut = [ids[d][a : a + n] for d, a, n, _, _ in own]
         columns = {
-            "id": pa.array([keys[d] for d, *_ in own], KEYS),
+            "id": pa.chunked_array(keys).combine_chunks().take(pa.array([x[0] for x in own], pa.int64())),
             "start": pa.array([x[1] for x in own], pa.int64()),
             "length": pa.array([x[2] for x in own], pa.int64()),
             "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in cut], pa.int64()),
@@ -97,26 +191,20 @@ def _pack(tokenizer: str, window: int, end_id: int, with_ids: bool):
         }
         if with_ids:
             columns["ids"] = pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))
-        return pa.record_batch(columns), own[-1][3] + 1 if own else 0
-
-    KEYS = pa.string()
+        return pa.record_batch(columns), own[-1][3] + 1
 
     def run(batches):
         base, keys, ids, total = TaskContext.get().partitionId() << 36, [], [], 0
-        end = np.array([end_id], "<u4")
         for batch in batches:
-            texts, named = arrow_texts(batch), batch.column("id").to_pylist()
-            for a, b in slices([len(x) for x in texts], 4_000_000):
-                for key, found in zip(named[a:b], tokens.encode(tokenizer, texts[a:b]), strict=True):
-                    if len(keys) >= SHARD_DOCS or total >= SHARD_TOKENS:
-                        out, used = shard(base, keys, ids)
-                        yield out
-                        base, keys, ids, total = base + used, [], [], 0
-                    own = np.concatenate([np.frombuffer(found, "<u4"), end])
-                    keys.append(key)
-                    ids.append(own)
-                    total += len(own)
-        if keys:
+            for i, own in enumerate(_ids(batch)):
+                if ids and (len(ids) >= SHARD_DOCS or total >= SHARD_TOKENS):
+                    out, used = shard(base, keys, ids)
+                    yield out
+                    base, keys, ids, total = base + used, [], [], 0
+                keys.append(batch.column("id").slice(i, 1))
+                ids.append(own)
+                total += len(own)
+        if ids:
             yield shard(base, keys, ids)[0]
 
     return run
@@ -127,9 +215,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
 
     A document's ids are its tokens and `end_id`; a null or empty text has `end_id` alone. Keys may be null or repeat;
     each row is packed once. A sequence's pieces fill it without gaps from offset 0. An empty table gives no pieces.
+    Documents of equal terms are ordered by their ids' hash and key, so the order of rows in the input has no influence.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    schema = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    out = rows.mapInArrow(_pack(tokenizer or tokens.default_path(), window, end_id, with_ids), schema)
-    return out.select(F.col("id").cast(kind).alias(key), *out.columns[1:])
+    sc, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    encoded = StructType([StructField("id", kind), *StructType.fromDDL("ids binary")])
+    ids = materialise(rows.mapInArrow(_encode(tokenizer or tokens.default_path(), end_id), encoded), "pack-ids")
+    sent = sc.broadcast(corpus_statistics(ids))
+    names = [f"lead{i}" for i in range(LEADS)]
+    led = ids.mapInArrow(_lead(sent), StructType([*encoded, *StructType.fromDDL(", ".join(f"{x} int" for x in names))]))
+    order = [*names, F.xxhash64("ids"), "id"]
+    dealt = led.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids")
+    fields = [StructField(x, LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
+    schema = StructType([StructField("id", kind), *fields, *StructType.fromDDL("ids array<int>")][: None if with_ids else -1])
+    return dealt.mapInArrow(_pack(window, with_ids, sent), schema).withColumnRenamed("id", key)
