@@ -25,8 +25,13 @@ SYMBOLS = 512
 
 
 def symbols(text: str) -> np.ndarray:
-    """A text's bytes, each 256 higher where its four bytes stood at one of the distances REPEATS before."""
-    data = np.frombuffer(text.encode().ljust(TAPS + 2, b" "), np.uint8)
+    """A text's bytes, each 256 higher where its four bytes stood at one of the distances REPEATS before.
+
+    Spaces are appended so that the last filter position ends with the text.
+    """
+    data = text.encode()
+    size = max(len(data), TAPS + STRIDE)
+    data = np.frombuffer(data.ljust(size + (TAPS - size) % STRIDE, b" "), np.uint8)
     four = np.lib.stride_tricks.sliding_window_view(data, 4)
     four = np.ascontiguousarray(four).view(np.uint32)[:, 0]
     again = np.zeros(len(four), bool)
