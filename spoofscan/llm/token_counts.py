@@ -2,6 +2,7 @@
 
 A count depends on a text and a tokenizer only. Texts are normalised (null is the empty text) and digested; digests are
 joined to the counts that the cache holds for this tokenizer version; only distinct misses are encoded, and appended.
+Digests are compared before any text moves: with a cache that knows most texts, only the others are shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_texts, fresh_path, slices
+from .common import arrow_texts, fresh_path, materialise, small_batches
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -31,10 +32,8 @@ def read_cache(spark, path: str, tokenizer_digest: str) -> DataFrame:
 
 def _encode(path: str):
     def run(batches):
-        for batch in batches:
-            texts, counts = arrow_texts(batch), []
-            for a, b in slices([len(x) for x in texts], 4_000_000):
-                counts += tokens.count(path, texts[a:b])
+        for batch in small_batches(batches, most=4_000_000):
+            counts = tokens.count(path, arrow_texts(batch))
             yield pa.record_batch([batch.column("content_digest"), pa.array(counts, pa.int64())], names=["content_digest", "n_tokens"])
 
     return run
@@ -53,9 +52,14 @@ def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str | Non
     version = tokens.version_digest(tokenizer)
     rows = docs.select(F.col(key).alias("id"), normalised(F.col(text)).alias("text"))
     rows = rows.withColumn("content_digest", F.unhex(F.sha2("text", 256)))
+    known = read_cache(spark, cache, version)
+    if not known.isEmpty():
+        missing = materialise(rows.select("content_digest").distinct().join(known, "content_digest", "left_anti"), "missing-digests")
+        wanted = materialise(rows.select("content_digest", "text").join(missing, "content_digest", "left_semi"), "missing-texts")
+    else:
+        wanted = rows.select("content_digest", "text")
     # partial aggregation keeps one text per digest and task before the shuffle, so copies never meet in one task
-    distinct = rows.select("content_digest", "text").dropDuplicates(["content_digest"])
-    misses = distinct.join(read_cache(spark, cache, version), "content_digest", "left_anti")
+    misses = wanted.dropDuplicates(["content_digest"])
     new = misses.mapInArrow(_encode(tokenizer), "content_digest binary, n_tokens long")
     new.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     counted = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
