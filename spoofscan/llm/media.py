@@ -1,6 +1,6 @@
 """Media columns: images as bytes, decoded to numpy arrays, resized by area and hashed.
 
-Netpbm (P1 to P6, with comments, up to 16 bits a sample) and uncompressed BMP (8, 24, 32 bits) are decoded; NPY tiles
+Netpbm (P1 to P6, with comments, up to 16 bits a sample) and uncompressed BMP (8 to 32 bits, bit fields) are decoded; NPY tiles
 and binary Netpbm are written. All of it is per-row work in Arrow batches; nothing is shuffled.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_texts
+from .common import arrow_texts, small_batches
 
 #: A text's payload is rows of 64 RGB pixels, 8 bits a sample.
 ROW_PIXELS = 64
@@ -35,8 +35,15 @@ def encode_ppm(pixels: np.ndarray) -> bytes:
     return b"%s\n%d %d\n255\n" % (kind, pixels.shape[1], pixels.shape[0]) + np.ascontiguousarray(pixels, np.uint8).tobytes()
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """A (height, width) or (height, width, 3) array of uint8, or uint16 if the file's largest value is over 255."""
+def _scaled(values: np.ndarray, top: int) -> np.ndarray:
+    """Samples of 0 to `top` as uint8 or, if `top` is over 255, as uint16, over that type's whole range."""
+    kind, full = (np.uint8, 255) if top < 256 else (np.uint16, 65535)
+    if not 0 < top < 65536 or (values.size and not 0 <= values.min() <= values.max() <= top):
+        raise BadImage("a sample is out of range")
+    return values.astype(kind) if top == full else ((values.astype(np.int64) * full + top // 2) // top).astype(kind)
+
+
+def _netpbm(data: bytes) -> np.ndarray:
     kind = data[:2]
     if not re.fullmatch(rb"P[1-6]", kind):
         raise BadImage("not Netpbm")
@@ -48,38 +55,60 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     width, height, top = *head[:2], head[2] if len(head) > 2 else 1
     shape = (height, width, 3) if kind in (b"P3", b"P6") else (height, width)
-    n = int(np.prod(shape))
+    n = width * height * (len(shape) == 3 and 3 or 1)
+    if kind == b"P1":
+        values = 1 - np.array([int(x) for x in re.findall(rb"[01]", re.sub(rb"#[^\n]*", b"", data[at:]))[:n]], np.int64)
+    elif kind in (b"P2", b"P3"):
+        values = np.array([int(x) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n]], np.int64)
+    elif kind == b"P4":  # one white space byte ends the header
+        rows = np.frombuffer(data, np.uint8, height * ((width + 7) // 8), at + 1).reshape(height, -1)
+        values = 1 - np.unpackbits(rows, axis=1)[:, :width]
+    else:
+        values = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at + 1)
+    return _scaled(values.reshape(shape), top)
+
+
+def _mask_shift(mask: int) -> int:
+    return (mask & -mask).bit_length() - 1 if mask else 0
+
+
+def _bmp(data: bytes) -> np.ndarray:
+    offset, size, width, height, _, bits, packed = struct.unpack_from("<I", data, 10) + struct.unpack_from("<IiiHHI", data, 14)
+    if data[:2] != b"BM" or packed not in (0, 3) or bits not in (8, 16, 24, 32) or (packed == 3 and bits not in (16, 32)):
+        raise BadImage("not an uncompressed BMP of 8, 16, 24 or 32 bits")
+    stride = (width * bits // 8 + 3) // 4 * 4
+    rows = np.frombuffer(data, np.uint8, stride * abs(height), offset).reshape(abs(height), stride)[:, : width * bits // 8]
+    if bits == 8:
+        colours = struct.unpack_from("<I", data, 46)[0] or 256
+        pixels = np.frombuffer(data, np.uint8, 4 * colours, 14 + size).reshape(-1, 4)[rows][:, :, 2::-1]
+    elif packed == 3 or bits == 16:  # bit fields; without masks, 16 bits are five for each colour
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        values = np.ascontiguousarray(rows).view(f"<u{bits // 8}").astype(np.int64)
+        parts = [(values & m) >> _mask_shift(m) for m in masks]
+        pixels = np.stack([(x * 255 + (t := m >> _mask_shift(m)) // 2) // max(t, 1) for x, m in zip(parts, masks, strict=True)], axis=2).astype(np.uint8)
+    else:
+        pixels = rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
+    return pixels[::-1] if height > 0 else pixels
+
+
+def _read(data: bytes, how) -> np.ndarray:
     try:
-        if kind == b"P1":
-            return 1 - np.array([int(x) for x in re.findall(rb"[01]", re.sub(rb"#[^\n]*", b"", data[at:]))[:n]], np.uint8).reshape(shape)
-        if kind in (b"P2", b"P3"):
-            values = re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n]
-            return np.array(values, dtype=np.int64).astype(np.uint8 if top < 256 else np.uint16).reshape(shape)
-        at += 1  # one white space byte ends the header
-        if kind == b"P4":
-            rows = np.frombuffer(data, np.uint8, height * ((width + 7) // 8), at).reshape(height, -1)
-            return 1 - np.unpackbits(rows, axis=1)[:, :width]
-        return np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at).reshape(shape)
-    except ValueError as e:
-        raise BadImage(str(e)) from e
+        return how(data)
+    except (struct.error, ValueError, IndexError, OverflowError, TypeError, MemoryError) as e:
+        raise e if isinstance(e, BadImage) else BadImage(str(e)) from e
+
+
+def decode_netpbm(data: bytes) -> np.ndarray:
+    """A (height, width) or (height, width, 3) array of uint8, or uint16 if the file's largest value is over 255.
+
+    Samples are spread over that type's range whatever the largest value (bits to 0 and 255), so that files compare.
+    """
+    return _read(data, _netpbm)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """A (height, width, 3) array, red first, of an uncompressed BMP."""
-    try:
-        offset, size, width, height, _, bits, packed = struct.unpack_from("<I", data, 10) + struct.unpack_from("<IiiHHI", data, 14)
-        if data[:2] != b"BM" or packed not in (0, 3) or bits not in (8, 24, 32):
-            raise BadImage("not an uncompressed BMP of 8, 24 or 32 bits")
-        stride = (width * bits // 8 + 3) // 4 * 4
-        rows = np.frombuffer(data, np.uint8, stride * abs(height), offset).reshape(abs(height), stride)[:, : width * bits // 8]
-        if bits == 8:
-            colours = struct.unpack_from("<I", data, 46)[0] or 256
-            pixels = np.frombuffer(data, np.uint8, 4 * colours, 14 + size).reshape(-1, 4)[rows][:, :, 2::-1]
-        else:
-            pixels = rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
-    except (struct.error, ValueError, IndexError) as e:
-        raise BadImage(str(e)) from e
-    return pixels[::-1] if height > 0 else pixels
+    """A (height, width, 3) uint8 array, red first, of an uncompressed BMP, bit fields included."""
+    return _read(data, _bmp)
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -127,7 +156,8 @@ def tiles(pixels: np.ndarray, side: int) -> np.ndarray:
 def image_tiles(images: DataFrame, image: str = "image", side: int = 16) -> DataFrame:
     """`images` with _tile (NPY bytes), _hash (16 hex digits), _height, _width, _error.
 
-    A null image gives nulls; bytes that can't be decoded give nulls and the reason in _error.
+    A null image gives nulls; bytes that can't be decoded give nulls and the reason in _error. Columns of `images` that
+    have one of these names are replaced.
     """
     schema = "_tile binary, _hash string, _height int, _width int, _error string"
 
@@ -151,7 +181,9 @@ def image_tiles(images: DataFrame, image: str = "image", side: int = 16) -> Data
                 out.append((None, None, None, None, str(e)))
         return pd.DataFrame(out, columns=["_tile", "_hash", "_height", "_width", "_error"])
 
-    return images.withColumn("_read", read(F.col(image))).select(*images.columns, "_read.*")
+    own = schema.replace(",", "").split()[::2]
+    rest = [F.col(f"_row.{c}").alias(c) for c in images.columns if c not in own]
+    return images.select(F.struct(*images.columns).alias("_row"), read(F.col(image)).alias("_read")).select(*rest, "_read.*")
 
 
 def text_image(text: str) -> tuple[int, bytes]:
@@ -163,7 +195,7 @@ def text_image(text: str) -> tuple[int, bytes]:
 
 def _store(side: int):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for text in arrow_texts(batch):
                 n, media = text_image(text)

@@ -28,7 +28,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.text_media(documents(spark, sf_dir))
     stored = [F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *stored, "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *stored, "feature", F.sha2("tile", 256).alias("tile_sha256"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
