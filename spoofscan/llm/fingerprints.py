@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling. Native: DataFrame functions only.
 
-Terms are words, their weights the number of times they stand in the text. For each of SAMPLES samples, a term draws
+Terms are words (long ones in pieces), their weights the number of times they stand in the text. For each of SAMPLES samples, a term draws
 r and c from Gamma(2, 1) and b from [0, 1), all functions of the term and the sample alone; with t = floor(ln w / r + b)
 the term of the least c * exp(-r * (t - b + 1)) is the sample, together with its t [Ioffe 2010]. Two texts agree in a sample
 with the probability of their generalised Jaccard similarity, sum of least weights over sum of largest.
@@ -13,56 +13,70 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .common import SPACES
+from .common import WORD, materialise
 
-#: Samples of a fingerprint, computed so many a row; 16 bits (four hex digits) are kept of each.
-SAMPLES, A_ROW = 32, 4
-#: Documents a range holds about; ranges found by quantiles, and parts at most into which each of these is cut evenly.
-#: So there are at most 65,536 ranges, and their ends can be broadcast whatever the input; larger ranges spill.
-RANGE_ROWS, RANGES, PARTS = 1000, 256, 256
+#: Samples of a fingerprint, computed so many a row; 16 bits (four hex digits) are kept of each. Longer words count as
+#: pieces of so many characters, so that a text without spaces has many terms too.
+SAMPLES, A_ROW, PIECE = 64, 4, 24
+#: Documents a range holds about; ranges into which each level cuts those of the level before. Their product, about a
+#: million, bounds the number of ranges, and the edges and ends that are broadcast.
+RANGE_ROWS, LEVELS = 1000, (256, 256, 16)
 _MASK21 = (1 << 21) - 1
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """The number of the range that a row's id is in, rising with the id; -1 for null."""
-    rows = docs.count()
-    coarse = max(1, min(RANGES, rows // RANGE_ROWS))
-    fine = max(1, min(PARTS, rows // RANGE_ROWS // coarse))
-    bounds = sorted(set(docs.approxQuantile("id", [i / coarse for i in range(coarse + 1)], 0.1 / coarse))) if rows else []
-    if len(bounds) < 2:
-        return F.when(F.col("id").isNull(), -1).otherwise(0).cast("long")
-    at = F.lit(0)
-    edges = F.array(*[F.lit(x) for x in bounds[1:-1]]).cast("array<double>")
-    at = F.size(F.filter(edges, lambda x: x <= F.col("id").cast("double")))
-    low, high = (F.get(F.array(*[F.lit(float(x)) for x in part]), at) for part in (bounds[:-1], bounds[1:]))
-    part = F.floor((F.col("id").cast("double") - low) / (high - low) * fine)
-    inside = F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1))
-    return F.when(F.col("id").isNull(), -1).otherwise(at.cast("long") * fine + inside)
+def _ranges(rows: DataFrame) -> DataFrame:
+    """Rows (id, h, ...) with the number of their range, rising with (id, h), null ids first.
+
+    Edges are quantiles of the id, those of the second level within each range of the first, and so on. An id that
+    several edges have (one that stands at very many rows) is dealt among their ranges by h.
+    """
+    n, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).head()
+    share = F.col("h").cast("double") / float(1 << 63)
+    none = max(1, nulls // RANGE_ROWS)
+    out, wanted = rows.withColumn("range", F.lit(0).cast("long")).withColumn("share", share), n // RANGE_ROWS
+    for most in LEVELS:
+        if wanted < 2:
+            break
+        width = min(most, wanted)
+        wanted = -(-wanted // width)
+        edges = out.groupBy("range").agg(F.percentile_approx("id", [i / width for i in range(1, width)], 100 * width).alias("edges"))
+        out = out.join(F.broadcast(materialise(edges, "range-edges")), "range", "left")
+        out = out.withColumn("low", F.size(F.filter("edges", lambda x: x < F.col("id")))).withColumn("high", F.size(F.filter("edges", lambda x: x <= F.col("id"))))
+        hot = F.col("high") > F.col("low") + 1
+        spread = F.col("share") * (F.col("high") - F.col("low") + 1)
+        at = F.when(hot, F.least(F.col("low") + F.floor(spread), F.col("high"))).otherwise(F.col("high"))
+        rest = F.when(hot, spread - F.floor(spread)).otherwise(F.col("share"))
+        out = out.withColumn("range", F.col("range") * width + at).withColumn("share", rest).drop("edges", "low", "high")
+    first = F.least(F.floor(share * none), F.lit(none - 1)) - none
+    return out.withColumn("range", F.when(F.col("id").isNull(), first).otherwise(F.col("range")).cast("long")).drop("share")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (id, text) as rows (range, place, id, text, next, ghost), in ascending order of id, then text; null ids first.
+    """Rows (id, text) as rows (range, place, id, text, next, ghost), in ascending order of id, then of a hash of the text.
 
     `next` is the text of the next row, of the last row the first one's. Each range also ends with a ghost, the first
     row of the next range, so that nothing else has to look across ranges.
     """
-    rows = docs.withColumn("range", _ranges(docs))
-    firsts = rows.groupBy("range").agg(F.min(F.struct("id")).alias("first"))
-    order = Window.orderBy("range")
+    rows = _ranges(docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1)))
+    firsts = rows.groupBy("range").agg(F.min(F.struct("id", "h")).alias("first"))
+    order = Window.orderBy("range")  # one row a range, whose number has a bound
     ends = firsts.select("range", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("first"))
-    ends = ends.select("range", "first.id")
-    ghosts = rows.select("id", "text").join(F.broadcast(ends), rows["id"].eqNullSafe(ends["id"])).groupBy("range").agg(F.min(F.struct(ends["id"], "text")).alias("row"))
-    ghosts = ghosts.select("row.id", "row.text", "range", F.lit(True).alias("ghost"))
-    both = rows.select("id", "text", "range", F.lit(False).alias("ghost")).union(ghosts)
-    inner = Window.partitionBy("range").orderBy("ghost", "id", "text")
+    ends = ends.select(F.col("range").alias("of"), F.col("first.id").alias("end_id"), F.col("first.h").alias("end_h"))
+    same = rows["id"].eqNullSafe(F.col("end_id")) & (rows["h"] == F.col("end_h"))
+    ghosts = rows.select("id", "h", "text").join(F.broadcast(ends), same).groupBy("of").agg(F.min(F.struct("id", "h", "text")).alias("row"))
+    ghosts = ghosts.select("row.id", "row.h", "row.text", F.col("of").alias("range"), F.lit(True).alias("ghost"))
+    both = rows.select("id", "h", "text", "range", F.lit(False).alias("ghost")).union(ghosts)
+    inner = Window.partitionBy("range").orderBy("ghost", "id", "h", "text")
     return both.select("range", F.row_number().over(inner).alias("place"), "id", "text", F.lead("text").over(inner).alias("next"), "ghost")
 
 
 def _term_weights(texts: DataFrame, by: list[str], sides: list[str]) -> DataFrame:
     """Rows (by..., h, one log-weight per side, null where the term isn't in that text)."""
     sided = texts.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate(sides)])).alias("x"))
-    words = sided.select(*by, "x.side", F.explode(F.split("x.text", SPACES)).alias("word")).filter("word <> ''")
+    pieces = F.regexp_extract_all("x.text", F.lit(f"{WORD[:-1]}{{1,{PIECE}}}"), F.lit(0))
+    words = sided.select(*by, "x.side", F.explode(pieces).alias("word"))
     counts = [F.sum((F.col("side") == i).cast("long")).alias(f"n{i}") for i in range(len(sides))]
     terms = words.groupBy(*by, F.xxhash64("word").alias("h")).agg(*counts)
     return terms.select(*by, "h", *[F.when(F.col(f"n{i}") > 0, F.ln(f"n{i}")).alias(f"w{i}") for i in range(len(sides))])
@@ -113,9 +127,11 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """One row per row of `docs`: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter replaced by the next document's first characters. The key must be a number;
-    null keys come first, rows of equal keys in the order of their texts. Null texts count as empty ones; the fingerprint
+    null keys come first, rows of equal keys in the order of a hash of their texts. Null texts count as empty ones; the fingerprint
     of a text without words is '-'. A lone document is its own successor. An empty table gives none.
     """
+    if not isinstance(docs.schema[key].dataType, NumericType):
+        raise ValueError(f"the key must be a number, not {docs.schema[key].dataType.simpleString()}")
     rows = with_next(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
