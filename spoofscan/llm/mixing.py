@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import hash_join, materialise, word_count
 
 #: Buckets of the shuffle order within a source (three hex digits), and of virtual time.
 ORDER_DIGITS, TIME_BUCKETS = 3, 4096
@@ -59,6 +59,8 @@ def fair_mix(
 ) -> DataFrame:
     """One row per row of `docs`: key, size, source_size, target, taken, copies, and the columns in `carry`.
 
+    Carried columns go through all windows, so they should be short.
+
     A null text has size 0; a null source is a source of its own, the last; a null key is shuffled like the text
     'null'. Rows of equal key and size are interchangeable. Documents of size 0 have taken 0 and copies 0. An empty
     table gives an empty result.
@@ -68,7 +70,7 @@ def fair_mix(
     # the working columns are made first, so that no other column of `docs` can clash with them
     docs = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), seed.alias("seed"), *kept)
     docs = docs.withColumn("bucket", F.substring("seed", 1, ORDER_DIGITS))
-    light = docs if carry else materialise(docs, "sizes")  # the texts are read once
+    light = materialise(docs, "sizes")  # the texts are read once
     targets = materialise(source_targets(light, weights, max_copies), "targets")
     named = light.join(targets, light["source"].eqNullSafe(targets["source"])).drop("source")
     queued = _running(named, ["rank"], "bucket", ["seed", "id", "size"], "size", "done")
@@ -101,10 +103,15 @@ def fair_mix(
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`."""
-    packed = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
-    out = fair_mix(packed, carry=("row",), **how).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`.
+
+    The mix is computed on keys and sizes alone; rows meet their number of copies at the end.
+    """
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
+    own = rows.select("uid", *[F.col("row")[c].alias(c) for c in ("doc_id", "text", "source")])
+    copies = materialise(fair_mix(own, carry=("uid",), **how).filter("copies > 0").select("uid", "copies"), "mix-copies")
+    out = hash_join(rows, copies, "uid")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 SQL = r"""
