@@ -7,8 +7,10 @@ can. A window's length follows from its lines alone, so two equal windows have e
 
 Names come by prefix doubling: runs of 1, 2, 4, ... lines are named by pairs of names of half their length; at each
 length only positions whose name occurs again go on, and lengths past the longest window aren't named. A window of any
-length is the pair of names of the power of two below it, at its begin and at its end. Windows of one name are an
-interval of the suffix array whose common prefix holds the window; the least position in it is the copy that stays.
+length is the pair of names of the power of two below it, at its begin and at its end. Positions of one name are those
+that would stand together in a suffix array, with a common prefix that holds the window. Only which positions stand
+together matters here, not the order of the groups: names are 128-bit hashes and not ranks, and groups come by hashing
+and not by a global sort at each length. The least position of a group is the copy that stays.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import hash_join, materialise, release, word_count
 
 MIN_WORDS = 20
 _SALT = 0x5EED
@@ -73,7 +75,7 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = _least_windows(named, min_words).withColumn("size", F.col("e") - F.col("s") + 1)
     windows = materialise(windows, "line-windows")
     longest = windows.agg(F.max("size")).head()[0] or 0
-    level, names, found = 0, named.select("uid", "ln", "h1", "h2"), None
+    level, names, found, spent = 0, named.select("uid", "ln", "h1", "h2"), None, [windows]
     while longest >= 1 << level:
         step = 1 << level
         at_end = names.select("uid", (F.col("ln") + step - 1).alias("e"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
@@ -86,17 +88,21 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             half = names.select("uid", (F.col("ln") - step).alias("ln"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
             pairs = names.join(half, ["uid", "ln"]).select("uid", "ln", *_name("h1", "h2", "g1", "g2"))
             names = materialise(_again(pairs), "line-names")
+            spent.append(names)
     if found is None:
         return lines.filter("false").select("uid", "ln")
     ids = named.select("uid", "id").distinct()
     placed = materialise(found.join(ids, "uid").select("uid", "s", "e", "h1", "h2", F.struct("id", "uid", "s").alias("at")), "line-runs")
+    release(*spent)
     firsts = placed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     firsts = materialise(firsts, "first-runs")
     later = placed.join(firsts, ["h1", "h2"]).filter("at > first").select("uid", F.col("s").alias("ln"), "e")
     # a line is covered if a window that begins at or before it ends at or after it
     events = named.select("uid", "ln", F.lit(None).cast("int").alias("e")).union(later.select("uid", "ln", "e"))
     upto = Window.partitionBy("uid").orderBy("ln", F.col("e").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("reach", F.max("e").over(upto)).filter("e IS NULL AND reach >= ln").select("uid", "ln")
+    out = materialise(events.withColumn("reach", F.max("e").over(upto)).filter("e IS NULL AND reach >= ln").select("uid", "ln"), "lines-gone", free=True)
+    release(named, placed, firsts)
+    return out
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -112,11 +118,12 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id",
     split = F.split("text", "\n", -1)
     lines = rows.filter("text IS NOT NULL").select("uid", "id", F.posexplode(split).alias("ln", "line"))
     lines = materialise(lines.select("uid", "id", "ln", *_name("line"), word_count(F.col("line")).alias("words")), "lines")
-    gone = materialise(repeated_lines(lines, min_words).withColumn("gone", F.lit(True)), "lines-gone", free=True)
+    gone = repeated_lines(lines, min_words).withColumn("gone", F.lit(True))
     touched = lines.join(gone.select("uid").distinct(), "uid", "left_semi").select("uid", "ln").join(gone, ["uid", "ln"], "left")
     flags = touched.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("ln", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("flags"))
-    flags = flags.select("uid", F.transform("flags", lambda x: x["gone"]).alias("flags"))
-    out = rows.join(flags.hint("shuffle_hash"), "uid", "left")  # the texts aren't sorted
+    flags = materialise(flags.select("uid", F.transform("flags", lambda x: x["gone"]).alias("flags")), "line-flags")
+    release(lines)
+    out = hash_join(rows, flags, "uid", "left")  # the texts aren't sorted
     stay = F.filter(split, lambda x, i: ~F.get("flags", i))
     names = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
     return out.select(
