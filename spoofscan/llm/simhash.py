@@ -11,7 +11,9 @@ is split exactly: of the bits not fixed yet, cut into four parts, at least one p
 
 `keep_similar` reaches farther: fingerprints only propose pairs, on a ring of sixteen segments of 4 bits, and a pair counts
 if the sets of shingles themselves are as similar as asked. Counts of shingles by bucket bound what two sets can share,
-so most strangers go before any set is sent.
+so most strangers go before any set is sent. It goes in two turns, so that a dense group isn't turned into all its pairs:
+first each set is tried with the nearest fingerprint under each of its keys, which joins most of a group; then all pairs
+are tried whose ends aren't joined yet, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, materialise
+from .common import arrow_texts, materialise, release
 
 BITS, SEGMENTS, REACH = 64, 4, 3
 #: Fingerprints of one key that one task compares; keys with at most 16 free bits can't have more.
@@ -272,33 +274,40 @@ def _first_chain(difference: np.ndarray, reach: int) -> np.ndarray:
     return 2 * start + (second != 0)
 
 
-def _near(reach: int, least: Fraction):
-    """Of rows (k, node, fp, n) sorted by k and n: pairs of nodes within reach whose sizes allow the likeness."""
+def _near(reach: int, least: Fraction, nearest: bool = False):
+    """Of rows (k, node, fp, n, group) sorted by k and n: pairs of nodes of different groups within reach whose sizes allow
+    the likeness, each under one key; or, with `nearest`, under each key the nearest of such nodes alone."""
+    names = ("node", "fp", "n", "group")
 
     def run(batches):
-        key, fps, nodes, sizes = None, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        key, held = None, None
         for batch in batches:
-            k, node, fp, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("k", "node", "fp", "n"))
-            fp, n = fp.view(np.uint64), n.astype(np.int64)
+            k, node, fp, n, group = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("k", *names))
+            rows = {"node": node, "fp": fp.view(np.uint64), "n": n.astype(np.int64), "group": group}
             at = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if a == b:
                     continue
                 if k[a] != key:
-                    key, fps, nodes, sizes = k[a], fps[:0], nodes[:0], sizes[:0]
+                    key, held = k[a], {x: rows[x][:0] for x in names}
                 while a < b:
                     # only rows that are large enough for the next one stay
-                    low = np.searchsorted(sizes, -(-n[a] * least.numerator // least.denominator))
-                    fps, nodes, sizes = fps[low:], nodes[low:], sizes[low:]
-                    to = min(b, a + max(1, min(1024, 2_000_000 // (len(fps) + 1024))))
-                    fps, nodes, sizes = np.concatenate([fps, fp[a:to]]), np.concatenate([nodes, node[a:to]]), np.concatenate([sizes, n[a:to]])
-                    difference = fp[a:to, None] ^ fps
-                    i, j = np.nonzero(np.bitwise_count(difference) <= reach)
-                    own = j < len(fps) - (to - a) + i
-                    i, j = i[own], j[own]
+                    low = np.searchsorted(held["n"], -(-rows["n"][a] * least.numerator // least.denominator))
+                    to = min(b, a + max(1, min(1024, 2_000_000 // (len(held["n"]) - low + 1024))))
+                    held = {x: np.concatenate([held[x][low:], rows[x][a:to]]) for x in names}
+                    difference = rows["fp"][a:to, None] ^ held["fp"]
+                    bits = np.bitwise_count(difference)
+                    bits[(np.arange(len(held["n"])) >= len(held["n"]) - (to - a) + np.arange(to - a)[:, None]) | (rows["group"][a:to, None] == held["group"])] = 65
+                    if nearest:
+                        j = bits.argmin(1)
+                        i = np.flatnonzero(bits[np.arange(to - a), j] <= reach)
+                        j = j[i]
+                    else:
+                        i, j = np.nonzero(bits <= reach)
+                        told = _first_chain(difference[i, j], reach) == int(key) >> 6 if len(i) else np.empty(0, bool)
+                        i, j = i[told], j[told]
                     if len(i):
-                        told = _first_chain(difference[i, j], reach) == int(key) >> 6
-                        x, y = node[a:to][i[told]], nodes[j[told]]
+                        x, y = rows["node"][a:to][i], held["node"][j]
                         yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
                     a = to
 
@@ -318,25 +327,43 @@ def _may_share(least: Fraction):
     return run
 
 
-def similar_pairs(sets: DataFrame, texts: DataFrame, size: int, reach: int, similarity: float) -> DataFrame:
-    """Of distinct sets (node, fp, n, counts) and their texts (rid, text): pairs (a, b) whose Jaccard similarity is `similarity` or more.
+def similar_pairs(sets: DataFrame, texts: DataFrame, size: int, reach: int, similarity: float, nearest: bool = False) -> DataFrame:
+    """Of distinct sets (node, fp, n, counts, group) and their texts (rid, text): pairs (a, b) of different groups whose
+    Jaccard similarity is `similarity` or more; with `nearest`, of those that `_near` gives then.
 
     Pairs whose fingerprints more than `reach` bits set apart aren't proposed.
     """
     if not 0 <= reach < NARROW:
         raise ValueError(f"reach must be from 0 to {NARROW - 1}")
     least = Fraction(str(similarity))
-    keyed = sets.select("node", "fp", "n", F.explode(wide_keys(F.col("fp"))).alias("k")).repartition("k").sortWithinPartitions("k", "n")
-    pairs = materialise(keyed.mapInArrow(_near(reach, least), "a long, b long"), "near-pairs")
+    keyed = sets.select("node", "fp", "n", "group", F.explode(wide_keys(F.col("fp"))).alias("k")).repartition("k").sortWithinPartitions("k", "n")
+    near = keyed.mapInArrow(_near(reach, least, nearest), "a long, b long")
+    pairs = materialise(near.distinct() if nearest else near, "near-pairs")
     x, y = sets.select(F.col("node").alias("a"), F.col("counts").alias("x")), sets.select(F.col("node").alias("b"), F.col("counts").alias("y"))
-    pairs = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_may_share(least), "a long, b long"), "near-bounded")
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-wanted")
+    bounded = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_may_share(least), "a long, b long"), "near-bounded")
+    release(pairs)
+    wanted = materialise(bounded.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-wanted")
     own = texts.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(_sets(size), "node long, shingles array<long>")
     own = materialise(own, "near-shingles")
     left, right = own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
-    return pairs.join(left, "a").join(right, "b").filter(both * least.denominator >= union * least.numerator).select("a", "b")
+    out = materialise(bounded.join(left, "a").join(right, "b").filter(both * least.denominator >= union * least.numerator).select("a", "b"), "near-similar")
+    release(bounded, wanted, own)
+    return out
+
+
+def similar_groups(sets: DataFrame, texts: DataFrame, size: int, reach: int, similarity: float) -> DataFrame:
+    """(node, component) of the sets (node, fp, n, counts) that similar pairs join; sets without any have no row."""
+    from .components import connected_components
+
+    first = similar_pairs(sets.withColumn("group", F.col("node")), texts, size, reach, similarity, nearest=True)
+    joined = materialise(connected_components(first), "near-joined")
+    grouped = materialise(sets.join(joined, "node", "left").select(*sets.columns, F.coalesce("component", "node").alias("group")), "near-grouped")
+    more = similar_pairs(grouped, texts, size, reach, similarity)
+    # what the first turn joined needs no more than a star
+    stars = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(stars.union(more))
 
 
 def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, reach: int = 15, similarity: float = 0.8) -> DataFrame:
@@ -345,16 +372,13 @@ def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     Texts are similar if their sets of `size`-word shingles are; texts without words are all alike. Null keys come last;
     of equal keys, the row of the least hash stays. The columns are those of `docs`.
     """
-    from .components import connected_components
-
     row = F.struct(*docs.columns)
     rows = docs.select(row.alias("row"), F.xxhash64(row).alias("hash"), F.col(key).alias("id"), _described(size)(F.col(text)).alias("d"))
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "row", "hash", "id", "d.*"), "near-rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "rid")).alias("best")
     sets = rows.groupBy("digest").agg(F.min("rid").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("counts").alias("counts"), best)
     sets = materialise(sets.drop("digest"), "near-sets")
-    pairs = similar_pairs(sets.filter("n > 0"), rows.select("rid", F.col("row")[text].alias("text")), size, reach, similarity)
-    joined = connected_components(pairs)
+    joined = similar_groups(sets.filter("n > 0"), rows.select("rid", F.col("row")[text].alias("text")), size, reach, similarity)
     named = sets.join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
     stay = named.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
     # few rows go, so the texts needn't be shuffled
