@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,7 +96,9 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(plain_print(r["text"]) for r in kept.collect() if r) and kept.count() == len(set(root.values()))
+    stay = Counter(root[plain_print(r["text"])] for r in kept.collect())
+    assert stay == Counter(dict.fromkeys(root.values(), 1))
+    assert all(least[root[plain_print(r["text"])]] == r["doc_id"] for r in kept.collect())
 
 
 @pytest.mark.parametrize("most", [1 << 16, 40])
@@ -179,6 +182,9 @@ def test_token_counts(spark, docs, empty, tmp_path):
         stored = spark.read.parquet(cache)
         assert stored.count() == len({t or "" for _, t, *_ in rows()})
     assert token_counts.token_counts(empty).count() == 0
+    more = docs.limit(1).selectExpr("doc_id", "'a text that the cache lacks' AS text").union(docs.select("doc_id", "text"))
+    assert token_counts.token_counts(more, cache).count() == len(rows()) + 1
+    assert spark.read.parquet(cache).count() == len({t or "" for _, t, *_ in rows()}) + 1
 
 
 def test_packing(docs, empty):
@@ -242,11 +248,68 @@ def test_drop_toxic_keeps_columns(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(rows())
 
 
+def test_ftrl_equals_its_formula():
+    """Against a version that keeps a dictionary of coordinates and visits them one by one."""
+    r = np.random.default_rng(5)
+    given = [(np.unique(r.integers(0, 40, 12)) + 500 * (i % 3 == 0), int(i % 3 == 0)) for i in range(90)]
+    z, n = defaultdict(float), defaultdict(float)
+    positive = sum(y for _, y in given)
+    bias, bias_n, order = math.log((positive + 1) / (len(given) - positive + 1)), 1.0, np.random.default_rng(7)
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return (math.copysign(toxicity.L1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for k in order.permutation(len(given)):
+            at, y = given[k]
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= 0.1 * g / math.sqrt(bias_n)
+    at, w, b = toxicity.fit(given)
+    want = {i: weight(i) for i in list(z) if weight(i)}
+    assert want and dict(zip(at.tolist(), np.round(w, 9).tolist(), strict=True)) == {i: round(x, 9) for i, x in sorted(want.items())}
+    assert math.isclose(b, bias)
+
+
+def test_network_equals_its_formula():
+    """A probability from plain loops over positions, chunks and filters, for texts of every remainder."""
+    r = np.random.default_rng(9)
+    draw = lambda *shape: r.standard_normal(shape).astype(np.float32)
+    model = {"table": draw(quality.TAPS, quality.SYMBOLS, quality.FILTERS), "bias": draw(quality.FILTERS), "mean": draw(quality.FILTERS), "max": draw(quality.FILTERS), "base": draw(1)}
+    for size in (0, 1, 7, 8, 9, 100, 101, 255, 256, 257, 700):
+        text = words(size, 200)[:size]
+        x = quality.symbols(text)
+        assert len(x) >= size and [int(v) & 255 for v in x[:size]] == list(text.encode()) and (len(x) - quality.TAPS) % quality.STRIDE == 0
+        places = range(0, len(x) - quality.TAPS + 1, quality.STRIDE)
+        response = [[model["bias"][f] + sum(model["table"][j, x[p + j], f] for j in range(quality.TAPS)) for f in range(quality.FILTERS)] for p in places]
+        halves = [response[a : a + quality.HALF] for a in range(0, len(response), quality.HALF)]
+        chunks = [halves[i] + halves[i + 1] for i in range(len(halves) - 1)] or halves
+        top = [[max(0, max(row[f] for row in c)) for f in range(quality.FILTERS)] for c in chunks]
+        a = sum(np.mean([t[f] for t in top]) * model["mean"][f] + max(t[f] for t in top) * model["max"][f] for f in range(quality.FILTERS)) + model["base"][0]
+        assert math.isclose(quality.probability(model, text), 1 / (1 + math.exp(-max(-30, min(30, a)))), rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_training_rows_are_bounded(spark):
+    """A key that stands at many texts counts once; texts beyond the bound aren't learnt from."""
+    from spoofscan.llm import learning
+
+    docs = spark.createDataFrame([(i % 7, f"text {i}") for i in range(50)] + [(8, "x" * 500)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    got = learning.training_rows(docs, marks, "toxic", 4, 2, 5, most_bytes=100).collect()
+    assert len(got) <= 5 and len({x.id for x in got}) == len(got) and all(x.text == min(f"text {i}" for i in range(50) if i % 7 == x.id) for x in got)
+
+
 # --- 4 ---
 
 
 def test_fingerprints(docs, empty):
-    given = sorted(((i, t or "") for i, t, *_ in rows()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    given = sorted(((i, t or "") for i, t, *_ in rows()), key=lambda x: (x[0] is not None, x[0] or 0, xxhash.xxh64_intdigest(x[1].encode(), 42) >> 1))
     got = fingerprints.edited_fingerprints(docs).collect()
     want, distance = Counter(), []
     texts = [t for _, t in given]
@@ -270,6 +333,59 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def plain_signature(text):
+    """Consistent weighted sampling as its formula says, a term and a sample at a time."""
+    digest = lambda value, size, seed: xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=value < 0), seed)
+    counts, out = Counter(xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()), []
+    unit = lambda bits, at: ((bits >> at & (1 << 21) - 1) + 0.5) / (1 << 21)
+    for k in range(fingerprints.SAMPLES):
+        best = None
+        for h, n in counts.items():
+            a = digest(k, 4, digest(h, 8, 42))
+            b = digest(a, 8, 42)
+            r, ln_c, shift = -math.log(unit(a, 0) * unit(a, 21)), math.log(-math.log(unit(a, 42) * unit(b, 0))), unit(b, 21)
+            t = math.floor(math.log(n) / r + shift)
+            found = (ln_c - r * (t - shift + 1), (h ^ t) & 65535)
+            best = min(best, found) if best else found
+        out.append(f"{best[1]:04x}")
+    return "".join(out)
+
+
+def test_fingerprint_equals_its_formula(spark):
+    texts = [words(i, 5 + 30 * i, most=60) for i in range(4)] + ["one", "a a a b"]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.fingerprint for r in got} == {i: plain_signature(t) for i, t in enumerate(texts)}
+
+
+def test_text_without_spaces_has_many_terms(spark):
+    r = random.Random(6)
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(4000)) for _ in range(3)]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(0.35 < x.near_edited < 0.85 and x.near_next < 0.1 for x in got)
+
+
+@pytest.mark.parametrize("levels", [(4, 3, 2), (6,), (5, 5)])
+def test_ranges_rise_and_split_a_hot_key(spark, monkeypatch, levels):
+    """Half of the rows have one id: they are dealt by their texts' hash, and ranges rise with id and hash."""
+    monkeypatch.setattr(fingerprints, "LEVELS", levels)
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 40)
+    given = [(7, f"t{i}") for i in range(600)] + [(i, f"u{i}") for i in range(500)] + [(None, f"n{i}") for i in range(90)]
+    docs = spark.createDataFrame(given, "id long, text string").repartition(3)
+    got = fingerprints._ranges(docs.selectExpr("*", "shiftrightunsigned(xxhash64(text), 1) AS h")).collect()
+    order = sorted(got, key=lambda x: (x.id is not None, x.id or 0, x.h))
+    assert [x.range for x in order] == sorted(x.range for x in order) and len(got) == len(given)
+    hot = Counter(x.range for x in got if x.id == 7)
+    assert len(hot) >= 3 and max(hot.values()) < 400
+    nexts = fingerprints.with_next(docs).filter("NOT ghost").collect()
+    after = {x.text: x.next for x in nexts}
+    assert len(after) == len(given) and all(after[a.text] == b.text for a, b in zip(order, [*order[1:], order[0]], strict=True))
+
+
+def test_fingerprint_needs_numbers(spark):
+    with pytest.raises(ValueError, match="number"):
+        fingerprints.edited_fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_fingerprint_of_a_lone_document(spark):
     got = fingerprints.edited_fingerprints(spark.createDataFrame([(4, "a b c d e f g h")], "doc_id long, text string")).collect()
     assert len(got) == 1 and got[0].near_next == 1.0
@@ -311,20 +427,40 @@ def test_decoders():
     text = b"P3 # a comment\n7 5\n255\n" + b" ".join(b"%d" % x for x in colour.reshape(-1))
     assert (media.decode(text) == colour).all()
     assert (media.decode(b"P2\n7 5\n255\n" + b" ".join(b"%d" % x for x in flat.reshape(-1))) == flat).all()
-    bits = flat & 1
-    assert (media.decode(b"P1\n7 5\n" + b" ".join(b"%d" % (1 - x) for x in bits.reshape(-1))) == bits).all()
-    assert (media.decode(b"P4\n7 5\n" + np.packbits(1 - bits, axis=1).tobytes()) == bits).all()
+    bits = (flat & 1) * np.uint8(255)
+    assert (media.decode(b"P1\n7 5\n" + b" ".join(b"%d" % (x == 0) for x in bits.reshape(-1))) == bits).all()
+    assert (media.decode(b"P4\n7 5\n" + np.packbits(bits == 0, axis=1).tobytes()) == bits).all()
+    # any largest value fills the range of its type
+    assert media.decode(b"P2\n3 1\n15\n0 5 15").tolist() == [[0, 85, 255]]
+    assert media.decode(b"P5\n2 1\n1023\n" + b"\x03\xff\0\0").tolist() == [[65535, 0]]
     deep = r.integers(0, 65536, (3, 4), dtype=np.uint16)
     assert (media.decode(b"P5\n4 3\n65535\n" + deep.astype(">u2").tobytes()) == deep).all()
     for depth in (24, 32):
         assert (media.decode(bmp(colour, depth)) == colour).all()
     grey = np.repeat(flat[:, :, None], 3, 2)
     assert (media.decode(bmp(grey, 8)) == grey).all()
-    for bad in (b"", b"P9", b"P6\n2 2\n255\n\0", b"BM" + bytes(10)):
+    for bad in (b"", b"P9", b"P6\n2 2\n255\n\0", b"BM" + bytes(10), b"P2\n1 1\n255\n" + b"9" * 30, b"P2\n1 1\n255\n256", b"P5\n" + b"9" * 40 + b" 1\n255\n", b"P5\n1 1\n0\n\0", b"P2\n1 1\n" + b"9" * 5000):
         with pytest.raises(media.BadImage):
             media.decode(bad)
 
 
+def test_bit_fields():
+    """Masks say where a colour stands."""
+    head = lambda bits, packed, masks, data: b"BM" + bytes(8) + (54 + len(masks)).to_bytes(4, "little") + struct.pack("<IiiHHI", 40, 2, 1, 1, bits, packed) + bytes(20) + masks + data
+    masks = struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)
+    assert media.decode(head(32, 3, masks, bytes([1, 2, 3, 0, 4, 5, 6, 0]))).tolist() == [[[1, 2, 3], [4, 5, 6]]]
+    assert media.decode(head(16, 3, struct.pack("<III", 0xF800, 0x7E0, 0x1F), struct.pack("<HH", 0xF800, 0x07E0))).tolist() == [[[255, 0, 0], [0, 255, 0]]]
+    assert media.decode(head(16, 0, b"", struct.pack("<HH", 0x001F, 0x7FFF))).tolist() == [[[0, 0, 255], [255, 255, 255]]]
+
+
+def test_difference_hash_by_hand():
+    """Each bit says whether one of 8 x 9 blocks is brighter than its right neighbour."""
+    x = np.random.default_rng(3).integers(0, 256, (16, 27)).astype(np.uint8)
+    blocks = [[x[2 * i : 2 * i + 2, 3 * j : 3 * j + 3].mean() for j in range(9)] for i in range(8)]
+    want = int("".join("1" if a > b else "0" for row in blocks for a, b in zip(row[:-1], row[1:], strict=True)), 2)
+    assert media.difference_hash(x) == want
+
+
 def test_area_resize():
     x = np.arange(24.0).reshape(4, 6)
     assert np.allclose(media.area_resize(x, 2, 3), x.reshape(2, 2, 3, 2).mean((1, 3)))
@@ -334,7 +470,9 @@ def test_area_resize():
 
 def test_image_tiles(spark):
     image = media.encode_ppm(np.random.default_rng(2).integers(0, 256, (9, 9, 3), dtype=np.uint8))
-    got = media.image_tiles(spark.createDataFrame([(1, image), (2, b"junk"), (3, None)], "n int, image binary")).orderBy("n").collect()
+    table = spark.createDataFrame([(1, image, "x", 0), (2, b"junk", "x", 0), (3, None, "x", 0), (4, b"P2\n1 1\n255\n" + b"9" * 30, "x", 0)], "n int, image binary, _hash string, _row int")
+    got = media.image_tiles(table).orderBy("n").collect()
+    assert len(got[0]) == 8 and got[3]._error and not got[3]._tile
     assert np.load(io.BytesIO(bytes(got[0]._tile))).shape == (16, 16, 3) and len(got[0]._hash) == 16
     assert got[1]._error and got[1]._tile is None and got[2]._error is None and got[2]._tile is None
 
@@ -372,11 +510,28 @@ def test_suffix_dedup(spark, empty):
     assert all(sha(bytes(r.kept)) == r.kept_sha256 for r in got)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
     # the way of anchors with very many kinds of runs gives the same
-    rows_ = docs.selectExpr("coalesce(text, '') AS text", "xxhash64(doc_id, text) AS k1", "xxhash64(text, 1, doc_id) AS k2")
-    covers = lambda most: {(x.k1, x.k2, s) for x in suffix_dedup.repeated_spans(rows_, most=most).collect() for s in range(x.start, x.start + x.n)}
+    rows_ = docs.selectExpr("xxhash64(doc_id, text) AS uid", "coalesce(text, '') AS text").dropDuplicates(["uid"])
+    none = rows_.select("uid").filter("false")
+    covers = lambda most: {(x.uid, s) for x in suffix_dedup.repeated_spans(rows_, none, most=most).collect() for s in range(x.start, x.start + x.n)}
     assert covers(1) == covers(50_000)
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    """Ten thousand equal rows cost a span each; a text that quotes them loses the quotation."""
+    text = words(77, 80)
+    given = [(i, text) for i in range(10_000)] + [(20_000, "before " + text[40:300] + " after")]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(6)
+    rows_ = docs.selectExpr("monotonically_increasing_id() AS uid", "xxhash64(text) AS k1", "xxhash64(1, text) AS k2", "octet_length(text) AS bytes", "text")
+    from spoofscan.llm.common import materialise
+
+    rows_ = materialise(rows_, "test-rows")
+    equal = suffix_dedup.equal_texts(rows_.drop("text"), 200)
+    assert equal.count() == 10_000
+    assert suffix_dedup.repeated_spans(rows_, equal.filter("uid <> first").select("uid")).count() < 10
+    got = {(r.n_removed, r.n_spans): n for r, n in Counter(suffix_dedup.suffix_dedup(docs, with_text=False).drop("doc_id").collect()).items()}
+    assert got == {(len(text), 1): 10_000, (260, 1): 1}
+
+
 # --- 9 ---
 
 
@@ -438,19 +593,3 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
     out = line_dedup.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == len(rows())
-
-
-# --- the pipeline ---
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    names = [x for x, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "line dedup", "simhash near-dedup", "mixing", "packing"]
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, stage(spark, docs, DATA)
-        if name != "packing":
-            assert docs.columns == before.columns
-    assert {"doc_id", "sequence_id", "ids"} <= set(docs.columns) and docs.count() > 100

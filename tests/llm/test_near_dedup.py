@@ -73,7 +73,31 @@ def test_wide_ring_tells_each_near_pair_once(spark):
             prints.append(y)
     rows = [(i, int(np.uint64(p).view(np.int64)), 100 + i % 20) for i, p in enumerate(prints)]
     sets = spark.createDataFrame(rows, "node long, fp long, n int")
-    keyed = sets.select("node", "fp", "n", simhash.F.explode(simhash.wide_keys(simhash.F.col("fp"))).alias("k"))
+    keyed = sets.select("node", "fp", "n", simhash.F.col("node").alias("group"), simhash.F.explode(simhash.wide_keys(simhash.F.col("fp"))).alias("k"))
     near = keyed.repartition("k").sortWithinPartitions("k", "n").mapInArrow(simhash._near(15, simhash.Fraction("0.8")), "a long, b long")
     want = [(a, b) for b in range(len(prints)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 15 and 5 * min(rows[a][2], rows[b][2]) >= 4 * max(rows[a][2], rows[b][2])]
     assert sorted(map(tuple, near.collect())) == sorted(want) and len(want) > 200
+
+
+def test_a_dense_group_isn_t_turned_into_its_pairs(spark):
+    """Three hundred near copies of one text become one group by a number of trials that is linear in the group."""
+    from spoofscan.llm.components import connected_components
+
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(600)]
+    texts = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(r.randrange(1, 6)):
+            own[r.randrange(len(own))] = f"y{i}{r.randrange(99)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    sets = docs.select("rid", simhash._described(5)(simhash.F.col("text")).alias("d")).selectExpr("rid AS node", "d.fp", "d.n", "d.counts")
+    sets = simhash.materialise(sets, "test-sets")
+    first = simhash.similar_pairs(sets.withColumn("group", simhash.F.col("node")), docs, 5, 15, 0.8, nearest=True)
+    joined = connected_components(first)
+    grouped = sets.join(joined, "node", "left").selectExpr("node", "fp", "n", "counts", "coalesce(component, node) AS group")
+    more = simhash.similar_pairs(grouped, docs, 5, 15, 0.8)
+    assert first.count() + more.count() < 32 * 300
+    assert simhash.similar_groups(sets, docs, 5, 15, 0.8).select("component").distinct().count() == 1
+    assert simhash.keep_similar(docs.withColumnRenamed("rid", "doc_id")).count() == 1
