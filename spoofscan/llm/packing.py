@@ -26,6 +26,8 @@ from .common import arrow_texts, materialise, small_batches
 
 #: A shard ends at so many documents or tokens; BM25's usual constants; terms by which documents are sorted.
 SHARD_DOCS, SHARD_TOKENS, K1, B, LEADS = 2048, 4_000_000, 1.2, 0.75, 3
+#: Of a shard's terms, those in over one of so many documents (the most frequent, at most so many) are scored as a matrix.
+COMMON, MOST_COMMON = 16, 1024
 
 
 class Corpus(NamedTuple):
@@ -73,29 +75,41 @@ def leads(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
 
 
 class Index:
-    """BM25 over a shard, by the whole corpus's statistics: postings by term, sorted, in three flat arrays."""
+    """BM25 over a shard, by the whole corpus's statistics: scores by common terms, and postings of all other terms."""
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
         corpus = corpus or corpus_of(docs)
         doc, term, tf = terms(docs)
         here = np.bincount(term)
         weight = corpus.weight(term, tf, np.array([len(x) for x in docs], np.float64)[doc])
-        # a seed's query: all of its terms that another document of the shard has
-        asks = here[term] > 1
-        self.query = np.split(term[asks], np.cumsum(np.bincount(doc[asks], minlength=len(docs)))[:-1])
+        # most postings are of common terms: one product of matrices scores those for all seeds at once
+        n = len(docs)
+        common = np.argsort(-here, kind="stable")[:MOST_COMMON]
+        common = common[here[common] > max(n // COMMON, 1)]
+        row = np.full(len(here), -1)
+        row[common] = np.arange(len(common))
+        own = row[term] >= 0
+        weights, holds = np.zeros((len(common), n), np.float32), np.zeros((n, len(common)), np.float32)
+        weights[row[term[own]], doc[own]] = weight[own]
+        holds[doc[own], row[term[own]]] = 1
+        self.base = holds @ weights
+        # of the others, the postings; a seed asks by those that another document of the shard has
+        rare = ~own & (here[term] > 1)
+        doc, term, weight = doc[rare], term[rare], weight[rare]
+        self.query = np.split(term, np.cumsum(np.bincount(doc, minlength=n))[:-1])
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(here)])
-        self.n = len(docs)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(here)))])
+        self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with the seed, the best first."""
-        if not len(self.query[seed]):
-            return np.empty(0, np.int64)
-        spans = list(zip(self.start[self.query[seed]].tolist(), self.start[self.query[seed] + 1].tolist(), strict=True))
-        docs = np.concatenate([self.doc[a:b] for a, b in spans])
-        score = np.bincount(docs, np.concatenate([self.weight[a:b] for a, b in spans]), self.n) * unused
-        top = np.flatnonzero(score > 0)
+        score, query = self.base[seed], self.query[seed]
+        if len(query):
+            spans = list(zip(self.start[query].tolist(), self.start[query + 1].tolist(), strict=True))
+            docs = np.concatenate([self.doc[a:b] for a, b in spans])
+            score = score + np.bincount(docs, np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
+        top = np.flatnonzero((score > 0) & unused)
         return top[np.argsort(-score[top], kind="stable")]
 
 
@@ -127,28 +141,37 @@ def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None
             queue = deque(index.neighbours(d, unused).tolist())
 
 
+def _width(tokenizer: str, end_id: int) -> str:
+    """The type that holds all ids."""
+    return "<u2" if max(tokens.library(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def _encode(tokenizer: str, end_id: int):
     """Of texts, their ids and `end_id` as little-endian bytes."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         for batch in small_batches(batches):
-            found = tokens.encode(tokenizer, arrow_texts(batch))
-            yield pa.record_batch([batch.column("id"), pa.array([x + end for x in found], pa.binary())], names=["id", "ids"])
+            width = _width(tokenizer, end_id)
+            found = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(width).tobytes() for x in tokens.encode(tokenizer, arrow_texts(batch))]
+            yield pa.record_batch([batch.column("id"), pa.array(found, pa.binary())], names=["id", "ids"])
 
     return run
 
 
-def _ids(batch) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
+def _ids(batch, width: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), width) for x in batch.column("ids")]
+
+
+def _count_terms(width: str):
+    return lambda batches: _counted(batches, width)
 
 
-def _count_terms(batches):
+def _counted(batches, width: str):
     """A task's share of the statistics, a row a term that it saw; documents as term -1, tokens as -2."""
     docs = total = 0
     df = np.zeros(1, np.int64)
     for batch in small_batches(batches, "ids"):
-        ids = _ids(batch)
+        ids = _ids(batch, width)
         docs, total = docs + len(ids), total + sum(map(len, ids))
         own = np.bincount(terms(ids)[1], minlength=len(df))
         own[: len(df)] += df
@@ -157,9 +180,9 @@ def _count_terms(batches):
     yield pa.record_batch([pa.array([*term.tolist(), -1, -2], pa.int64()), pa.array([*df[term].tolist(), docs, total], pa.int64())], names=["term", "n"])
 
 
-def corpus_statistics(encoded: DataFrame) -> Corpus:
+def corpus_statistics(encoded: DataFrame, width: str) -> Corpus:
     """Statistics over all of `encoded`; what reaches the driver is bounded by the vocabulary."""
-    counts = encoded.select("ids").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = encoded.select("ids").mapInArrow(_count_terms(width), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     n = {r["term"]: r["n"] for r in counts.collect()}
     docs, total = n.pop(-1, 0), n.pop(-2, 0)
     df = np.zeros(max(n, default=0) + 1, np.int64)
@@ -167,19 +190,19 @@ def corpus_statistics(encoded: DataFrame) -> Corpus:
     return Corpus(docs, total / max(docs, 1), df)
 
 
-def _lead(sent):
+def _lead(sent, width: str):
     def run(batches):
         for batch in small_batches(batches, "ids"):
-            found = leads(_ids(batch), sent.value)
+            found = leads(_ids(batch, width), sent.value)
             yield pa.record_batch([*batch.columns, *(pa.array(found[:, i]) for i in range(LEADS))], names=[*batch.schema.names, *(f"lead{i}" for i in range(LEADS))])
 
     return run
 
 
-def _pack(window: int, with_ids: bool, sent):
+def _pack(window: int, with_ids: bool, sent, width: str):
     def shard(base: int, keys: list, ids: list[np.ndarray]):
         own = pack_shard(ids, window, sent.value)
-        cut = [ids[d][a : a + n] for d, a, n, _, _ in own]
+        cut = [ids[d][a : a + n].astype("<u4") for d, a, n, _, _ in own]
         columns = {
             "id": pa.chunked_array(keys).combine_chunks().take(pa.array([x[0] for x in own], pa.int64())),
             "start": pa.array([x[1] for x in own], pa.int64()),
@@ -196,7 +219,7 @@ def _pack(window: int, with_ids: bool, sent):
     def run(batches):
         base, keys, ids, total = TaskContext.get().partitionId() << 36, [], [], 0
         for batch in batches:
-            for i, own in enumerate(_ids(batch)):
+            for i, own in enumerate(_ids(batch, width)):
                 if ids and (len(ids) >= SHARD_DOCS or total >= SHARD_TOKENS):
                     out, used = shard(base, keys, ids)
                     yield out
@@ -220,12 +243,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, end_
     sc, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     encoded = StructType([StructField("id", kind), *StructType.fromDDL("ids binary")])
-    ids = materialise(rows.mapInArrow(_encode(tokenizer or tokens.default_path(), end_id), encoded), "pack-ids")
-    sent = sc.broadcast(corpus_statistics(ids))
+    tokenizer = tokenizer or tokens.default_path()
+    ids, width = materialise(rows.mapInArrow(_encode(tokenizer, end_id), encoded), "pack-ids"), _width(tokenizer, end_id)
+    sent = sc.broadcast(corpus_statistics(ids, width))
     names = [f"lead{i}" for i in range(LEADS)]
-    led = ids.mapInArrow(_lead(sent), StructType([*encoded, *StructType.fromDDL(", ".join(f"{x} int" for x in names))]))
+    led = ids.mapInArrow(_lead(sent, width), StructType([*encoded, *StructType.fromDDL(", ".join(f"{x} int" for x in names))]))
     order = [*names, F.xxhash64("ids"), "id"]
     dealt = led.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids")
     fields = [StructField(x, LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = StructType([StructField("id", kind), *fields, *StructType.fromDDL("ids array<int>")][: None if with_ids else -1])
-    return dealt.mapInArrow(_pack(window, with_ids, sent), schema).withColumnRenamed("id", key)
+    return dealt.mapInArrow(_pack(window, with_ids, sent, width), schema).withColumnRenamed("id", key)
