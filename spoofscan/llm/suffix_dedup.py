@@ -29,7 +29,7 @@ from .common import hash_join, materialise, release, small_batches
 
 WINDOW, ANCHOR = 200, 64
 #: Kinds of runs of one anchor that one task compares; bytes of a text that are ranked at once.
-MOST, BLOCK = 50_000, 1 << 20
+MOST, BLOCK = 1_000, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
