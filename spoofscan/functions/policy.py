@@ -27,19 +27,21 @@ HIGHLY_RESTRICTIVE = 3
 
 def username_problem(df: DataFrame, name: str, out: str = "problem") -> DataFrame:
     """`df` with the problem of a username, handle or slug; null if there is none or the name is null."""
-    t, c = text_functions(df.sparkSession), F.col(name)
-    level = t.restriction_level(c, F.col("_sets"))
+    t, c = text_functions(df.sparkSession), F.col("text")
+    level = t.restriction_level(c, F.col("sets"))
     reason = (
         F.when(~t.is_allowed(c), OUTSIDE)
         .when(level > HIGHLY_RESTRICTIVE, SCRIPTS)
         .when(t.has_mixed_numbers(c), NUMBERS)
         .when(t.has_unlikely_marks(c) | t.has_hidden_overlay(c), PILED_OR_HIDDEN)
     )
-    return with_scripts(df, name, "_sets").select(*df.columns, reason.alias(out))
+    wide = with_scripts(df.select(F.struct(*df.columns).alias("row"), F.col(name).alias("text")), "text", "sets")
+    return wide.select(*[F.col("row")[x].alias(x) for x in df.columns if x != out], reason.alias(out))
 
 
 def display_name_problem(t: TextFunctions, name: Column, raw: Column | None = None, graphemes: int = 50, utf8_bytes: int = 200) -> Column:
     """The problem of a display name. `raw`, its bytes as received, is tested for being text at all."""
+    name = name if raw is None else F.when(is_text(raw), name)
     reason = F.when(t.has_invisible(name), INVISIBLE).when(t.has_unlikely_marks(name), PILED)
     reason = reason.when(t.truncate(name, graphemes, max_utf8_bytes=utf8_bytes) != name, TOO_LONG)
     return reason if raw is None else F.when(~is_text(raw), NOT_TEXT).otherwise(reason)
@@ -47,6 +49,7 @@ def display_name_problem(t: TextFunctions, name: Column, raw: Column | None = No
 
 def filename_problem(t: TextFunctions, s: Skeletons, name: Column, raw: Column | None = None) -> Column:
     """The problem of an uploaded file's name: the extension that a reader sees must be the one it has."""
+    name = name if raw is None else F.when(is_text(raw), name)
     dot = F.length(name) - F.length(F.substring_index(name, ".", -1))
     extension = F.substring(name, dot, F.length(name))
     hidden = name.contains(".") & ~F.endswith(s.skeleton(name), s.skeleton(extension))

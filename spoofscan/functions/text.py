@@ -1,43 +1,53 @@
-"""Checks on a text column as plain Column expressions: patterns over character classes, no Python on the executors.
+"""Checks on a text column as Column expressions: patterns over character classes, and Arrow kernels where those don't do.
 
-Everything answers null for null. NFC and NFD come from the same ICU data as the classes, through a static method of the
-JVM, and only for texts that aren't ASCII.
+Everything answers null for null. ASCII texts stay in the JVM; the others go to Python for normal forms, contexts of
+invisible characters, and clusters. All of it is deterministic, so filters pass below these columns down to the scan.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.unicode import RECOMMENDED_SCRIPTS, Characters, characters, stretches, tree
+from ..sources.unicode import EGYPTIAN_SELECTORS, EMOJI_OF_TWO_STYLES, RECOMMENDED_SCRIPTS, VARIANTS, Characters, characters, stretches, tree
+from .kernels import FOUND, SEGMENTS, ZWJ, ZWNJ, Graphemes, Invisible, mapped, only
 
-ZWNJ, ZWJ = "\u200c", "\u200d"
 #: Marks in a row that are still likely; the levels of restriction by number.
 MOST_MARKS = 4
 LEVELS = {1: "ASCII_ONLY", 2: "SINGLE_SCRIPT", 3: "HIGHLY_RESTRICTIVE", 4: "MODERATELY_RESTRICTIVE", 5: "MINIMALLY_RESTRICTIVE", 6: "UNRESTRICTED"}
 #: The emoji tag sequences that are recommended for interchange: flags of England, Scotland, Wales. Fixed values.
 TAG_FLAGS = ("gbeng", "gbsct", "gbwls")
-#: A noncharacter that stands, while a text is judged, for a character whose context allows it.
-_SETTLED = "\ufdd0"
 
 
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
+_FORMS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _form(name: str, text: Column, plain: Column) -> Column:
+    spark = SparkSession.active()
+    made = _FORMS.setdefault(spark, {})
+    if name not in made:
+        chars = characters(spark)
+        made[name] = mapped(name, "string", chars.shipped("forms", lambda: chars.forms))
+    return only(~is_ascii(text), text, made[name], plain)
+
+
 def nfd(text: Column) -> Column:
-    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(False))
-    return F.when(is_ascii(text), text).when(text.isNotNull(), made)
+    return _form("nfd", text, text)
 
 
 def nfc(text: Column) -> Column:
-    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    return F.when(is_ascii(text), text).when(text.isNotNull(), made)
+    return _form("nfc", text, text)
 
 
 def casefold(text: Column) -> Column:
-    made = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
-    return F.when(is_ascii(text), F.lower(text)).when(text.isNotNull(), made)
+    return _form("folds", text, F.lower(text))
 
 
 def is_text(value: Column) -> Column:
@@ -82,9 +92,8 @@ class TextFunctions:
 
     def bidi_class(self, char: Column) -> Column:
         """The short name of one character's bidi class."""
-        kinds = "L R AL EN ES ET AN CS NSM BN B S WS ON LRE LRO RLE RLO PDF LRI RLI FSI PDI".split()
-        own = [F.when(char.rlike(f"^{self.chars.regex(f'[:bc={k}:]')}$"), F.lit(k)) for k in kinds]
-        return F.when(F.length(char) == 1, F.coalesce(*own))
+        sent = self.chars.shipped("bidi", lambda: _BidiClass(self.chars.bidi.classes))
+        return mapped("name", "string", sent)(F.when(F.length(char) == 1, char))
 
     # --- numbers and marks ---
 
@@ -127,44 +136,26 @@ class TextFunctions:
         """
         c, out = self.chars, []
         every = "[[:scx=Zyyy:][:scx=Zinh:]]"
-        join = {"A1": [], "A2": [], "B": []}
+        vowel = c.pattern("[:InSC=Vowel_Dependent:]")
         for s in c.scripts:
             own = f"[[:scx={s}:]{every}]"
             if c.count(f"[[:jt=L:][:jt=D:]]&[:scx={s}:]"):
-                pre = f"{c.regex(f'[[:jt=L:][:jt=D:]]&{own}')}{c.regex(f'[:jt=T:]&{own}')}*"
-                join["A1"].append((pre, c.regex(f"[[:jt=R:][:jt=D:]]&{own}")))
+                before = f"{c.pattern(f'[[:jt=L:][:jt=D:]]&{own}')}{c.pattern(f'[:jt=T:]&{own}')}*"
+                out.append((before, ZWNJ, f"(?={c.pattern(f'[[:jt=R:][:jt=D:]]&{own}')})"))
             if c.count(f"[:ccc=9:]&[:scx={s}:]"):
-                marks = c.regex(f"[[:Mn:]-[:ccc=0:]]&{own}")
-                letter = c.regex(f"[:L:]&{own}")
-                pre = f"{letter}{c.regex(f'[:Mn:]&{own}')}*{c.regex(f'[:ccc=9:]&{own}')}{marks}*"
-                join["A2"].append((pre, f"{marks}*{letter}"))
-                join["B"].append(pre)
-        vowel = c.regex("[:InSC=Vowel_Dependent:]")
-        out += [(pre, ZWNJ, f"(?={rest})") for kind in ("A1", "A2") for pre, rest in join[kind]]
-        out += [(pre, ZWJ, f"(?!{vowel})") for pre in join["B"]]
+                marks = c.pattern(f"[[:Mn:]-[:ccc=0:]]&{own}")
+                letter = c.pattern(f"[:L:]&{own}")
+                before = f"{letter}{c.pattern(f'[:Mn:]&{own}')}*{c.pattern(f'[:ccc=9:]&{own}')}{marks}*"
+                out += [(before, ZWNJ, f"(?={marks}*{letter})"), (before, ZWJ, f"(?!{vowel})")]
         return out
 
-    def _settle_joiners(self, composed: Column) -> Column:
-        """NFC text in which the joining controls that have a visible job are marked as settled."""
-        found = composed
-        for control in (ZWNJ, ZWJ):
-            # the prefix is kept: of each match, only the control at its end changes
-            parts = "|".join(f"(?:{pre}(?={control}{rest}))" for pre, c, rest in self._contexts if c == control)
-            whole = F.regexp_replace(found, f"({parts}){control}", f"$1{_SETTLED}")
-            found = F.when(found.contains(control), whole).otherwise(found)
-        return found
-
-    @property
-    def _contexts(self):
-        if not hasattr(self, "_found_contexts"):
-            self._found_contexts = self._joiner_contexts()
-        return self._found_contexts
+    def _asks(self, method: str, kind: str):
+        """A method of the kernel of invisible characters as a function of a column."""
+        return mapped(method, kind, self.chars.shipped("invisible", self._invisible))
 
     def joining_controls_in_context(self, text: Column) -> Column:
         """For each joining control, in order, whether its context allows it."""
-        settled = self._settle_joiners(nfc(text))
-        found = F.regexp_extract_all(settled, F.lit(f"[{ZWNJ}{ZWJ}{_SETTLED}]"), F.lit(0))
-        return F.transform(found, lambda c: c == _SETTLED)
+        return only(text.rlike(f"[{ZWNJ}{ZWJ}]"), text, self._asks("controls", "array<boolean>"), F.array().cast("array<boolean>"))
 
     def is_allowed(self, text: Column, joining_controls: bool = False) -> Column:
         """The General Security Profile under canonical equivalence.
@@ -176,12 +167,11 @@ class TextFunctions:
         goes_on = self.chars.regex("[^[[:ccc=0:]-[:NFC_QC=Maybe:]]]")
         composed = nfc(text)
         if joining_controls:
-            settled = self._settle_joiners(composed)
-            composed, text = F.replace(settled, F.lit(_SETTLED), F.lit("")), F.replace(settled, F.lit(_SETTLED), F.lit(""))
+            text = composed = only(text.rlike(f"[{ZWNJ}{ZWJ}]"), text, self._asks("allowed_controls_gone", "string"), composed)
         stretch = F.lit(f"(?s).{goes_on}*+")
-        both = F.arrays_zip(F.regexp_extract_all(nfd(text), stretch, F.lit(0)).alias("d"), F.regexp_extract_all(composed, stretch, F.lit(0)).alias("c"))
+        apart, together = F.regexp_extract_all(nfd(text), stretch, F.lit(0)), F.regexp_extract_all(composed, stretch, F.lit(0))
         fits = lambda s: F.coalesce(s.rlike(f"^{allowed}*+$"), F.lit(False))
-        return F.when(plain, True).when(is_ascii(text), False).otherwise(F.forall(both, lambda x: fits(x["d"]) | fits(x["c"])))
+        return F.when(plain, True).when(is_ascii(text), False).otherwise(F.forall(F.zip_with(apart, together, lambda d, c: fits(d) | fits(c)), lambda x: x))
 
     def restriction_level(self, text: Column, script_sets: Column, joining_controls: bool = False) -> Column:
         """The level, 1 to 6, of a text whose characters have `script_sets` (array<array<string>>, see with_scripts)."""
@@ -201,88 +191,81 @@ class TextFunctions:
 
     # --- invisible characters ---
 
-    @property
-    def _candidates(self) -> str:
-        return self.chars.regex("[:Cc:][:DI:]")
-
-    def _settle(self, composed: Column) -> Column:
-        """NFC text in which every invisible character that has a visible job is marked as settled."""
+    def _invisible(self) -> Invisible:
         c = self.chars
-        found = self._settle_joiners(composed)
-        picture = c.regex("[:Extended_Pictographic:]")
-        families = F.regexp_replace(found, f"({picture}{c.regex('[:gcb=Extend:]')}*){ZWJ}(?={picture})", f"$1{_SETTLED}")
-        found = F.when(found.contains(ZWJ), families).otherwise(found)
-        for name in TAG_FLAGS:
-            tags = "".join(chr(0xE0000 + ord(x)) for x in name) + "\U000e007f"
-            found = F.replace(found, F.lit("\U0001f3f4" + tags), F.lit("\U0001f3f4" + _SETTLED * len(tags)))
-        varied = found
-        for bases, selectors in self._variations():
-            varied = F.regexp_replace(varied, f"({bases}){selectors}", f"$1{_SETTLED}")
-        return F.when(found.rlike(c.regex("[:VS:]")), varied).otherwise(found)
+        tagged = lambda name: "\U0001f3f4" + "".join(chr(0xE0000 + ord(x)) for x in name) + "\U000e007f"
+        kinds = [("[:Cc:]", "control"), ("[:Bidi_C:]", "bidi-control"), (f"[{ZWNJ}{ZWJ}]", "join-control"), ("[\\U000E0000-\\U000E007F]", "tag"), ("[:VS:]", "variation-selector"), ("[:DI:]", "default-ignorable")]
+        emoji = (c.pattern("[:Extended_Pictographic:]"), c.pattern("[:gcb=Extend:]"))
+        contextual = c.pattern(f"[:VS:][{ZWNJ}{ZWJ}][\\U000E0000-\\U000E007F]")
+        return Invisible(c.forms, c.pattern("[:Cc:][:DI:]"), contextual, self._joiner_contexts(), emoji, [tagged(x) for x in TAG_FLAGS], self._variations(), [(c.pattern(x), name) for x, name in kinds])
 
     def _variations(self) -> list[tuple[str, str]]:
-        """(bases, selectors) that make variation sequences: emoji and text styles, ideographs, and standardized ones.
+        """(bases, selectors) that make variation sequences.
 
-        ICU doesn't carry the list of standardized variants. The families here are: styles of emoji that are text by
-        default or older than emoji, slashed zero, free variation selectors after Mongolian letters, and ideographs.
+        Those of the folder of Unicode's files if the session names one. Otherwise by rule: styles of emoji that are text
+        by default or stand in the list of others, ideographs that compatibility ideographs decompose to, free variation
+        selectors after Mongolian letters, rotated hieroglyphs; and the list of the rest. Selectors from the 17th on make
+        a sequence with any unified ideograph.
         """
         c = self.chars
-        emoji = "[[:Emoji:]-[:Emoji_Presentation:]-[:Emoji_Component:]][0-9#*][[:Emoji_Presentation:]&[\\u0000-\\uFFFF]]"
-        return [
-            (c.regex(emoji), "[\ufe0e\ufe0f]"),
-            ("0", "\ufe00"),
-            (c.regex("[:scx=Mong:]&[:L:]"), "[\u180b-\u180d\u180f]"),
-            (c.regex("[:Unified_Ideograph:]"), f"[\ufe00-\ufe02{chr(0xE0100)}-{chr(0xE01EF)}]"),
-        ]
-
-    def _kind(self, c: Column) -> Column:
-        chars = self.chars
-        return (
-            F.when(c.rlike(chars.regex("[:Cc:]")), "control")
-            .when(c.rlike(chars.regex("[:Bidi_C:]")), "bidi-control")
-            .when(c.rlike(f"[{ZWNJ}{ZWJ}]"), "join-control")
-            .when(c.rlike("[\\x{E0000}-\\x{E007F}]"), "tag")
-            .when(c.rlike(chars.regex("[:VS:]")), "variation-selector")
-            .otherwise("default-ignorable")
-        )
+        out = [(c.pattern("[:Unified_Ideograph:]"), f"[{chr(0xE0100)}-{chr(0xE01EF)}]")]
+        if c.variations is not None:
+            return out + [(c.pattern(x), selector) for selector, x in sorted(c.variations.items())]
+        emoji = "[[:Emoji:]-[:Emoji_Presentation:]-[:Emoji_Component:]][0-9#*][[:Emoji_Presentation:]&[\\u0000-\\uFFFF]]" + f"[{EMOJI_OF_TWO_STYLES}]"
+        out += [(c.pattern(emoji), "[\ufe0e\ufe0f]"), (c.pattern("[:scx=Mong:]&[:L:]"), "[\u180b-\u180d\u180f]"), (c.pattern("[:sc=Egyp:]"), f"[{EGYPTIAN_SELECTORS}]")]
+        varied = {x: set(y) for x, y in VARIANTS.items()}
+        for a, b in c.ranges("[[:NFD_QC=No:]&[:Ideographic:]]"):
+            for cp in range(a, b + 1):  # the n-th one of a base takes the n-th selector
+                base = c.forms.nfd(chr(cp))
+                selector = next(x for x in map(chr, range(0xFE00, 0xFE10)) if base not in varied.setdefault(x, set()))
+                varied[selector].add(base)
+        return out + [(f"[{''.join(sorted(bases))}]", selector) for selector, bases in sorted(varied.items()) if bases]
 
     def find_invisible(self, text: Column) -> Column:
-        """array<struct<pos, kind>> of invisible and control characters without a visible job.
-
-        Contexts are judged on the composed text; its n-th candidate is the n-th of the text as given.
-        """
-        one = self._candidates
-        at = F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("pos"), c.alias("c")))
-        at = F.filter(at, lambda x: x["c"].rlike(one))
-        marks = F.regexp_extract_all(self._settle(nfc(text)), F.lit(f"[{self._candidates}{_SETTLED}]"), F.lit(0))
-        both = F.zip_with(at, marks, lambda a, m: F.struct(a["pos"].alias("pos"), F.when(m != _SETTLED, self._kind(a["c"])).alias("kind")))
-        none = F.array().cast("array<struct<pos:int,kind:string>>")
-        return F.when(text.rlike(one), F.filter(both, lambda x: x["kind"].isNotNull())).when(text.isNotNull(), none)
+        """array<struct<pos, kind>> of invisible and control characters without a visible job."""
+        return only(text.rlike(self.chars.regex("[:Cc:][:DI:]")), text, self._asks("find", FOUND), F.array().cast(FOUND))
 
     def has_invisible(self, text: Column) -> Column:
-        settled = self._settle(nfc(text)).rlike(self._candidates)
-        return F.when(~text.rlike(self._candidates), False).when(is_ascii(text), True).otherwise(settled)
+        plain = text.rlike(self.chars.regex(f"[[:Cc:][:DI:]]-[:VS:]-[{ZWNJ}{ZWJ}]-[\\U000E0000-\\U000E007F]"))
+        asks = ~plain & text.rlike(self.chars.regex(f"[:VS:][{ZWNJ}{ZWJ}][\\U000E0000-\\U000E007F]"))
+        return only(asks, text, self._asks("any", "boolean"), plain)
 
     # --- graphemes ---
 
-    @property
-    def _cluster(self) -> str:
+    def _graphemes(self) -> Graphemes:
         """UAX #29's extended grapheme cluster; a linker joins the next consonant, whatever stands before it."""
         c = self.chars
-        kind = lambda name: c.regex(f"[:gcb={name}:]")
-        after = c.regex("[:gcb=Extend:][:gcb=ZWJ:][:gcb=SpacingMark:]")
-        link = f"(?:{after}*?{c.regex('[:InCB=Linker:]')}{c.regex('[:InCB=Extend:][:InCB=Linker:]')}*{c.regex('[:InCB=Consonant:]')})"
-        picture = c.regex("[:Extended_Pictographic:]")
+        kind = lambda name: c.pattern(f"[:gcb={name}:]")
+        after = c.pattern("[:gcb=Extend:][:gcb=ZWJ:][:gcb=SpacingMark:]")
+        link = f"(?:{after}*?{c.pattern('[:InCB=Linker:]')}{c.pattern('[:InCB=Extend:][:InCB=Linker:]')}*{c.pattern('[:InCB=Consonant:]')})"
+        picture = c.pattern("[:Extended_Pictographic:]")
         hangul = f"{kind('L')}*(?:{kind('V')}+|{kind('LV')}{kind('V')}*|{kind('LVT')}){kind('T')}*|{kind('L')}+|{kind('T')}+"
-        core = f"(?:{hangul}|{kind('RI')}{kind('RI')}|{picture}(?:{kind('Extend')}*\\x{{200D}}{picture})*|{c.regex('[^[:gcb=Control:][:gcb=CR:][:gcb=LF:][:gcb=Prepend:][:gcb=Extend:][:gcb=ZWJ:][:gcb=SpacingMark:]]')})"
+        core = f"(?:{hangul}|{kind('RI')}{kind('RI')}|{picture}(?:{kind('Extend')}*\u200d{picture})*|{c.pattern('[^[:gcb=Control:][:gcb=CR:][:gcb=LF:][:gcb=Prepend:][:gcb=Extend:][:gcb=ZWJ:][:gcb=SpacingMark:]]')})"
         before = kind("Prepend")
         # most characters are plain and stand before a plain one or the end
-        plain = "[\\x20-\\x7e\\xa1-\\xa8\\xaa-\\xac\\xaf-\\x{2ff}]"
-        return f"{plain}(?={plain}|\\n|\\z)|\\r\\n|{before}*{core}{link}*{after}*|{before}*{link}+{after}*|{before}+{after}*|{after}+|[\\s\\S]"
-
-    def graphemes(self, text: Column) -> Column:
-        """The extended grapheme clusters of a text, an array of strings that make it up."""
-        return F.regexp_extract_all(text, F.lit(self._cluster), F.lit(0))
+        plain = "[\\x20-\\x7e\\xa1-\\xa8\\xaa-\\xac\\xaf-\\u02ff]"
+        last = f"(?={plain}|\\n|\\Z)"
+        return Graphemes(f"{plain}{last}|\\r\\n|{before}*{core}{link}*{after}*|{before}*{link}+{after}*|{before}+{after}*|{after}+|.", f"{plain}+{last}")
+
+    def _clusters(self, method: str, kind: str):
+        return mapped(method, kind, self.chars.shipped("graphemes", self._graphemes))
+
+    def graphemes(self, text: Column, start: int = 0, end: int | None = None) -> Column:
+        """The extended grapheme clusters of text[start:end] (in characters, as in Python), strings that make it up."""
+        part = sliced(text, start, end)
+        plain = F.regexp_extract_all(part, F.lit(r"\r\n|[\s\S]"), F.lit(0))
+        return only(~is_ascii(part), part, self._clusters("clusters", "array<string>"), plain)
+
+    def grapheme_segments(self, text: Column, start: int = 0, end: int | None = None) -> Column:
+        """array<struct<start, end, text>>: the clusters of text[start:end] and where they stand in the text."""
+        offset, _ = _bounds(text, start, end)
+        found = self._clusters("segments", SEGMENTS)(sliced(text, start, end))
+        return F.transform(found, lambda x: F.struct((x["start"] + offset).alias("start"), (x["end"] + offset).alias("end"), x["text"].alias("text")))
+
+    def count_graphemes(self, text: Column) -> Column:
+        """The number of extended grapheme clusters of a text."""
+        plain = F.length(text) - F.regexp_count(text, F.lit(r"\r\n"))
+        return only(~is_ascii(text), text, self._clusters("count", "int"), plain)
 
     def truncate(self, text: Column, max_graphemes: int | None = None, *, max_code_points: int | None = None, max_utf8_bytes: int | None = None, max_utf16_units: int | None = None) -> Column:
         """The longest start of whole clusters within every limit given."""
@@ -291,28 +274,51 @@ class TextFunctions:
             raise TypeError("truncate() needs at least one limit")
         if any(x is not None and x < 0 for x in limits):
             raise ValueError("limits must not be negative")
-        start = F.struct(F.lit(True).alias("open"), *[F.lit(0).alias(n) for n in ("g", "c", "b", "u", "kept")])
-
-        def step(state: Column, cluster: Column) -> Column:
-            g, n = state["g"] + 1, state["c"] + F.length(cluster)
-            b, u = state["b"] + F.octet_length(cluster), state["u"] + utf16_units(cluster)
-            fits = state["open"]
-            for limit, value in zip(limits, (g, n, b, u), strict=True):
-                fits = fits if limit is None else fits & (value <= limit)
-            return F.struct(fits.alias("open"), g.alias("g"), n.alias("c"), b.alias("b"), u.alias("u"), F.when(fits, n).otherwise(state["kept"]).alias("kept"))
-
-        # no more characters can be kept than the sizes allow, and a cluster's end depends on the next character alone
-        sizes = [x for x in limits[1:] if x is not None]
-        near = F.substring(text, F.lit(1), F.lit(min(sizes) + 1)) if sizes else text
-        if max_graphemes is not None:
-            near = F.regexp_extract(near, f"^(?>{self._cluster}){{0,{max_graphemes + 1}}}", 0)
-        kept = F.reduce(self.graphemes(near), start, step)["kept"]
         n = F.length(text)
         short = [n * size <= limit for limit, size in zip(limits, (1, 1, 4, 2), strict=True) if limit is not None]
         whole = short[0]
         for x in short[1:]:
             whole &= x
-        return F.when(whole, text).otherwise(F.substring(text, F.lit(1), kept))
+        # an ASCII text without CR LF has a cluster, a byte and a unit a character
+        plain = is_ascii(text) & ~text.contains("\r\n")
+        sent = self.chars.shipped("graphemes", self._graphemes)
+        cut = mapped("cut", "string", self.chars.shipped(("cut", limits), lambda: _Cut(sent.value, limits)))
+        return F.when(whole, text).otherwise(only(~plain, text, cut, F.substring(text, F.lit(1), F.lit(min(x for x in limits if x is not None)))))
+
+
+class _BidiClass:
+    def __init__(self, classes) -> None:
+        self.classes = classes
+
+    def name(self, c: str) -> str:
+        from ..operators.bidi import CLASSES
+
+        return CLASSES[self.classes[ord(c)]]
+
+
+class _Cut:
+    """Graphemes.cut with limits."""
+
+    def __init__(self, graphemes: Graphemes, limits: tuple[int | None, ...]) -> None:
+        self.graphemes, self.limits = graphemes, limits
+
+    def cut(self, text: str) -> str:
+        return self.graphemes.cut(text, self.limits)
+
+
+def _bounds(text: Column, start: int, end: int | None) -> tuple[Column, Column]:
+    """(first, number) of the characters in text[start:end], as Python slices count."""
+    n = F.length(text)
+    place = lambda i: F.greatest(n + i, F.lit(0)) if i < 0 else F.least(n, F.lit(i))
+    first = place(start)
+    return first, F.greatest((n if end is None else place(end)) - first, F.lit(0))
+
+
+def sliced(text: Column, start: int = 0, end: int | None = None) -> Column:
+    if start == 0 and end is None:
+        return text
+    first, n = _bounds(text, start, end)
+    return F.substring(text, first + 1, n)
 
 
 def resolved(script_sets: Column) -> Column:

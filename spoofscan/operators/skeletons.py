@@ -2,100 +2,151 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, code_points, is_ascii, nfd, overlap, resolved, text_functions
+from ..functions.kernels import Forms, compiled, mapped, only
+from ..functions.text import casefold, code_points, is_ascii, overlap, resolved, text_functions
 from ..sources.unicode import characters, stretches, tree
-from .bidi import bidi_data, display
+from .bidi import BidiData, display
 
 #: Classes of characters that can raise a level to an odd one.
 _ODD = "[:bc=R:][:bc=AL:][:bc=AN:][:bc=RLE:][:bc=RLO:][:bc=RLI:]"
 
 
+class Looks(NamedTuple):
+    """The kernel of skeletons: normal form, display order, prototypes, normal form."""
+
+    forms: Forms
+    prototypes: dict[int, str]
+    bidi: BidiData
+    odd: str
+
+    def internal(self, text: str) -> str:
+        return self.forms.nfd(self.forms.nfd(text).translate(self.prototypes))
+
+    def shown(self, text: str, direction: str) -> str:
+        """The text in display order; left to right, one that can't reach an odd level is shown as it is written."""
+        return text if direction == "ltr" and not compiled(self.odd).search(text) else display(text, self.bidi, direction)
+
+    def ltr(self, text: str) -> str:
+        return self.internal(self.shown(text, "ltr"))
+
+    def rtl(self, text: str) -> str:
+        return self.internal(self.shown(text, "rtl"))
+
+    def auto(self, text: str) -> str:
+        return self.internal(self.shown(text, "auto"))
+
+    def shown_ltr(self, text: str) -> str:
+        return self.shown(text, "ltr")
+
+    def shown_rtl(self, text: str) -> str:
+        return self.shown(text, "rtl")
+
+    def shown_auto(self, text: str) -> str:
+        return self.shown(text, "auto")
+
+
 class Skeletons:
-    """Skeleton expressions bound to one session's Unicode data."""
+    """Skeleton expressions bound to one session's Unicode data.
+
+    Left to right, ASCII texts are answered in the JVM; all others go through one Arrow function.
+    """
 
     def __init__(self, spark) -> None:
-        self.spark = spark
-        self.chars = characters(spark)
-        self._looks = spark.sparkContext.broadcast(str.maketrans(self.chars.prototypes))
-        self._bidi = None
+        self.spark, self.chars = spark, characters(spark)
+        self._sent = self.chars.shipped("looks", lambda: Looks(self.chars.forms, str.maketrans(self.chars.prototypes), self.chars.bidi, self.chars.pattern(_ODD)))
+
+    def _ascii(self, text: Column) -> Column:
+        """The skeleton of an ASCII text: characters for which one stands at once, the others one after the other."""
+        looks = {c: s for c, s in self.chars.prototypes.items() if c < "\x80"}
+        single = {c: s for c, s in looks.items() if len(s) == 1}
+        several = {c: s for c, s in looks.items() if len(s) != 1}
+        # what one replacement makes, no later one may take up
+        order = sorted(several, key=lambda c: sum(c in s for s in several.values()), reverse=True)
+        assert not set(order) & set("".join(single.values())) and not any(b in several[a] for i, a in enumerate(order) for b in order[i:])
+        text = F.translate(text, "".join(single), "".join(single.values()))
+        for c in order:
+            text = F.replace(text, F.lit(c), F.lit(several[c]))
+        return text
+
+    def _kernel(self, method: str):
+        return mapped(method, "string", self._sent)
 
     def internal(self, text: Column) -> Column:
         """The skeleton without regard to display: decomposed, each character replaced by what it looks like."""
-        looks = self._looks
-
-        @F.pandas_udf("string")
-        def replaced(texts: pd.Series) -> pd.Series:
-            table = looks.value
-            return texts.map(lambda x: x.translate(table), na_action="ignore")
-
-        return nfd(replaced(nfd(text)))
+        return only(~is_ascii(text), text, self._kernel("internal"), self._ascii(text))
 
     def displayed(self, text: Column, direction: str = "ltr") -> Column:
-        """The text in display order. Texts that can't reach an odd level stay out of Python."""
-        if direction not in ("ltr", "rtl", "auto"):
-            raise ValueError(f"direction must be 'ltr', 'rtl', 'auto' or None, not {direction!r}")
-        if self._bidi is None:
-            self._bidi = self.spark.sparkContext.broadcast(bidi_data(self.chars))
-        data = self._bidi
-
-        @F.pandas_udf("string")
-        def shown(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda x: display(x, data.value, direction), na_action="ignore")
-
-        if direction == "rtl":
-            return shown(text)
-        turns = text.rlike(self.chars.regex(_ODD))
-        return F.coalesce(shown(F.when(turns, text)), text)
+        """The text in display order. Left to right, texts that can't reach an odd level stay out of Python."""
+        turns = F.lit(True) if self._direction(direction) != "ltr" else ~is_ascii(text) & text.rlike(self.chars.regex(_ODD))
+        return only(turns, text, self._kernel(f"shown_{direction}"), text)
 
     def skeleton(self, text: Column, direction: str | None = "ltr") -> Column:
         """Two texts look alike if these are equal. Null for null; an empty text's is empty."""
-        return self.internal(text if direction is None else self.displayed(text, direction))
+        if direction is None:
+            return self.internal(text)
+        if self._direction(direction) != "ltr":
+            return self._kernel(direction)(text)
+        return only(~is_ascii(text), text, self._kernel("ltr"), self._ascii(text))
+
+    @staticmethod
+    def _direction(direction: str) -> str:
+        if direction not in ("ltr", "rtl", "auto"):
+            raise ValueError(f"direction must be 'ltr', 'rtl', 'auto' or None, not {direction!r}")
+        return direction
 
 
-def _values(spark, table, kind: str):
-    """A function of a text column: the sorted distinct values of a text's characters, each looked up in a table of code
-    points. The table is bounded by Unicode, so it goes to every task and no row is shuffled."""
-    sent = spark.sparkContext.broadcast(table)
+class ValuesOf:
+    """The sorted distinct values of a text's characters, each looked up in a table of code points (number by code point,
+    values). The table is bounded by Unicode, so it goes to every task and no row is shuffled."""
 
-    @F.pandas_udf(kind)
-    def found(texts: pd.Series) -> pd.Series:
-        index, values = sent.value
-        known: dict[frozenset, list] = {}
+    def __init__(self, table) -> None:
+        self.index, self.values = table
+        self.known: dict[frozenset, list] = {}
 
-        def of(text: str) -> list:
-            own = frozenset(index[list(map(ord, set(text)))].tolist())
-            if own not in known:
-                known[own] = sorted(values[i] for i in own)
-            return known[own]
+    def of(self, text: str) -> list:
+        own = frozenset(self.index[list(map(ord, set(text)))].tolist())
+        if own not in self.known:
+            self.known[own] = sorted(self.values[i] for i in own)
+        return self.known[own]
 
-        return texts.map(of, na_action="ignore")
+    scripts = aliases = of
 
-    return found
 
+def _of_characters(chars, text: Column, name: str, kind: str, letters: Column, others: Column) -> Column:
+    """The values of a text's characters; ASCII texts are answered in the JVM and stay out of Python."""
+    sent = chars.shipped(name, lambda: ValuesOf(chars.script_table if name == "scripts" else chars.alias_table))
+    plain = F.array_compact(F.array(F.when(text.rlike("[^A-Za-z]"), others), F.when(text.rlike("[A-Za-z]"), letters)))
+    return only(~is_ascii(text), text, mapped(name, kind, sent), F.sort_array(plain))
 
-def _of_characters(df: DataFrame, text: str, out: str, table, kind: str, letters, others) -> DataFrame:
-    """`df` with the values of each text's characters; ASCII texts are answered in the JVM and stay out of Python."""
-    c = F.col(text)
-    plain = F.array_compact(F.array(F.when(c.rlike("[^A-Za-z]"), others), F.when(c.rlike("[A-Za-z]"), letters)))
-    return df.withColumn(out, F.when(is_ascii(c), F.sort_array(plain)).otherwise(_values(df.sparkSession, table, kind)(F.when(~is_ascii(c), c))))
 
+def script_sets(spark, text: Column) -> Column:
+    """The sorted distinct augmented script sets of a text's characters, array<array<string>>; null for null."""
+    latin, every = (F.array(*[F.lit(x) for x in own]) for own in (["Hntl", "Latn"], ["ALL"]))
+    return _of_characters(characters(spark), text, "scripts", "array<array<string>>", latin, every)
 
-def with_scripts(df: DataFrame, text: str, script_sets: str = "script_sets") -> DataFrame:
-    """`df` with the sorted distinct augmented script sets of each text's characters, array<array<string>>; null for null.
 
-    A column of that name is replaced.
-    """
-    latin, every = (F.array(*[F.lit(x) for x in own]) for own in (["Hntl", "Latn"], ["ALL"]))
-    return _of_characters(df, text, script_sets, characters(df.sparkSession).script_table, "array<array<string>>", latin, every)
+def with_scripts(df: DataFrame, text: str, out: str = "script_sets") -> DataFrame:
+    """`df` with the script sets of each text's characters. A column of that name is replaced."""
+    return df.withColumn(out, script_sets(df.sparkSession, F.col(text)))
 
 
 def with_aliases(df: DataFrame, text: str, out: str = "aliases") -> DataFrame:
     """`df` with the sorted distinct script names, in capitals, of each text's characters; null for null."""
-    return _of_characters(df, text, out, characters(df.sparkSession).alias_table, "array<string>", F.lit("LATIN"), F.lit("COMMON"))
+    return df.withColumn(out, _of_characters(characters(df.sparkSession), F.col(text), "aliases", "array<string>", F.lit("LATIN"), F.lit("COMMON")))
+
+
+def shared_scripts(df: DataFrame, by: list[str], text: str, out: str = "shared_scripts") -> DataFrame:
+    """(by..., out) the scripts that all characters of all of a group's texts share.
+
+    What is gathered for a group are its distinct sets, of which Unicode has a few hundred.
+    """
+    each = df.select(*by, F.explode(script_sets(df.sparkSession, F.col(text))).alias("set")).distinct()
+    return each.groupBy(*by).agg(resolved(F.collect_set("set")).alias(out))
 
 
 def mixes_aliases(aliases: Column, allowed: tuple[str, ...] = ("COMMON",)) -> Column:
@@ -103,23 +154,31 @@ def mixes_aliases(aliases: Column, allowed: tuple[str, ...] = ("COMMON",)) -> Co
     return F.size(F.array_except(aliases, F.array(*[F.lit(a.upper()) for a in allowed]).cast("array<string>"))) > 1
 
 
-def homoglyph_report(df: DataFrame, text: str, greedy: bool = False, preferred: tuple[str, ...] = (), out: str = "homoglyphs") -> DataFrame:
-    """`df` with array<struct<character, alias, homoglyphs>> of the characters that look like others, in order.
-
-    With `preferred` script names, only characters of other scripts that look like one of a preferred script count.
-    Without `greedy`, the first alone is listed. Empty if there are none; null for null.
-    """
-    chars, names = characters(df.sparkSession), [a.upper() for a in preferred]
+def _homoglyph_table(chars, names: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """(rows (cp, homoglyphs, alias) of the characters that count, a class of them), made once a session and argument."""
+    if names in chars.homoglyph_tables:
+        return chars.homoglyph_tables[names]
     table = chars.homoglyphs.filter(F.length("character") == 1).select(F.ascii("character").alias("cp"), "homoglyphs")
     if names:
         part = table.select("cp", F.explode("homoglyphs").alias("h")).select("cp", F.explode(code_points(F.col("h.c"))).alias("c"))
-        good = part.join(F.broadcast(chars.aliases.withColumnRenamed("cp", "of")), F.ascii("c") == F.col("of")).filter(F.col("alias").isin(names))
+        good = part.join(F.broadcast(chars.aliases.withColumnRenamed("cp", "of")), F.ascii("c") == F.col("of")).filter(F.col("alias").isin(list(names)))
         table = table.join(good.select("cp").distinct(), "cp", "left_semi")
     table = table.join(chars.aliases.select("cp", "alias"), "cp", "left").withColumn("alias", F.coalesce("alias", F.lit("Unknown")))
-    table = table.filter(~F.col("alias").isin(names)) if names else table
+    table = table.filter(~F.col("alias").isin(list(names))) if names else table
     looks = chars.stored(table, "looks")
     # only the characters that count are looked up, and without `greedy` one a text, which no row is shuffled for
     known = tree(stretches({chr(r.cp) for r in looks.select("cp").collect()})) or "[a&&b]"
+    chars.homoglyph_tables[names] = looks, known
+    return looks, known
+
+
+def homoglyph_report(df: DataFrame, text: str, greedy: bool = False, preferred: tuple[str, ...] = (), out: str = "homoglyphs") -> DataFrame:
+    """`df` with array<struct<character, alias, homoglyphs>> of the characters that look like others, in order.
+
+    With `preferred` script names, only characters of other scripts that look like one of a preferred script count.
+    Without `greedy`, the first alone is listed. Empty if there are none; null for null.
+    """
+    looks, known = _homoglyph_table(characters(df.sparkSession), tuple(sorted(a.upper() for a in preferred)))
     own = F.filter(F.array_distinct(code_points(F.col(text))), lambda c: c.rlike(known))
     own = F.when(F.col(text).rlike(known), own if greedy else F.slice(own, 1, 1)).otherwise(F.array().cast("array<string>"))
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).isNull().alias("_null"), own.alias("_own"))
@@ -149,9 +208,21 @@ def match_class(skeletons_equal: Column, a_sets: Column, b_sets: Column) -> Colu
 def match_pairs(df: DataFrame, a: str, b: str, direction: str | None = "ltr", out: str = "match") -> DataFrame:
     """`df` with the class of how two of its columns look alike."""
     s = Skeletons(df.sparkSession)
-    wide = df.withColumn("_sa", s.skeleton(F.col(a), direction)).withColumn("_sb", s.skeleton(F.col(b), direction))
-    wide = with_scripts(with_scripts(wide, a, "_xa"), b, "_xb")
-    return wide.withColumn(out, match_class(F.col("_sa") == F.col("_sb"), F.col("_xa"), F.col("_xb"))).drop("_sa", "_sb", "_xa", "_xb")
+    wide = df.select(F.struct(*df.columns).alias("row"), F.col(a).alias("a"), F.col(b).alias("b"))
+    wide = with_scripts(with_scripts(wide, "a", "sets_a"), "b", "sets_b")
+    own = match_class(s.skeleton(F.col("a"), direction) == s.skeleton(F.col("b"), direction), F.col("sets_a"), F.col("sets_b"))
+    return wide.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], own.alias(out))
+
+
+def is_mixed_match(match: Column) -> Column:
+    """Whether a match class is one of mixed scripts, whole-script ones included; null where nothing matches."""
+    return match != "single-script"
+
+
+def is_mixed_script(df: DataFrame, text: str, out: str = "is_mixed_script") -> DataFrame:
+    """`df` with whether no script is shared by all of a text's characters; null for null."""
+    wide = with_scripts(df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text")), "text", "sets")
+    return wide.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], (F.size(resolved(F.col("sets"))) == 0).alias(out))
 
 
 def username_keys(s: Skeletons, name: Column) -> Column:
@@ -165,12 +236,11 @@ def lookalike_join(left: DataFrame, right: DataFrame, left_on: str, right_on: st
     With `how` 'left_semi' or 'left_anti', rows of `left` that do or don't look like any of `right`.
     """
     s = Skeletons(left.sparkSession)
-    a = left.withColumn("_look", s.skeleton(F.col(left_on), direction))
-    b = right.withColumn("_look_right", s.skeleton(F.col(right_on), direction))
+    a = left.select(F.struct(*left.columns).alias("row_a"), s.skeleton(F.col(left_on), direction).alias("look_a"))
+    b = right.select(F.struct(*right.columns).alias("row_b"), s.skeleton(F.col(right_on), direction).alias("look_b"))
     if how in ("left_semi", "left_anti"):
-        b = b.select("_look_right").distinct()
-    out = a.join(b, F.col("_look") == F.col("_look_right"), how)
-    return out.drop("_look", "_look_right")
+        return a.join(b.select("look_b").distinct(), F.col("look_a") == F.col("look_b"), how).select("row_a.*")
+    return a.join(b, F.col("look_a") == F.col("look_b"), how).select("row_a.*", "row_b.*")
 
 
 def lookalike_groups(df: DataFrame, text: str, direction: str | None = "ltr") -> DataFrame:
@@ -188,31 +258,30 @@ def protected(df: DataFrame, name: str, protected_names: list[str] | DataFrame,
     """
     spark, s = df.sparkSession, Skeletons(df.sparkSession)
     names = protected_names if isinstance(protected_names, DataFrame) else spark.createDataFrame([(x,) for x in protected_names], "name string")
-    keys = names.select(F.explode(username_keys(s, F.col(names.columns[0]))).alias("_key")).filter("_key IS NOT NULL").distinct()
-    wide = df.withColumn("_k1", s.skeleton(F.col(name))).withColumn("_k2", s.skeleton(casefold(F.col(name))))
-    first, second = keys.select(F.col("_key").alias("_k1"), F.lit(True).alias("_hit1")), keys.select(F.col("_key").alias("_k2"), F.lit(True).alias("_hit2"))
-    wide = wide.join(first, "_k1", "left").join(second, "_k2", "left")
-    hit = F.coalesce("_hit1", "_hit2", F.lit(False))
-    return wide.select(*df.columns, hit.alias(flag))
+    keys = names.select(F.explode(username_keys(s, F.col(names.columns[0]))).alias("key")).filter("key IS NOT NULL").distinct()
+    wide = df.select(F.struct(*df.columns).alias("row"), s.skeleton(F.col(name)).alias("k1"), s.skeleton(casefold(F.col(name))).alias("k2"))
+    first, second = keys.select(F.col("key").alias("k1"), F.lit(True).alias("hit1")), keys.select(F.col("key").alias("k2"), F.lit(True).alias("hit2"))
+    wide = wide.join(first, "k1", "left").join(second, "k2", "left")
+    return wide.select(*[F.col("row")[c].alias(c) for c in df.columns if c != flag], F.coalesce("hit1", "hit2", F.lit(False)).alias(flag))
 
 
 def spoof_report(df: DataFrame, text: str) -> DataFrame:
-    """`df` with everything a reviewer asks of a text: one pass for scripts, the rest as expressions of the same row."""
-    t, c = text_functions(df.sparkSession), F.col(text)
+    """`df` with everything a reviewer asks of a text, as expressions of the same row. Columns of these names are replaced."""
+    t, c, sets = text_functions(df.sparkSession), F.col("text"), F.col("sets")
     s = Skeletons(df.sparkSession)
-    wide = with_scripts(df, text, "_sets")
-    return wide.select(
-        *df.columns,
-        s.skeleton(c).alias("skeleton"),
-        resolved(F.col("_sets")).alias("resolved_scripts"),
-        (F.size(resolved(F.col("_sets"))) == 0).alias("is_mixed_script"),
-        t.restriction_level(c, F.col("_sets")).alias("restriction_level"),
-        t.is_allowed(c).alias("is_allowed"),
-        t.has_mixed_numbers(c).alias("has_mixed_numbers"),
-        t.has_unlikely_marks(c).alias("has_unlikely_marks"),
-        t.has_hidden_overlay(c).alias("has_hidden_overlay"),
-        t.find_invisible(c).alias("invisible"),
-    )
-
-
-__all__ = [n for n in globals() if not n.startswith("_") and n not in ("annotations", "pd", "Column", "DataFrame", "F", "is_ascii")]
+    wide = with_scripts(df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text")), "text", "sets")
+    report = {
+        "skeleton": s.skeleton(c),
+        "resolved_scripts": resolved(sets),
+        "is_mixed_script": F.size(resolved(sets)) == 0,
+        "restriction_level": t.restriction_level(c, sets),
+        "is_allowed": t.is_allowed(c),
+        "has_mixed_numbers": t.has_mixed_numbers(c),
+        "has_unlikely_marks": t.has_unlikely_marks(c),
+        "has_hidden_overlay": t.has_hidden_overlay(c),
+        "invisible": t.find_invisible(c),
+    }
+    return wide.select(*[F.col("row")[x].alias(x) for x in df.columns if x not in report], *[x.alias(name) for name, x in report.items()])
+
+
+__all__ = [n for n in globals() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "F", "is_ascii")]

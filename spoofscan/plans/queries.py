@@ -64,36 +64,22 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The eight ASCII characters that look like others. Fixed values.
-ASCII_SINGLE = ("01I`|", "Oll'l")
 ASCII_SKELETON_SQL = "replace(replace(replace(translate({}, '01I`|', 'Oll''l'), 'm', 'rn'), '\"', ''''''), '%', '°/₀')"
 #: The Arabic-Indic digit one looks like l.
 LOOKS_SQL = ASCII_SKELETON_SQL.format(f"translate(replace(name, '{ZWSP}', ''), '{CYRILLIC}{OMICRON}\u0661', 'aeool')")
 
 
-def ascii_skeleton(c):
-    """The look-alike skeleton of ASCII text, all in the JVM."""
-    c = F.replace(F.translate(c, *ASCII_SINGLE), F.lit("m"), F.lit("rn"))
-    return F.replace(F.replace(c, F.lit('"'), F.lit("''")), F.lit("%"), F.lit("°/₀"))
-
-
 # --- look-alikes ---
 
 
 @query(f"""
-WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer
-           UNION ALL SELECT c_custkey, translate(c_name, '0l', 'O1') FROM customer),
-k AS (SELECT id, name, {ASCII_SKELETON_SQL.format("name")} AS skeleton FROM n)
-SELECT skeleton, count(*) AS n_rows, count(DISTINCT name) AS n_names, min(name) AS first_name, max(name) AS last_name
+WITH {NAMES_SQL}, both_ways AS (SELECT name FROM names UNION ALL SELECT plain FROM names), k AS (SELECT name, {LOOKS_SQL} AS skeleton FROM both_ways)
+SELECT skeleton, count(*) AS n_rows, count(DISTINCT name) AS n_texts, min(name) AS first_text, max(name) AS last_text
 FROM k GROUP BY skeleton HAVING count(DISTINCT name) > 1
 """)
 def lookalike_groups(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    spoofed = c.select(F.col("c_custkey").alias("id"), F.translate("c_name", "0l", "O1").alias("name"))
-    both = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(spoofed)
-    keyed = both.withColumn("skeleton", ascii_skeleton(F.col("name")))
-    once = keyed.groupBy("skeleton", "name").agg(F.count("*").alias("n"))
-    groups = once.groupBy("skeleton").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
-    return groups.filter("n_names > 1")
+    n = names(spark, sf_dir)
+    return S.lookalike_groups(n.select("name").union(n.select("plain")), "name")
 
 
 @query(f"WITH {NAMES_SQL} SELECT id, {LOOKS_SQL} AS skeleton FROM names")
@@ -273,7 +259,7 @@ FAMILY, FLAG = "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f1fa\U0001f1
 def graphemes_of_documents(spark, sf_dir):
     t = text_functions(spark)
     d = table(spark, sf_dir, "documents")
-    n = F.size(t.graphemes(F.concat("text", F.lit("e\u0301" + FAMILY + FLAG + FLAG)))).cast("long")
+    n = t.count_graphemes(F.concat("text", F.lit("e\u0301" + FAMILY + FLAG + FLAG))).cast("long")
     return d.select("doc_id", n.alias("n_graphemes"), t.truncate(F.concat("text", F.lit(FAMILY)), 50).alias("shown"))
 
 
@@ -339,6 +325,63 @@ def spoof_report(spark, sf_dir):
     return out.select("id", "restriction_level", "is_mixed_script", "is_allowed", "has_mixed_numbers", "has_unlikely_marks", "has_hidden_overlay", F.size("invisible").alias("n_invisible"))
 
 
+# --- more of single characters, contexts and directions ---
+
+
+@query("""
+WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents)
+SELECT c AS character, CASE WHEN regexp_matches(c, '^[A-Za-z0-9_\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}]$') THEN 'Recommended' WHEN regexp_matches(c, '^[''\\-.:]$') THEN 'Inclusion'
+  WHEN regexp_matches(c, '^[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f]$') THEN 'Not_Character' ELSE 'Not_XID' END AS types
+FROM c WHERE c <> ''
+""")
+def identifier_types_of_characters(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").select(F.explode(code_points(F.col("text"))).alias("character")).distinct()
+    return c.select("character", F.array_join(text_functions(spark).identifier_types(F.col("character")), " ").alias("types"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, latin AND (spoofed OR arabic) AS dangerous FROM facts")
+def dangerous_names(spark, sf_dir):
+    return S.is_dangerous(names(spark, sf_dir).select("id", "name"), "name", preferred=("latin",), out="dangerous").select("id", "dangerous")
+
+
+#: By key modulo 4: a joining control between Arabic letters that join, between Latin ones, after a virama, and none.
+_JOINED = {0: "\u0628\u200c\u062d", 1: "x\u200cy", 2: "\u0915\u094d\u200d", 3: "xy"}
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' ELSE '' END AS in_context,
+  p_partkey % 4 = 1 AS reported, p_partkey % 4 <> 1 AS allowed FROM part""")
+def joining_controls(spark, sf_dir):
+    t, turn = text_functions(spark), F.col("p_partkey") % 4
+    text = F.lit(_JOINED[3])
+    for k in (0, 1, 2):
+        text = F.when(turn == k, F.lit(_JOINED[k])).otherwise(text)
+    p = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    c = F.col("text")
+    found = F.array_join(F.transform(t.joining_controls_in_context(c), lambda x: x.cast("string")), ",")
+    return p.select("p_partkey", found.alias("in_context"), t.has_invisible(c).alias("reported"), t.is_allowed(c, joining_controls=True).alias("allowed"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT id, regexp_matches(name, '\\x{{301}}\\x{{301}}') AS repeated FROM names")
+def repeated_marks(spark, sf_dir):
+    return names(spark, sf_dir).select("id", text_functions(spark).has_repeated_mark(F.col("name")).alias("repeated"))
+
+
+@query(f"SELECT p_partkey, '!' || p_name || ')' AS right_to_left, '12 {BET}{ALEF}' AS left_to_right, '12 {BET}{ALEF}' AS by_itself FROM part")
+def display_in_directions(spark, sf_dir):
+    """Right to left, what stands around Latin text changes sides and mirrors; a text's first letter decides by itself."""
+    s, latin, hebrew = S.Skeletons(spark), F.concat(F.lit("("), "p_name", F.lit("!")), F.lit(f"12 {ALEF}{BET}")
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", s.displayed(latin, "rtl").alias("right_to_left"), s.displayed(hebrew, "ltr").alias("left_to_right"), s.displayed(F.lit(f"{ALEF}{BET} 12"), "auto").alias("by_itself"))
+
+
+@query("SELECT doc_id, length(text) AS n_points, length_grapheme(repeat('\u1112\u1161\u11ab', 1 + doc_id % 7)) AS n_syllables FROM documents")
+def syllables(spark, sf_dir):
+    """Conjoining Hangul letters make a cluster a syllable."""
+    jamo = F.expr("repeat('\u1112\u1161\u11ab', cast(1 + doc_id % 7 AS int))")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_points"), jamo.alias("jamo"))
+    return d.select("doc_id", "n_points", text_functions(spark).count_graphemes(F.col("jamo")).cast("long").alias("n_syllables"))
+
+
 # --- streams, run over the table as a batch ---
 
 
@@ -346,9 +389,35 @@ def spoof_report(spark, sf_dir):
 SELECT time_bucket(INTERVAL '1 hour', ts) AS starts, event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_suspicious FROM events GROUP BY 1, 2
 """)
 def attempt_rates(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    hours = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_suspicious"))
+    hours = guard.attempt_rates(table(spark, sf_dir, "events"), F.col("value") > 50, "ts", "1 hour", by=("event_type",))
     return hours.select(F.col("window.start").alias("starts"), "event_type", "n", "n_suspicious")
 
 
+@query("""
+WITH e AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER w >= INTERVAL '1 hour', true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, value, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, min(ts) AS starts, count(*) AS n, count(*) FILTER (value > 50) AS n_suspicious FROM s GROUP BY user_id, session
+""")
+def attempt_sessions(spark, sf_dir):
+    found = guard.attempt_sessions(table(spark, sf_dir, "events"), F.col("value") > 50, "user_id", "ts", "1 hour")
+    return found.select("user_id", F.col("session_window.start").alias("starts"), "n", "n_suspicious")
+
+
+@query(f"""
+WITH {NAMES_SQL}, k AS (SELECT id, name, {LOOKS_SQL} AS look FROM names)
+SELECT id, name FROM k QUALIFY row_number() OVER (PARTITION BY look ORDER BY id) = 1
+""")
+def first_claims(spark, sf_dir):
+    return guard.first_claims(names(spark, sf_dir).select("id", "name"), "name", "id")
+
+
+@query(f"""
+WITH {NAMES_SQL}, k AS (SELECT id, {LOOKS_SQL} AS look FROM names), g AS (SELECT DISTINCT {ASCII_SKELETON_SQL.format("replace(p_name, ' ', '_')")} AS look FROM part WHERE p_size = 7)
+SELECT id FROM k WHERE look NOT IN (SELECT look FROM g)
+""")
+def protected_gate(spark, sf_dir):
+    guarded = table(spark, sf_dir, "part").filter("p_size = 7").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("shown"))
+    return guard.protected_gate(names(spark, sf_dir).select("id", "name"), guarded, "name", "shown").select("id")
+
+
 __all__ = ["QUERIES", "SQL", "guard"]

@@ -31,3 +31,27 @@ def export(spark: SparkSession, directory: str) -> list[str]:
         with open(paths[-1], "w", encoding="ascii") as f:
             json.dump(data, f)
     return paths
+
+
+CATEGORIES = "iso_15924_aliases array<string>, categories array<string>, code_points_ranges array<array<int>>"
+CONFUSABLES = "map<string, array<struct<c: string, n: string>>>"
+
+
+def _one_object(spark: SparkSession, path: str, kind: str):
+    """A file that is one JSON object (compressed or not), as a row."""
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("x"))
+
+
+def read_categories(spark: SparkSession, path: str):
+    """Rows (first, last, alias, category) of a categories.json."""
+    whole = _one_object(spark, path, f"struct<{CATEGORIES.replace(' array', ': array')}>").select("x.*")
+    rows = whole.select("iso_15924_aliases", "categories", F.explode("code_points_ranges").alias("r"))
+    named = [F.get("iso_15924_aliases", F.get("r", 2)).alias("alias"), F.get("categories", F.get("r", 3)).alias("category")]
+    return rows.select(F.get("r", 0).alias("first"), F.get("r", 1).alias("last"), *named)
+
+
+def read_confusables(spark: SparkSession, path: str, inside: str | None = None):
+    """Rows (character, homoglyphs) of a confusables.json, or of the field `inside` of a larger object."""
+    kind = CONFUSABLES if inside is None else f"struct<{inside}: {CONFUSABLES}>"
+    whole = _one_object(spark, path, kind).select(F.col("x") if inside is None else F.col("x")[inside].alias("x"))
+    return whole.select(F.explode("x").alias("character", "homoglyphs"))

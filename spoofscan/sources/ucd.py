@@ -10,20 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _trim(c: Column) -> Column:
+    return F.trim(c, F.lit(" \t\r"))
+
+
 def _hex(c: Column) -> Column:
-    return F.conv(F.trim(c), 16, 10).cast("int")
+    return F.conv(_trim(c), 16, 10).cast("int")
 
 
 def text_of(hex_points: Column) -> Column:
     """The text that space-separated hexadecimal code points spell; '' for none."""
-    points = F.filter(F.split(F.trim(hex_points), " +"), lambda x: x != "")
+    points = F.filter(F.split(_trim(hex_points), " +"), lambda x: x != "")
     return F.array_join(F.transform(points, lambda x: F.decode(F.unhex(F.lpad(x, 8, "0")), "UTF-32")), "")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Rows (first, last, fields) of the data lines: comments go, fields are split at semicolons and trimmed."""
-    rows = spark.read.text(path).select(F.trim(F.split("value", "#")[0]).alias("line")).filter("line <> ''")
-    parts = F.transform(F.split("line", ";"), lambda x: F.trim(x))
+    rows = spark.read.text(path).select(_trim(F.split("value", "#")[0]).alias("line")).filter("line <> ''")
+    parts = F.transform(F.split("line", ";"), _trim)
     span = F.split(parts[0], r"\.\.")
     return rows.select(_hex(span[0]).alias("first"), _hex(F.coalesce(F.get(span, 1), span[0])).alias("last"), F.slice(parts, 2, 99).alias("fields"))
 
@@ -31,7 +35,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def missing(spark: SparkSession, path: str) -> DataFrame:
     """Rows (first, last, fields, place) of the '# @missing' lines, in file order."""
     rows = spark.read.text(path).filter(F.col("value").startswith("# @missing:")).withColumn("place", F.monotonically_increasing_id())
-    parts = F.transform(F.split(F.substring("value", 12, 9999), ";"), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.substring("value", 12, 9999), ";"), _trim)
     span = F.split(parts[0], r"\.\.")
     return rows.select(_hex(span[0]).alias("first"), _hex(span[1]).alias("last"), F.slice(parts, 2, 99).alias("fields"), "place")
 
@@ -41,6 +45,13 @@ def points(ranges: DataFrame) -> DataFrame:
     return ranges.select(F.explode(F.sequence("first", "last")).alias("cp"), *[c for c in ranges.columns if c not in ("first", "last")])
 
 
+def sequences(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (text, kind) of a file whose lines begin with a sequence of code points."""
+    rows = spark.read.text(path).select(_trim(F.split("value", "#")[0]).alias("line")).filter("line <> ''")
+    parts = F.transform(F.split("line", ";"), _trim)
+    return rows.select(text_of(parts[0]).alias("text"), F.get(parts, 1).alias("kind"))
+
+
 def enumerated(spark: SparkSession, path: str, prop: str | None = None, default: str | None = None) -> DataFrame:
     """Rows (cp, value) of an enumerated property: data lines count before @missing lines, later ones of those before
     earlier ones, and `default`, if given, for the rest.
@@ -76,7 +87,7 @@ def unicode_data(spark: SparkSession, path: str) -> DataFrame:
 
 def value_aliases(spark: SparkSession, path: str, prop: str) -> DataFrame:
     """Rows (long, short) of a property's value names."""
-    parts = F.transform(F.split(F.split("value", "#")[0], ";"), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.split("value", "#")[0], ";"), _trim)
     return spark.read.text(path).filter(parts[0] == prop).select(parts[2].alias("long"), parts[1].alias("short"))
 
 
@@ -97,9 +108,9 @@ def fixture(spark: SparkSession, path: str, columns: list[str], same: str = "=")
 
 def grapheme_break_tests(spark: SparkSession, path: str) -> DataFrame:
     """Rows (text, clusters) of GraphemeBreakTest.txt, where a division sign parts clusters."""
-    line = F.trim(F.split("value", "#")[0])
+    line = _trim(F.split("value", "#")[0])
     rows = spark.read.text(path).select(line.alias("line")).filter("line <> ''")
-    clusters = F.filter(F.split("line", "÷"), lambda x: F.trim(x) != "")
+    clusters = F.filter(F.split("line", "÷"), lambda x: _trim(x) != "")
     clusters = F.transform(clusters, lambda x: F.array_join(F.transform(F.filter(F.split(F.regexp_replace(x, "×", " "), r"\s+"), lambda p: p != ""), lambda p: F.decode(F.unhex(F.lpad(p, 8, "0")), "UTF-32")), ""))
     return rows.select(F.array_join(clusters, "").alias("text"), clusters.alias("clusters"))
 
@@ -123,10 +134,10 @@ def bidi_tests(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).withColumn("place", F.monotonically_increasing_id())
     rows = rows.withColumn("levels", held("@Levels:")).withColumn("order", held("@Reorder:")).filter(F.col("value").rlike("^[A-Z]"))
     parts = F.split("value", ";")
-    bits = F.trim(parts[1]).cast("int")
+    bits = _trim(parts[1]).cast("int")
     # the bits say: 1 by the text, 2 left to right, 4 right to left
     named = F.array(*[F.when(bits.bitwiseAND(bit) > 0, F.lit(direction)) for bit, direction in ((2, 0), (4, 1), (1, 2))])
-    return rows.select(F.split(F.trim(parts[0]), " +").alias("classes"), F.explode(F.array_compact(named)).alias("direction"), numbers(F.col("levels")).alias("levels"), numbers(F.col("order")).alias("order"))
+    return rows.select(F.split(_trim(parts[0]), " +").alias("classes"), F.explode(F.array_compact(named)).alias("direction"), numbers(F.col("levels")).alias("levels"), numbers(F.col("order")).alias("order"))
 
 
 def normalization_tests(spark: SparkSession, path: str) -> DataFrame:
@@ -151,6 +162,77 @@ def property_sections(spark: SparkSession, path: str) -> DataFrame:
     return own.filter(F.col("value").rlike("^[0-9A-F]")).select("property", "default", _hex(span[0]).alias("first"), _hex(F.coalesce(F.get(span, 1), span[0])).alias("last"), F.get(parts, 1).alias("value"))
 
 
+def write_runs(values: DataFrame, path: str) -> None:
+    """Write (cp, value) as 'first..last ; value' lines in code point order; `enumerated` and `lines` read them back."""
+    hexed = lambda c: F.lpad(F.hex(c), F.greatest(F.length(F.hex(c)), F.lit(4)), "0")
+    span = F.when(F.col("first") == F.col("last"), hexed("first")).otherwise(F.concat(hexed("first"), F.lit(".."), hexed("last")))
+    # at most one line a code point, so one sorted partition is bounded
+    runs(values).repartition(1).sortWithinPartitions("first").select(F.concat(span, F.lit(" ; "), F.col("value")).alias("value")).write.text(path)
+
+
+def _points(text: Column) -> Column:
+    """Space-separated hexadecimal code points of a text."""
+    each = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_join(F.transform(each, lambda c: F.lpad(F.hex(F.ascii(c)), F.greatest(F.length(F.hex(F.ascii(c))), F.lit(4)), "0")), " ")
+
+
+def write_fixture(rows: DataFrame, path: str, columns: list[str], head: str = "", same: str = "=", compression: str = "none") -> None:
+    """Write a conformance table that `fixture` reads: hexadecimal texts, tabs, `same` where a column repeats the first."""
+    first = F.col(columns[0])
+    cells = [_points(first), *[F.when(F.col(c) == first, same).otherwise(_points(F.col(c))) for c in columns[1:]]]
+    body = rows.repartition(1).sortWithinPartitions(columns[0]).select(F.concat_ws("\t", *cells).alias("value"))
+    lines = [(f"# {x}",) for x in head.splitlines()]
+    body = rows.sparkSession.createDataFrame(lines, "value string").coalesce(1).union(body).coalesce(1) if lines else body
+    body.write.option("compression", compression).text(path)
+
+
+def letters_by_script(scripts: DataFrame, categories: DataFrame) -> DataFrame:
+    """(script, n, letters): of (cp, script) and (cp, category), each script's letters in order."""
+    letters = categories.filter(F.col("category").startswith("L")).select("cp").join(scripts, "cp")
+    return letters.groupBy("script").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.col("cp"))).alias("letters"))
+
+
+def look_alikes_of(prototypes: DataFrame) -> DataFrame:
+    """(prototype, sources): of (source, prototype), what looks like each prototype."""
+    return prototypes.groupBy("prototype").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+
+
+def stale_files(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """(name, state) of file names that are missing or not expected."""
+    return expected.select("name").exceptAll(present.select("name")).withColumn("state", F.lit("missing")).union(
+        present.select("name").exceptAll(expected.select("name")).withColumn("state", F.lit("unexpected"))
+    )
+
+
+def explained(a: DataFrame, b: DataFrame, key: str, value: str, rules: dict[str, Column] | None = None) -> DataFrame:
+    """Rows (key, a, b, rule) where two tables of one value per key differ.
+
+    `rules` are named conditions over columns key, a and b; a difference is explained by the first that holds, and is
+    'unexplained' if none does.
+    """
+    x, y = a.select(F.col(key).alias("key"), F.col(value).alias("a")), b.select(F.col(key).alias("key"), F.col(value).alias("b"))
+    differing = x.join(y, "key", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    rule = F.coalesce(*[F.when(c, F.lit(name)) for name, c in (rules or {}).items()], F.lit("unexplained"))
+    return differing.withColumn("rule", rule)
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str, value: str, rules: dict[str, Column] | None = None) -> DataFrame:
+    """(rule, n, examples) of the differences under each rule, and a row 'identical'; three examples at most."""
+    out = explained(a, b, key, value, rules)
+    place = F.row_number().over(Window.partitionBy("rule").orderBy("key"))
+    few = out.withColumn("place", place).filter("place <= 3").groupBy("rule").agg(F.sort_array(F.collect_list("key")).alias("examples"))
+    same = a.select(key, value).join(b.select(key, F.col(value).alias("other")), key).filter(F.col(value).eqNullSafe(F.col("other")))
+    counts = out.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(few, "rule")
+    none = F.array().cast(counts.schema["examples"].dataType)
+    return counts.select("rule", "n", "examples").union(same.agg(F.lit("identical").alias("rule"), F.count(F.lit(1)).alias("n")).select("rule", "n", none))
+
+
+def mismatches(a: DataFrame, b: DataFrame, key: str, value: str, most: int = 25) -> tuple[int, DataFrame]:
+    """(number of differences, the first `most` by key): a report for readers."""
+    out = explained(a, b, key, value).drop("rule")
+    return out.count(), out.orderBy("key").limit(most)
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """(compared, identical, only_a, only_b, differing, examples) of two tables of one value per key, outer-joined."""
     x, y = a.select(key, F.col(value).alias("_a")), b.select(key, F.col(value).alias("_b"))

@@ -1,20 +1,30 @@
 """Character classes and tables, made by rule from the Unicode data that a session has.
 
-By default that is the ICU library on Spark's own class path. Classes are ICU set expressions, turned once into ranges on
-the driver; tables have at most one row per code point, so they are small enough to broadcast whatever the input.
+By default that is the ICU library on Spark's own class path, brought nearer to Unicode 18 by rules and short tables of
+fixed values. A session that names a folder of Unicode's own files in spark.spoofscan.unicode.dir follows those instead.
+Classes are ICU set expressions, turned once into ranges on the driver; tables have at most one row per code point, so
+they are small enough to broadcast whatever the input.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Look-alike prototypes that newer data than ICU's maps otherwise. Fixed values.
-NEWER_PROTOTYPES = {"%": "°/₀"}
+from . import fixed
+from .fixed import EGYPTIAN_SELECTORS, EMOJI_OF_TWO_STYLES, VARIANTS
+from .folder import DIRECTORY, Folder
+
+if TYPE_CHECKING:
+    from ..functions.kernels import Forms
+
 #: UTS #39 section 5.1: the writing systems that span several scripts. Fixed values.
 WRITING_SYSTEMS = {"Hani": ["Hanb", "Hntl", "Jpan", "Kore"], "Hira": ["Jpan"], "Kana": ["Jpan"], "Hang": ["Kore"], "Bopo": ["Hanb"], "Latn": ["Hntl"]}
 #: UAX #31 table 5. Fixed values.
@@ -47,22 +57,52 @@ def stretches(characters: set[str]) -> tuple[tuple[int, int], ...]:
     return tuple((a, b) for a, b in out)
 
 
+def _set(ranges) -> str:
+    """Ranges in the form of a set expression."""
+    return "".join(f"\\U{a:08X}" + (f"-\\U{b:08X}" if b > a else "") for a, b in ranges)
+
+
 class Characters:
     """The classes of one session's Unicode data."""
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, directory: str | None = None) -> None:
         self.spark = spark
         self.icu = spark._jvm.com.ibm.icu
+        self.folder = Folder(spark, directory) if directory else None
+        self._shipped: dict = {}
+        self.homoglyph_tables: dict = {}
 
-    @property
+    @cached_property
     def version(self) -> str:
-        """The Unicode version that all answers follow; store it beside skeletons."""
-        return self.icu.lang.UCharacter.getUnicodeVersion().toString().removesuffix(".0")
+        """The Unicode version that answers follow (the library's, or the folder's); store it beside skeletons."""
+        own = self.icu.lang.UCharacter.getUnicodeVersion().toString().removesuffix(".0")
+        return (self.folder and self.folder.version) or own
+
+    def shipped(self, name, make):
+        """A broadcast of what `make` gives, made once a session."""
+        if name not in self._shipped:
+            self._shipped[name] = self.spark.sparkContext.broadcast(make())
+        return self._shipped[name]
+
+    def _atom(self, m: re.Match) -> str:
+        """A property in an expression, as the folder or the fixed values have it; else as it stands."""
+        prop, value = m[1], m[2]
+        if self.folder:
+            found = self.folder.ranges(prop, value)
+            return m[0] if found is None else f"[{_set(found)}]"
+        restricted = _set([(int(x.split("-")[0], 16), int(x.split("-")[-1], 16)) for x in fixed.RESTRICTED.split()])
+        # of the ideographs, those of the first repertoire are in common use, and a few others
+        gone, come = f"[{restricted}[[:Unified_Ideograph:]-[\\u4E00-\\u9FA5]]]", f"[{fixed.ALLOWED}{fixed.HAN}]"
+        if (prop, value) in (("Identifier_Status", "Allowed"), ("Identifier_Type", "Recommended")):
+            return f"[[{m[0]}-{gone}]{come}]"
+        if prop == "Identifier_Type" and value == "Uncommon_Use":
+            return f"[{m[0]}[{gone}&[:Identifier_Type=Recommended:]]-{come}]"
+        return f"[{m[0]}-{come}]" if prop == "Identifier_Type" else m[0]
 
     @lru_cache(maxsize=None)  # noqa: B019  (one object a session)
     def ranges(self, expression: str) -> tuple[tuple[int, int], ...]:
         """The (first, last) code points of an ICU set expression."""
-        found = self.icu.text.UnicodeSet(f"[{expression}]")
+        found = self.icu.text.UnicodeSet("[" + re.sub(r"\[:([A-Za-z_]+)(?:=([^:\]]+))?:\]", self._atom, expression) + "]")
         return tuple((found.getRangeStart(i), found.getRangeEnd(i)) for i in range(found.getRangeCount()))
 
     @lru_cache(maxsize=None)  # noqa: B019
@@ -70,6 +110,12 @@ class Characters:
         """The same as a Java regex character class; of no characters, one that nothing matches."""
         return tree(self.ranges(expression)) or "[a&&b]"
 
+    @lru_cache(maxsize=None)  # noqa: B019
+    def pattern(self, expression: str) -> str:
+        """The same as a Python regex character class; of no characters, one that nothing matches."""
+        one = lambda a, b: f"\\U{a:08x}" + (f"-\\U{b:08x}" if b > a else "")
+        return f"[{''.join(one(a, b) for a, b in self.ranges(expression))}]" if self.ranges(expression) else "(?:(?!))"
+
     def count(self, expression: str) -> int:
         return sum(b - a + 1 for a, b in self.ranges(expression))
 
@@ -77,22 +123,71 @@ class Characters:
     def scripts(self) -> list[str]:
         """ISO 15924 codes of the scripts that characters have."""
         u = self.icu.lang.UScript
-        codes = sorted({u.getShortName(i) for i in range(u.CODE_LIMIT)})
-        return [c for c in codes if len(c) == 4 and c not in ("Zyyy", "Zinh", "Zzzz") and self._has(c)]
+        codes = {u.getShortName(i) for i in range(u.CODE_LIMIT)}
+        if self.folder and (told := self.folder.table("sc")):
+            codes |= set(told[1])
+        return sorted(c for c in codes if len(c) == 4 and c not in ("Zyyy", "Zinh", "Zzzz") and self._has(c))
 
     def _has(self, script: str) -> bool:
-        return not self.icu.text.UnicodeSet(f"[:scx={script}:]").isEmpty()
+        known = self.icu.lang.UScript.getCodeFromName(script) >= 0 or (self.folder and self.folder.ranges("scx", script) is not None)
+        return bool(known and self.ranges(f"[:scx={script}:]"))
+
+    @cached_property
+    def forms(self) -> Forms:
+        """Normal forms and case folding, with the characters that Python's own tables lack."""
+        from ..functions.kernels import Forms
+
+        newer = lambda x: [chr(c) for a, b in self.ranges(x) for c in range(a, b + 1) if unicodedata.category(chr(c)) == "Cn"]
+        normal, upper = self.icu.text.Normalizer, self.icu.lang.UCharacter
+        made = {c: normal.decompose(c, False) for c in newer("[:NFD_QC=No:]")}
+        classes = {c: upper.getCombiningClass(ord(c)) for c in newer("[^[:ccc=0:]]")}
+        pairs = {d: c for c, d in made.items() if len(d) == 2 and normal.compose(d, False) == c}
+        if self.folder and (told := self.folder.decompositions()):
+            own, ranks, excluded = told
+            unknown = lambda c: unicodedata.category(c) == "Cn"
+            classes |= {c: n for c, n in ranks.items() if unknown(c)}
+            pairs |= {d: c for c, d in own.items() if unknown(c) and len(d) == 2 and c not in excluded}
+
+            def whole(text: str) -> str:
+                return "".join(whole(own[c]) if c in own else c for c in text)
+
+            made |= {c: whole(d) for c, d in own.items() if unknown(c)}
+        folded = {c: upper.foldCase(c, True) for c in newer("[:Changes_When_Casefolded:]")}
+        return Forms(made, classes, pairs, frozenset("".join(pairs)), folded)
+
+    @cached_property
+    def bidi(self):
+        """The tables of display order."""
+        from ..operators.bidi import bidi_data
+
+        return bidi_data(self)
+
+    @cached_property
+    def variations(self) -> dict[str, str] | None:
+        """The folder's variation sequences, as set expressions of bases by selector; None without a folder of them."""
+        return self.folder.variations() if self.folder else None
 
     @cached_property
     def prototypes(self) -> dict[str, str]:
         """What each character looks like, if not itself; '' for characters that show as nothing.
 
-        One call: the skeleton of all characters that decompose no further, a line each.
+        Those of the folder; or the library's (one call: the skeleton of all characters that decompose no further, a
+        line each) with the fixed values, and by rule: what looks like a character that has a new prototype looks like
+        that prototype; forms of another width, and fractions, look like what they decompose to.
         """
+        nothing = {chr(c): "" for a, b in self.ranges("[:DI:]") for c in range(a, b + 1)}
+        if self.folder and (told := self.folder.prototypes()) is not None:
+            return told | nothing
         lines = [chr(c) for a, b in self.ranges("[:NFD_QC=Yes:]-[\\n]-[:Cs:]") for c in range(a, b + 1)]
         looks = self.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(lines)).split("\n")
-        found = {c: s for c, s in zip(lines, looks, strict=True) if c != s} | NEWER_PROTOTYPES
-        return found | {chr(c): "" for a, b in self.ranges("[:DI:]") for c in range(a, b + 1)}
+        found = {c: s for c, s in zip(lines, looks, strict=True) if c != s} | fixed.PROTOTYPES
+        looks_like = lambda text: unicodedata.normalize("NFD", "".join(found.get(c, c) for c in unicodedata.normalize("NFD", text)))
+        found |= {c: looks_like(s) for c, s in found.items() if c not in fixed.PROTOTYPES}
+        for a, b in self.ranges("[[:dt=Wide:][:dt=Narrow:][:dt=Small:][:dt=Fraction:]]"):
+            for c in map(chr, range(a, b + 1)):
+                if c not in found and (look := looks_like(unicodedata.normalize("NFKD", c))) != c:
+                    found[c] = look
+        return {c: s for c, s in found.items() if s != c} | nothing
 
     def _indexed(self, named: dict[str, str]) -> tuple[np.ndarray, list[tuple[str, ...]]]:
         """Of set expressions by name: for each code point, the number of the combination of names that it has."""
@@ -122,7 +217,9 @@ class Characters:
         """(number of the name by code point, names): the script's name in capitals, 'Unknown' for unassigned ones."""
         u = self.icu.lang.UScript
         index, found = self._indexed({s: f"[:sc={s}:]" for s in [*self.scripts, "Zyyy", "Zinh"]})
-        return index, [u.getName(u.getCodeFromName(x[0])).upper() if x else "Unknown" for x in found]
+        long = {v: k for k, v in self.folder.aliases("sc").items()} if self.folder else {}
+        name = lambda x: long.get(x) or (u.getName(code) if (code := u.getCodeFromName(x)) >= 0 else x)
+        return index, [name(x[0]).upper() if x else "Unknown" for x in found]
 
     def _spread(self, table: tuple[np.ndarray, list], column: str) -> DataFrame:
         """A table as rows (cp, value), without the code points that have none."""
@@ -154,9 +251,8 @@ class Characters:
         pairs = [(c, s) for c, s in self.prototypes.items() if s]
         pairs = self.spark.createDataFrame(pairs, "a string, b string")
         both = pairs.union(pairs.select("b", "a")).distinct()
-        cps = both.select(F.explode(F.split("b", "")).alias("c")).filter("c <> ''").distinct()
-        name = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("getName"), F.ascii("c"))
-        names = self.stored(cps.select("c", name.alias("n")), "names")
+        named = [(c, unicodedata.name(c, None) or self.icu.lang.UCharacter.getName(ord(c))) for c in sorted({c for a, b in self.prototypes.items() if b for c in a + b})]
+        names = self.stored(self.spark.createDataFrame(named, "c string, n string").filter("n IS NOT NULL"), "names")
         parts = both.select("a", "b", F.posexplode(F.split("b", "")).alias("i", "c")).filter("c <> ''").join(names, "c")
         named = parts.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("x"))
         named = named.select("a", F.struct(F.col("b").alias("c"), F.array_join(F.transform("x", lambda x: x["n"]), ", ").alias("n")).alias("h"))
@@ -173,7 +269,12 @@ _SESSIONS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def characters(spark: SparkSession) -> Characters:
-    """The classes of a session, made on first use."""
-    if spark not in _SESSIONS or _SESSIONS[spark].spark.sparkContext._jsc is None:
-        _SESSIONS[spark] = Characters(spark)
-    return _SESSIONS[spark]
+    """The classes of a session and its folder of Unicode's files, if it names one, made on first use."""
+    directory = spark.conf.get(DIRECTORY, None)
+    held = _SESSIONS.setdefault(spark, {})
+    if directory not in held or held[directory].spark.sparkContext._jsc is None:
+        held[directory] = Characters(spark, directory)
+    return held[directory]
+
+
+__all__ = ["EGYPTIAN_SELECTORS", "EMOJI_OF_TWO_STYLES", "RECOMMENDED_SCRIPTS", "VARIANTS", "WRITING_SYSTEMS", "Characters", "characters", "stretches", "tree"]

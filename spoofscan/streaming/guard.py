@@ -11,21 +11,29 @@ from ..operators.skeletons import Skeletons
 def protected_gate(stream: DataFrame, protected_names: DataFrame, name: str, protected_name: str) -> DataFrame:
     """A stream's rows whose names look like none of a static table's; rows with null names pass."""
     s = Skeletons(stream.sparkSession)
-    keys = protected_names.select(s.skeleton(F.col(protected_name)).alias("_key")).filter("_key IS NOT NULL").distinct().withColumn("_hit", F.lit(True))
-    wide = stream.withColumn("_key", s.skeleton(F.col(name)))
-    return wide.join(keys, "_key", "left_outer").filter("_hit IS NULL").select(*stream.columns)
+    keys = protected_names.select(s.skeleton(F.col(protected_name)).alias("key")).filter("key IS NOT NULL").distinct().withColumn("hit", F.lit(True))
+    wide = stream.select(F.struct(*stream.columns).alias("row"), s.skeleton(F.col(name)).alias("key"))
+    return wide.join(keys, "key", "left_outer").filter("hit IS NULL").select("row.*")
 
 
-def first_claims(stream: DataFrame, name: str, time: str, keep: str = "1 day") -> DataFrame:
-    """The first of the names that look alike, within the time that the watermark keeps; later look-alikes are refused."""
-    s = Skeletons(stream.sparkSession)
-    wide = stream.withWatermark(time, keep).withColumn("_key", s.skeleton(F.col(name)))
-    return wide.dropDuplicatesWithinWatermark(["_key"]).select(*stream.columns)
+def first_claims(rows: DataFrame, name: str, time: str, keep: str = "1 day") -> DataFrame:
+    """The first of the names that look alike; later look-alikes are refused.
+
+    In a stream, within the time that the watermark keeps; in a batch, over all rows (of rows at one time, the least
+    name, then any).
+    """
+    s = Skeletons(rows.sparkSession)
+    if rows.isStreaming:
+        wide = rows.withWatermark(time, keep).withColumn("_key", s.skeleton(F.col(name)))
+        return wide.dropDuplicatesWithinWatermark(["_key"]).select(*rows.columns)
+    wide = rows.select(F.struct(*rows.columns).alias("row"), s.skeleton(F.col(name)).alias("key"), F.struct(F.col(time).alias("at"), F.col(name).alias("name")).alias("claim"))
+    # a minimum combines before the shuffle, so a name that many claim isn't gathered
+    return wide.groupBy("key").agg(F.min_by("row", "claim").alias("row")).select("row.*")
 
 
-def attempt_rates(stream: DataFrame, suspicious: Column, time: str, window: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Rows and suspicious rows per tumbling or sliding window of event time."""
-    own = stream.withWatermark(time, late).groupBy(F.window(time, window, slide) if slide else F.window(time, window))
+def attempt_rates(rows: DataFrame, suspicious: Column, time: str, window: str = "5 minutes", slide: str | None = None, late: str = "10 minutes", by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows and suspicious rows per tumbling or sliding window of event time, and per value of the columns in `by`."""
+    own = rows.withWatermark(time, late).groupBy(F.window(time, window, slide) if slide else F.window(time, window), *by)
     return own.agg(F.count(F.lit(1)).alias("n"), F.count_if(suspicious).alias("n_suspicious"))
 
 

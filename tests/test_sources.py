@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from spoofscan.__main__ import main
 from spoofscan.functions.register import register
+from spoofscan.functions.text import text_functions
+from spoofscan.operators import skeletons
 from spoofscan.sources import ucd
+from spoofscan.sources.export import read_categories, read_confusables
+from spoofscan.sources.folder import DIRECTORY
+from spoofscan.sources.unicode import characters
 from spoofscan.streaming import guard
 
 DATA = "/root/testdata/sf0.001"
@@ -73,15 +78,102 @@ def test_export(spark, tmp_path, capsys):
     first, last, alias, category = next(r for r in categories["code_points_ranges"] if r[0] <= 65 <= r[1])
     assert (categories["iso_15924_aliases"][alias], categories["categories"][category]) == ("LATIN", "L")
     assert {"c": "a", "n": "LATIN SMALL LETTER A"} in looks["а"]
+    ranges = read_categories(spark, paths[0])
+    assert ranges.count() == len(categories["code_points_ranges"]) and ranges.filter("first <= 65 AND last >= 65").head()[2:] == ("LATIN", "L")
+    back = {r.character: [h.asDict() for h in r.homoglyphs] for r in read_confusables(spark, paths[1]).collect()}
+    assert back == looks
+    (tmp_path / "both.json").write_text(json.dumps({"categories": {}, "confusables": {"x": [{"c": "y", "n": "Y"}]}}))
+    assert [r.character for r in read_confusables(spark, str(tmp_path / "both.json"), inside="confusables").collect()] == ["x"]
     with pytest.raises(SystemExit) as e:
         main([])
     assert e.value.code == 2
 
 
 def test_sql_names(spark):
-    assert register(spark)
-    assert spark.sql("SELECT skeleton('pаypa1'), skeleton(NULL)").head()[:] == ("paypal", None)
-    assert spark.sql("SELECT c.* FROM VALUES ('ab') t(x), LATERAL characters_of(t.x) c").count() == 2
+    """Each SQL function answers as its Column expression does."""
+    from spoofscan.functions import register as module
+
+    made = register(spark)
+    assert len(made) > 30 and spark.sql("SELECT spoof_skeleton('p\u0430ypa1'), spoof_skeleton(NULL)").head()[:] == ("paypal", None)
+    texts = ["", "abc", "p\u0430y pal", "7\u0661", "e\u0301\u0301x", "i\u0307", "a\u200bb\n", "\u0628\u200c\u062d", "\u05d0(\u05d1", "\u4e00\u30a2", "\U0001f468\u200d\U0001f469", None]
+    df = spark.createDataFrame([(x,) for x in texts], "s string").withColumn("a", F.col("s")).withColumn("b", F.concat("s", F.lit("\u200b")))
+    df.createOrReplaceTempView("texts")
+    for name, (parameters, _, column) in module._checks(spark).items():
+        given = "a, b" if "a STRING" in parameters else "s"
+        sql = spark.sql(f"SELECT s, spoof_{name}({given}) AS o FROM texts").collect()
+        want = df.select("s", column.alias("o")).collect()
+        assert sorted(map(str, sql)) == sorted(map(str, want)), name
+    assert spark.sql("SELECT c.* FROM VALUES ('ab') t(x), LATERAL spoof_characters_of(t.x) c").count() == 2
+    rows = spark.sql("SELECT c.* FROM VALUES ('a\u200bb\u0301') t(x), LATERAL spoof_invisible_rows(t.x) c").collect()
+    assert [tuple(r) for r in rows] == [(1, "default-ignorable")]
+    assert [r.cluster for r in spark.sql("SELECT c.* FROM VALUES ('ab\u0301') t(x), LATERAL spoof_grapheme_rows(t.x) c").collect()] == ["a", "b\u0301"]
+    assert spark.sql("SELECT spoof_truncate_graphemes('e\u0301xyz', 2)").head()[0] == "e\u0301x"
+    got = skeletons.shared_scripts(spark.createDataFrame([(1, "ab"), (1, "\u0430"), (2, "\u30a2"), (2, "\u4e00")], "k int, s string"), ["k"], "s")
+    assert {r.k: r.shared_scripts for r in got.collect()} == {1: [], 2: ["Jpan"]}
+
+
+#: A folder in the forms of Unicode's own files: a few lines that no library has.
+FOLDER = {
+    "confusables.txt": "# Version: 99.0.0\n0061 ;\t0062 ;\tMA\t# a -> b\n0071 ; 006F 0327 ; MA\n",
+    "IdentifierStatus.txt": "0061..0071 ; Allowed # x\n",
+    "IdentifierType.txt": "0061..0070 ; Recommended\n0071 ; Obsolete Technical\n",
+    "Scripts.txt": "# Scripts-99.0.0.txt\n0061..0070 ; Latin\n0071 ; Newish\n0430 ; Cyrillic\n",
+    "ScriptExtensions.txt": "0062 ; Latn Grek\n",
+    "PropertyValueAliases.txt": "sc ; Latn ; Latin\nsc ; Newi ; Newish\nsc ; Cyrl ; Cyrillic\n",
+    "StandardizedVariants.txt": "0061 FE00; a kind; # x\n",
+    "UnicodeData.txt": "0061;A;Ll;0;L;;;;;N;;;;;\n378;NEW;Ll;0;L;0061 0301;;;;N;;;;;\n",
+    "BidiMirroring.txt": "0062; 0063 # x\n",
+    "BidiBrackets.txt": "0064; 0065; o # x\n0065; 0064; c # x\n",
+    "DerivedBidiClass.txt": "# @missing: 0000..10FFFF; Left_To_Right\n0061 ; R\n",
+}
+
+
+def test_a_folder_of_unicode_s_files(spark, tmp_path):
+    """A session that names a folder follows it, file by file; others are as before."""
+    for name, text in FOLDER.items():
+        (tmp_path / name).write_text(text)
+    before = spark.range(1).select(skeletons.Skeletons(spark).skeleton(F.lit("aq\u0430"))).head()[0]
+    spark.conf.set(DIRECTORY, str(tmp_path))
+    try:
+        chars, t, s = characters(spark), text_functions(spark), skeletons.Skeletons(spark)
+        assert chars.version == "99.0.0" and chars.prototypes["a"] == "b" and "1" not in chars.prototypes
+        one = spark.createDataFrame([("aq",), ("z",), ("a\ufe00",), ("b\ufe00",), ("\u0378",)], "s string")
+        rows = {r.s: r for r in one.select("s", s.internal(F.col("s")).alias("k"), t.is_allowed(F.col("s")).alias("ok"), t.has_invisible(F.col("s")).alias("hidden"), skeletons.script_sets(spark, F.col("s")).alias("sets")).collect()}
+        assert rows["aq"].k == "bo\u0327" and rows["aq"].ok and not rows["z"].ok
+        assert not rows["a\ufe00"].hidden and rows["b\ufe00"].hidden
+        assert rows["\u0378"].k == "b\u0301"
+        assert spark.range(1).select(t.identifier_types(F.lit("q"))).head()[0] == ["Obsolete", "Technical"]
+        assert chars.ranges("[:sc=Newi:]") == ((0x71, 0x71),) and chars.ranges("[:scx=Grek:]") == ((0x62, 0x62),)
+        assert spark.range(1).select(t.bidi_class(F.lit("a"))).head()[0] == "R"
+        assert chars.bidi.mirrors == {"b": "c"} and chars.bidi.brackets == {"d": ("e", True), "e": ("e", False)}
+    finally:
+        spark.conf.unset(DIRECTORY)
+    assert spark.range(1).select(skeletons.Skeletons(spark).skeleton(F.lit("aq\u0430"))).head()[0] == before
+
+
+def test_files_are_written_and_read_back(spark, tmp_path):
+    values = spark.createDataFrame([(0x41, "A"), (0x42, "A"), (0x44, "B"), (0x1F600, "A")], "cp int, value string")
+    ucd.write_runs(values, str(tmp_path / "runs"))
+    assert sorted(map(tuple, ucd.enumerated(spark, str(tmp_path / "runs")).collect())) == sorted(map(tuple, values.collect()))
+    rows = spark.createDataFrame([("a\U0001f600", "a\U0001f600", ""), ("b", "c", "b")], "t string, x string, y string")
+    for name, how in (("plain", "none"), ("packed", "gzip")):
+        ucd.write_fixture(rows, str(tmp_path / name), ["t", "x", "y"], head="made for a test", compression=how)
+        assert sorted(map(tuple, ucd.fixture(spark, str(tmp_path / name), ["t", "x", "y"]).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_agreement_by_rules(spark):
+    a = spark.createDataFrame([(i, "x") for i in range(8)], "k int, v string")
+    b = spark.createDataFrame([(i, "x" if i < 3 else "y" if i < 6 else "z") for i in range(7)], "k int, v string")
+    got = {r.rule: (r.n, r.examples) for r in ucd.agreement(a, b, "k", "v", {"known": F.col("b") == "y", "late": F.col("key") > 6}).collect()}
+    assert got == {"identical": (3, []), "known": (3, [3, 4, 5]), "unexplained": (1, [6]), "late": (1, [7])}
+    n, first = ucd.mismatches(a, b, "k", "v", most=2)
+    assert n == 5 and [r.key for r in first.collect()] == [3, 4]
+    letters = ucd.letters_by_script(spark.createDataFrame([(65, "Latn"), (66, "Latn"), (49, "Zyyy")], "cp int, script string"), spark.createDataFrame([(65, "Lu"), (66, "Lu"), (49, "Nd")], "cp int, category string"))
+    assert [tuple(r) for r in letters.collect()] == [("Latn", 2, [65, 66])]
+    alike = ucd.look_alikes_of(spark.createDataFrame([("1", "l"), ("I", "l"), ("m", "rn")], "source string, prototype string"))
+    assert {r.prototype: r.sources for r in alike.collect()} == {"l": ["1", "I"], "rn": ["m"]}
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert sorted(map(tuple, ucd.stale_files(names("a", "b"), names("b", "c")).collect())) == [("a", "missing"), ("c", "unexpected")]
 
 
 def drain(stream, name, mode="append"):
