@@ -13,7 +13,8 @@ is split exactly: of the bits not fixed yet, cut into four parts, at least one p
 if the sets of shingles themselves are as similar as asked. Counts of shingles by bucket bound what two sets can share,
 so most strangers go before any set is sent. It goes in two turns, so that a dense group isn't turned into all its pairs:
 first each set is tried with the nearest fingerprint under each of its keys, which joins most of a group; then all pairs
-are tried whose ends aren't joined yet, so that no link is lost.
+are tried whose ends aren't joined yet, so that no link is lost. Those pairs are looked up where the nodes of a key meet,
+with their counts and then with their sets, and never become rows.
 """
 
 from __future__ import annotations
@@ -274,93 +275,194 @@ def _first_chain(difference: np.ndarray, reach: int) -> np.ndarray:
     return 2 * start + (second != 0)
 
 
-def _near(reach: int, least: Fraction, nearest: bool = False):
-    """Of rows (k, node, fp, n, group) sorted by k and n: pairs of nodes of different groups within reach whose sizes allow
-    the likeness, each under one key; or, with `nearest`, under each key the nearest of such nodes alone."""
-    names = ("node", "fp", "n", "group")
+def _windows(batches, least: Fraction, reach: int, extra: str | None):
+    """Of rows (k, node, fp, n, group, extra) sorted by k and n: (key, rows of the window, new rows, differences, whether to
+    look), a block of new rows at a time against those before them whose sizes allow the likeness and whose group differs."""
+    names = ["node", "fp", "n", "group", *([extra] if extra else [])]
+    key, held = None, None
+    for batch in batches:
+        k = batch.column("k").to_numpy(zero_copy_only=False)
+        rows = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
+        rows |= {"fp": rows["fp"].view(np.uint64), "n": rows["n"].astype(np.int64)}
+        at = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            if k[a] != key:
+                key, held = k[a], {x: rows[x][:0] for x in names}
+            while a < b:
+                # only rows that are large enough for the next one stay
+                low = np.searchsorted(held["n"], -(-rows["n"][a] * least.numerator // least.denominator))
+                to = min(b, a + max(1, min(1024, 2_000_000 // (len(held["n"]) - low + 1024))))
+                held = {x: np.concatenate([held[x][low:], rows[x][a:to]]) for x in names}
+                new = len(held["n"]) - (to - a) + np.arange(to - a)
+                difference = held["fp"][new, None] ^ held["fp"]
+                bits = np.bitwise_count(difference)
+                bits[(np.arange(len(held["n"])) >= new[:, None]) | (held["group"][new, None] == held["group"])] = 65
+                yield int(key), held, new, difference, bits
+                a = to
+
+
+def _nearest(reach: int, least: Fraction):
+    """Under each key, each node and the nearest node of another group within reach."""
 
     def run(batches):
-        key, held = None, None
-        for batch in batches:
-            k, node, fp, n, group = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("k", *names))
-            rows = {"node": node, "fp": fp.view(np.uint64), "n": n.astype(np.int64), "group": group}
-            at = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                if k[a] != key:
-                    key, held = k[a], {x: rows[x][:0] for x in names}
-                while a < b:
-                    # only rows that are large enough for the next one stay
-                    low = np.searchsorted(held["n"], -(-rows["n"][a] * least.numerator // least.denominator))
-                    to = min(b, a + max(1, min(1024, 2_000_000 // (len(held["n"]) - low + 1024))))
-                    held = {x: np.concatenate([held[x][low:], rows[x][a:to]]) for x in names}
-                    difference = rows["fp"][a:to, None] ^ held["fp"]
-                    bits = np.bitwise_count(difference)
-                    bits[(np.arange(len(held["n"])) >= len(held["n"]) - (to - a) + np.arange(to - a)[:, None]) | (rows["group"][a:to, None] == held["group"])] = 65
-                    if nearest:
-                        j = bits.argmin(1)
-                        i = np.flatnonzero(bits[np.arange(to - a), j] <= reach)
-                        j = j[i]
-                    else:
-                        i, j = np.nonzero(bits <= reach)
-                        told = _first_chain(difference[i, j], reach) == int(key) >> 6 if len(i) else np.empty(0, bool)
-                        i, j = i[told], j[told]
-                    if len(i):
-                        x, y = rows["node"][a:to][i], held["node"][j]
-                        yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
-                    a = to
+        for _, held, new, _, bits in _windows(batches, least, reach, None):
+            j = bits.argmin(1)
+            i = np.flatnonzero(bits[np.arange(len(new)), j] <= reach)
+            if len(i):
+                x, y = held["node"][new[i]], held["node"][j[i]]
+                yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
     return run
 
 
+def _told(key: int, new, difference, bits, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(new row, earlier row) of the pairs within reach that are told under this key."""
+    i, j = np.nonzero(bits <= reach)
+    if len(i):
+        told = _first_chain(difference[i, j], reach) == key >> 6
+        i, j = i[told], j[told]
+    return new[i], j
+
+
+def _can_share(x: list[bytes], y: list[bytes], least: Fraction) -> np.ndarray:
+    """Whether two sets can be as similar as `least`, by their counts."""
+    x, y = (np.frombuffer(b"".join(z), "<u4").reshape(-1, BUCKETS).astype(np.int64) for z in (x, y))
+    most = np.minimum(x, y).sum(1)
+    return most * least.denominator >= (x.sum(1) + y.sum(1) - most) * least.numerator
+
+
 def _may_share(least: Fraction):
     """Of rows (a, b, x, y) with the counts of two sets, pairs (a, b) that can be as similar as `least`."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for c in ("x", "y"))
-            most = np.minimum(x, y).sum(1)
-            keep = most * least.denominator >= (x.sum(1) + y.sum(1) - most) * least.numerator
+            keep = _can_share(batch.column("x").to_pylist(), batch.column("y").to_pylist(), least)
             yield pa.record_batch({c: batch.column(c) for c in ("a", "b")}).filter(pa.array(keep))
 
     return run
 
 
-def similar_pairs(sets: DataFrame, texts: DataFrame, size: int, reach: int, similarity: float, nearest: bool = False) -> DataFrame:
-    """Of distinct sets (node, fp, n, counts, group) and their texts (rid, text): pairs (a, b) of different groups whose
-    Jaccard similarity is `similarity` or more; with `nearest`, of those that `_near` gives then.
+def _candidates(reach: int, least: Fraction, extra: str | None):
+    """(k, node) of the nodes that have a pair under a key; with counts, one that can be as similar as `least`."""
 
-    Pairs whose fingerprints more than `reach` bits set apart aren't proposed.
+    def run(batches):
+        now, seen = None, set()
+        for key, held, new, difference, bits in _windows(batches, least, reach, extra):
+            if key != now:
+                now, seen = key, set()
+            i, j = _told(key, new, difference, bits, reach)
+            for a in range(0, len(i), 100_000) if extra else ():
+                x, y = (held[extra][at[a : a + 100_000]].tolist() for at in (i, j))
+                i[a : a + 100_000][~_can_share(x, y, least)] = -1
+            found = set(np.concatenate([held["node"][i[i >= 0]], held["node"][j[i >= 0]]]).tolist()) - seen
+            if found:
+                seen |= found
+                yield pa.record_batch({"k": pa.array(np.full(len(found), key, np.int32)), "node": pa.array(list(found), pa.int64())})
+
+    return run
+
+
+def _verify(reach: int, least: Fraction):
+    """Of rows with their sets: links of the pairs under a key that are as similar as `least`, but none between nodes that
+    links of the same key join already."""
+
+    def run(batches):
+        now, root = None, {}
+
+        def find(x):
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        for key, held, new, difference, bits in _windows(batches, least, reach, "shingles"):
+            if key != now:
+                now, root = key, {}
+            i, j = _told(key, new, difference, bits, reach)
+            links = []
+            for x in np.unique(i).tolist():
+                own, others = held["shingles"][x], j[i == x]
+                others = others[[find(y) != find(held["node"][x]) for y in held["node"][others].tolist()]]
+                if not len(others):
+                    continue
+                sets = held["shingles"][others]
+                values = np.concatenate(sets)
+                where = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                size = np.array([len(y) for y in sets])
+                both = np.add.reduceat((own[where] == values).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+                fits = both * least.denominator >= (size + len(own) - both) * least.numerator
+                for y in held["node"][others[fits]].tolist():
+                    if find(y) != find(held["node"][x]):
+                        root[find(y)] = find(held["node"][x])
+                        links.append((int(held["node"][x]), y))
+            if links:
+                yield pa.record_batch([pa.array(z, pa.int64()) for z in zip(*links, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.repartition("k").sortWithinPartitions("k", "n")
+
+
+def _shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the texts (rid, text) of the wanted nodes (rid)."""
+    return materialise(texts.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(_sets(size), "node long, shingles array<long>"), "near-shingles")
+
+
+def nearest_links(sets: DataFrame, texts: DataFrame, size: int, reach: int, least: Fraction) -> DataFrame:
+    """Of distinct sets (node, fp, n, counts) and their texts: pairs (a, b) as similar as `least`, of those nearest under a key.
+
+    At most one pair a node and key is tried.
     """
-    if not 0 <= reach < NARROW:
-        raise ValueError(f"reach must be from 0 to {NARROW - 1}")
-    least = Fraction(str(similarity))
-    keyed = sets.select("node", "fp", "n", "group", F.explode(wide_keys(F.col("fp"))).alias("k")).repartition("k").sortWithinPartitions("k", "n")
-    near = keyed.mapInArrow(_near(reach, least, nearest), "a long, b long")
-    pairs = materialise(near.distinct() if nearest else near, "near-pairs")
+    keyed = _keyed(sets.select("node", "fp", "n", F.col("node").alias("group"), F.explode(wide_keys(F.col("fp"))).alias("k")))
+    pairs = materialise(keyed.mapInArrow(_nearest(reach, least), "a long, b long").distinct(), "near-pairs")
     x, y = sets.select(F.col("node").alias("a"), F.col("counts").alias("x")), sets.select(F.col("node").alias("b"), F.col("counts").alias("y"))
     bounded = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_may_share(least), "a long, b long"), "near-bounded")
-    release(pairs)
-    wanted = materialise(bounded.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-wanted")
-    own = texts.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(_sets(size), "node long, shingles array<long>")
-    own = materialise(own, "near-shingles")
+    own = _shingle_sets(texts, bounded.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), size)
     left, right = own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
     out = materialise(bounded.join(left, "a").join(right, "b").filter(both * least.denominator >= union * least.numerator).select("a", "b"), "near-similar")
-    release(bounded, wanted, own)
+    release(pairs, bounded, own)
+    return out
+
+
+def remaining_links(sets: DataFrame, texts: DataFrame, size: int, reach: int, least: Fraction) -> DataFrame:
+    """Of distinct sets (node, fp, n, counts, group): links (a, b) that join all groups that a similar pair joins.
+
+    Pairs are never rows: nodes that have a pair under a key go on with it, first with their counts, those left with their
+    sets, and pairs are looked up anew where a key's nodes meet.
+    """
+    bare = sets.select("node", "fp", "n", "group")
+    some = _keyed(bare.withColumn("k", F.explode(wide_keys(F.col("fp"))))).mapInArrow(_candidates(reach, least, None), "k int, node long")
+    some = materialise(some, "near-candidates")
+    fewer = _keyed(some.join(sets, "node").select("k", *sets.columns)).mapInArrow(_candidates(reach, least, "counts"), "k int, node long")
+    fewer = materialise(fewer, "near-bounded")
+    own = _shingle_sets(texts, fewer.select(F.col("node").alias("rid")).distinct(), size)
+    out = _keyed(fewer.join(bare, "node").join(own, "node").select("k", *bare.columns, F.array_sort("shingles").alias("shingles")))
+    out = materialise(out.mapInArrow(_verify(reach, least), "a long, b long"), "near-links")
+    release(some, fewer, own)
     return out
 
 
 def similar_groups(sets: DataFrame, texts: DataFrame, size: int, reach: int, similarity: float) -> DataFrame:
-    """(node, component) of the sets (node, fp, n, counts) that similar pairs join; sets without any have no row."""
+    """(node, component) of the sets (node, fp, n, counts) that similar pairs join; sets without any have no row.
+
+    Pairs whose fingerprints more than `reach` bits set apart aren't proposed.
+    """
     from .components import connected_components
 
-    first = similar_pairs(sets.withColumn("group", F.col("node")), texts, size, reach, similarity, nearest=True)
-    joined = materialise(connected_components(first), "near-joined")
+    if not 0 <= reach < NARROW:
+        raise ValueError(f"reach must be from 0 to {NARROW - 1}")
+    least = Fraction(str(similarity))
+    joined = materialise(connected_components(nearest_links(sets, texts, size, reach, least)), "near-joined")
     grouped = materialise(sets.join(joined, "node", "left").select(*sets.columns, F.coalesce("component", "node").alias("group")), "near-grouped")
-    more = similar_pairs(grouped, texts, size, reach, similarity)
+    more = remaining_links(grouped, texts, size, reach, least)
+    if more.isEmpty():
+        return joined
     # what the first turn joined needs no more than a star
     stars = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return connected_components(stars.union(more))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from spoofscan.llm import simhash
 
@@ -60,7 +61,8 @@ def test_near_dedup_stage_against_plain_pairs(spark):
     assert sorted(r[0] for r in kept.collect()) == sorted(k for _, k in least.values())
 
 
-def test_wide_ring_tells_each_near_pair_once(spark):
+def test_wide_ring_tells_each_near_pair_once():
+    """Every pair within reach whose sizes allow it, and of different groups, is told under one of its keys alone."""
     r = random.Random(2)
     prints = []
     for _ in range(60):
@@ -71,12 +73,22 @@ def test_wide_ring_tells_each_near_pair_once(spark):
             for b in r.sample(range(64), bits):
                 y ^= 1 << b
             prints.append(y)
-    rows = [(i, int(np.uint64(p).view(np.int64)), 100 + i % 20) for i, p in enumerate(prints)]
-    sets = spark.createDataFrame(rows, "node long, fp long, n int")
-    keyed = sets.select("node", "fp", "n", simhash.F.col("node").alias("group"), simhash.F.explode(simhash.wide_keys(simhash.F.col("fp"))).alias("k"))
-    near = keyed.repartition("k").sortWithinPartitions("k", "n").mapInArrow(simhash._near(15, simhash.Fraction("0.8")), "a long, b long")
-    want = [(a, b) for b in range(len(prints)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 15 and 5 * min(rows[a][2], rows[b][2]) >= 4 * max(rows[a][2], rows[b][2])]
-    assert sorted(map(tuple, near.collect())) == sorted(want) and len(want) > 200
+    size, group = [100 + i % 20 for i in range(len(prints))], [i // 3 for i in range(len(prints))]
+    rows = []
+    for i, p in enumerate(prints):
+        for s in range(16):
+            own, other = p >> 4 * s & 15, p >> 4 * ((s + 1) % 16) & 15
+            rows += [((2 * s + h) << 6 | own << 2 | (other >> 2 * h & 3), size[i], i) for h in range(2)]
+    rows.sort()
+    column = lambda of, kind: pa.array([of(x) for x in rows], kind)
+    signed = lambda p: int(np.uint64(p).view(np.int64))
+    batch = pa.record_batch({"k": column(lambda x: x[0], pa.int32()), "node": column(lambda x: x[2], pa.int64()), "fp": column(lambda x: signed(prints[x[2]]), pa.int64()), "n": column(lambda x: x[1], pa.int32()), "group": column(lambda x: group[x[2]], pa.int64())})
+    got = []
+    for key, held, new, difference, bits in simhash._windows([batch.slice(0, 1000), batch.slice(1000)], simhash.Fraction("0.8"), 15, None):
+        i, j = simhash._told(key, new, difference, bits, 15)
+        got += [tuple(sorted(x)) for x in zip(held["node"][i].tolist(), held["node"][j].tolist(), strict=True)]
+    want = [(a, b) for b in range(len(prints)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 15 and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b]) and group[a] != group[b]]
+    assert sorted(got) == sorted(want) and len(want) > 200
 
 
 def test_a_dense_group_isn_t_turned_into_its_pairs(spark):
@@ -94,10 +106,10 @@ def test_a_dense_group_isn_t_turned_into_its_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
     sets = docs.select("rid", simhash._described(5)(simhash.F.col("text")).alias("d")).selectExpr("rid AS node", "d.fp", "d.n", "d.counts")
     sets = simhash.materialise(sets, "test-sets")
-    first = simhash.similar_pairs(sets.withColumn("group", simhash.F.col("node")), docs, 5, 15, 0.8, nearest=True)
-    joined = connected_components(first)
-    grouped = sets.join(joined, "node", "left").selectExpr("node", "fp", "n", "counts", "coalesce(component, node) AS group")
-    more = simhash.similar_pairs(grouped, docs, 5, 15, 0.8)
-    assert first.count() + more.count() < 32 * 300
+    least = simhash.Fraction("0.8")
+    first = simhash.nearest_links(sets, docs, 5, 15, least)
+    more = simhash.remaining_links(sets.withColumn("group", simhash.F.col("node")), docs, 5, 15, least)
+    assert first.count() < 32 * 300 and more.count() < 32 * 300
+    assert connected_components(more).select("component").distinct().count() == 1
     assert simhash.similar_groups(sets, docs, 5, 15, 0.8).select("component").distinct().count() == 1
     assert simhash.keep_similar(docs.withColumnRenamed("rid", "doc_id")).count() == 1
