@@ -176,20 +176,21 @@ def homoglyph_report(df: DataFrame, text: str, greedy: bool = False, preferred:
     """`df` with array<struct<character, alias, homoglyphs>> of the characters that look like others, in order.
 
     With `preferred` script names, only characters of other scripts that look like one of a preferred script count.
-    Without `greedy`, the first alone is listed. Empty if there are none; null for null.
+    Without `greedy`, the first alone is listed. Empty if there are none; null for null. A column `out` is replaced.
     """
     looks, known = _homoglyph_table(characters(df.sparkSession), tuple(sorted(a.upper() for a in preferred)))
     own = F.filter(F.array_distinct(code_points(F.col(text))), lambda c: c.rlike(known))
     own = F.when(F.col(text).rlike(known), own if greedy else F.slice(own, 1, 1)).otherwise(F.array().cast("array<string>"))
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).isNull().alias("_null"), own.alias("_own"))
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c != out]
     item = F.struct(F.col("_c").alias("character"), "alias", "homoglyphs").alias("x")
     if not greedy:
         found = rows.select("_row", "_null", F.get("_own", 0).alias("_c")).join(F.broadcast(looks), F.ascii("_c") == F.col("cp"), "left")
-        return found.select("_row.*", F.when(~F.col("_null"), F.array_compact(F.array(F.when(F.col("cp").isNotNull(), item)))).alias(out))
+        return found.select(*kept, F.when(~F.col("_null"), F.array_compact(F.array(F.when(F.col("cp").isNotNull(), item)))).alias(out))
     each = rows.withColumn("_id", F.monotonically_increasing_id()).select("_row", "_null", "_id", F.posexplode_outer("_own").alias("_pos", "_c"))
     found = each.join(F.broadcast(looks), F.ascii("_c") == F.col("cp"), "left")
     listed = found.groupBy("_id").agg(F.first("_row").alias("_row"), F.first("_null").alias("_null"), F.sort_array(F.collect_list(F.when(F.col("cp").isNotNull(), F.struct("_pos", item)))).alias("_found"))
-    return listed.select("_row.*", F.when(~F.col("_null"), F.transform("_found", lambda x: x["x"])).alias(out))
+    return listed.select(*kept, F.when(~F.col("_null"), F.transform("_found", lambda x: x["x"])).alias(out))
 
 
 def is_dangerous(df: DataFrame, text: str, preferred: tuple[str, ...] = (), out: str = "is_dangerous") -> DataFrame:
