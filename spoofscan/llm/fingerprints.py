@@ -67,7 +67,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     same = rows["id"].eqNullSafe(F.col("end_id")) & (rows["h"] == F.col("end_h"))
     ghosts = rows.select("id", "h", "text").join(F.broadcast(ends), same).groupBy("of").agg(F.min(F.struct("id", "h", "text")).alias("row"))
     ghosts = ghosts.select("row.id", "row.h", "row.text", F.col("of").alias("range"), F.lit(True).alias("ghost"))
-    both = rows.select("id", "h", "text", "range", F.lit(False).alias("ghost")).union(ghosts)
+    ghosts = ghosts.select("id", "h", "text", "range", "ghost")
+    # written, so that what reads it twice below deals the texts once
+    both = materialise(rows.select("id", "h", "text", "range", F.lit(False).alias("ghost")).union(ghosts), "ranged").filter("range IS NOT NULL")
     inner = Window.partitionBy("range").orderBy("ghost", "id", "h", "text")
     return both.select("range", F.row_number().over(inner).alias("place"), "id", "text", F.lead("text").over(inner).alias("next"), "ghost")
 
