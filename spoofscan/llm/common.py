@@ -32,6 +32,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -68,6 +72,6 @@ def slices(sizes: list[int], most: int):
 
 
 __all__ = [
-    "WORD", "arrow_texts", "documents", "drop_path", "fresh_path", "hash_join", "labels",
+    "WORD", "arrow_texts", "benchmark", "documents", "drop_path", "fresh_path", "hash_join", "labels",
     "materialise", "release", "shared_dir", "slices", "small_batches", "word_count",
 ]
