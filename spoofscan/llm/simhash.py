@@ -9,17 +9,19 @@ What shares a key is never turned into pairs: a breadth-first search over the ke
 is reached, so a dense group costs few comparisons and yields a spanning forest. A key with more than MOST fingerprints
 is split exactly: of the bits not fixed yet, cut into four parts, at least one part must be equal too.
 
-`keep_similar` reaches farther: fingerprints only propose pairs, on a ring of sixteen segments of 4 bits, and a pair counts
-if the sets of shingles themselves are as similar as asked. Counts of shingles by bucket bound what two sets can share,
-so most strangers go before any set is sent. It goes in two turns, so that a dense group isn't turned into all its pairs:
-first each set is tried with the nearest fingerprint under each of its keys, which joins most of a group; then all pairs
-are tried whose ends aren't joined yet, so that no link is lost. Those pairs are looked up where the nodes of a key meet,
-with their counts and then with their sets, and never become rows.
+`keep_similar` asks for similar sets of shingles, beyond what fingerprints of 64 bits can find: at a Jaccard similarity of
+0.8 they differ in 10 bits on average and 15 or more in one pair of 40, and no ring of 64 bits with such a budget prunes
+anything. There the ring is one of the set's own hashes in ascending order, and its segments are the runs of three that
+follow each other on it. Each shingle that only one of two sets has can break three runs of its own set, or two of the
+other's, so sets of n shingles that are similar enough lose 3 n / 5 of their runs at most: the smallest 3 n / 5 + 1 of a
+set's runs, in any order that both agree on, hold one that the other has too. Sets that share a run are pruned by their
+fingerprints and by counts of shingles, and confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, materialise, release
+from .common import arrow_texts, hash_join, materialise, release, small_batches
 
 BITS, SEGMENTS, REACH = 64, 4, 3
 #: Fingerprints of one key that one task compares; keys with at most 16 free bits can't have more.
@@ -216,11 +218,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return kept.dropDuplicates(["fp", "id"]).select("row.*")
 
 
-#: Segments of the wide ring; a reach below this number leaves the first segment of a chain equal.
-NARROW = 16
-#: Buckets of a set's counts.
-BUCKETS = 64
-_NIBBLES = np.arange(0, 64, 4, dtype=np.uint64)
+#: Runs of a set that are its keys at most. A set with over 80 shingles would have more; as of its runs at least two in five
+#: are shared, all 48 miss a similar set once in 4e10 pairs.
+MOST_RUNS = 48
+#: Buckets of a set's counts; sets from so many shingles on are pruned by their fingerprints too.
+BUCKETS, PRINTED = 64, 64
+#: Bits in which fingerprints of similar sets may differ: at 0.8, more do once in a hundred million pairs.
+WIDE_REACH = 28
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -232,257 +237,96 @@ def bucket_counts(shingles: np.ndarray) -> bytes:
     return np.bincount((shingles % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
 
 
-def _described(size: int):
-    """Of a text's distinct shingles: fingerprint, number, digest and counts by bucket."""
-
-    @F.pandas_udf("fp long, n int, digest binary, counts binary")
-    def describe(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(x or "", size) for x in texts]
-        fps = np.array([majority_bits(x) for x in found], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fps, "n": [len(x) for x in found], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found], "counts": [bucket_counts(x) for x in found]})
-
-    return describe
-
-
-def _sets(size: int):
-    def run(batches):
-        for batch in batches:
-            found = [shingle_set(x, size).view(np.int64) for x in arrow_texts(batch)]
-            yield pa.record_batch({"node": batch.column("rid"), "shingles": pa.array(found, pa.list_(pa.int64()))})
-
-    return run
-
-
-def wide_keys(fp: Column) -> Column:
-    """Keys of the chains that may begin in `fp`: segment (16), half of the next one (2), and their 6 bits."""
-    out = []
-    for i in range(NARROW):
-        own = F.shiftrightunsigned(fp, 4 * i).bitwiseAND(F.lit(15))
-        for half in range(2):
-            other = F.shiftrightunsigned(fp, 4 * ((i + 1) % NARROW) + 2 * half).bitwiseAND(F.lit(3))
-            out.append((own * 4 + other + F.lit((2 * i + half) << 6)).cast("int"))
-    return F.array(*out)
-
-
-def _first_chain(difference: np.ndarray, reach: int) -> np.ndarray:
-    """Of each difference, the one key number (2 * start + half) under which its pair is told."""
-    counts = np.bitwise_count((difference[:, None] >> _NIBBLES) & np.uint64(15)).astype(np.int64)
-    budget = np.arange(1, NARROW + 1) * reach // NARROW
-    start = np.full(len(difference), -1)
-    for i in range(NARROW - 1, -1, -1):
-        start[(np.roll(counts, -i, axis=1).cumsum(1) <= budget).all(1)] = i
-    second = (difference >> (np.uint64(4) * ((start + 1) % NARROW).astype(np.uint64))) & np.uint64(3)
-    return 2 * start + (second != 0)
-
-
-def _windows(batches, least: Fraction, reach: int, extra: str | None):
-    """Of rows (k, node, fp, n, group, extra) sorted by k and n: (key, rows of the window, new rows, differences, whether to
-    look), a block of new rows at a time against those before them whose sizes allow the likeness and whose group differs."""
-    names = ["node", "fp", "n", "group", *([extra] if extra else [])]
-    key, held = None, None
-    for batch in batches:
-        k = batch.column("k").to_numpy(zero_copy_only=False)
-        rows = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
-        rows |= {"fp": rows["fp"].view(np.uint64), "n": rows["n"].astype(np.int64)}
-        at = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if a == b:
-                continue
-            if k[a] != key:
-                key, held = k[a], {x: rows[x][:0] for x in names}
-            while a < b:
-                # only rows that are large enough for the next one stay
-                low = np.searchsorted(held["n"], -(-rows["n"][a] * least.numerator // least.denominator))
-                to = min(b, a + max(1, min(1024, 2_000_000 // (len(held["n"]) - low + 1024))))
-                held = {x: np.concatenate([held[x][low:], rows[x][a:to]]) for x in names}
-                new = len(held["n"]) - (to - a) + np.arange(to - a)
-                difference = held["fp"][new, None] ^ held["fp"]
-                bits = np.bitwise_count(difference)
-                bits[(np.arange(len(held["n"])) >= new[:, None]) | (held["group"][new, None] == held["group"])] = 65
-                yield int(key), held, new, difference, bits
-                a = to
-
-
-def _nearest(reach: int, least: Fraction):
-    """Under each key, each node and the nearest node of another group within reach."""
-
-    def run(batches):
-        for _, held, new, _, bits in _windows(batches, least, reach, None):
-            j = bits.argmin(1)
-            i = np.flatnonzero(bits[np.arange(len(new)), j] <= reach)
-            if len(i):
-                x, y = held["node"][new[i]], held["node"][j[i]]
-                yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
-
-    return run
-
-
-def _told(key: int, new, difference, bits, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(new row, earlier row) of the pairs within reach that are told under this key."""
-    i, j = np.nonzero(bits <= reach)
-    if len(i):
-        told = _first_chain(difference[i, j], reach) == key >> 6
-        i, j = i[told], j[told]
-    return new[i], j
+@lru_cache(maxsize=4096)
+def runs_needed(n: int, least: Fraction) -> int:
+    """How many of the smallest runs of a set of n shingles hold one of any similar set's, MOST_RUNS at most.
 
+    Another set that is similar has `b` shingles beyond this one, which then has at most `a` beyond the other.
+    """
+    if n > 2 * MOST_RUNS:
+        return MOST_RUNS
+    beyond = range(n * least.denominator // least.numerator - n + 1)
+    lost = max(3 * max(0, n - -(-least.numerator * (n + b) // least.denominator)) + 2 * b for b in beyond)
+    return min(lost + 1, MOST_RUNS, n)
 
-def _can_share(x: list[bytes], y: list[bytes], least: Fraction) -> np.ndarray:
-    """Whether two sets can be as similar as `least`, by their counts."""
-    x, y = (np.frombuffer(b"".join(z), "<u4").reshape(-1, BUCKETS).astype(np.int64) for z in (x, y))
-    most = np.minimum(x, y).sum(1)
-    return most * least.denominator >= (x.sum(1) + y.sum(1) - most) * least.numerator
 
+def run_keys(shingles: np.ndarray, least: Fraction) -> np.ndarray:
+    """The keys of a sorted set of hashes: the smallest hashes of its runs of three on the ring."""
+    n = len(shingles)
+    if not n:
+        return np.empty(0, np.int64)
+    v = shingles * _MIX[0] + np.roll(shingles, -1)
+    v = (v ^ (v >> np.uint64(29))) * _MIX[1] + np.roll(shingles, -2)
+    v = (v ^ (v >> np.uint64(32))) * _MIX[2]
+    most = runs_needed(n, least)
+    return (np.partition(v, most - 1)[:most] if most < n else v).view(np.int64)
 
-def _may_share(least: Fraction):
-    """Of rows (a, b, x, y) with the counts of two sets, pairs (a, b) that can be as similar as `least`."""
 
-    def run(batches):
-        for batch in batches:
-            keep = _can_share(batch.column("x").to_pylist(), batch.column("y").to_pylist(), least)
-            yield pa.record_batch({c: batch.column(c) for c in ("a", "b")}).filter(pa.array(keep))
+def _described(size: int, least: Fraction):
+    """Of a text's distinct shingles: number, digest, sketch (fingerprint, counts by bucket) and keys."""
 
-    return run
+    @F.pandas_udf("n int, digest binary, sketch binary, keys array<long>")
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(x or "", size) for x in texts]
+        return pd.DataFrame({
+            "n": [len(x) for x in found],
+            "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found],
+            "sketch": [majority_bits(x).to_bytes(8, "little") + bucket_counts(x) for x in found],
+            "keys": [run_keys(x, least) for x in found],
+        })
 
+    return describe
 
-def _candidates(reach: int, least: Fraction, extra: str | None):
-    """(k, node) of the nodes that have a pair under a key; with counts, one that can be as similar as `least`."""
 
-    def run(batches):
-        now, seen = None, set()
-        for key, held, new, difference, bits in _windows(batches, least, reach, extra):
-            if key != now:
-                now, seen = key, set()
-            i, j = _told(key, new, difference, bits, reach)
-            for a in range(0, len(i), 100_000) if extra else ():
-                x, y = (held[extra][at[a : a + 100_000]].tolist() for at in (i, j))
-                i[a : a + 100_000][~_can_share(x, y, least)] = -1
-            found = set(np.concatenate([held["node"][i[i >= 0]], held["node"][j[i >= 0]]]).tolist()) - seen
-            if found:
-                seen |= found
-                yield pa.record_batch({"k": pa.array(np.full(len(found), key, np.int32)), "node": pa.array(list(found), pa.int64())})
+def may_be_similar(least: Fraction, reach: int = WIDE_REACH):
+    """Whether the sketches of row i and rows j allow the similarity: their counts can overlap enough, and if both sets are
+    large, their fingerprints differ in `reach` bits at most, that is, all chains from some segment keep their budgets."""
 
-    return run
+    def agree(sketches: list[bytes], i: int, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        x = np.frombuffer(sketches[i], "<u4")
+        y = np.frombuffer(b"".join([sketches[k] for k in j.tolist()]), "<u4").reshape(len(j), -1)
+        bits = np.bitwise_count(y[:, :2] ^ x[:2]).sum(1)
+        ok = (bits <= reach) | (sizes[j] < PRINTED) | (sizes[i] < PRINTED)
+        most = np.minimum(y[:, 2:], x[2:]).sum(1, dtype=np.int64)
+        return ok & (most * least.denominator >= (sizes[j] + sizes[i] - most) * least.numerator)
 
+    return agree
 
-def _verify(reach: int, least: Fraction):
-    """Of rows with their sets: links of the pairs under a key that are as similar as `least`, but none between nodes that
-    links of the same key join already."""
 
+def _sets(size: int):
     def run(batches):
-        now, root = None, {}
-
-        def find(x):
-            while (y := root.get(x, x)) != x:
-                root[x] = root.get(y, y)
-                x = y
-            return x
-
-        for key, held, new, difference, bits in _windows(batches, least, reach, "shingles"):
-            if key != now:
-                now, root = key, {}
-            i, j = _told(key, new, difference, bits, reach)
-            links = []
-            for x in np.unique(i).tolist():
-                own, others = held["shingles"][x], j[i == x]
-                others = others[[find(y) != find(held["node"][x]) for y in held["node"][others].tolist()]]
-                if not len(others):
-                    continue
-                sets = held["shingles"][others]
-                values = np.concatenate(sets)
-                where = np.minimum(np.searchsorted(own, values), len(own) - 1)
-                size = np.array([len(y) for y in sets])
-                both = np.add.reduceat((own[where] == values).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
-                fits = both * least.denominator >= (size + len(own) - both) * least.numerator
-                for y in held["node"][others[fits]].tolist():
-                    if find(y) != find(held["node"][x]):
-                        root[find(y)] = find(held["node"][x])
-                        links.append((int(held["node"][x]), y))
-            if links:
-                yield pa.record_batch([pa.array(z, pa.int64()) for z in zip(*links, strict=True)], names=["a", "b"])
+        for batch in small_batches(batches):
+            found = [shingle_set(x, size).view(np.int64) for x in arrow_texts(batch)]
+            yield pa.record_batch({"node": batch.column("rid"), "members": pa.array(found, pa.list_(pa.int64()))})
 
     return run
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.repartition("k").sortWithinPartitions("k", "n")
-
-
-def _shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the texts (rid, text) of the wanted nodes (rid)."""
-    return materialise(texts.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(_sets(size), "node long, shingles array<long>"), "near-shingles")
-
-
-def nearest_links(sets: DataFrame, texts: DataFrame, size: int, reach: int, least: Fraction) -> DataFrame:
-    """Of distinct sets (node, fp, n, counts) and their texts: pairs (a, b) as similar as `least`, of those nearest under a key.
-
-    At most one pair a node and key is tried.
-    """
-    keyed = _keyed(sets.select("node", "fp", "n", F.col("node").alias("group"), F.explode(wide_keys(F.col("fp"))).alias("k")))
-    pairs = materialise(keyed.mapInArrow(_nearest(reach, least), "a long, b long").distinct(), "near-pairs")
-    x, y = sets.select(F.col("node").alias("a"), F.col("counts").alias("x")), sets.select(F.col("node").alias("b"), F.col("counts").alias("y"))
-    bounded = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_may_share(least), "a long, b long"), "near-bounded")
-    own = _shingle_sets(texts, bounded.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), size)
-    left, right = own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - both
-    out = materialise(bounded.join(left, "a").join(right, "b").filter(both * least.denominator >= union * least.numerator).select("a", "b"), "near-similar")
-    release(pairs, bounded, own)
-    return out
-
-
-def remaining_links(sets: DataFrame, texts: DataFrame, size: int, reach: int, least: Fraction) -> DataFrame:
-    """Of distinct sets (node, fp, n, counts, group): links (a, b) that join all groups that a similar pair joins.
-
-    Pairs are never rows: nodes that have a pair under a key go on with it, first with their counts, those left with their
-    sets, and pairs are looked up anew where a key's nodes meet.
-    """
-    bare = sets.select("node", "fp", "n", "group")
-    some = _keyed(bare.withColumn("k", F.explode(wide_keys(F.col("fp"))))).mapInArrow(_candidates(reach, least, None), "k int, node long")
-    some = materialise(some, "near-candidates")
-    fewer = _keyed(some.join(sets, "node").select("k", *sets.columns)).mapInArrow(_candidates(reach, least, "counts"), "k int, node long")
-    fewer = materialise(fewer, "near-bounded")
-    own = _shingle_sets(texts, fewer.select(F.col("node").alias("rid")).distinct(), size)
-    out = _keyed(fewer.join(bare, "node").join(own, "node").select("k", *bare.columns, F.array_sort("shingles").alias("shingles")))
-    out = materialise(out.mapInArrow(_verify(reach, least), "a long, b long"), "near-links")
-    release(some, fewer, own)
-    return out
-
-
-def similar_groups(sets: DataFrame, texts: DataFrame, size: int, reach: int, similarity: float) -> DataFrame:
-    """(node, component) of the sets (node, fp, n, counts) that similar pairs join; sets without any have no row.
+def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, reach: int = WIDE_REACH) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group linked by similar texts, one row of its least key stays.
 
-    Pairs whose fingerprints more than `reach` bits set apart aren't proposed.
+    Texts are similar if their sets of `size`-word shingles have a Jaccard similarity of `similarity` or more; texts without
+    words are all alike. Null keys come last; of equal keys, the row of the least hash stays. The columns are those of
+    `docs`. An empty table gives none.
     """
-    from .components import connected_components
+    from .similar import similar_components
 
-    if not 0 <= reach < NARROW:
-        raise ValueError(f"reach must be from 0 to {NARROW - 1}")
     least = Fraction(str(similarity))
-    joined = materialise(connected_components(nearest_links(sets, texts, size, reach, least)), "near-joined")
-    grouped = materialise(sets.join(joined, "node", "left").select(*sets.columns, F.coalesce("component", "node").alias("group")), "near-grouped")
-    more = remaining_links(grouped, texts, size, reach, least)
-    if more.isEmpty():
-        return joined
-    # what the first turn joined needs no more than a star
-    stars = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return connected_components(stars.union(more))
-
-
-def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, reach: int = 15, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group linked by similar texts, one row of its least key stays.
-
-    Texts are similar if their sets of `size`-word shingles are; texts without words are all alike. Null keys come last;
-    of equal keys, the row of the least hash stays. The columns are those of `docs`.
-    """
     row = F.struct(*docs.columns)
-    rows = docs.select(row.alias("row"), F.xxhash64(row).alias("hash"), F.col(key).alias("id"), _described(size)(F.col(text)).alias("d"))
+    rows = docs.select(row.alias("row"), F.xxhash64(row).alias("hash"), F.col(key).alias("id"), _described(size, least)(F.col(text)).alias("d"))
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "row", "hash", "id", "d.*"), "near-rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "rid")).alias("best")
-    sets = rows.groupBy("digest").agg(F.min("rid").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("counts").alias("counts"), best)
+    sets = rows.groupBy("digest").agg(F.min("rid").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"), best)
     sets = materialise(sets.drop("digest"), "near-sets")
-    joined = similar_groups(sets.filter("n > 0"), rows.select("rid", F.col("row")[text].alias("text")), size, reach, similarity)
+    texts = rows.select("rid", F.col("row")[text].alias("text"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return hash_join(texts, materialise(wanted.select(F.col("node").alias("rid")), "near-wanted"), "rid", "left_semi").mapInArrow(_sets(size), "node long, members array<long>")
+
+    joined = similar_components(sets.filter("n > 0"), sets_of, may_be_similar(least, reach), least)
     named = sets.join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
     stay = named.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
     # few rows go, so the texts needn't be shuffled
     gone = materialise(rows.select("rid").join(stay, "rid", "left_anti"), "near-gone")
+    release(sets, joined)
     return rows.join(gone, "rid", "left_anti").select("row.*")

@@ -1,7 +1,7 @@
 """Components of similar sets, found by keys that similar sets share; a key's group is never turned into its pairs.
 
 Each set brings keys, a sketch and its size. The join goes in two turns. In the first, the sets of a key are read in order
-of size, and each is tried with the one before it: a linear number of pairs, which joins most of a dense group. In the
+of size, and each is tried with one shortly before it: a linear number of pairs, which joins most of a dense group. In the
 second, only keys remain whose sets the first turn has not joined; there every pair of two groups is tried, so that no link
 is lost. Those pairs are looked up where a key's sets meet, with their sketches and then with the sets themselves, and never
 become rows. A key with more sets than a task should hold is cut into blocks, and each pair of blocks is a task's work.
@@ -21,31 +21,61 @@ from .common import materialise, release
 from .components import connected_components
 
 #: Sets, and members of sets, of one key that one task holds a block of.
-BLOCK_SETS, BLOCK_MEMBERS = 2048, 4_000_000
+BLOCK_SETS, BLOCK_MEMBERS = 256, 4_000_000
+#: Rows of a key that are tried with one and the same row.
+FAN = 64
 #: Whether the sketches of rows `i` (one) and `j` (several) of a list allow the similarity.
 Agree = Callable[[list, int, np.ndarray, np.ndarray], np.ndarray]
 
 
+def _parents(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows by number in their key's order: (number of the row each is tried with, its level): the last digit that isn't
+    zero, base FAN, is made zero. So rows hang on a tree of logarithmic depth."""
+    level, up = np.zeros(len(i), np.int64), np.ones(len(i), np.int64)
+    while (more := (i % (up * FAN) == 0) & (i > 0)).any():
+        level[more] += 1
+        up[more] *= FAN
+    return i - i % (up * FAN), level + 1
+
+
 def _neighbours(least: Fraction):
-    """Of rows (k, node, n) sorted by k and n: (k, node, other) of the keys that several have; `other` stands before it."""
+    """Of rows (k, node, n) sorted by k and n: (k, node, other) of the keys that several have; `other` is what a row is tried
+    with, a row shortly before it, if their sizes allow the similarity.
+
+    From batch to batch go the last row and, of its key, one row a level.
+    """
 
     def run(batches):
-        held = None  # the last row: k, node, n, whether its key is known to be shared, other
+        held = None  # the last row: k, node, n, its number, other
+        leaders: dict[int, tuple] = {}
         for batch in batches:
-            k, node, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("k", "node", "n"))
+            k, node, n = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("k", "node", "n"))
             if not len(k):
                 continue
-            if held:
-                k, node, n = (np.concatenate([[x], y]) for x, y in zip(held[:3], (k, node, n), strict=True))
-            same = k[1:] == k[:-1]
-            before, after = np.concatenate([[bool(held and held[3])], same]), np.concatenate([same, [False]])
-            fits = same & (n[:-1].astype(np.int64) * least.denominator >= n[1:].astype(np.int64) * least.numerator)
-            other = np.concatenate([[held[4] if held else -1], np.where(fits, node[:-1], -1)])
-            out = (before | after)[:-1]
-            yield _members(k[:-1][out], node[:-1][out], other[:-1][out])
-            held = (k[-1], node[-1], n[-1], before[-1], other[-1])
-        if held and held[3]:
-            yield _members(*(np.array([x], np.int64) for x in (held[0], held[1], held[4])))
+            new = np.concatenate([[held is None or held[0] != k[0]], k[1:] != k[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            i = np.arange(len(k)) - np.maximum(start, 0)
+            i[start < 0] += held[3] + 1 if held else 0
+            parent, level = _parents(i)
+            at = np.arange(len(k)) - (i - parent)
+            x, m = node[np.maximum(at, 0)], n[np.maximum(at, 0)]
+            for r in np.flatnonzero(at < 0).tolist():
+                x[r], m[r] = leaders[int(level[r])]
+            fits = (i > 0) & (m * least.denominator >= n * least.numerator)
+            other = np.where(fits, x, -1)
+            last = np.concatenate([new[1:], [False]])  # the last rows of their keys; of the batch's last row that isn't known
+            out = ~((i == 0) & last)
+            if held and held[3] == 0 and not new[0]:
+                yield _members([held[0]], [held[1]], [held[4]])
+            out[-1] = i[-1] > 0
+            yield _members(k[out], node[out], other[out])
+            if new.any():
+                leaders = {}
+            own = np.flatnonzero(start == start[-1])
+            for depth in range(1, 11):
+                if len(top := own[i[own] % FAN**depth == 0]):
+                    leaders[depth] = (node[top[-1]], n[top[-1]])
+            held = (k[-1], node[-1], n[-1], i[-1], other[-1])
 
     return run
 

@@ -120,13 +120,22 @@ def test_dense_group_in_blocks(spark, monkeypatch):
     assert got(spark, rows) == want
 
 
-def test_neighbours_across_batches():
-    """Groups of a key that batches cut anywhere; a lone key gives nothing."""
+def test_rows_of_a_key_hang_on_a_shallow_tree(monkeypatch):
+    """Batches may cut a key's rows anywhere; a lone key gives nothing; sizes that differ too much aren't tried."""
     from fractions import Fraction
 
-    rows = [(1, 10, 5), (2, 11, 5), (2, 12, 5), (2, 13, 9), (3, 14, 1), (4, 15, 2), (4, 16, 2)]
-    want = [(2, 11, None), (2, 12, 11), (2, 13, None), (4, 15, None), (4, 16, 15)]
-    for size in range(1, 8):
+    monkeypatch.setattr(similar, "FAN", 3)
+    rows = [(1, 10, 5), (2, 11, 5), (2, 12, 5), (2, 13, 9), (3, 14, 1), (4, 15, 2), (4, 16, 2)] + [(5, 100 + i, 7) for i in range(30)] + [(6, 200, 1)]
+
+    def parent(i):
+        up = 1
+        while i % (3 * up) == 0:
+            up *= 3
+        return i - i % (3 * up)
+
+    want = [(2, 11, None), (2, 12, 11), (2, 13, None), (4, 15, None), (4, 16, 15)] + [(5, 100 + i, 100 + parent(i) if i else None) for i in range(30)]
+    assert parent(9) == 0 and parent(10) == 9 and parent(12) == 9 and parent(14) == 12
+    for size in range(1, len(rows) + 1):
         batches = [pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size], strict=True)], names=["k", "node", "n"]) for i in range(0, len(rows), size)]
         out = [tuple(r.values()) for b in similar._neighbours(Fraction("0.8"))(batches) for r in b.to_pylist()]
         assert out == want, size

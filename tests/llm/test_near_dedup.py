@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pyarrow as pa
 
 from spoofscan.llm import simhash
 
@@ -61,55 +60,112 @@ def test_near_dedup_stage_against_plain_pairs(spark):
     assert sorted(r[0] for r in kept.collect()) == sorted(k for _, k in least.values())
 
 
-def test_wide_ring_tells_each_near_pair_once():
-    """Every pair within reach whose sizes allow it, and of different groups, is told under one of its keys alone."""
-    r = random.Random(2)
-    prints = []
-    for _ in range(60):
-        x = r.getrandbits(64)
-        prints.append(x)
-        for bits in (1, 5, 10, 14, 15, 16, 17):
-            y = x
-            for b in r.sample(range(64), bits):
-                y ^= 1 << b
-            prints.append(y)
-    size, group = [100 + i % 20 for i in range(len(prints))], [i // 3 for i in range(len(prints))]
-    rows = []
-    for i, p in enumerate(prints):
-        for s in range(16):
-            own, other = p >> 4 * s & 15, p >> 4 * ((s + 1) % 16) & 15
-            rows += [((2 * s + h) << 6 | own << 2 | (other >> 2 * h & 3), size[i], i) for h in range(2)]
-    rows.sort()
-    column = lambda of, kind: pa.array([of(x) for x in rows], kind)
-    signed = lambda p: int(np.uint64(p).view(np.int64))
-    batch = pa.record_batch({"k": column(lambda x: x[0], pa.int32()), "node": column(lambda x: x[2], pa.int64()), "fp": column(lambda x: signed(prints[x[2]]), pa.int64()), "n": column(lambda x: x[1], pa.int32()), "group": column(lambda x: group[x[2]], pa.int64())})
-    got = []
-    for key, held, new, difference, bits in simhash._windows([batch.slice(0, 1000), batch.slice(1000)], simhash.Fraction("0.8"), 15, None):
-        i, j = simhash._told(key, new, difference, bits, 15)
-        got += [tuple(sorted(x)) for x in zip(held["node"][i].tolist(), held["node"][j].tolist(), strict=True)]
-    want = [(a, b) for b in range(len(prints)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 15 and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b]) and group[a] != group[b]]
-    assert sorted(got) == sorted(want) and len(want) > 200
-
-
-def test_a_dense_group_isn_t_turned_into_its_pairs(spark):
-    """Three hundred near copies of one text become one group by a number of trials that is linear in the group."""
-    from spoofscan.llm.components import connected_components
-
-    r = random.Random(8)
-    base = [f"w{r.randrange(5000)}" for _ in range(600)]
-    texts = []
-    for i in range(300):
+def test_similar_sets_share_a_run():
+    """Sets up to the limit share one of their keys, whatever they differ in; small sizes exhaustively near the limit."""
+    from fractions import Fraction
+
+    r, least = np.random.default_rng(3), Fraction("0.8")
+    tried = 0
+    for n in [*range(1, 60), 200, 1000]:
+        for m in range(-(-4 * n // 5), n + 1):
+            for _ in range(20):
+                both = -(-4 * (n + m) // 9)  # the least overlap that gives 0.8
+                if both > m:
+                    continue
+                pool = r.integers(0, 1 << 63, n + m - both, dtype=np.uint64) * np.uint64(2)
+                x, y = np.sort(pool[:n]), np.sort(pool[n - both :])
+                assert len(x) == n and len(y) == m and 5 * both >= 4 * (n + m - both)
+                assert set(simhash.run_keys(x, least).tolist()) & set(simhash.run_keys(y, least).tolist()), (n, m)
+                tried += 1
+            if n > 100:
+                break
+    assert tried > 5000
+
+
+def test_comparisons_grow_linearly():
+    """Of unrelated sets of one size, no two share a key: nothing is compared at 10, 20 or 40 thousand sets. Sets that share
+    a passage of a tenth of their shingles hardly ever do."""
+    from fractions import Fraction
+
+    r, least = np.random.default_rng(4), Fraction("0.8")
+    shared = r.integers(0, 1 << 63, 12, dtype=np.uint64)
+    for n in (10_000, 20_000, 40_000):
+        keys = np.concatenate([simhash.run_keys(np.sort(r.integers(0, 1 << 63, 60, dtype=np.uint64)), least) for _ in range(n)])
+        assert len(np.unique(keys)) == len(keys)
+    keys = [simhash.run_keys(np.sort(np.concatenate([shared, r.integers(0, 1 << 63, 108, dtype=np.uint64)])), least) for _ in range(5000)]
+    _, often = np.unique(np.concatenate(keys), return_counts=True)
+    assert (often * (often - 1) // 2).sum() < 5 * 5000
+
+
+def test_short_texts_of_eight_and_nine_words(spark):
+    """Four shingles against five are similar by 0.8: every such pair is found."""
+    r, rows = random.Random(6), []
+    for i in range(400):
+        words = [f"v{i}q{r.randrange(50)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_similar(docs).collect()) == [2 * i for i in range(400)]
+
+
+def test_dense_group_and_blocks(spark, monkeypatch):
+    """Near copies on both sides of the limit, one key's group cut into blocks: the groups are those of all pairs."""
+    from spoofscan.llm import similar
+
+    r, base, rows = random.Random(8), [f"b{i}" for i in range(70)], []
+    for i in range(150):
         own = list(base)
-        for _ in range(r.randrange(1, 6)):
-            own[r.randrange(len(own))] = f"y{i}{r.randrange(99)}"
-        texts.append(" ".join(own))
-    docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
-    sets = docs.select("rid", simhash._described(5)(simhash.F.col("text")).alias("d")).selectExpr("rid AS node", "d.fp", "d.n", "d.counts")
-    sets = simhash.materialise(sets, "test-sets")
-    least = simhash.Fraction("0.8")
-    first = simhash.nearest_links(sets, docs, 5, 15, least)
-    more = simhash.remaining_links(sets.withColumn("group", simhash.F.col("node")), docs, 5, 15, least)
-    assert first.count() < 32 * 300 and more.count() < 32 * 300
-    assert connected_components(more).select("component").distinct().count() == 1
-    assert simhash.similar_groups(sets, docs, 5, 15, 0.8).select("component").distinct().count() == 1
-    assert simhash.keep_similar(docs.withColumnRenamed("rid", "doc_id")).count() == 1
+        for _ in range(r.randrange(1, 4)):
+            own[r.randrange(70)] = f"y{i}x{r.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(rows[i][1], rows[j][1]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({find(i) for i in range(len(rows))})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similar, "BLOCK_SETS", 32)
+    assert sorted(x.doc_id for x in simhash.keep_similar(docs).collect()) == want and 1 < len(want) < 150
+
+
+def test_recall_is_whole_on_a_table(spark):
+    """All pairs of different sets at 0.8 or more among the documents of a table, found by an exact prefix filter."""
+    from collections import Counter, defaultdict
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(path).select("doc_id", "text").collect()]
+    sets = {k: shingles(t) for k, t in rows}
+    often = Counter(g for s in sets.values() for g in s)
+    root = {k: k for k in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by = defaultdict(list)
+    for k, s in sets.items():
+        for g in sorted(s, key=lambda g: (often[g], g))[: len(s) - -(-4 * len(s) // 5) + 1]:
+            for other in by[g]:
+                if 5 * len(s & sets[other]) >= 4 * len(s | sets[other]):
+                    a, b = find(k), find(other)
+                    root[max(a, b)] = min(a, b)
+            by[g].append(k)
+    empty = [k for k, s in sets.items() if not s]
+    for k in empty[1:]:
+        root[k] = empty[0]
+    got = simhash.keep_similar(spark.read.parquet(path))
+    assert sorted(x.doc_id for x in got.select("doc_id").collect()) == sorted({find(k) for k in sets})
+
+
+def test_empty_table_and_clashing_names(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, node long, row string")
+    assert simhash.keep_similar(none).count() == 0
+    some = spark.createDataFrame([(2, "a b c d e f g", 9, "x"), (1, "a b c d e f g", 8, "y"), (1, "a b c d e f g", 8, "y")], none.schema)
+    assert [tuple(x) for x in simhash.keep_similar(some).collect()] == [(1, "a b c d e f g", 8, "y")]
