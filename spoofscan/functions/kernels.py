@@ -6,15 +6,18 @@ They hold patterns and small tables made on the driver from the session's Unicod
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import groupby
 from typing import NamedTuple
 from unicodedata import combining, normalize
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 ZWNJ, ZWJ = "\u200c", "\u200d"
 #: A noncharacter that stands, while a text is judged, for a character whose context allows it.
@@ -31,32 +34,50 @@ NAMED: dict = {}
 
 
 def mapped(of: str, kind: str, sent):
-    """An Arrow function of a text column: a method, by name, of a broadcast value; null for null."""
+    """An Arrow function of a text column: a method, by name, of a broadcast value; null for null.
+
+    Its name tells which broadcast it asks, so kernels of several sessions or versions of the data stand side by side.
+    """
     made = _arrow(kind)
 
     def run(texts: pa.Array) -> pa.Array:
         one = getattr(sent.value, of)
-        try:
-            given = texts.to_pylist()
-        except UnicodeDecodeError:  # a string of the JVM can hold bytes that aren't UTF-8
-            given = [None if x is None else x.decode(errors="replace") for x in texts.cast(pa.binary()).to_pylist()]
-        return pa.array([None if x is None else one(x) for x in given], made)
+        return pa.array([None if x is None else one(x) for x in _values(texts)], made)
+
+    run.__name__ = f"kernel_{of}_{sent._jbroadcast.id()}"
+    NAMED[run.__name__] = F.arrow_udf(run, kind)
+    return NAMED[run.__name__]
+
+
+def mapped_with(of: str, kind: str, sent):
+    """The same of a text column and a number column; null where one of them is."""
+    made = _arrow(kind)
+
+    def run(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        one = getattr(sent.value, of)
+        return pa.array([None if x is None or n is None else one(x, n) for x, n in zip(_values(texts), numbers.to_pylist(), strict=True)], made)
 
-    run.__name__ = f"kernel_{of}"
+    run.__name__ = f"kernel_{of}_{sent._jbroadcast.id()}"
     NAMED[run.__name__] = F.arrow_udf(run, kind)
     return NAMED[run.__name__]
 
 
-#: The types of what find_invisible and grapheme_segments give.
+def _values(column: pa.Array) -> list:
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:  # a string of the JVM can hold bytes that aren't UTF-8
+        return [None if x is None else x.decode(errors="replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: The types of what find_invisible, grapheme_segments, homoglyphs and levels give.
 FOUND, SEGMENTS = "array<struct<pos:int,kind:string>>", "array<struct<start:int,end:int,text:string>>"
+LOOKS = "array<struct<character:string,alias:string,homoglyphs:array<struct<c:string,n:string>>>>"
+LEVELS = "struct<base:int,levels:array<int>,order:array<int>>"
 
 
 def _arrow(kind: str) -> pa.DataType:
-    text, number = pa.string(), pa.int32()
-    structs = {FOUND: [("pos", number), ("kind", text)], SEGMENTS: [("start", number), ("end", number), ("text", text)]}
-    if kind in structs:
-        return pa.list_(pa.struct(structs[kind]))
-    return {"string": text, "int": number, "boolean": pa.bool_(), "array<string>": pa.list_(text), "array<boolean>": pa.list_(pa.bool_()), "array<array<string>>": pa.list_(pa.list_(text))}[kind]
+    """The Arrow type of a Spark type."""
+    return to_arrow_type(_parse_datatype_string(kind))
 
 
 def only(condition: Column, text: Column, of, otherwise: Column) -> Column:
@@ -64,58 +85,96 @@ def only(condition: Column, text: Column, of, otherwise: Column) -> Column:
     return F.when(condition, of(F.when(condition, text))).when(text.isNotNull(), otherwise)
 
 
+#: From so many marks in a row on, their order is found here: the library's own sort takes the square of their number.
+LONG_RUN = 24
+
+
 class Forms(NamedTuple):
-    """Normal forms and case folding: Python's own, and tables of characters that only the session's data knows.
+    """Normal forms and case folding (UAX #15): Python's own, and tables of characters that only the session's data knows.
 
-    Normal forms of characters that are assigned never change, so the two agree on all others.
+    Normal forms of characters that are assigned never change, so the two agree on all others. `marks` is a class of all
+    characters whose decompositions begin with a mark, `newer` of those that Python's tables lack or join otherwise, `folds`
+    of those that fold otherwise; `lowest` is the first character of `newer` and `folds`.
     """
 
-    decomposed: dict[str, str]
+    decomposed: dict[int, str]
     classes: dict[str, int]
     composed: dict[str, str]
-    parts: frozenset[str]
-    folded: dict[str, str]
-
-    def _newer(self, text: str) -> bool:
-        return not (self.decomposed.keys().isdisjoint(text) and self.classes.keys().isdisjoint(text))
-
-    def _class(self, c: str) -> int:
-        return self.classes.get(c) or combining(c)
+    folded: dict[int, str]
+    marks: str
+    newer: str
+    unfolded: str
+    lowest: str
+
+    def _has(self, pattern: str, text: str) -> bool:
+        return bool(compiled(f"[{self.lowest}-\U0010ffff]").search(text) and compiled(pattern).search(text))
+
+    def rank(self, mark: str) -> int:
+        return self.classes.get(mark) or combining(mark)
+
+    def in_order(self, run: str) -> str:
+        """Marks, decomposed, in canonical order: dealt to one pile a class, which keeps the order in each."""
+        piles: dict[int, list[str]] = {}
+        rank = {c: self.rank(c) for c in set(run)}
+        for c in run:
+            piles.setdefault(rank[c], []).append(c)
+        return "".join("".join(piles[n]) for n in sorted(piles))
+
+    def _settled(self, text: str) -> str:
+        """The text with long runs of marks decomposed and in order, so that the library has nothing to move in them."""
+
+        def settle(m) -> str:
+            return self.in_order("".join(map(parts.__getitem__, m[0])))
+
+        found = compiled(f"{self.marks}{{{LONG_RUN},}}")
+        if not found.search(text):
+            return text
+        parts = {c: self.decomposed.get(ord(c)) or normalize("NFD", c) for c in set(text)}
+        return found.sub(settle, text)
 
     def nfd(self, text: str) -> str:
-        plain = normalize("NFD", text)
-        if not self._newer(text):
-            return plain
-        plain = "".join(self.decomposed.get(c, c) for c in plain)
-        classes = [self._class(c) for c in plain]
-        blocks = list(accumulate(not x for x in classes))
-        return "".join(plain[i] for i in sorted(range(len(plain)), key=lambda i: (blocks[i], classes[i])))
-
-    def _pair(self, pair: str) -> str | None:
-        found = self.composed.get(pair) or normalize("NFC", pair)
-        return found if len(found) == 1 else None
+        if not self._has(self.newer, text):
+            return normalize("NFD", self._settled(text))
+        plain = normalize("NFD", self._settled(text.translate(self.decomposed)))
+        return compiled(f"{self.marks}{{2,}}").sub(lambda m: self.in_order(m[0]), plain)
+
+    def _joined(self, first: str, second: str) -> str | None:
+        """The one character that two make, if any."""
+        if known := self.composed.get(first + second):
+            return known
+        made = normalize("NFC", first + second)
+        return made if len(made) == 1 and first else None
+
+    def _with_marks(self, letter: str, marks: str) -> tuple[str, str]:
+        """A letter joined with its marks, and the marks that are left.
+
+        Only the first mark that is left of a class bars others, those of its own class: marks stand in order of class.
+        """
+        left = []
+        for _, same in groupby(marks, self.rank):
+            same = deque(same)
+            while same and (made := self._joined(letter, same[0])):
+                letter = made
+                same.popleft()
+            left.extend(same)
+        return letter, "".join(left)
 
     def nfc(self, text: str) -> str:
-        if self.parts.isdisjoint(text) and not self._newer(text):
-            return normalize("NFC", text)
-        out: list[str] = []
-        base, last = -1, 0
-        for c in self.nfd(text):
-            own = self._class(c)
-            if base >= 0 and (base == len(out) - 1 or 0 < last < own):
-                if made := self._pair(out[base] + c):
-                    out[base] = made
-                    continue
-            if not own:
-                base = len(out)
-            last = own
-            out.append(c)
-        return "".join(out)
+        if not self._has(self.newer, text):
+            return normalize("NFC", self._settled(text))
+        done: list[tuple[str, str]] = []  # (letter, marks left) of each segment
+        for m in compiled(f"((?!{self.marks}).)?({self.marks}*)").finditer(self.nfd(text)):
+            letter, marks = m[1] or "", m[2]
+            if letter and done and not done[-1][1] and (made := self._joined(done[-1][0], letter)):
+                letter = made
+                done.pop()
+            done.append(self._with_marks(letter, marks) if letter else ("", marks))
+        return "".join(map("".join, done))
 
     def folds(self, text: str) -> str:
-        if self.folded.keys().isdisjoint(text):
+        if not self._has(self.unfolded, text):
             return text.casefold()
-        return "".join(self.folded.get(c) or c.casefold() for c in text)
+        return "".join(self.folded.get(ord(c)) or c.casefold() for c in text)
 
 
 class Graphemes(NamedTuple):
@@ -146,6 +205,18 @@ class Graphemes(NamedTuple):
             kept = m.end()
         return text[:kept]
 
+    def cut_clusters(self, text: str, n: int) -> str:
+        return self.cut(text, (n, None, None, None))
+
+    def cut_points(self, text: str, n: int) -> str:
+        return self.cut(text, (None, n, None, None))
+
+    def cut_bytes(self, text: str, n: int) -> str:
+        return self.cut(text, (None, None, n, None))
+
+    def cut_units(self, text: str, n: int) -> str:
+        return self.cut(text, (None, None, None, n))
+
 
 class Invisible(NamedTuple):
     """Invisible and control characters, and the contexts in which some of them have a visible job.

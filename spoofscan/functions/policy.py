@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skeletons import Skeletons, with_scripts
+from ..operators.skeletons import Skeletons, script_sets
 from .text import TextFunctions, is_text, text_functions
 
 #: What the policies say. Fixed values.
@@ -25,18 +25,20 @@ NOT_TEXT, INVISIBLE, PILED, TOO_LONG, EXTENSION = (
 HIGHLY_RESTRICTIVE = 3
 
 
-def username_problem(df: DataFrame, name: str, out: str = "problem") -> DataFrame:
-    """`df` with the problem of a username, handle or slug; null if there is none or the name is null."""
-    t, c = text_functions(df.sparkSession), F.col("text")
-    level = t.restriction_level(c, F.col("sets"))
-    reason = (
-        F.when(~t.is_allowed(c), OUTSIDE)
+def username_problem_of(t: TextFunctions, name: Column) -> Column:
+    """The problem of a username, handle or slug; null if there is none or the name is null."""
+    level = t.restriction_level(name, script_sets(t.chars.spark, name))
+    return (
+        F.when(~t.is_allowed(name), OUTSIDE)
         .when(level > HIGHLY_RESTRICTIVE, SCRIPTS)
-        .when(t.has_mixed_numbers(c), NUMBERS)
-        .when(t.has_unlikely_marks(c) | t.has_hidden_overlay(c), PILED_OR_HIDDEN)
+        .when(t.has_mixed_numbers(name), NUMBERS)
+        .when(t.has_unlikely_marks(name) | t.has_hidden_overlay(name), PILED_OR_HIDDEN)
     )
-    wide = with_scripts(df.select(F.struct(*df.columns).alias("row"), F.col(name).alias("text")), "text", "sets")
-    return wide.select(*[F.col("row")[x].alias(x) for x in df.columns if x != out], reason.alias(out))
+
+
+def username_problem(df: DataFrame, name: str, out: str = "problem") -> DataFrame:
+    """`df` with `username_problem_of` a name. A column `out` is replaced."""
+    return df.withColumn(out, username_problem_of(text_functions(df.sparkSession), F.col(name)))
 
 
 def display_name_problem(t: TextFunctions, name: Column, raw: Column | None = None, graphemes: int = 50, utf8_bytes: int = 200) -> Column:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skeletons import Skeletons, match_class, script_sets
-from .kernels import NAMED
+from ..operators.skeletons import Skeletons, aliases_of, dangerous, homoglyphs_of, mask_scripts, match_class, mixes_aliases, script_mask, script_sets
+from . import policy
+from .kernels import LEVELS, LOOKS, NAMED, mapped_with
 from .text import casefold, nfc, nfd, resolved, text_functions
 
 _INFIX = {"=": "=", "<=>": "<=>", "<": "<", "<=": "<=", ">": ">", ">=": ">=", "and": "AND", "or": "OR", "+": "+", "-": "-", "*": "*", "/": "/", "%": "%", "rlike": "RLIKE"}
@@ -79,7 +80,7 @@ def _checks(spark: SparkSession) -> dict[str, tuple[str, str, Column]]:
         "resolved_scripts": (text, "ARRAY<STRING>", resolved(sets)),
         "is_mixed_script": (text, "BOOLEAN", F.size(resolved(sets)) == 0),
         "restriction_level": (text, "INT", t.restriction_level(c, sets)),
-        "confusable_class": (two, "STRING", match_class(s.skeleton(a) == s.skeleton(b), script_sets(spark, a), script_sets(spark, b))),
+        "match_class": (two, "STRING", match_class(s.skeleton(a) == s.skeleton(b), script_sets(spark, a), script_sets(spark, b))),
         "identifier_status": (text, "STRING", t.identifier_status(c)),
         "identifier_types": (text, "ARRAY<STRING>", t.identifier_types(c)),
         "is_xid_start": (text, "BOOLEAN", t.is_xid_start(c)),
@@ -96,7 +97,25 @@ def _checks(spark: SparkSession) -> dict[str, tuple[str, str, Column]]:
         "has_invisible": (text, "BOOLEAN", t.has_invisible(c)),
         "graphemes": (text, "ARRAY<STRING>", t.graphemes(c)),
         "count_graphemes": (text, "INT", t.count_graphemes(c)),
+        "bidi_class": (text, "STRING", t.bidi_class(c)),
+        "levels": (text, LEVELS, s.levels(c)),
+        "levels_rtl": (text, LEVELS, s.levels(c, "rtl")),
+        "levels_auto": (text, LEVELS, s.levels(c, "auto")),
+        "class_levels": ("s ARRAY<STRING>", LEVELS, s.levels_of_classes(c)),
+        "aliases": (text, "ARRAY<STRING>", aliases_of(spark, c)),
+        "mixes_aliases": (text, "BOOLEAN", mixes_aliases(aliases_of(spark, c))),
+        "homoglyphs": (text, LOOKS, homoglyphs_of(spark, c, greedy=True)),
+        "is_dangerous": (text, "BOOLEAN", dangerous(spark, c)),
+        "script_mask": (text, "ARRAY<BIGINT>", script_mask(spark, c)),
+        "mask_scripts": ("s ARRAY<BIGINT>", "ARRAY<STRING>", mask_scripts(spark, c)),
+        "username_keys": (text, "ARRAY<STRING>", s.username_keys(c)),
+        "username_problem": (text, "STRING", policy.username_problem_of(t, c)),
+        "display_name_problem": (text, "STRING", policy.display_name_problem(t, c)),
+        "filename_problem": (text, "STRING", policy.filename_problem(t, s, c)),
     }
+    sent = t.chars.shipped("graphemes", t._graphemes)
+    for name, method in (("graphemes", "clusters"), ("points", "points"), ("utf8", "bytes"), ("utf16", "units")):
+        out[f"truncate_{name}"] = ("s STRING, n INT", "STRING", mapped_with(f"cut_{method}", "string", sent)(c, F.greatest(F.col("n"), F.lit(0))))
     return out
 
 
@@ -113,8 +132,6 @@ def register(spark: SparkSession, prefix: str = "spoof_") -> list[str]:
                 spark.udf.register(kernel, NAMED[kernel])
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {kind} RETURN {body}")
         made.append(prefix + name)
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}truncate_graphemes(s STRING, n INT) RETURNS STRING RETURN array_join(slice({prefix}graphemes(s), 1, n), '')")
-    made.append(f"{prefix}truncate_graphemes")
     t = text_functions(spark)
     invisible, clusters = t.chars.shipped("invisible", t._invisible), t.chars.shipped("graphemes", t._graphemes)
 

@@ -6,8 +6,6 @@ invisible characters, and clusters. All of it is deterministic, so filters pass
 
 from __future__ import annotations
 
-from functools import cached_property
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +24,12 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
-_FORMS: WeakKeyDictionary = WeakKeyDictionary()
-
-
 def _form(name: str, text: Column, plain: Column) -> Column:
-    spark = SparkSession.active()
-    made = _FORMS.setdefault(spark, {})
-    if name not in made:
-        chars = characters(spark)
-        made[name] = mapped(name, "string", chars.shipped("forms", lambda: chars.forms))
-    return only(~is_ascii(text), text, made[name], plain)
+    """A normal form by the data that the active session follows now."""
+    chars = characters(SparkSession.active())
+    if name not in chars.kernels:
+        chars.kernels[name] = mapped(name, "string", chars.shipped("forms", lambda: chars.forms))
+    return only(~is_ascii(text), text, chars.kernels[name], plain)
 
 
 def nfd(text: Column) -> Column:
@@ -108,15 +102,19 @@ class TextFunctions:
     def has_mixed_numbers(self, text: Column) -> Column:
         return F.when(is_ascii(text), False).otherwise(F.size(self.decimal_zeros(text)) > 1)
 
+    def _repeated_mark(self) -> str:
+        """A pattern of a mark that its run repeats. Of more marks in a row than there are, two nearer ones are equal."""
+        marks = "[:Mn:][:Me:]"
+        return f"({self.chars.regex(marks)}){self.chars.regex(marks)}{{0,{self.chars.count(marks)}}}?\\1"
+
     def has_repeated_mark(self, text: Column) -> Column:
         """Whether a run of nonspacing marks repeats one, at once or later in the run."""
-        mark = self.chars.regex("[:Mn:][:Me:]")
-        return F.when(is_ascii(text), False).otherwise(nfd(text).rlike(f"({mark}){mark}*?\\1"))
+        return F.when(is_ascii(text), False).otherwise(nfd(text).rlike(self._repeated_mark()))
 
     def has_unlikely_marks(self, text: Column) -> Column:
         """A repeated mark in a run, or more than MOST_MARKS marks."""
         mark = self.chars.regex("[:Mn:][:Me:]")
-        return F.when(is_ascii(text), False).otherwise(nfd(text).rlike(f"{mark}{{{MOST_MARKS + 1}}}|({mark}){mark}*?\\1"))
+        return F.when(is_ascii(text), False).otherwise(nfd(text).rlike(f"{mark}{{{MOST_MARKS + 1}}}|{self._repeated_mark()}"))
 
     def has_hidden_overlay(self, text: Column) -> Column:
         """Whether a dot above stands where a letter's own dot, or its look-alike's, hides it."""

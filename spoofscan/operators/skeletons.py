@@ -7,25 +7,37 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Forms, compiled, mapped, only
-from ..functions.text import casefold, code_points, is_ascii, overlap, resolved, text_functions
+from ..functions.kernels import LEVELS, LOOKS, Forms, compiled, mapped, only
+from ..functions.text import code_points, is_ascii, overlap, resolved, text_functions
 from ..sources.unicode import characters, stretches, tree
-from .bidi import BidiData, display
+from .bidi import BidiData, Levels, display
 
 #: Classes of characters that can raise a level to an odd one.
 _ODD = "[:bc=R:][:bc=AL:][:bc=AN:][:bc=RLE:][:bc=RLO:][:bc=RLI:]"
 
 
 class Looks(NamedTuple):
-    """The kernel of skeletons: normal form, display order, prototypes, normal form."""
+    """The kernel of skeletons: normal form, display order, prototypes, normal form.
+
+    `replaced` is a class of all characters that have a prototype, and of some that don't; most of a text isn't in it.
+    """
 
     forms: Forms
     prototypes: dict[int, str]
     bidi: BidiData
     odd: str
+    replaced: str
 
     def internal(self, text: str) -> str:
-        return self.forms.nfd(self.forms.nfd(text).translate(self.prototypes))
+        plain = self.forms.nfd(text)
+        looks = compiled(f"{self.replaced}+").sub(lambda m: m[0].translate(self.prototypes), plain)
+        return looks if looks == plain else self.forms.nfd(looks)
+
+    def keys(self, text: str) -> list[str]:
+        """The skeleton of a name and that of its case-folded form."""
+        folded = self.forms.folds(text)
+        own = self.ltr(text)
+        return [own, own if folded == text else self.ltr(folded)]
 
     def shown(self, text: str, direction: str) -> str:
         """The text in display order; left to right, one that can't reach an odd level is shown as it is written."""
@@ -58,7 +70,12 @@ class Skeletons:
 
     def __init__(self, spark) -> None:
         self.spark, self.chars = spark, characters(spark)
-        self._sent = self.chars.shipped("looks", lambda: Looks(self.chars.forms, str.maketrans(self.chars.prototypes), self.chars.bidi, self.chars.pattern(_ODD)))
+        self._sent = self.chars.shipped("looks", self._looks)
+
+    def _looks(self) -> Looks:
+        own = stretches({c for c in self.chars.prototypes if c < "\U00010000"})
+        replaced = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in own)
+        return Looks(self.chars.forms, str.maketrans(self.chars.prototypes), self.chars.bidi, self.chars.pattern(_ODD), f"[{replaced}\\U00010000-\\U0010ffff]")
 
     def _ascii(self, text: Column) -> Column:
         """The skeleton of an ASCII text: characters for which one stands at once, the others one after the other."""
@@ -68,13 +85,13 @@ class Skeletons:
         # what one replacement makes, no later one may take up
         order = sorted(several, key=lambda c: sum(c in s for s in several.values()), reverse=True)
         assert not set(order) & set("".join(single.values())) and not any(b in several[a] for i, a in enumerate(order) for b in order[i:])
-        text = F.translate(text, "".join(single), "".join(single.values()))
+        out = F.translate(text, "".join(single), "".join(single.values()))
         for c in order:
-            text = F.replace(text, F.lit(c), F.lit(several[c]))
-        return text
+            out = F.replace(out, F.lit(c), F.lit(several[c]))
+        return out
 
-    def _kernel(self, method: str):
-        return mapped(method, "string", self._sent)
+    def _kernel(self, method: str, kind: str = "string"):
+        return mapped(method, kind, self._sent)
 
     def internal(self, text: Column) -> Column:
         """The skeleton without regard to display: decomposed, each character replaced by what it looks like."""
@@ -85,6 +102,15 @@ class Skeletons:
         turns = F.lit(True) if self._direction(direction) != "ltr" else ~is_ascii(text) & text.rlike(self.chars.regex(_ODD))
         return only(turns, text, self._kernel(f"shown_{direction}"), text)
 
+    def levels(self, text: Column, direction: str = "ltr") -> Column:
+        """struct<base, levels, order>: the paragraph level, each character's level (null if rule X9 removes it), and the
+        places of the others in display order."""
+        return mapped(f"text_{self._direction(direction)}", LEVELS, self.chars.shipped("levels", lambda: Levels(self.chars.bidi)))(text)
+
+    def levels_of_classes(self, classes: Column, direction: str = "ltr") -> Column:
+        """The same of one paragraph given by its bidi classes (array<string>), as BidiTest.txt has them."""
+        return mapped(f"classes_{self._direction(direction)}", LEVELS, self.chars.shipped("levels", lambda: Levels(self.chars.bidi)))(classes)
+
     def skeleton(self, text: Column, direction: str | None = "ltr") -> Column:
         """Two texts look alike if these are equal. Null for null; an empty text's is empty."""
         if direction is None:
@@ -93,6 +119,11 @@ class Skeletons:
             return self._kernel(direction)(text)
         return only(~is_ascii(text), text, self._kernel("ltr"), self._ascii(text))
 
+    def username_keys(self, name: Column) -> Column:
+        """The two keys of a name, from one kernel: its skeleton, and that of its case-folded form."""
+        plain = F.array(self._ascii(name), self._ascii(F.lower(name)))
+        return only(~is_ascii(name), name, self._kernel("keys", "array<string>"), plain)
+
     @staticmethod
     def _direction(direction: str) -> str:
         if direction not in ("ltr", "rtl", "auto"):
@@ -137,16 +168,72 @@ def with_scripts(df: DataFrame, text: str, out: str = "script_sets") -> DataFram
 
 def with_aliases(df: DataFrame, text: str, out: str = "aliases") -> DataFrame:
     """`df` with the sorted distinct script names, in capitals, of each text's characters; null for null."""
-    return df.withColumn(out, _of_characters(characters(df.sparkSession), F.col(text), "aliases", "array<string>", F.lit("LATIN"), F.lit("COMMON")))
+    return df.withColumn(out, aliases_of(df.sparkSession, F.col(text)))
+
+
+class Masks:
+    """Script sets as bits, 63 a word: the bits that all characters of a text share, all bits for characters of any script."""
+
+    def __init__(self, table) -> None:
+        self.index, values = table
+        self.names = sorted({x for own in values for x in own} - {"ALL"})
+        place = {x: i for i, x in enumerate(self.names)}
+        every = (1 << len(self.names)) - 1
+        self.masks = [every if own == ["ALL"] else sum(1 << place[x] for x in own) for own in values]
+        self.words = -(-len(self.names) // 63)
+
+    def mask(self, text: str) -> list[int]:
+        shared = (1 << len(self.names)) - 1
+        for i in set(self.index[list(map(ord, set(text)))].tolist()):
+            shared &= self.masks[i]
+        return self.split(shared)
+
+    def split(self, mask: int) -> list[int]:
+        return [(mask >> (63 * w)) & ((1 << 63) - 1) for w in range(self.words)]
+
+
+def _masks(chars):
+    return chars.shipped("masks", lambda: Masks(chars.script_table))
+
+
+def script_mask(spark, text: Column) -> Column:
+    """The scripts that all characters of a text share, as words of bits (array<long>); null for null.
+
+    A group's, window's or stream's shared scripts are the bit_and of each word, see `shared_mask` and `mask_scripts`.
+    """
+    chars = characters(spark)
+    sent = _masks(chars)
+    masks = sent.value
+    words = lambda x: F.array(*[F.lit(w).cast("long") for w in masks.split(x)])
+    every, latin = (1 << len(masks.names)) - 1, sum(1 << masks.names.index(x) for x in ("Hntl", "Latn"))
+    plain = F.when(text.rlike("[A-Za-z]"), words(latin)).otherwise(words(every))
+    return only(~is_ascii(text), text, mapped("mask", "array<bigint>", sent), plain)
+
+
+def shared_mask(spark, mask: Column) -> Column:
+    """The aggregate of `script_mask` values: a column for GROUP BY, windows, streams and SQL. Nulls don't count."""
+    return F.array(*[F.bit_and(mask[i]) for i in range(_masks(characters(spark)).value.words)])
+
+
+def mask_scripts(spark, mask: Column) -> Column:
+    """The scripts of a mask, sorted: ['ALL'] if every bit is set, [] if none is; null for null."""
+    masks = _masks(characters(spark)).value
+    every = masks.split((1 << len(masks.names)) - 1)
+    names = F.array_compact(F.array(*[F.when(F.getbit(mask[i // 63], F.lit(i % 63)) == 1, F.lit(x)) for i, x in enumerate(masks.names)]))
+    whole = mask[0] == F.lit(every[0]).cast("long")
+    for i, w in enumerate(every[1:], 1):
+        whole &= mask[i] == F.lit(w).cast("long")
+    return F.when(mask[0].isNull(), None).when(whole, F.array(F.lit("ALL"))).otherwise(names)
 
 
 def shared_scripts(df: DataFrame, by: list[str], text: str, out: str = "shared_scripts") -> DataFrame:
-    """(by..., out) the scripts that all characters of all of a group's texts share.
+    """(by..., out) the scripts that all characters of all of a group's texts share; null if all texts are null.
 
-    What is gathered for a group are its distinct sets, of which Unicode has a few hundred.
+    Masks are combined before the shuffle, so a group is a few words a task, however many texts it has.
     """
-    each = df.select(*by, F.explode(script_sets(df.sparkSession, F.col(text))).alias("set")).distinct()
-    return each.groupBy(*by).agg(resolved(F.collect_set("set")).alias(out))
+    spark = df.sparkSession
+    own = df.select(*by, script_mask(spark, F.col(text)).alias("_mask")).groupBy(*by).agg(shared_mask(spark, F.col("_mask")).alias("_mask"))
+    return own.select(*by, mask_scripts(spark, F.col("_mask")).alias(out))
 
 
 def mixes_aliases(aliases: Column, allowed: tuple[str, ...] = ("COMMON",)) -> Column:
@@ -154,8 +241,27 @@ def mixes_aliases(aliases: Column, allowed: tuple[str, ...] = ("COMMON",)) -> Co
     return F.size(F.array_except(aliases, F.array(*[F.lit(a.upper()) for a in allowed]).cast("array<string>"))) > 1
 
 
-def _homoglyph_table(chars, names: tuple[str, ...]) -> tuple[DataFrame, str]:
-    """(rows (cp, homoglyphs, alias) of the characters that count, a class of them), made once a session and argument."""
+class Homoglyphs:
+    """Of each character that counts: its name of a script, and what looks like it. At most one entry a code point."""
+
+    def __init__(self, looks: dict[str, tuple[str, list[dict]]]) -> None:
+        self.looks = looks
+        self.known = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in stretches(set(looks))) + "]" if looks else "(?:(?!))"
+
+    def _item(self, c: str) -> dict:
+        alias, own = self.looks[c]
+        return {"character": c, "alias": alias, "homoglyphs": own}
+
+    def first(self, text: str) -> list[dict]:
+        m = compiled(self.known).search(text)
+        return [self._item(m[0])] if m else []
+
+    def all(self, text: str) -> list[dict]:
+        return [self._item(c) for c in dict.fromkeys(compiled(self.known).findall(text))]
+
+
+def _homoglyphs(chars, names: tuple[str, ...]):
+    """(broadcast, Java class of the characters that count), made once a session and argument."""
     if names in chars.homoglyph_tables:
         return chars.homoglyph_tables[names]
     table = chars.homoglyphs.filter(F.length("character") == 1).select(F.ascii("character").alias("cp"), "homoglyphs")
@@ -165,38 +271,41 @@ def _homoglyph_table(chars, names: tuple[str, ...]) -> tuple[DataFrame, str]:
         table = table.join(good.select("cp").distinct(), "cp", "left_semi")
     table = table.join(chars.aliases.select("cp", "alias"), "cp", "left").withColumn("alias", F.coalesce("alias", F.lit("Unknown")))
     table = table.filter(~F.col("alias").isin(list(names))) if names else table
-    looks = chars.stored(table, "looks")
-    # only the characters that count are looked up, and without `greedy` one a text, which no row is shuffled for
-    known = tree(stretches({chr(r.cp) for r in looks.select("cp").collect()})) or "[a&&b]"
-    chars.homoglyph_tables[names] = looks, known
-    return looks, known
+    looks = {chr(r.cp): (r.alias, [{"c": h.c, "n": h.n} for h in r.homoglyphs]) for r in table.collect()}
+    made = chars.shipped(("homoglyphs", names), lambda: Homoglyphs(looks)), tree(stretches(set(looks))) or "[a&&b]"
+    chars.homoglyph_tables[names] = made
+    return made
 
 
-def homoglyph_report(df: DataFrame, text: str, greedy: bool = False, preferred: tuple[str, ...] = (), out: str = "homoglyphs") -> DataFrame:
-    """`df` with array<struct<character, alias, homoglyphs>> of the characters that look like others, in order.
+def homoglyphs_of(spark, text: Column, greedy: bool = False, preferred: tuple[str, ...] = ()) -> Column:
+    """array<struct<character, alias, homoglyphs array<struct<c, n>>>> of a text's characters that look like others, in order.
 
     With `preferred` script names, only characters of other scripts that look like one of a preferred script count.
-    Without `greedy`, the first alone is listed. Empty if there are none; null for null. A column `out` is replaced.
+    Without `greedy`, the first alone is listed. Empty if there are none; null for null. No row is shuffled.
     """
-    looks, known = _homoglyph_table(characters(df.sparkSession), tuple(sorted(a.upper() for a in preferred)))
-    own = F.filter(F.array_distinct(code_points(F.col(text))), lambda c: c.rlike(known))
-    own = F.when(F.col(text).rlike(known), own if greedy else F.slice(own, 1, 1)).otherwise(F.array().cast("array<string>"))
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).isNull().alias("_null"), own.alias("_own"))
-    kept = [F.col("_row")[c].alias(c) for c in df.columns if c != out]
-    item = F.struct(F.col("_c").alias("character"), "alias", "homoglyphs").alias("x")
-    if not greedy:
-        found = rows.select("_row", "_null", F.get("_own", 0).alias("_c")).join(F.broadcast(looks), F.ascii("_c") == F.col("cp"), "left")
-        return found.select(*kept, F.when(~F.col("_null"), F.array_compact(F.array(F.when(F.col("cp").isNotNull(), item)))).alias(out))
-    each = rows.withColumn("_id", F.monotonically_increasing_id()).select("_row", "_null", "_id", F.posexplode_outer("_own").alias("_pos", "_c"))
-    found = each.join(F.broadcast(looks), F.ascii("_c") == F.col("cp"), "left")
-    listed = found.groupBy("_id").agg(F.first("_row").alias("_row"), F.first("_null").alias("_null"), F.sort_array(F.collect_list(F.when(F.col("cp").isNotNull(), F.struct("_pos", item)))).alias("_found"))
-    return listed.select(*kept, F.when(~F.col("_null"), F.transform("_found", lambda x: x["x"])).alias(out))
+    sent, known = _homoglyphs(characters(spark), tuple(sorted(a.upper() for a in preferred)))
+    return only(text.rlike(known), text, mapped("all" if greedy else "first", LOOKS, sent), F.array().cast(LOOKS))
+
+
+def homoglyph_report(df: DataFrame, text: str, greedy: bool = False, preferred: tuple[str, ...] = (), out: str = "homoglyphs") -> DataFrame:
+    """`df` with `homoglyphs_of` a text. A column `out` is replaced."""
+    return df.withColumn(out, homoglyphs_of(df.sparkSession, F.col(text), greedy, preferred))
+
+
+def aliases_of(spark, text: Column) -> Column:
+    """The sorted distinct script names, in capitals, of a text's characters; null for null."""
+    return _of_characters(characters(spark), text, "aliases", "array<string>", F.lit("LATIN"), F.lit("COMMON"))
+
+
+def dangerous(spark, text: Column, preferred: tuple[str, ...] = ()) -> Column:
+    """Whether a text mixes script names and has a character that looks like another; null for null."""
+    _, known = _homoglyphs(characters(spark), tuple(sorted(a.upper() for a in preferred)))
+    return mixes_aliases(aliases_of(spark, text)) & text.rlike(known)
 
 
 def is_dangerous(df: DataFrame, text: str, preferred: tuple[str, ...] = (), out: str = "is_dangerous") -> DataFrame:
-    """`df` with whether a text mixes script names and has a character that looks like another; null for null."""
-    wide = with_aliases(homoglyph_report(df.withColumn("_danger_text", F.col(text)), "_danger_text", preferred=preferred, out="_danger_looks"), "_danger_text", "_danger_names")
-    return wide.withColumn(out, mixes_aliases(F.col("_danger_names")) & (F.size("_danger_looks") > 0)).drop("_danger_text", "_danger_looks", "_danger_names")
+    """`df` with whether a text is `dangerous`."""
+    return df.withColumn(out, dangerous(df.sparkSession, F.col(text), preferred))
 
 
 def match_class(skeletons_equal: Column, a_sets: Column, b_sets: Column) -> Column:
@@ -226,22 +335,30 @@ def is_mixed_script(df: DataFrame, text: str, out: str = "is_mixed_script") -> D
     return wide.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], (F.size(resolved(F.col("sets"))) == 0).alias(out))
 
 
-def username_keys(s: Skeletons, name: Column) -> Column:
-    """The two keys of a name: its skeleton, and that of its case-folded form."""
-    return F.array(s.skeleton(name), s.skeleton(casefold(name)))
+def _keyed(df: DataFrame, on: str, side: str, direction: str | None) -> DataFrame:
+    """Rows with their skeletons. A null text gets an empty one and a number of its own side that no other row has, so it
+    matches nothing and nulls are dealt to many tasks. As the key is never null, Spark doesn't test it below the kernel."""
+    look = F.coalesce(Skeletons(df.sparkSession).skeleton(F.col(on), direction), F.lit(""))
+    row = F.struct(*df.columns)
+    spread = F.pmod(F.xxhash64(row), F.lit(1 << 20)) + 1
+    apart = F.when(F.col(on).isNull(), spread if side == "a" else -spread).otherwise(F.lit(0).cast("long"))
+    return df.select(row.alias(f"row_{side}"), look.alias(f"look_{side}"), apart.alias(f"apart_{side}"))
 
 
 def lookalike_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, direction: str | None = "ltr", how: str = "inner") -> DataFrame:
     """Rows of `left` and `right` whose texts look alike: an equi-join on skeletons, planned by Spark; nulls never match.
 
-    With `how` 'left_semi' or 'left_anti', rows of `left` that do or don't look like any of `right`.
+    With `how` 'left_semi' or 'left_anti', rows of `left` that do or don't look like any of `right`. Each side's skeletons
+    are made once.
     """
-    s = Skeletons(left.sparkSession)
-    a = left.select(F.struct(*left.columns).alias("row_a"), s.skeleton(F.col(left_on), direction).alias("look_a"))
-    b = right.select(F.struct(*right.columns).alias("row_b"), s.skeleton(F.col(right_on), direction).alias("look_b"))
+    kept = {"left": (False, True), "leftouter": (False, True), "leftanti": (False, True), "right": (True, False), "rightouter": (True, False), "full": (False, False), "fullouter": (False, False), "outer": (False, False)}
+    drops = kept.get(how.replace("_", ""), (True, True))
+    left, right = left.filter(F.col(left_on).isNotNull()) if drops[0] else left, right.filter(F.col(right_on).isNotNull()) if drops[1] else right
+    a, b = _keyed(left, left_on, "a", direction), _keyed(right, right_on, "b", direction)
+    alike = (F.col("look_a") == F.col("look_b")) & (F.col("apart_a") == F.col("apart_b"))
     if how in ("left_semi", "left_anti"):
-        return a.join(b.select("look_b").distinct(), F.col("look_a") == F.col("look_b"), how).select("row_a.*")
-    return a.join(b, F.col("look_a") == F.col("look_b"), how).select("row_a.*", "row_b.*")
+        return a.join(b.select("look_b", "apart_b").distinct(), alike, how).select("row_a.*")
+    return a.join(b, alike, how).select("row_a.*", "row_b.*")
 
 
 def lookalike_groups(df: DataFrame, text: str, direction: str | None = "ltr") -> DataFrame:
@@ -253,17 +370,29 @@ def lookalike_groups(df: DataFrame, text: str, direction: str | None = "ltr") ->
 
 
 def protected(df: DataFrame, name: str, protected_names: list[str] | DataFrame, flag: str = "is_protected") -> DataFrame:
-    """`df` with whether a name shares one of its keys with a protected name; false for null.
+    """`df` with whether a name shares one of its two keys with a protected name; false for null.
 
-    Each row's keys are looked up in turn, two equi-joins on distinct keys, so nothing is exploded or joined by OR.
+    Few keys are compared in place, without a shuffle; of many, a filter of bits finds the names that can share one, and
+    only their keys are joined (see `membership`).
     """
+    from .membership import is_member
+
     spark, s = df.sparkSession, Skeletons(df.sparkSession)
     names = protected_names if isinstance(protected_names, DataFrame) else spark.createDataFrame([(x,) for x in protected_names], "name string")
-    keys = names.select(F.explode(username_keys(s, F.col(names.columns[0]))).alias("key")).filter("key IS NOT NULL").distinct()
-    wide = df.select(F.struct(*df.columns).alias("row"), s.skeleton(F.col(name)).alias("k1"), s.skeleton(casefold(F.col(name))).alias("k2"))
-    first, second = keys.select(F.col("key").alias("k1"), F.lit(True).alias("hit1")), keys.select(F.col("key").alias("k2"), F.lit(True).alias("hit2"))
-    wide = wide.join(first, "k1", "left").join(second, "k2", "left")
-    return wide.select(*[F.col("row")[c].alias(c) for c in df.columns if c != flag], F.coalesce("hit1", "hit2", F.lit(False)).alias(flag))
+    keys = names.select(F.explode(s.username_keys(F.col(names.columns[0]))).alias("key"))
+    wide = df.select(F.struct(*df.columns).alias("_row"), s.username_keys(F.col(name)).alias("_keys"))
+    found = is_member(wide, "_keys", keys, flag)
+    return found.select(*[F.col("_row")[c].alias(c) for c in df.columns if c != flag], flag)
+
+
+def checked_bidi_tests(tests: DataFrame) -> DataFrame:
+    """Rows of `ucd.bidi_tests` or `bidi_character_tests` (direction 0, 1, 2; levels; order) with what is found: got, agrees."""
+    s = Skeletons(tests.sparkSession)
+    of, given = (s.levels_of_classes, F.col("classes")) if "classes" in tests.columns else (s.levels, F.col("text"))
+    turn = F.col("direction")
+    got = F.when(turn == 0, of(F.when(turn == 0, given), "ltr")).when(turn == 1, of(F.when(turn == 1, given), "rtl")).otherwise(of(F.when(turn == 2, given), "auto"))
+    out = tests.withColumn("got", got)
+    return out.withColumn("agrees", (F.col("got.levels") == F.col("levels")) & (F.col("got.order") == F.col("order")))
 
 
 def spoof_report(df: DataFrame, text: str) -> DataFrame:

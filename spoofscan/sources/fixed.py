@@ -4,6 +4,8 @@ They are facts of the Unicode Character Database and UTS #39 (Unicode License v3
 entries; what is larger comes from a rule (see unicode.py) or from a folder of Unicode's own files (see folder.py).
 """
 
+#: The version that these values follow.
+FOLLOWS = 18
 #: Look-alike prototypes of characters below U+0600; a character that has itself is its own.
 PROTOTYPES = {
     "%": "°/₀", "¡": "i", "\xa6": "\u208f", "²": "ᒾ", "¹": "ᣳ", "º": "°", "¼": "l/4", "½": "l/2", "¾": "3/4", "þ": "p",

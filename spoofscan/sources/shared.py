@@ -56,3 +56,8 @@ def release(*tables: DataFrame) -> None:
         path = _FOLDERS.pop(table, None)
         if path:
             drop_path(table.sparkSession, path)
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """The bytes of a materialised table's files."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -70,13 +70,17 @@ class Characters:
         self.icu = spark._jvm.com.ibm.icu
         self.folder = Folder(spark, directory) if directory else None
         self._shipped: dict = {}
+        self.kernels: dict = {}
         self.homoglyph_tables: dict = {}
 
     @cached_property
     def version(self) -> str:
-        """The Unicode version that answers follow (the library's, or the folder's); store it beside skeletons."""
+        """The Unicode version that answers follow; store it beside skeletons.
+
+        The folder's, or the library's and, after a plus sign, that which the rules and fixed values bring it nearer to.
+        """
         own = self.icu.lang.UCharacter.getUnicodeVersion().toString().removesuffix(".0")
-        return (self.folder and self.folder.version) or own
+        return (self.folder and self.folder.version) or f"{own}+{fixed.FOLLOWS}"
 
     def shipped(self, name, make):
         """A broadcast of what `make` gives, made once a session."""
@@ -141,7 +145,9 @@ class Characters:
         normal, upper = self.icu.text.Normalizer, self.icu.lang.UCharacter
         made = {c: normal.decompose(c, False) for c in newer("[:NFD_QC=No:]")}
         classes = {c: upper.getCombiningClass(ord(c)) for c in newer("[^[:ccc=0:]]")}
-        pairs = {d: c for c, d in made.items() if len(d) == 2 and normal.compose(d, False) == c}
+        # what is made of three or more is made of one that is composed already, and the last
+        halves = {c: normal.compose(d[:-1], False) + d[-1] for c, d in made.items() if len(d) > 1 and normal.compose(d, False) == c}
+        pairs = {d: c for c, d in halves.items() if len(d) == 2}
         if self.folder and (told := self.folder.decompositions()):
             own, ranks, excluded = told
             unknown = lambda c: unicodedata.category(c) == "Cn"
@@ -153,7 +159,10 @@ class Characters:
 
             made |= {c: whole(d) for c, d in own.items() if unknown(c)}
         folded = {c: upper.foldCase(c, True) for c in newer("[:Changes_When_Casefolded:]")}
-        return Forms(made, classes, pairs, frozenset("".join(pairs)), folded)
+        one = lambda found: f"[{''.join(f'\\U{a:08x}-\\U{b:08x}' for a, b in stretches(found))}]" if found else "(?:(?!))"
+        marks = {chr(c) for a, b in self.ranges("[^[:lccc=0:]]") for c in range(a, b + 1)} | set(classes)
+        apart = {*made, *classes, *"".join(pairs)}
+        return Forms({ord(c): d for c, d in made.items()}, classes, pairs, {ord(c): f for c, f in folded.items()}, one(marks), one(apart), one(set(folded)), min({*apart, *folded}, default="\U0010ffff"))
 
     @cached_property
     def bidi(self):

@@ -1,0 +1,163 @@
+"""Protected names by each plan, look-alike joins with nulls, masks of scripts, homoglyphs and levels as columns."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from spoofscan.functions.register import register
+from spoofscan.operators import membership
+from spoofscan.operators import skeletons as S
+from spoofscan.operators.bidi import CLASSES
+from spoofscan.sources import ucd
+from spoofscan.streaming import guard
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def kernels(df):
+    return len(re.findall(r"ArrowEvalPython", plan(df)))
+
+
+def rows(n=400):
+    r = random.Random(3)
+    names = ["admin", "аdmin", "ADMIN", "root", "r00t", "support", "alice", "bob", "ѕupport", "müller", None, ""]
+    return [(i, r.choice(names) if i % 3 else f"user{r.randrange(500)}") for i in range(n)]
+
+
+@pytest.mark.parametrize(("literals", "whole"), [(1000, 0), (0, 1 << 30), (0, 0)])
+def test_protected_names_by_each_plan(spark, monkeypatch, literals, whole):
+    monkeypatch.setattr(membership, "LITERALS", literals)
+    monkeypatch.setattr(membership, "BROADCAST_BYTES", whole)
+    names = spark.createDataFrame(rows(), "id long, name string").withColumn("key", F.lit(1)).repartition(4)
+    want = {"admin", "аdmin", "ADMIN", "root", "müller"}  # zeros look like a capital O
+    listed = ["admin", "root", "MÜLLER", None]
+    tables = [listed, spark.createDataFrame([(x,) for x in listed] + [(f"other{i}",) for i in range(300)], "n string")]
+    for protected in tables:
+        out = S.protected(names, "name", protected)
+        assert out.columns == ["id", "name", "key", "is_protected"]
+        assert sorted((r.id, r.is_protected) for r in out.collect()) == [(i, x in want) for i, x in rows()]
+    assert S.protected(names, "name", []).filter("is_protected").count() == 0
+
+
+def test_a_short_list_costs_no_exchange_and_one_kernel(spark):
+    names = spark.createDataFrame(rows(), "id long, name string")
+    out = S.protected(names, "name", ["admin", "root"])
+    assert "Exchange" not in plan(out) and kernels(out) == 1
+
+
+def test_bits_admit_all_members_and_few_others(spark):
+    members = spark.range(20_000).select(F.concat(F.lit("m"), "id").alias("key"))
+    asked = spark.range(40_000).select(F.array(F.concat(F.lit("m"), "id"), F.concat(F.lit("n"), "id")).alias("keys"), "id")
+    found = membership.admitted(asked, "keys", members, 1 << 19, "may").groupBy((F.col("id") < 20_000).alias("own")).agg(F.count_if("may").alias("n")).collect()
+    n = {r.own: r.n for r in found}
+    assert n[True] == 20_000 and n[False] < 20_000 // 5
+    out = membership.admitted(asked, "keys", members, 1 << 19, "may")
+    assert "Exchange hashpartitioning(keys" not in plan(out)
+
+
+def test_lookalike_join_makes_each_skeleton_once(spark):
+    a = spark.createDataFrame([(1, "pаypal"), (2, None), (3, "x"), (4, None), (5, "é")], "id long, name string")
+    b = spark.createDataFrame([(7, "paypal"), (8, None), (9, "é"), (10, "y")], "key long, shown string")
+    out = S.lookalike_join(a, b, "name", "shown")
+    assert kernels(out) == 2
+    assert sorted((r.id, r.key) for r in out.collect()) == [(1, 7), (5, 9)]
+    pairs = lambda how: sorted(((r.id, r.key) for r in S.lookalike_join(a, b, "name", "shown", how=how).collect()), key=repr)
+    left = [(1, 7), (2, None), (3, None), (4, None), (5, 9)]
+    assert pairs("left") == sorted(left, key=repr) and pairs("right") == sorted([(1, 7), (5, 9), (None, 8), (None, 10)], key=repr)
+    assert pairs("full") == sorted([*left, (None, 8), (None, 10)], key=repr)
+    for how, want in (("left_semi", [1, 5]), ("left_anti", [2, 3, 4])):
+        assert sorted(r.id for r in S.lookalike_join(a, b, "name", "shown", how=how).collect()) == want
+
+
+def test_gate_passes_nulls(spark):
+    names = spark.createDataFrame(rows(60), "id long, name string")
+    guarded = spark.createDataFrame([("admin",), (None,)], "shown string")
+    kept = guard.protected_gate(names, guarded, "name", "shown")
+    assert sorted(r.id for r in kept.collect()) == [i for i, x in rows(60) if x not in ("admin", "аdmin")]
+
+
+def sets_of(spark, texts):
+    """Plain: the scripts that all characters of all texts share."""
+    out = None
+    for r in spark.createDataFrame([(x,) for x in texts], "t string").select(S.script_sets(spark, F.col("t")).alias("s")).collect():
+        for own in r.s or []:
+            if own != ["ALL"]:
+                out = set(own) if out is None else out & set(own)
+    return ["ALL"] if out is None else sorted(out)
+
+
+def test_script_masks_in_groups_windows_and_sql(spark):
+    texts = ["abc", "абв", "日本", "カ", "한국", "12", "", "漢字ab", None, "αβ", "a1", "ー", "͸"]
+    r = random.Random(1)
+    data = [(i % 17, r.choice(texts)) for i in range(90)]
+    df = spark.createDataFrame(data, "g int, t string")
+    groups = {}
+    for g, t in data:
+        groups.setdefault(g, []).append(t)
+    want = {g: sets_of(spark, own) if any(x is not None for x in own) else None for g, own in groups.items()}
+    got = S.shared_scripts(df, ["g"], "t")
+    assert {x.g: x.shared_scripts for x in got.collect()} == want
+    assert "collect_set" not in plan(got)
+    over = Window.partitionBy("g")
+    mask = S.script_mask(spark, F.col("t"))
+    wide = df.withColumn("m", mask).withColumn("all", F.array(*[F.bit_and(F.col("m")[i]).over(over) for i in range(len(df.select(mask.alias("m")).first().m))]))
+    assert {x.g: x.s for x in wide.select("g", S.mask_scripts(spark, F.col("all")).alias("s")).distinct().collect()} == want
+    register(spark)
+    df.createOrReplaceTempView("texts_of_groups")
+    words = ", ".join(f"bit_and(spoof_script_mask(t)[{i}])" for i in range(len(df.select(mask.alias("m")).first().m)))
+    sql = spark.sql(f"SELECT g, spoof_mask_scripts(array({words})) AS s FROM texts_of_groups GROUP BY g")
+    assert {x.g: x.s for x in sql.collect()} == want
+
+
+def test_homoglyph_report_needs_no_exchange(spark):
+    df = spark.createDataFrame([(1, "pаypаl ρ"), (2, ""), (3, None), (4, "plain")], "id long, t string").withColumn("homoglyphs", F.lit(0))
+    out = S.homoglyph_report(df, "t", greedy=True, preferred=("latin",))
+    assert "Exchange" not in plan(out)
+    got = {r.id: None if r.homoglyphs is None else [x.character for x in r.homoglyphs] for r in out.collect()}
+    assert got == {1: ["а", "ρ"], 2: [], 3: None, 4: []}
+    first = {r.id: r.homoglyphs for r in S.homoglyph_report(df, "t", preferred=("latin",)).collect()}
+    assert [x.character for x in first[1]] == ["а"] and any(h.c == "a" for h in first[1][0].homoglyphs)
+    own = S.is_dangerous(df, "t", preferred=("latin",), out="d")
+    assert {r.id: r.d for r in own.collect()} == {1: True, 2: False, 3: None, 4: False}
+
+
+def test_levels_and_order_of_texts_and_classes(spark):
+    s = S.Skeletons(spark)
+    df = spark.createDataFrame([("a אב 1",), ("",), (None,), ("‫ab‬",)], "t string")
+    got = [r.x for r in df.select(s.levels(F.col("t")).alias("x")).collect()]
+    assert got[0].base == 0 and got[0].levels == [0, 0, 1, 1, 1, 2] and got[0].order == [0, 1, 5, 4, 3, 2]
+    assert got[1].levels == [] and got[2] is None and got[3].levels == [None, 2, 2, None] and got[3].order == [1, 2]
+    assert [r.x.base for r in df.select(s.levels(F.col("t"), "rtl").alias("x")).filter("x IS NOT NULL").collect()] == [1, 1, 1]
+
+
+def test_classes_agree_with_texts_and_with_a_file_of_tests(spark, tmp_path):
+    """A text without brackets has the levels of its characters' classes; a file in the conformance format is run whole."""
+    r = random.Random(4)
+    sample = {"L": "a", "R": "א", "AL": "ا", "EN": "1", "ES": "+", "ET": "%", "AN": "١", "CS": ",", "NSM": "́", "BN": "­", "S": "\t", "WS": " ", "ON": "!", "LRE": "‪", "RLE": "‫", "PDF": "‬", "LRO": "‭", "RLO": "‮", "LRI": "⁦", "RLI": "⁧", "FSI": "⁨", "PDI": "⁩"}
+    assert set(sample) | {"B"} == set(CLASSES)
+    data = [[r.choice(list(sample)) for _ in range(r.randrange(1, 14))] for _ in range(300)]
+    s = S.Skeletons(spark)
+    df = spark.createDataFrame([(x, "".join(sample[c] for c in x)) for x in data], "classes array<string>, text string")
+    for way in ("ltr", "rtl", "auto"):
+        assert df.select(s.levels_of_classes(F.col("classes"), way).alias("a"), s.levels(F.col("text"), way).alias("b")).filter("a <> b OR a IS NULL").count() == 0
+    path = tmp_path / "BidiTest.txt"
+    path.write_text("@Levels: 0\n@Reorder: 0\nL; 3\n@Levels: x 3\n@Reorder: 1\nLRE R; 7\n@Levels: 1 0\n@Reorder: 0 1\nR L; 2\n")
+    out = S.checked_bidi_tests(ucd.bidi_tests(spark, str(path))).select("classes", "direction", "agrees").collect()
+    assert len(out) == 2 + 3 + 1 and all(x.agrees for x in out)
+
+
+def test_sql_names(spark):
+    made = register(spark)
+    assert not [x for x in made if "confusable" in x]
+    got = spark.sql("""SELECT spoof_bidi_class('א') AS bidi, spoof_aliases('aа') AS aliases, spoof_is_dangerous('pаypal') AS danger, spoof_username_problem('pаypal') AS problem,
+      spoof_display_name_problem('a​b') AS shown, spoof_filename_problem('a‮gpj.exe') AS file, spoof_truncate_utf8('ééé', 3) AS bytes, spoof_truncate_utf16('a🎉b', 2) AS units,
+      spoof_truncate_points('abc', 2) AS points, spoof_truncate_graphemes('éé', 1) AS clusters, spoof_levels('aא').levels AS levels, spoof_class_levels(array('R', 'L')).base AS base,
+      spoof_match_class('paypal', 'pаypal') AS class, size(spoof_homoglyphs('pа')) AS looks, spoof_username_keys('ADMIN') AS keys, spoof_truncate_utf8(NULL, 3) AS none""").first()
+    assert got.bidi == "R" and got.aliases == ["CYRILLIC", "LATIN"] and got.danger is True and got.problem == "scripts that are not used together"
+    assert got.shown == "an invisible or control character" and got.file == "an invisible or control character" and got.bytes == "é" and got.units == "a" and got.points == "ab"
+    assert got.clusters == "é" and got.levels == [0, 1] and got.base == 0 and got["class"] == "mixed-script" and got.looks >= 1 and got["keys"][1] == "adrnin" and got.none is None

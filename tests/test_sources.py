@@ -99,6 +99,8 @@ def test_sql_names(spark):
     df = spark.createDataFrame([(x,) for x in texts], "s string").withColumn("a", F.col("s")).withColumn("b", F.concat("s", F.lit("\u200b")))
     df.createOrReplaceTempView("texts")
     for name, (parameters, _, column) in module._checks(spark).items():
+        if parameters not in ("s STRING", "a STRING, b STRING"):
+            continue  # functions of other values have tests of their own
         given = "a, b" if "a STRING" in parameters else "s"
         sql = spark.sql(f"SELECT s, spoof_{name}({given}) AS o FROM texts").collect()
         want = df.select("s", column.alias("o")).collect()
