@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import policy
-from ..functions.text import casefold, code_points, nfc, nfd, resolved, text_functions, utf16_units
+from ..functions.text import casefold, code_points, is_text, nfc, nfd, resolved, text_functions, utf16_units
+from ..operators import ranges
 from ..operators import skeletons as S
+from ..operators.claim_index import ClaimIndex
+from ..sources import ucd
+from ..sources.shared import fresh_path
 from ..streaming import guard
 
 QUERIES, SQL = {}, {}
@@ -420,4 +424,213 @@ def protected_gate(spark, sf_dir):
     return guard.protected_gate(names(spark, sf_dir).select("id", "name"), guarded, "name", "shown").select("id")
 
 
+
+# --- claims: who holds a name, in one batch and over an index ---
+
+_CLAIMS_SQL = f"""
+WITH {NAMES_SQL}, k AS (SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE name END AS name, {LOOKS_SQL} AS look FROM names),
+c AS (SELECT id, name, CASE WHEN name IS NOT NULL THEN first_value(id) OVER w END AS first_id, CASE WHEN name IS NOT NULL THEN first_value(name) OVER w END AS claimed_by FROM k
+  WINDOW w AS (PARTITION BY name IS NULL, look ORDER BY AT_ORDER ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT id, name IS NULL OR id = first_id AS accepted, claimed_by FROM c
+"""
+
+
+def _claiming(spark, sf_dir):
+    """Every eleventh row has no name."""
+    return names(spark, sf_dir).select("id", F.when(F.col("id") % 11 != 0, F.col("name")).alias("name"))
+
+
+@query(_CLAIMS_SQL.replace("AT_ORDER", "id"))
+def claims_of_names(spark, sf_dir):
+    return guard.claims(_claiming(spark, sf_dir), "name", "id").select("id", "accepted", "claimed_by")
+
+
+@query(_CLAIMS_SQL.replace("AT_ORDER", "id % 3, id"))
+def claims_by_index(spark, sf_dir):
+    """Three batches, by key modulo 3, against an index that grows; it is compacted after the first."""
+    index = ClaimIndex(spark, fresh_path(spark, "claim-index"), buckets=8, kind="BIGINT")
+    rows, out = _claiming(spark, sf_dir), None
+    for turn in range(3):
+        got = index.add(rows.filter(F.col("id") % 3 == turn), "name", "id", turn)
+        out = got if out is None else out.unionByName(got)
+        if not turn:
+            index.compact()
+    return out.select("id", "accepted", "claimed_by")
+
+
+# --- scripts of groups, by masks ---
+
+
+@query("""
+WITH t AS (SELECT p_brand, p_size, p_partkey % 3 AS k FROM part)
+SELECT p_brand, p_size, CASE WHEN bool_or(k = 0) AND bool_or(k = 1) THEN '' WHEN bool_or(k = 0) THEN 'Hntl,Latn' WHEN bool_or(k = 1) THEN 'Cyrl' ELSE 'ALL' END AS scripts
+FROM t GROUP BY p_brand, p_size
+""")
+def shared_scripts_of_groups(spark, sf_dir):
+    """By key modulo 3 a row's text is Latin, Cyrillic, or digits alone."""
+    turn = F.col("p_partkey") % 3
+    text = F.when(turn == 0, F.col("p_name")).when(turn == 1, F.lit("пароль")).otherwise(F.col("p_size").cast("string"))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_size", text.alias("text"))
+    return S.shared_scripts(rows, ["p_brand", "p_size"], "text", out="s").select("p_brand", "p_size", F.array_join("s", ",").alias("scripts"))
+
+
+@query(f"WITH {NAMES_SQL}, k AS (SELECT *, {LOOKS_SQL} AS look, {ASCII_SKELETON_SQL.format('plain')} AS plain_look FROM facts) SELECT id, CASE WHEN look <> plain_look THEN 'none' WHEN spoofed THEN 'mixed' ELSE 'same' END AS mixed FROM k")
+def mixed_matches(spark, sf_dir):
+    pairs = S.match_pairs(names(spark, sf_dir), "name", "plain", out="m")
+    kind = F.when(S.is_mixed_match(F.col("m")), "mixed").when(~S.is_mixed_match(F.col("m")), "same").otherwise("none")
+    return pairs.select("id", kind.alias("mixed"))
+
+
+# --- levels and order ---
+
+
+@query(f"""
+SELECT p_partkey, 0 AS base, repeat('0', length(p_name) + 1) || '111' || repeat('2', length(CAST(p_size AS VARCHAR))) AS levels,
+  array_to_string(list_concat(list_concat(range(0, length(p_name) + 1), range(length(p_name) + 4, length(p_name) + 4 + length(CAST(p_size AS VARCHAR)))), [length(p_name) + 3, length(p_name) + 2, length(p_name) + 1]), ',') AS places
+FROM part
+""")
+def levels_of_texts(spark, sf_dir):
+    """Latin, then two Hebrew letters and a number: the number stays as it is written, left of the letters."""
+    text = F.concat("p_name", F.lit(f" {ALEF}{BET} "), F.col("p_size").cast("string"))
+    found = table(spark, sf_dir, "part").select("p_partkey", S.Skeletons(spark).levels(text).alias("x"))
+    return found.select("p_partkey", "x.base", F.array_join(F.transform("x.levels", lambda n: n.cast("string")), "").alias("levels"), F.array_join(F.transform("x.order", lambda n: n.cast("string")), ",").alias("places"))
+
+
+@query("""
+SELECT p_partkey, repeat('2', p_size) || '1' || repeat('x', p_partkey % 3) || '1' AS right_to_left, repeat('0', p_size) || '1' || repeat('x', p_partkey % 3) || '1' AS left_to_right FROM part
+""")
+def levels_of_classes(spark, sf_dir):
+    """By classes alone: letters of the left, one of the right, marks of formatting that have no level, and another of the right."""
+    classes = F.concat(F.array_repeat(F.lit("L"), F.col("p_size")), F.array(F.lit("R")), F.array_repeat(F.lit("BN"), (F.col("p_partkey") % 3).cast("int")), F.array(F.lit("AL")))
+    s, rows = S.Skeletons(spark), table(spark, sf_dir, "part").select("p_partkey", classes.alias("c"))
+    shown = lambda way: F.array_join(F.transform(s.levels_of_classes(F.col("c"), way)["levels"], lambda n: F.coalesce(n.cast("string"), F.lit("x"))), "")
+    return rows.select("p_partkey", shown("rtl").alias("right_to_left"), shown("ltr").alias("left_to_right"))
+
+
+# --- more of texts ---
+
+
+@query("""
+SELECT doc_id, greatest(least(length(text), 40) - 5, 0) AS n, CASE WHEN length(text) > 5 THEN 5 END AS starts, CASE WHEN length(text) > 5 THEN least(length(text), 40) END AS ends,
+  CASE WHEN length(text) > 5 THEN substr(text, 6, 1) END AS first_cluster FROM documents
+""")
+def grapheme_slices(spark, sf_dir):
+    """Of text[5:40], whose clusters are one character each: where they stand in the whole text."""
+    d = table(spark, sf_dir, "documents")
+    found = d.select("doc_id", text_functions(spark).grapheme_segments(F.col("text"), 5, 40).alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), F.get("s", 0)["start"].cast("long").alias("starts"), F.when(F.size("s") > 0, F.element_at("s", -1)["end"]).cast("long").alias("ends"), F.get("s", 0)["text"].alias("first_cluster"))
+
+
+#: By key modulo 6: a flag of tags; tags after a letter; an emoji style; a style after a letter; a family; a lone joiner.
+_SEQUENCES = {0: "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", 1: "a\U000e0067\U000e0062", 2: "\u2764\ufe0f", 3: "a\ufe0f", 4: "\U0001f468\u200d\U0001f469", 5: "a\u200db"}
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN 'tag,tag' WHEN 3 THEN 'variation-selector' WHEN 5 THEN 'join-control' ELSE '' END AS kinds, p_partkey % 2 = 1 AS reported FROM part")
+def sequences_of_emoji(spark, sf_dir):
+    """Tags, styles and joiners where they have a visible job, and where they don't."""
+    turn, t = F.col("p_partkey") % 6, text_functions(spark)
+    text = F.col("p_name")
+    for k, x in _SEQUENCES.items():
+        text = F.when(turn == k, F.concat("p_name", F.lit(x), "p_name")).otherwise(text)
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    return rows.select("p_partkey", F.array_join(F.transform(t.find_invisible(F.col("text")), lambda x: x["kind"]), ",").alias("kinds"), t.has_invisible(F.col("text")).alias("reported"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents)
+SELECT c AS character, regexp_matches(c, '^[0-9A-Za-z_\\x{B7}\\x{AA}\\x{BA}\\x{B5}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}]$') AS goes_on,
+  CASE WHEN regexp_matches(c, '^[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}]$') THEN 'L' WHEN regexp_matches(c, '^[0-9]$') THEN 'EN' WHEN regexp_matches(c, '^[+\\-]$') THEN 'ES'
+    WHEN regexp_matches(c, '^[#$%]$') THEN 'ET' WHEN regexp_matches(c, '^[,./:]$') THEN 'CS' WHEN c = ' ' THEN 'WS' WHEN regexp_matches(c, '^[\\n\\r]$') THEN 'B' WHEN c = chr(9) THEN 'S' ELSE 'ON' END AS bidi_class
+FROM c WHERE c <> ''
+""")
+def classes_of_characters(spark, sf_dir):
+    t, c = text_functions(spark), F.col("character")
+    rows = table(spark, sf_dir, "documents").select(F.explode(code_points(F.col("text"))).alias("character")).distinct()
+    return rows.select("character", t.is_xid_continue(c).alias("goes_on"), t.bidi_class(c).alias("bidi_class"))
+
+
+@query("SELECT doc_id, doc_id % 3 <> 1 AS valid FROM documents")
+def valid_texts(spark, sf_dir):
+    """Every third text is cut within a character."""
+    raw = F.when(F.col("doc_id") % 3 == 1, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C3")))).otherwise(F.col("text").cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", is_text(raw).alias("valid"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT {LOOKS_SQL} AS prototype, array_to_string(list_sort(list(DISTINCT name)), ',') AS sources FROM names GROUP BY 1")
+def sources_of_prototypes(spark, sf_dir):
+    pairs = names(spark, sf_dir).select(F.col("name").alias("source"), S.Skeletons(spark).skeleton(F.col("name")).alias("prototype"))
+    return ucd.look_alikes_of(pairs).select("prototype", F.array_join("sources", ",").alias("sources"))
+
+
+# --- tables of code points: written, read, compared ---
+
+_KINDS_SQL = """
+WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents),
+v AS (SELECT ascii(c) AS cp, CASE WHEN regexp_matches(c, '^\\p{L}$') THEN 'Letter' WHEN regexp_matches(c, '^[0-9]$') THEN 'Digit' ELSE 'Other' END AS value FROM c WHERE c <> '')
+"""
+
+
+def _kinds(spark, sf_dir):
+    """(cp, value) of the characters in the documents."""
+    c = table(spark, sf_dir, "documents").select(F.explode(code_points(F.col("text"))).alias("c")).distinct()
+    kind = F.when(F.col("c").rlike(r"^\p{L}$"), "Letter").when(F.col("c").rlike("^[0-9]$"), "Digit").otherwise("Other")
+    return c.select(F.ascii("c").alias("cp"), kind.alias("value"))
+
+
+@query(_KINDS_SQL + ", r AS (SELECT cp, value, cp - row_number() OVER (PARTITION BY value ORDER BY cp) AS g FROM v) SELECT min(cp)::INT AS first, max(cp)::INT AS last, value FROM r GROUP BY value, g")
+def written_runs(spark, sf_dir):
+    """Runs of a property, written in the form of Unicode's files and read back."""
+    path = fresh_path(spark, "runs")
+    ucd.write_runs(_kinds(spark, sf_dir), path)
+    return ucd.lines(spark, path).select("first", "last", F.get("fields", 0).alias("value"))
+
+
+@query(_KINDS_SQL + "SELECT cp::INT AS cp, value FROM v")
+def read_property(spark, sf_dir):
+    """The same property by code point, read from such a file."""
+    path = fresh_path(spark, "property")
+    ucd.write_runs(_kinds(spark, sf_dir), path)
+    return ucd.enumerated(spark, path)
+
+
+@query(f"WITH {NAMES_SQL} SELECT DISTINCT name AS text, {LOOKS_SQL} AS skeleton FROM names")
+def written_fixture(spark, sf_dir):
+    """A conformance table of names and skeletons, written in hexadecimal and read back."""
+    path = fresh_path(spark, "fixture")
+    rows = names(spark, sf_dir).select(F.col("name").alias("text"), S.Skeletons(spark).skeleton(F.col("name")).alias("skeleton")).distinct()
+    ucd.write_fixture(rows, path, ["text", "skeleton"], head="names\nskeletons", compression="gzip")
+    return ucd.fixture(spark, path, ["text", "skeleton"])
+
+
+@query("""
+WITH d AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 4 = 1 THEN 'odd' ELSE 'unexplained' END AS rule FROM part WHERE p_partkey % 4 IN (1, 2)),
+e AS (SELECT rule, count(*) AS n, array_to_string(list_sort(list(key))[1:3], ',') AS examples FROM d GROUP BY rule)
+SELECT rule, n, examples FROM e UNION ALL SELECT 'identical', count(*), '' FROM part WHERE p_partkey % 4 NOT IN (1, 2)
+""")
+def agreement_of_tables(spark, sf_dir):
+    """Two tables that differ where the key leaves 1 or 2 by 4; a named rule explains the odd keys."""
+    a = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    b = a.withColumn("p_size", F.when((F.col("p_partkey") % 4).isin(1, 2), F.col("p_size") + 1).otherwise(F.col("p_size")))
+    found = ucd.agreement(a, b, "p_partkey", "p_size", {"odd": F.col("key") % 2 == 1})
+    return found.select("rule", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+@query(_KINDS_SQL + "SELECT value AS script, count(*) AS n, array_to_string(list_sort(list(cp)), ',') AS letters FROM v WHERE value = 'Letter' GROUP BY value")
+def letters_of_kinds(spark, sf_dir):
+    kinds = _kinds(spark, sf_dir)
+    found = ucd.letters_by_script(kinds.withColumnRenamed("value", "script"), kinds.select("cp", F.substring("value", 1, 1).alias("category")))
+    return found.select("script", "n", F.array_join(F.transform("letters", lambda x: x.cast("string")), ",").alias("letters"))
+
+
+@query("""
+SELECT p.p_partkey AS p_partkey, count(*) AS n, sum(l.l_quantity) AS quantity FROM part p JOIN lineitem l ON l.l_partkey BETWEEN p.p_partkey AND p.p_partkey + p.p_size GROUP BY p.p_partkey
+""")
+def range_joined(spark, sf_dir):
+    """A range join on blocks: the lines whose part lies within a part's span of keys."""
+    spans = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("first"), (F.col("p_partkey") + F.col("p_size")).alias("last"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity")
+    found = ranges.range_join(lines, spans, "l_partkey", width=64)
+    return found.groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
 __all__ = ["QUERIES", "SQL", "guard"]

@@ -6,7 +6,8 @@ entries; what is larger comes from a rule (see unicode.py) or from a folder of U
 
 #: The version that these values follow.
 FOLLOWS = 18
-#: Look-alike prototypes of characters below U+0600; a character that has itself is its own.
+#: Look-alike prototypes: of characters below U+0600, Arabic and Devanagari letters, a conjoining Hangul letter, CJK radicals, and
+#: ideographs up to U+52FF and others that these lead to. A character that has itself is its own.
 PROTOTYPES = {
     "%": "°/₀", "¡": "i", "\xa6": "\u208f", "²": "ᒾ", "¹": "ᣳ", "º": "°", "¼": "l/4", "½": "l/2", "¾": "3/4", "þ": "p",
     "Ŀ": "L·", "\u014b": "n\u0329", "\u018b": "d\u0304", "ƒ": "f", "\u01ab": "t\u0326", "ƿ": "p", "\u01c4": "DZ\u0306",
@@ -17,6 +18,17 @@ PROTOTYPES = {
     "ϸ": "p", "ш": "w", "\u045f": "u\u0329", "Ѹ": "Oy", "ѹ": "oy", "\u048a": "\u0418\u0326\u0306",
     "\u048b": "\u1d0e\u0326\u0306", "Һ": "h", "ӏ": "l", "Ԛ": "Q", "Յ": "3", "՛": "'", "ՠ": "rn", "\u0572": "n\u0329", "յ": "j",
     "ւ": "i", "ֆ": "$", "և": "եi", "\u05b0": "\u05c8", "\u05bc": "\u05c9",
+    "\u0629": "o\u0308", "\u0640": "_", "\u0651": "\U00010d27", "\u0670": "\u0e48", "\u068f": "\u062f\u06db", "\u06c4": "\u06c5",
+    "\u092f": "\U000119c7", "\u093b": "\U000119d1\u093a", "\u093e": "\U000119d1", "\u093f": "\u09bf", "\u0945": "\u0306",
+    "\u0947": "\U00011b64", "\u0949": "\U000119d1\u0306", "\u0956": "\U00011b62", "\u0957": "\U00011b62\U00011b62", "\u0964": "l",
+    "\u0970": "°", "\u0972": "\u0905\u0306", "\u0973": "\u0905\u093a", "\u0974": "\u0905\U000119d1\u093a", "\u0975": "\u0905\u094f",
+    "\u097b": "\u0917\u0331", "\u097c": "\u091c\u0331", "\u097e": "\u0921\u0331", "\u097f": "\u092c\u0331", "\u110b": "o",
+    "⺁": "厂", "⺆": "冂", "⺇": "𠘨", "⺊": "卜", "⺑": "𡯂", "⺕": "彐", "⺝": "月", "⺥": "爫", "⺩": "王", "⺪": "𤴔", "⺬": "示", "⺮": "𥫗",
+    "⺰": "纟", "⺳": "㓁", "⺴": "冗", "⺵": "𦉫", "⺶": "羊", "⺷": "𦍌", "⺸": "𦍋", "⺻": "聿", "⺽": "𦥑", "⻆": "角", "⻇": "𧢲",
+    "⻊": "𧾷", "⻎": "辶", "⻕": "𨸏", "⻞": "𩙿", "⻡": "𩠐", "⻣": "骨", "⻦": "鸟", "⻧": "卤", "⻪": "黾", "⻱": "龜",
+    "丂": "ㄎ", "丅": "T", "丕": "\u110c\u1169", "丛": "\u1109\u1109ー", "丩": "ㄐ", "丫": "Y", "乄": "メ", "于": "\U0001b122", "井": "\U0001b128",
+    "今": "\u1109ー\u1100", "仪": "\U0002ebf7", "兑": "兌", "兒": "\U00016ff3", "凐": "湮", "曰": "日", "正": "\U0001d376", "爿": "\u1102\u116e丨",
+    "長": "\u1110ー\u1102\u110c",
 }
 #: Stretches of characters outside Han that are no longer allowed in identifiers (those in a stretch that never were stay so).
 RESTRICTED = """

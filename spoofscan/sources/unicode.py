@@ -196,8 +196,20 @@ class Characters:
             for c in map(chr, range(a, b + 1)):
                 if c not in found and (look := looks_like(unicodedata.normalize("NFKD", c))) != c:
                     found[c] = look
+        for a, b in self.ranges("[:dt=Square:]"):
+            for c in map(chr, range(a, b + 1)):
+                if c not in found and self._squared_plainly(c):
+                    found[c] = looks_like(unicodedata.normalize("NFKD", c))
         return {c: s for c, s in found.items() if s != c} | nothing
 
+    @staticmethod
+    def _squared_plainly(c: str) -> bool:
+        """Whether a squared abbreviation shows letters on one line: no superscripts, no kana, no more than two ideographs."""
+        parts = [chr(int(x, 16)) for x in unicodedata.decomposition(c).split()[1:]]
+        names = [unicodedata.name(x, "") for x in parts]
+        raised = any(unicodedata.decomposition(x).startswith("<super>") for x in parts)
+        return bool(parts) and not raised and not any("KATAKANA" in x for x in names) and sum("IDEOGRAPH" in x for x in names) <= 2
+
     def _indexed(self, named: dict[str, str]) -> tuple[np.ndarray, list[tuple[str, ...]]]:
         """Of set expressions by name: for each code point, the number of the combination of names that it has."""
         index, numbers = np.zeros(0x110000, np.uint16), {(): 0}
