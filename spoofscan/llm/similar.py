@@ -4,7 +4,7 @@ Each set brings keys, a sketch and its size. The join goes in two turns. In the
 of size, and each is tried with one shortly before it: a linear number of pairs, which joins most of a dense group. In the
 second, only keys remain whose sets the first turn has not joined; there every pair of two groups is tried, so that no link
 is lost. Those pairs are looked up where a key's sets meet, with their sketches and then with the sets themselves, and never
-become rows. A key with more sets than a task should hold is cut into blocks, and each pair of blocks is a task's work.
+become rows. A key with more sets than a task should hold is cut into cells.
 """
 
 from __future__ import annotations
@@ -98,11 +98,11 @@ def _may_agree(agree: Agree):
 
 
 def _cells(batches, extra: str | None):
-    """The rows of each (k, lo, hi), which arrive together, by column."""
-    names = ["node", "n", "group", "half", "keys", "sketch", *([extra] if extra else [])]
+    """The rows of each (k, cell), which arrive together, by column."""
+    names = ["node", "n", "group", "home", "main", "keys", "sketch", *([extra] if extra else [])]
     key, held = None, []
     for batch in batches:
-        ids = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("k", "lo", "hi")], 1)
+        ids = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("k", "cell")], 1)
         edges = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, [len(ids)]]) if len(ids) else [0]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = tuple(ids[a].tolist())
@@ -117,9 +117,9 @@ def _cells(batches, extra: str | None):
 
 def _gathered(parts: list[pa.RecordBatch], names: list[str]) -> dict:
     table = pa.Table.from_batches(parts)
-    out = {x: table.column(x).to_numpy() for x in ("node", "n", "group", "half")}
+    out = {x: table.column(x).to_numpy() for x in names[:5]}
     out["n"] = out["n"].astype(np.int64)
-    return out | {x: table.column(x).to_pylist() if x == "sketch" else table.column(x).combine_chunks() for x in names[4:]}
+    return out | {x: table.column(x).to_pylist() if x == "sketch" else table.column(x).combine_chunks() for x in names[5:]}
 
 
 def _lists(column) -> list[np.ndarray]:
@@ -130,28 +130,27 @@ def _lists(column) -> list[np.ndarray]:
 
 def _found(cell: dict, key: tuple, least: Fraction, agree: Agree):
     """(row, earlier rows) of a cell, by size, whose groups differ, whose sizes and sketches allow the likeness, and whose
-    first common key is this one."""
-    k, lo, hi = key
-    n, keys = cell["n"], _lists(cell["keys"])
+    first common key is this one; of all cells in which two rows meet, in one alone."""
+    n, keys, group, home, main, node = cell["n"], _lists(cell["keys"]), cell["group"], cell["home"], cell["main"], cell["node"]
     width = max(map(len, keys))
     matrix = np.stack([np.concatenate([x, np.full(width - len(x), x[0])]) for x in keys])
     for i in range(1, len(n)):
         first = np.searchsorted(n[:i], -(-n[i] * least.numerator // least.denominator))
-        ok = cell["group"][first:i] != cell["group"][i]
-        if lo != hi:
-            ok &= cell["half"][first:i] != cell["half"][i]
-        j = first + np.flatnonzero(ok)
+        at = slice(first, i)
+        # visitors are compared with those at home; of two that visit each other, in the cell of the smaller node
+        twice = (home[at] != home[i]) & ~main[at] & ~main[i] & (np.where(home[i], node[at], node[i]) < np.where(home[i], node[i], node[at]))
+        j = first + np.flatnonzero((group[at] != group[i]) & (home[at] | home[i]) & ~twice)
         if len(j):
             j = j[agree(cell["sketch"], i, j, n)]
         if len(j):
             common = np.isin(matrix[j], matrix[i])
-            j = j[np.where(common, matrix[j], np.iinfo(np.int64).max).min(1) == k]
+            j = j[np.where(common, matrix[j], np.iinfo(np.int64).max).min(1) == key[0]]
         if len(j):
             yield i, j
 
 
 def _marked(least: Fraction, agree: Agree):
-    """(k, lo, hi, node) of the sets that a cell has a pair for."""
+    """(k, cell, node) of the sets that a cell has a pair for."""
 
     def run(batches):
         for key, cell in _cells(batches, None):
@@ -160,7 +159,7 @@ def _marked(least: Fraction, agree: Agree):
                 mark[i] = mark[j] = True
             if mark.any():
                 n = int(mark.sum())
-                yield pa.record_batch({**{c: pa.array(np.full(n, x), pa.int64()) for c, x in zip(("k", "lo", "hi"), key, strict=True)}, "node": pa.array(cell["node"][mark])})
+                yield pa.record_batch({**{c: pa.array(np.full(n, x), pa.int64()) for c, x in zip(("k", "cell"), key, strict=True)}, "node": pa.array(cell["node"][mark])})
 
     return run
 
@@ -213,31 +212,37 @@ def _neighbour_links(sets: DataFrame, members: DataFrame, sets_of, agree: Agree,
 
 
 def _dealt(open_keys: DataFrame, members: DataFrame) -> DataFrame:
-    """(k, lo, hi, half, node): the sets of open keys by cell, each pair of a key's blocks together in one."""
-    own = members.select("k", "node").join(open_keys, "k")
-    own = own.withColumn("half", F.pmod(F.xxhash64("node"), "blocks")).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return own.select("k", F.least("half", "to").alias("lo"), F.greatest("half", "to").alias("hi"), "half", "node")
+    """(k, cell, home, main, node): the sets of open keys by cell. Each is at home in one cell of its key; those outside the
+    key's main group, the largest, visit the others too. Rows grow with the visitors, not with the square of the group."""
+    own = members.join(open_keys, "k").withColumn("half", F.pmod(F.xxhash64("node"), "blocks")).withColumn("main", F.col("group") == F.col("largest"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    own = own.withColumn("cell", F.explode(F.when(F.col("main"), F.array("half")).otherwise(every)))
+    return own.select("k", "cell", (F.col("cell") == F.col("half")).alias("home"), "main", "node")
 
 
 def _together(rows: DataFrame) -> DataFrame:
-    return rows.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "n", "node")
+    return rows.repartition("k", "cell").sortWithinPartitions("k", "cell", "n", "node")
 
 
 def _remaining_links(sets: DataFrame, members: DataFrame, joined: DataFrame, sets_of, agree: Agree, least: Fraction) -> DataFrame | None:
     """Links that join all groups of `joined` (node, component) which a similar pair under a key joins; None if no key is open."""
     named = sets.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("group"), "keys", "sketch")
     named = materialise(named, "named")
-    sums = members.join(named.select("node", "n", "group"), "node").groupBy("k").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("m"))
+    placed = materialise(members.select("k", "node").join(named.select("node", "n", "group"), "node"), "placed")
+    # the groups of a key are counted before they meet, so a hot key is a row a group
+    groups = placed.groupBy("k", "group").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("m"))
+    sums = groups.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("c"), F.sum("m").alias("m"), F.max_by("group", F.struct("c", "group")).alias("largest"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("long")
-    open_keys = materialise(sums.filter("x <> y").select("k", blocks.alias("blocks")), "open-keys")
+    open_keys = materialise(sums.filter("groups > 1").select("k", blocks.alias("blocks"), "largest"), "open-keys")
     if open_keys.isEmpty():
-        release(named, open_keys)
+        release(named, placed, open_keys)
         return None
-    dealt = materialise(_dealt(open_keys, members), "dealt")
-    marked = materialise(_together(dealt.join(named, "node")).mapInArrow(_marked(least, agree), "k long, lo long, hi long, node long"), "marked")
+    dealt = materialise(_dealt(open_keys, placed.select("k", "node", "group")), "dealt")
+    marked = materialise(_together(dealt.join(named, "node")).mapInArrow(_marked(least, agree), "k long, cell long, node long"), "marked")
     own = materialise(sets_of(marked.select("node").distinct()).select("node", F.array_sort("members").alias("members")), "members")
-    kept = dealt.join(marked, ["k", "lo", "hi", "node"], "left_semi")
+    kept = dealt.join(marked, ["k", "cell", "node"], "left_semi")
     out = materialise(_together(kept.join(named, "node").join(own, "node")).mapInArrow(_linked(least, agree), "a long, b long"), "links")
+    release(placed)
     release(named, open_keys, dealt, marked, own)
     return out
 
