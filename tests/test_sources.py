@@ -98,13 +98,15 @@ def test_sql_names(spark):
     texts = ["", "abc", "p\u0430y pal", "7\u0661", "e\u0301\u0301x", "i\u0307", "a\u200bb\n", "\u0628\u200c\u062d", "\u05d0(\u05d1", "\u4e00\u30a2", "\U0001f468\u200d\U0001f469", None]
     df = spark.createDataFrame([(x,) for x in texts], "s string").withColumn("a", F.col("s")).withColumn("b", F.concat("s", F.lit("\u200b")))
     df.createOrReplaceTempView("texts")
-    for name, (parameters, _, column) in module._checks(spark).items():
-        if parameters not in ("s STRING", "a STRING, b STRING"):
-            continue  # functions of other values have tests of their own
-        given = "a, b" if "a STRING" in parameters else "s"
-        sql = spark.sql(f"SELECT s, spoof_{name}({given}) AS o FROM texts").collect()
-        want = df.select("s", column.alias("o")).collect()
-        assert sorted(map(str, sql)) == sorted(map(str, want)), name
+    # functions of other values have tests of their own
+    asked = [(name, "a, b" if "a STRING" in p else "s", column) for name, (p, _, column) in module._checks(spark).items() if p in ("s STRING", "a STRING, b STRING")]
+    assert len(asked) > 40
+    for i in range(0, len(asked), 8):
+        some = asked[i : i + 8]
+        sql = spark.sql(f"SELECT s, {', '.join(f'spoof_{name}({given}) AS {name}' for name, given, _ in some)} FROM texts").collect()
+        want = df.select("s", *[column.alias(name) for name, _, column in some]).collect()
+        for name, _, _ in some:
+            assert sorted(str((r.s, r[name])) for r in sql) == sorted(str((r.s, r[name])) for r in want), name
     assert spark.sql("SELECT c.* FROM VALUES ('ab') t(x), LATERAL spoof_characters_of(t.x) c").count() == 2
     rows = spark.sql("SELECT c.* FROM VALUES ('a\u200bb\u0301') t(x), LATERAL spoof_invisible_rows(t.x) c").collect()
     assert [tuple(r) for r in rows] == [(1, "default-ignorable")]
@@ -179,9 +181,9 @@ def test_agreement_by_rules(spark):
 
 
 def drain(stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(once=True).start()
     try:
-        q.processAllAvailable()
+        q.awaitTermination(60)
         return stream.sparkSession.table(name).collect()
     finally:
         q.stop()
