@@ -1,7 +1,8 @@
 """Components of similar sets, found by keys that similar sets share; a key's group is never turned into its pairs.
 
 Each set brings keys, a sketch and its size. The join goes in two turns. In the first, the sets of a key are read in order
-of size, and each is tried with one shortly before it: a linear number of pairs, which joins most of a dense group. In the
+of size, and each is tried with one shortly before it; of a set's partners under all its keys, the TRIED that it meets most
+often are compared: a linear number of pairs, which joins most of a dense group. In the
 second, only keys remain whose sets the first turn has not joined; there every pair of two groups is tried, so that no link
 is lost. Those pairs are looked up where a key's sets meet, with their sketches and then with the sets themselves, and never
 become rows. A key with more sets than a task should hold is cut into cells.
@@ -24,6 +25,8 @@ from .components import connected_components
 BLOCK_SETS, BLOCK_MEMBERS = 256, 4_000_000
 #: Rows of a key that are tried with one and the same row.
 FAN = 64
+#: Rows that the first turn tries a row with, at most. What it leaves apart, the second turn tries with every row of its keys.
+TRIED = 8
 #: Whether the sketches of rows `i` (one) and `j` (several) of a list allow the similarity.
 Agree = Callable[[list, int, np.ndarray, np.ndarray], np.ndarray]
 
@@ -197,8 +200,10 @@ def _linked(least: Fraction, agree: Agree):
 
 
 def _neighbour_links(sets: DataFrame, members: DataFrame, sets_of, agree: Agree, least: Fraction) -> DataFrame:
-    """The similar pairs (a, b) among those that stand next to each other under a key."""
-    pairs = materialise(members.filter("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    """The similar pairs (a, b) among those that stand next to each other under a key, for each set those that do so most often."""
+    often = members.filter("other IS NOT NULL").groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
+    tried = often.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "other")), False), 1, TRIED).alias("t")).select("node", F.explode("t.other").alias("other"))
+    pairs = materialise(tried.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("n_x"))
     y = sets.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("n_y"))
     allowed = materialise(pairs.join(x, "a").join(y, "b").mapInArrow(_may_agree(agree), "a long, b long"), "allowed")
