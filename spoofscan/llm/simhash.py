@@ -9,9 +9,10 @@ What shares a key is never turned into pairs: a breadth-first search over the ke
 is reached, so a dense group costs few comparisons and yields a spanning forest. A key with more than MOST fingerprints
 is split exactly: of the bits not fixed yet, cut into four parts, at least one part must be equal too.
 
-`keep_similar` asks for similar sets of shingles, beyond what fingerprints of 64 bits can find: at a Jaccard similarity of
-0.8 they differ in 10 bits on average and 15 or more in one pair of 40, and no ring of 64 bits with such a budget prunes
-anything. There the ring is one of the set's own hashes in ascending order, and its segments are the runs of three that
+`keep_similar` asks for similar sets of shingles. The same chains over the fingerprints of the sets propose pairs, which are
+confirmed on the full sets. That isn't all: at a Jaccard similarity of 0.8 fingerprints of 64 bits differ in 10 bits on
+average and 15 or more in one pair of 40, and no ring of 64 bits with such a budget prunes anything. For pairs beyond the
+reach of the chains the ring is one of the set's own hashes in ascending order, and its segments are the runs of three that
 follow each other on it. Each shingle that only one of two sets has can break three runs of its own set, or two of the
 other's, so sets of n shingles that are similar enough lose 3 n / 5 of their runs at most: the smallest 3 n / 5 + 1 of a
 set's runs, in any order that both agree on, hold one that the other has too. Sets that share a run are pruned by their
@@ -263,15 +264,17 @@ def run_keys(shingles: np.ndarray, least: Fraction) -> np.ndarray:
 
 
 def _described(size: int, least: Fraction):
-    """Of a text's distinct shingles: number, digest, sketch (fingerprint, counts by bucket) and keys."""
+    """Of a text's distinct shingles: number, digest, fingerprint, sketch (fingerprint, counts by bucket) and keys."""
 
-    @F.pandas_udf("n int, digest binary, sketch binary, keys array<long>")
+    @F.pandas_udf("n int, digest binary, fp long, sketch binary, keys array<long>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         found = [shingle_set(x or "", size) for x in texts]
+        fps = np.array([majority_bits(x) for x in found], np.uint64)
         return pd.DataFrame({
             "n": [len(x) for x in found],
             "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found],
-            "sketch": [majority_bits(x).to_bytes(8, "little") + bucket_counts(x) for x in found],
+            "fp": fps.view(np.int64),
+            "sketch": [fp.astype("<u8").tobytes() + bucket_counts(x) for fp, x in zip(fps, found, strict=True)],
             "keys": [run_keys(x, least) for x in found],
         })
 
@@ -302,6 +305,17 @@ def _sets(size: int):
     return run
 
 
+def chained_pairs(sets: DataFrame) -> DataFrame:
+    """Of sets (node, fp), pairs that join just those whose fingerprints chains link, that is, at most three bits apart.
+
+    Equal fingerprints hang on the least of their nodes, so a group brings as many pairs as it has sets, or links.
+    """
+    firsts = materialise(sets.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"node_{x}")) for x in ("a", "b"))
+    linked = fingerprint_links(firsts.select("fp")).join(a, "a").join(b, "b").select("node_a", "node_b")
+    return sets.join(firsts, "fp").filter("node <> first").select("node", "first").union(linked)
+
+
 def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, reach: int = WIDE_REACH) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each group linked by similar texts, one row of its least key stays.
 
@@ -316,14 +330,15 @@ def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     rows = docs.select(row.alias("row"), F.xxhash64(row).alias("hash"), F.col(key).alias("id"), _described(size, least)(F.col(text)).alias("d"))
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "row", "hash", "id", "d.*"), "near-rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "rid")).alias("best")
-    sets = rows.groupBy("digest").agg(F.min("rid").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"), best)
+    sets = rows.groupBy("digest").agg(F.min("rid").alias("node"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"), best)
     sets = materialise(sets.drop("digest"), "near-sets")
+    full = sets.filter("n > 0")
     texts = rows.select("rid", F.col("row")[text].alias("text"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         return hash_join(texts, materialise(wanted.select(F.col("node").alias("rid")), "near-wanted"), "rid", "left_semi").mapInArrow(_sets(size), "node long, members array<long>")
 
-    joined = similar_components(sets.filter("n > 0"), sets_of, may_be_similar(least, reach), least)
+    joined = similar_components(full, sets_of, may_be_similar(least, reach), least, chained_pairs(full.select("node", "fp")))
     named = sets.join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
     stay = named.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
     # few rows go, so the texts needn't be shuffled

@@ -199,10 +199,12 @@ def _linked(least: Fraction, agree: Agree):
     return run
 
 
-def _neighbour_links(sets: DataFrame, members: DataFrame, sets_of, agree: Agree, least: Fraction) -> DataFrame:
-    """The similar pairs (a, b) among those that stand next to each other under a key, for each set those that do so most often."""
+def _neighbour_links(sets: DataFrame, members: DataFrame, proposed: DataFrame | None, sets_of, agree: Agree, least: Fraction) -> DataFrame:
+    """The similar pairs (a, b) among those proposed and those that stand next to each other under a key, for each set those
+    that do so most often."""
     often = members.filter("other IS NOT NULL").groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
     tried = often.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "other")), False), 1, TRIED).alias("t")).select("node", F.explode("t.other").alias("other"))
+    tried = tried if proposed is None else tried.union(proposed)
     pairs = materialise(tried.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("n_x"))
     y = sets.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("n_y"))
@@ -252,16 +254,16 @@ def _remaining_links(sets: DataFrame, members: DataFrame, joined: DataFrame, set
     return out
 
 
-def similar_components(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], agree: Agree, least: Fraction) -> DataFrame:
+def similar_components(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], agree: Agree, least: Fraction, proposed: DataFrame | None = None) -> DataFrame:
     """(node, component) of the sets that similar pairs join; sets without any have no row.
 
     `sets` is a materialised table (node, n, keys array<long>, sketch) of distinct sets; `sets_of` gives (node, members
     array<long>) of a table of nodes. Two sets are similar if 100 times their Jaccard similarity is 100 * `least` or more.
-    Only pairs with a common key whose sketches agree are tried.
+    Only pairs that are `proposed` (two columns of nodes) or have a common key, and whose sketches agree, are tried.
     """
     keyed = sets.select("node", "n", F.explode("keys").alias("k")).repartition("k").sortWithinPartitions("k", "n", "node")
     members = materialise(keyed.mapInArrow(_neighbours(least), "k long, node long, other long"), "shared-keys", free=True)
-    first = _neighbour_links(sets, members, sets_of, agree, least)
+    first = _neighbour_links(sets, members, proposed, sets_of, agree, least)
     joined = materialise(connected_components(first), "joined")
     more = _remaining_links(sets, members, joined, sets_of, agree, least)
     release(members)
