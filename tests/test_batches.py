@@ -1,11 +1,14 @@
 """Kernels over batches: a repeated text is asked once, and the answers are those of each text by itself."""
 
+import random
+import re
 from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
 
-from spoofscan.functions.kernels import NAMED, mapped
+from spoofscan.functions.kernels import NAMED, SETTLED, ZWJ, ZWNJ, mapped
+from spoofscan.functions.text import text_functions
 
 
 class Asked:
@@ -33,3 +36,31 @@ def test_texts_that_are_no_utf8(spark):
     mapped("size", "array<int>", SimpleNamespace(value=asked, _jbroadcast=SimpleNamespace(id=lambda: "bytes")))
     broken = pa.Array.from_buffers(pa.string(), 2, pa.array([b"a\xff", b"a\xff"], pa.binary()).buffers())
     assert NAMED["kernel_size_bytes"].func(broken).to_pylist() == [[2], [2]] and asked.texts == ["a�"]
+
+
+@pytest.fixture(scope="module")
+def invisible(spark):
+    return text_functions(spark)._invisible()
+
+
+def test_joiners_of_the_texts_scripts_alone_are_tried(invisible):
+    """All scripts' contexts at once give the same, but a text costs those of its own scripts."""
+    every = {c: "|".join(f"(?:{before}(?={c}{rest}))" for _, before, control, rest in invisible.joiners if control == c) for c in (ZWNJ, ZWJ)}
+    plain = {c: re.compile(f"({parts}){c}", re.S) for c, parts in every.items()}
+    r, settled = random.Random(3), 0
+    alphabets = [list("بحـًاab1"), list("क़्खा॑"), list("ක්ය়্কাক্ষx़")]
+    for _ in range(3000):
+        pool = [*r.choice(alphabets), *(r.choice(alphabets) if r.random() < 0.3 else ""), ZWNJ, ZWJ, ZWNJ, ZWJ]
+        text = "".join(r.choice(pool) for _ in range(r.randrange(1, 30)))
+        want = text
+        for c in (ZWNJ, ZWJ):
+            want = plain[c].sub(rf"\1{SETTLED}", want)
+        assert invisible.joined(text) == want, ascii(text)
+        settled += want != text
+    assert settled > 100
+    tried = lambda text: {i for c in text for i in invisible._scripts_joiners(c)}
+    assert len(invisible.joiners) > 50 and len(tried(f"x{ZWNJ}y")) < 5 and 0 < len(tried("क्")) < 20
+
+
+def test_variations_among_other_invisible_characters(invisible):
+    assert [x["kind"] for x in invisible.find("\u2764\ufe0f a\ufe0f \u6f22\U000e0100 b\U000e0100 \u1820\u180b")] == ["variation-selector"] * 2
