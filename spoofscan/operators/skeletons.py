@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import LEVELS, LOOKS, Forms, compiled, mapped, only
 from ..functions.text import code_points, is_ascii, overlap, resolved, text_functions
 from ..sources.unicode import characters, stretches, tree
-from .bidi import BidiData, Levels, display
+from .bidi import BidiData, Levels, display, display_all
 
 #: Classes of characters that can raise a level to an odd one.
 _ODD = "[:bc=R:][:bc=AL:][:bc=AN:][:bc=RLE:][:bc=RLO:][:bc=RLI:]"
@@ -43,6 +43,14 @@ class Looks(NamedTuple):
         """The text in display order; left to right, one that can't reach an odd level is shown as it is written."""
         return text if direction == "ltr" and not compiled(self.odd).search(text) else display(text, self.bidi, direction)
 
+    def shown_of_all(self, texts: list[str], direction: str) -> list[str]:
+        """`shown` of each text, those that turn together."""
+        turns = [i for i, x in enumerate(texts) if direction != "ltr" or compiled(self.odd).search(x)]
+        out = list(texts)
+        for i, x in zip(turns, display_all([texts[i] for i in turns], self.bidi, direction), strict=True):
+            out[i] = x
+        return out
+
     def ltr(self, text: str) -> str:
         return self.internal(self.shown(text, "ltr"))
 
@@ -61,6 +69,24 @@ class Looks(NamedTuple):
     def shown_auto(self, text: str) -> str:
         return self.shown(text, "auto")
 
+    def ltr_all(self, texts: list[str]) -> list[str]:
+        return [self.internal(x) for x in self.shown_of_all(texts, "ltr")]
+
+    def rtl_all(self, texts: list[str]) -> list[str]:
+        return [self.internal(x) for x in self.shown_of_all(texts, "rtl")]
+
+    def auto_all(self, texts: list[str]) -> list[str]:
+        return [self.internal(x) for x in self.shown_of_all(texts, "auto")]
+
+    def shown_ltr_all(self, texts: list[str]) -> list[str]:
+        return self.shown_of_all(texts, "ltr")
+
+    def shown_rtl_all(self, texts: list[str]) -> list[str]:
+        return self.shown_of_all(texts, "rtl")
+
+    def shown_auto_all(self, texts: list[str]) -> list[str]:
+        return self.shown_of_all(texts, "auto")
+
 
 class Skeletons:
     """Skeleton expressions bound to one session's Unicode data.
